@@ -24,4 +24,32 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartitionByRange(shuffle_partitions(spark), order, "doc_id").sortWithinPartitions(order, "doc_id")
 
 
-QUERIES = {"op1_mixing": op1_mixing}
+def op2_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    rows = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16, compact=True)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op3_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import add_sketch, as_text, edited, in_ranges, likeness
+
+    rows, order = in_ranges(table(spark, sf_dir, "documents"))
+    rows = add_sketch(rows.withColumn("_next", F.lead("text").over(order)), "text", "_s")
+    rows = rows.withColumn("_s_next", F.lead("_s").over(order)).where("_guest = 0")
+    rows = add_sketch(rows.withColumn("_edited", edited(F.col("text"), F.col("_next"))), "_edited", "_s_edited")
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"),
+        as_text(F.col("_s")).alias("fingerprint"),
+        as_text(F.col("_s_edited")).alias("edited_fingerprint"),
+        likeness(F.col("_s"), F.col("_s_edited")).alias("near_edited"),
+        likeness(F.col("_s"), F.col("_s_next")).alias("near_next"),
+    )
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_kdtree": op2_kdtree, "op3_sketch": op3_sketch}
