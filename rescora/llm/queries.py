@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import bounded_batches, shuffle_partitions
@@ -52,4 +52,20 @@ def op3_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_kdtree": op2_kdtree, "op3_sketch": op3_sketch}
+def held_out() -> Column:
+    """Rows that no label is learned from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, with_score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = with_score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_kdtree": op2_kdtree, "op3_sketch": op3_sketch, "op4_quality": op4_quality}

@@ -6,7 +6,8 @@ distributed histograms: each pass adds 12 bits of the ordering key (dimension, h
 only nodes x 4096 sums reach the driver. Passes end when what straddles the cut is under `tolerance` of a leaf.
 
 Equal texts have equal coordinates and equal text hashes, so a group of copies stays in one shard; only where one group
-straddles a cut with more than `cohesion` of a leaf is it cut by row hash, as near-equal bytes come first.
+straddles a cut with more than `cohesion` of a leaf, and more than the largest row, is it cut by row hash, as near-equal
+bytes come first.
 
 Nulls: a null text weighs 1 byte and sits at the origin; ties are ordered by hash, then doc_id. Rows that agree in
 everything are interchangeable. An empty table gives no rows. Extra columns are kept; those named like a result are
@@ -27,7 +28,7 @@ from .common import utf8_bytes
 BITS = 12
 VALUE_BITS, HASH_BITS = 24, 48
 #: Parts of a leaf's bytes: at most so much lies on the wrong side of a cut; groups of copies up to this stay whole.
-TOLERANCE, COHESION = 0.002, 0.02
+TOLERANCE, COHESION = 0.002, 0.08
 #: Rows of one shard are numbered in so many cells.
 CELLS = 256
 
@@ -61,15 +62,15 @@ def points(docs: DataFrame) -> DataFrame:
 DIMS = ("_d0", "_d1", "_d2")
 
 
-def _grid(rows: DataFrame) -> tuple[list[Column], int]:
-    """Each dimension as whole numbers of VALUE_BITS bits over its range in all rows, and the bytes of all rows."""
-    row = rows.agg(F.sum("size").alias("w"), *[f(d).alias(f"{n}{d}") for d in DIMS for n, f in (("a", F.min), ("b", F.max))]).first()
+def _grid(rows: DataFrame) -> tuple[list[Column], int, int]:
+    """Each dimension as whole numbers of VALUE_BITS bits over its range in all rows; bytes of all and of the largest row."""
+    row = rows.agg(F.sum("size").alias("w"), F.max("size").alias("m"), *[f(d).alias(f"{n}{d}") for d in DIMS for n, f in (("a", F.min), ("b", F.max))]).first()
     out = []
     for d in DIMS:
         low, high = row[f"a{d}"] or 0.0, row[f"b{d}"] or 0.0
         scale = ((1 << VALUE_BITS) - 1) / (high - low) if high > low else 0.0
         out.append(F.floor((F.col(d) - F.lit(low)) * F.lit(scale)).cast("long"))
-    return out, row["w"] or 0
+    return out, row["w"] or 0, row["m"] or 0
 
 
 def _below(grid: list[Column], cut: Cut) -> Column:
@@ -104,8 +105,8 @@ def node_of(tree: dict[int, Cut], grid: list[Column], node: int = 1) -> Column:
     return F.when(_below(grid, tree[node]), node_of(tree, grid, 2 * node)).otherwise(node_of(tree, grid, 2 * node + 1))
 
 
-def _cuts(rows: DataFrame, grid: list[Column], tree: dict[int, Cut], leaves: dict[int, int], leaf: float) -> dict[int, Cut]:
-    """Cuts of all nodes in `leaves` (node: leaves below it), found together."""
+def _cuts(rows: DataFrame, grid: list[Column], tree: dict[int, Cut], leaves: dict[int, int], leaf: float, whole: float) -> dict[int, Cut]:
+    """Cuts of all nodes in `leaves` (node: leaves below it), found together. whole: groups up to so many bytes stay whole."""
     at = rows.withColumns({"_n": node_of(tree, grid), **{f"_x{k}": x for k, x in enumerate(grid)}})
     grid = [F.col(f"_x{k}") for k in range(len(grid))]
     at = at.where(F.col("_n").isin(*leaves))
@@ -133,7 +134,7 @@ def _cuts(rows: DataFrame, grid: list[Column], tree: dict[int, Cut], leaves: dic
                 if before[n] + w >= goal[n] or d == max(sums[n]):
                     break
                 before[n] += w
-            group_whole = p == rows_from - 1 and w <= COHESION * leaf
+            group_whole = p == rows_from - 1 and w <= whole
             if w <= TOLERANCE * leaf or group_whole or p == last - 1:
                 after = before[n] + w - goal[n] < goal[n] - before[n]
                 done[n] = Cut(dim[n], _bound([*prefix[n], d + after]))
@@ -144,13 +145,15 @@ def _cuts(rows: DataFrame, grid: list[Column], tree: dict[int, Cut], leaves: dic
 
 def kd_tree(rows: DataFrame, shards: int) -> tuple[dict[int, Cut], dict[int, int], list[Column]]:
     """Cuts by node, shard number by leaf node, and the grid to evaluate them on rows of points()."""
-    grid, total = _grid(rows)
+    grid, total, largest = _grid(rows)
+    leaf = total / shards
+    whole = max(COHESION * leaf, largest)
     tree: dict[int, Cut] = {}
     leaves, final = {1: shards}, []
     while leaves:
         final += [n for n, k in leaves.items() if k == 1]
         leaves = {n: k for n, k in leaves.items() if k > 1}
-        cuts = _cuts(rows, grid, tree, leaves, total / shards) if leaves and total else {}
+        cuts = _cuts(rows, grid, tree, leaves, leaf, whole) if leaves and total else {}
         final += [n for n in leaves if n not in cuts]
         tree |= cuts
         leaves = {c: k for n in cuts for c, k in ((2 * n, leaves[n] // 2), (2 * n + 1, leaves[n] - leaves[n] // 2))}
