@@ -68,4 +68,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_kdtree": op2_kdtree, "op3_sketch": op3_sketch, "op4_quality": op4_quality}
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_common_lines
+
+    out = drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_kdtree": op2_kdtree,
+    "op3_sketch": op3_sketch,
+    "op4_quality": op4_quality,
+    "op6_lines": op6_lines,
+}
