@@ -75,10 +75,21 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokenids import default_folder, read_ids, write_ids
+
+    folder = default_folder(spark)
+    write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_ids(spark, folder)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_kdtree": op2_kdtree,
     "op3_sketch": op3_sketch,
     "op4_quality": op4_quality,
     "op6_lines": op6_lines,
+    "op7_tokens": op7_tokens,
 }
