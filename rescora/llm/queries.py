@@ -85,6 +85,17 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder)
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), 10)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_kdtree": op2_kdtree,
@@ -92,4 +103,5 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_lines": op6_lines,
     "op7_tokens": op7_tokens,
+    "op9_decontam": op9_decontam,
 }
