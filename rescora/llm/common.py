@@ -32,7 +32,7 @@ def write_atomically(uri: str, attempt: str, write) -> None:
     store, path = open_fs(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     own = f"{path}.{attempt}.part"
-    with store.open_output_stream(own) as out:
+    with store.open_output_stream(own, compression=None) as out:
         write(out)
     store.move(own, path)
 

@@ -85,3 +85,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN spots USING (r) LEFT JOIN its USING (r)
 """
+
+ORACLES["op10_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p
+), q AS (
+  SELECT *, first_id IS NOT NULL AND (page_id IS NULL OR page_id > first_id) AS again FROM f
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((('0x' || substr(h, 1 + 5 * CAST(k // 4 AS INT), 5))::INT >> (15 - 5 * CAST(k % 4 AS INT))) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first_id END AS refers_to
+FROM q
+"""

@@ -96,6 +96,13 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import default_folder, read_warc, write_warc
+
+    index = write_warc(table(spark, sf_dir, "pages"), default_folder(spark))
+    return read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_kdtree": op2_kdtree,
@@ -104,4 +111,5 @@ QUERIES = {
     "op6_lines": op6_lines,
     "op7_tokens": op7_tokens,
     "op9_decontam": op9_decontam,
+    "op10_warc": op10_warc,
 }
