@@ -68,6 +68,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import components
+
+    out = components(table(spark, sf_dir, "documents"), k=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import drop_common_lines
 
@@ -108,6 +115,7 @@ QUERIES = {
     "op2_kdtree": op2_kdtree,
     "op3_sketch": op3_sketch,
     "op4_quality": op4_quality,
+    "op5_simhash": op5_simhash,
     "op6_lines": op6_lines,
     "op7_tokens": op7_tokens,
     "op9_decontam": op9_decontam,
