@@ -92,6 +92,14 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, folder)
 
 
+def op8_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import rotate
+
+    spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
+    rows = rotate(table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "part", "speaker", "text", F.array_join(spans, ",").alias("mask"), "n_turns", "n_spoken")
+
+
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import decontaminate
 
@@ -118,6 +126,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_lines": op6_lines,
     "op7_tokens": op7_tokens,
+    "op8_rotation": op8_rotation,
     "op9_decontam": op9_decontam,
     "op10_warc": op10_warc,
 }
