@@ -33,10 +33,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rescora/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there and survives lost executors."""
+def materialise(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
+    """Write a table to the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    Tables of ids and hashes hardly compress, and each compressed column of each file takes memory outside the heap.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
