@@ -150,4 +150,4 @@ def charge_features(charge: Column, most: int = 7) -> Column:
 
 def minus_log10(x: Column) -> Column:
     """-log10 with a floor under the argument."""
-    return -F.log10(F.greatest(x, F.lit(1e-300)))
+    return F.lit(0.0) - F.log10(F.greatest(x, F.lit(1e-300)))

@@ -43,8 +43,9 @@ def running_sum(
 ) -> DataFrame:
     """Append inclusive running sums over (keys, bucket, order), in two passes.
 
-    `bucket` must not decrease along `order` within the keys. One task holds the rows of one (keys, bucket); the
-    second pass adds what lies in earlier buckets, from a table with a row for each (keys, bucket).
+    `bucket` must not decrease along `order` within the keys, and keys have no nulls. One task holds the rows of one
+    (keys, bucket); the second pass adds what lies in earlier buckets, from a table with a row for each (keys, bucket),
+    joined in the same partitioning.
     """
     cells = [*keys, bucket]
     total = df.groupBy(*cells).agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
@@ -55,6 +56,6 @@ def running_sum(
     )
     inside = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({k: F.sum(v).over(inside) for k, v in sums.items()})
-    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in cells]
+    on = [F.col(c) == F.col(f"_k_{c}") for c in cells]
     out = out.join(base, on, "left")
     return out.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in sums}).drop(*[c for c in base.columns])

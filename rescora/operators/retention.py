@@ -10,13 +10,13 @@ from ..functions.scalars import retention
 
 def line_fit(x: Column, y: Column, use: Column) -> Column:
     """Aggregate: struct of slope and intercept over the rows in use; (1, 0) for under two, (0, mean y) for no spread."""
+    x, y = F.when(use, x), F.when(use, y)
     n = F.count_if(use).cast("double")
-    sx, sy = F.sum(F.when(use, x)), F.sum(F.when(use, y))
-    sxx, sxy = F.sum(F.when(use, x * x)), F.sum(F.when(use, x * y))
-    spread = n * sxx - sx * sx
-    flat = F.abs(spread) < 1e-9
-    slope = F.when(n < 2, 1.0).when(flat, 0.0).otherwise(F.try_divide(n * sxy - sx * sy, spread))
-    intercept = F.when(n < 2, 0.0).when(flat, F.try_divide(sy, n)).otherwise(F.try_divide(sy - slope * sx, n))
+    # in central moments, which are exactly 0 for equal values
+    spread = n * n * F.var_pop(x)
+    flat = F.coalesce(spread < 1e-9, F.lit(True))
+    slope = F.when(n < 2, 1.0).when(flat, 0.0).otherwise(F.try_divide(F.covar_pop(x, y), F.var_pop(x)))
+    intercept = F.when(n < 2, 0.0).otherwise(F.avg(y) - slope * F.avg(x))
     return F.struct(slope.alias("slope"), intercept.alias("intercept"))
 
 

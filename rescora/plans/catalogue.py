@@ -201,12 +201,12 @@ def rt_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rt_fit(spark: SparkSession, sf: str) -> DataFrame:
-    return retention.fits(V.psm_events(spark, sf)).select("source", r6("slope").alias("slope"), F.round("intercept", 5).alias("intercept"))
+    return retention.fits(V.psm_docs(spark, sf)).select("source", r6("slope").alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
 @query
 def rt_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = retention.with_retention(V.psm_events(spark, sf))
+    rows = retention.with_retention(V.psm_docs(spark, sf))
     return rows.select("row_id", F.round("rt_abs_error", 4).alias("rt_abs_error"), F.round("rt_sq_error", 1).alias("rt_sq_error"))
 
 

@@ -116,11 +116,11 @@ oracle(
 oracle("rt_predict", "psm_docs", f", c AS (SELECT row_id, {CORE} AS core FROM psm) SELECT row_id, round({RT}, 6) AS rt FROM c")
 FIT = f""", c AS (SELECT *, {CORE} AS core FROM psm), x AS (SELECT *, {RT} AS x, scan::DOUBLE AS y FROM c),
   g AS (SELECT source, count(*) FILTER (WHERE label > 0) AS nt FROM x GROUP BY source), u AS (SELECT x.* FROM x JOIN g USING (source) WHERE label > 0 OR nt = 0),
-  s AS (SELECT source, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM u GROUP BY source),
-  f AS (SELECT source, CASE WHEN n < 2 THEN 1.0 WHEN abs(n * sxx - sx * sx) < 1e-9 THEN 0.0 ELSE (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS slope, n, sx, sy FROM s),
-  fit AS (SELECT source, slope, CASE WHEN n < 2 THEN 0.0 ELSE (sy - slope * sx) / n END AS intercept FROM f)"""
-oracle("rt_fit", "psm_events", FIT + " SELECT source, round(slope, 6) AS slope, round(intercept, 5) AS intercept FROM fit")
-oracle("rt_features", "psm_events", FIT + " SELECT row_id, round(abs(y - (slope * x + intercept)), 4) AS rt_abs_error, round((y - (slope * x + intercept)) * (y - (slope * x + intercept)), 1) AS rt_sq_error FROM x JOIN fit USING (source)")
+  s AS (SELECT source, count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(x, y) AS cxy FROM u GROUP BY source),
+  f AS (SELECT source, n, mx, my, CASE WHEN n < 2 THEN 1.0 WHEN n * n * vx < 1e-9 THEN 0.0 ELSE cxy / vx END AS slope FROM s),
+  fit AS (SELECT source, slope, CASE WHEN n < 2 THEN 0.0 ELSE my - slope * mx END AS intercept FROM f)"""
+oracle("rt_fit", "psm_docs", FIT + " SELECT source, round(slope, 6) AS slope, round(intercept, 5) AS intercept FROM fit")
+oracle("rt_features", "psm_docs", FIT + " SELECT row_id, round(abs(y - (slope * x + intercept)), 4) AS rt_abs_error, round((y - (slope * x + intercept)) * (y - (slope * x + intercept)), 1) AS rt_sq_error FROM x JOIN fit USING (source)")
 oracle("core_peptide", "psm_events", f" SELECT row_id, {CORE} AS core FROM psm")
 oracle("split_proteins", "psm_events", f", n AS (SELECT row_id, {NAMES.format('concat_ws(chr(9), proteins, concat(chr(82) || chr(69) || chr(86) || chr(95), proteins), chr(32) || chr(88) || chr(59) || chr(89))')} AS names FROM psm) SELECT row_id, array_to_string(names, '|') AS names, len(names)::BIGINT AS n FROM n")
 oracle("decoy_flag_strip", "psm_events", f" SELECT row_id, regexp_matches(proteins, {DECOY}) AS is_decoy, regexp_replace(proteins, {DECOY}, '') AS stripped FROM psm")
@@ -137,7 +137,7 @@ oracle(
   SELECT row_id, CAST(k AS INT) AS k, round((factorial(CAST(n AS INT)) / factorial(CAST(k AS INT)) / factorial(CAST(n - k AS INT)))::DOUBLE * pow(0.3::DOUBLE, k) * pow(0.7::DOUBLE, n - k), 6) AS p FROM k""",
 )
 oracle("fixed_point_text", "psm_events", " SELECT row_id, printf('%.6f', score) AS score FROM psm")
-oracle("derived_ms_features", "psm_events", " SELECT row_id, round(-log10(greatest(abs(score), 1e-300)), 6) AS minus_log, repeat('0', CAST(scan % 7 AS INT)) || '1' || repeat('0', CAST(6 - scan % 7 AS INT)) AS charge FROM psm")
+oracle("derived_ms_features", "psm_events", " SELECT row_id, round(0 - log10(greatest(abs(score), 1e-300)), 6) AS minus_log, repeat('0', CAST(scan % 7 AS INT)) || '1' || repeat('0', CAST(6 - scan % 7 AS INT)) AS charge FROM psm")
 oracle(
     "lenient_numbers", "psm_events",
     """ SELECT row_id, CASE WHEN row_id % 3 = 0 THEN -1 ELSE 1 END * (scan * 10 + row_id % 10) AS n, CASE WHEN row_id % 4 = 0 THEN 0.0 ELSE scan::DOUBLE END AS x,
@@ -176,8 +176,8 @@ oracle(
 )
 oracle(
     "bayes_tree_posterior", "graph_lines",
-    CLUSTERS + """, only AS (SELECT ce.* FROM ce WHERE cluster NOT IN (SELECT cluster FROM ce JOIN ne USING (row_id) WHERE parents > 1)),
-  ev AS (SELECT cluster, size, least(greatest(1 - least(greatest(pep, 1e-12), 1 - 1e-12), 1e-12), 1 - 1e-12) AS post FROM only JOIN ent USING (row_id)),
+    CLUSTERS + """, single AS (SELECT ce.* FROM ce WHERE cluster NOT IN (SELECT cluster FROM ce JOIN ne USING (row_id) WHERE parents > 1)),
+  ev AS (SELECT cluster, size, least(greatest(1 - least(greatest(pep, 1e-12), 1 - 1e-12), 1e-12), 1 - 1e-12) AS post FROM single JOIN ent USING (row_id)),
   lr AS (SELECT cluster, size, least(greatest((post / (1 - post)) / (0.1::DOUBLE / 0.9::DOUBLE), 1e-12), 1e12) AS lr FROM ev),
   st AS (SELECT cluster, size, lr, unnest(range(size + 1)) AS k FROM lr),
   lg AS (SELECT cluster, k, sum(ln(greatest(1 + (lr - 1) * least(greatest(1 - 0.99::DOUBLE * pow(0.9::DOUBLE, k), 0), 1), 1e-300)))

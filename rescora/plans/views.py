@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +58,12 @@ def psm_emb(spark: SparkSession, sf_dir: str, planted: bool = False) -> DataFram
 
 
 def psm_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with labels as matches: the whole text, in capitals, is the sequence."""
+    """documents with labels as matches: the whole text, a-z in capitals, is the sequence."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return docs.join(labels, "doc_id").select(
         F.col("doc_id").alias("row_id"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("label"),
-        F.col("doc_id").alias("scan"), "source", F.upper(F.coalesce("text", F.lit(""))).alias("peptide"),
+        F.col("doc_id").alias("scan"), "source",
+        F.translate(F.coalesce("text", F.lit("")), ascii_lowercase, ascii_uppercase).alias("peptide"),
     )
 
 
@@ -97,8 +100,9 @@ SQL = {
   FROM lineitem""",
     "psm_emb": """
   SELECT CAST(vec_id AS BIGINT) AS row_id, CASE WHEN label < 5 THEN 1 ELSE -1 END AS label, embedding::DOUBLE[] AS features FROM embeddings""",
-    "psm_docs": """
-  SELECT d.doc_id AS row_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS label, d.doc_id AS scan, source, upper(coalesce(text, '')) AS peptide
+    "psm_docs": f"""
+  SELECT d.doc_id AS row_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS label, d.doc_id AS scan, source,
+    translate(coalesce(text, ''), '{ascii_lowercase}', '{ascii_uppercase}') AS peptide
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "graph_lines": f"""
   SELECT {_ROW} AS row_id, l_extendedprice::DOUBLE AS score, 1 / (1 + l_extendedprice::DOUBLE / 5000) AS pep,
