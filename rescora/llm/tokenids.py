@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
+import string
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,42 +39,103 @@ from .common import open_fs, write_atomically
 MAGIC, TAIL = b"ZIDS1", b"ZIDX"
 WIDTH = 2
 SAMPLE_DOCS, SAMPLE_TOKENS, DICT_BYTES, LEVEL = 512, 4096, 64 << 10, 3
-#: Words whose ids a worker remembers: two generations of so many.
-REMEMBERED = 150_000
-#: How byte-level vocabularies split text before merging, for texts of ASCII and Latin letters up to U+00FF only.
-LATIN = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
-PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+")
-#: Texts with other code points, or with digits beyond ASCII, are encoded whole.
-SPECIAL = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f¡-±´-¸º»¿-ÿ]|<\\|")
+#: Chunks whose ids a worker remembers at most, and then anew.
+REMEMBERED = 1_000_000
+#: A byte-level vocabulary splits text before each single space or line break between other characters, and merges
+#: only within what it has split. Texts that have white space in any other place, or marks of special tokens, are
+#: encoded whole.
+ODD = ["  ", "\n\n", " \n", "\n ", "<|", "\0", *map(chr, [9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 0x1680, *range(0x2000, 0x200C)])]
+ODD += map(chr, [0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF])
+MARK = "\0"
 
 
 class Encoder:
-    """Ids of texts, as bytes; remembers the ids of words, since a byte-level vocabulary merges within words only."""
+    """Ids of texts, as bytes; remembers the ids of chunks (a line break or space with the word after it)."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        if self.tokenizer.get_vocab_size() > 1 << (8 * WIDTH):
+        words = self.tokenizer.get_vocab()
+        if max(words.values()) >= 1 << (8 * WIDTH):
             raise ValueError(f"ids of {vocabulary} need more than {WIDTH} bytes")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts_: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{WIDTH}").tobytes() for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+        #: Bytes that each id stands for: one for each character of its name.
+        self.length = np.zeros(max(words.values()) + 1, np.int64)
+        for word, k in words.items():
+            self.length[k] = len(word)
+        self._renew()
+
+    def _renew(self) -> None:
+        self.code = defaultdict(count().__next__)
+        self.code[""]
+        self.arrays = (np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, f"<u{WIDTH}"))
+
+    def _encode(self, texts_: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{WIDTH}") for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
+
+    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all codes after another, and how many each has."""
+        start, size, flat = self.arrays
+        n = size[codes]
+        return flat[np.repeat(start[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+    def _learn(self, known: int) -> None:
+        """Ids of the chunks with codes from `known` on.
+
+        Punctuation after a letter is split from it, so a chunk that ends in such has the ids of the rest, then its own
+        (its key has MARK before it). The others are encoded together, and cut where each chunk's bytes end.
+        """
+        new = list(islice(reversed(self.code), len(self.code) - known))[::-1]
+        ended, halves, code = [], [], self.code
+        for k, c in enumerate(new, known):
+            if not c[-1].isalpha():
+                rest = c.rstrip(string.punctuation)
+                if len(rest) < len(c) and rest and rest[-1].isalpha():
+                    ended.append(k)
+                    halves += (code[rest], code[MARK + c[len(rest) :]])
+        new += list(islice(reversed(code), len(code) - known - len(new)))[::-1]
+        tails = [k for k, c in enumerate(new, known) if c[0] == MARK]
+        plain = np.setdiff1d(np.arange(known, len(code)), np.array(ended + tails, np.int64), assume_unique=True)
+        start, size, flat = self.arrays
+        start, size = (np.concatenate([x, np.zeros(len(code) - known, np.int64)]) for x in (start, size))
+        chunks = [new[k - known] for k in plain.tolist()]
+        ids = self._encode(["".join([c if c[0] == "\n" else " " + c for c in chunks])])[0]
+        ends = np.cumsum([(len(c) if c.isascii() else len(c.encode())) + (c[0] != "\n") for c in chunks])
+        cut = np.concatenate([[0], np.searchsorted(np.cumsum(self.length[ids]), ends) + 1]).astype(np.int64)
+        start[plain], size[plain] = cut[:-1] + len(flat), np.diff(cut)
+        flat = np.concatenate([flat, ids])
+        own = self._encode([new[k - known][1:] for k in tails])
+        for k, x in zip(tails, own, strict=True):
+            start[k], size[k] = len(flat), len(x)
+            flat = np.concatenate([flat, x])
+        self.arrays = start, size, flat
+        if ended:
+            ids, n = self._ids(np.array(halves, np.int64))
+            n = n.reshape(-1, 2).sum(1)
+            start[ended], size[ended] = np.cumsum(n) - n + len(flat), n
+            self.arrays = start, size, np.concatenate([flat, ids])
 
     def __call__(self, texts_: list[str]) -> Iterator[bytes]:
-        pieces = [None if SPECIAL.search(t) else PIECES.findall(t) for t in texts_]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        missing = set().union(*[p for p in pieces if p]) - self.young.keys()
-        known = {w: self.old[w] for w in missing if w in self.old}
-        self.young |= known
-        missing = sorted(missing - known.keys())
-        self.young |= zip(missing, self._encode(missing), strict=True)
-        whole = iter(self._encode([t for t, p in zip(texts_, pieces, strict=True) if p is None]))
-        for p in pieces:
-            yield next(whole) if p is None else b"".join([self.young[w] for w in p])
+        odd = [not t or t[0].isspace() or t[-1].isspace() or any(x in t for x in ODD) for t in texts_]
+        whole = iter(self._encode([t for t, o in zip(texts_, odd, strict=True) if o]))
+        # each text after a line break of its own, whose id is dropped again
+        parts = [("\n" + t).replace("\n", " \n").split(" ") for t, o in zip(texts_, odd, strict=True) if not o]
+        if len(self.code) > REMEMBERED:
+            self._renew()
+        known = len(self.code)
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(parts)), np.int64)
+        if len(self.code) > known:
+            self._learn(known)
+        ids, n = self._ids(codes)
+        ends = iter(np.cumsum(n)[np.cumsum([len(p) for p in parts], dtype=np.int64) - 1].tolist() if parts else ())
+        at = 0
+        for o in odd:
+            if o:
+                yield next(whole).tobytes()
+            else:
+                z = next(ends)
+                yield ids[at + 1 : z].tobytes()
+                at = z
 
 
 _encoders: dict[str, Encoder] = {}
@@ -88,8 +151,8 @@ def encoder(vocabulary: str) -> Encoder:
 def _ids(vocabulary: str, end_id: int, column: pa.Array) -> Iterator[bytes]:
     end = int(end_id).to_bytes(WIDTH, "little")
     rows = column.to_pylist()
-    for k in range(0, len(rows), 512):
-        for ids in encoder(vocabulary)([t or "" for t in rows[k : k + 512]]):
+    for k in range(0, len(rows), 2048):
+        for ids in encoder(vocabulary)([t or "" for t in rows[k : k + 2048]]):
             yield ids + end
 
 
