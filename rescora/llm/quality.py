@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
 A text is a vector of pair counts over 64 classes of bytes (lower-case letters, one class of capitals, digits, white
-space, each punctuation mark, bytes beyond ASCII), as square roots of shares times inverse document frequency; a
-truncated singular value decomposition of a sample of labelled rows gives the latent space. Every document is compared
+space, each punctuation mark, bytes beyond ASCII) and of words that repeat those before them, as square roots of shares
+times inverse document frequency; a truncated singular value decomposition of a sample of labelled rows gives the latent space. Every document is compared
 with every labelled vector by exact cosine, in blocks, and its K nearest vote with similarity ** SHARPNESS as weight.
 
 Bounds: at most SAMPLE rows of each label, the first by md5 of doc_id, are fitted and broadcast; RANK numbers each.
@@ -13,6 +13,8 @@ labels 0.5. Null labels are ignored; repeated equal labels count once. Extra col
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import bounded_batches
 from .common import texts
 
-SAMPLE, RANK, K, SHARPNESS, BLOCK = 2048, 48, 24, 8, 256
+SAMPLE, RANK, K, SHARPNESS, BLOCK = 1024, 48, 24, 8, 256
 
 
 def _classes() -> np.ndarray:
@@ -42,16 +44,21 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
-WIDTH = 64 * 64
+PAIRS = 64 * 64
+WIDTH = PAIRS + 2
 
 
 def shares(text: bytes) -> np.ndarray:
-    """Square roots of the shares of class pairs in a whole text."""
+    """Square roots of the shares of class pairs in a whole text, and of words that repeat the last, or last but one."""
+    out = np.zeros(WIDTH, np.float32)
     c = CLASSES[np.frombuffer(text, np.uint8)]
-    if len(c) < 2:
-        return np.zeros(WIDTH, np.float32)
-    n = np.bincount(c[:-1] * 64 + c[1:], minlength=WIDTH)
-    return np.sqrt(n / (len(c) - 1)).astype(np.float32)
+    if len(c) > 1:
+        out[:PAIRS] = np.sqrt(np.bincount(c[:-1] * 64 + c[1:], minlength=PAIRS) / (len(c) - 1))
+    words = text.split()
+    for k in (1, 2):
+        if len(words) > k:
+            out[PAIRS + k - 1] = np.sqrt(sum(map(eq, words, islice(words, k, None))) / (len(words) - k))
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
