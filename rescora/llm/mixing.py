@@ -57,8 +57,10 @@ def due(share: Column, knots: Knots) -> Column:
 
 def prepared(docs: DataFrame) -> DataFrame:
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # a key that no null is in, so that windows and joins share one partitioning
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     return docs.withColumns(
-        {"size": word_count(F.col("text")), "_h": h, "_cell": F.conv(F.substring(h, 1, CELL_DIGITS), 16, 10).cast("int")}
+        {"_key": key, "size": word_count(F.col("text")), "_h": h, "_cell": F.conv(F.substring(h, 1, CELL_DIGITS), 16, 10).cast("int")}
     )
 
 
@@ -93,7 +95,7 @@ def _placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.withColumnRenamed("source", "_source")
     rows = rows.join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rows = running_sum(
-        rows, {"_end": F.col("size")}, ["source"], "_cell", [F.col("_h"), F.col("doc_id"), F.col("size")]
+        rows, {"_end": F.col("size")}, ["_key"], "_cell", [F.col("_h"), F.col("doc_id"), F.col("size")]
     )
     full = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("int")
     return rows.withColumn("_full", full).withColumn("_rest", F.col("target") - F.col("_full") * F.col("source_size"))
@@ -119,7 +121,7 @@ def mix(
 
     The plan is made on a written table without the texts; only the small tables that come of it join the documents.
     """
-    compact = materialise(prepared(docs).select("doc_id", "source", "size", "_h", "_cell"), "mix-rows")
+    compact = materialise(prepared(docs).select("doc_id", "source", "_key", "size", "_h", "_cell"), "mix-rows")
     targets = materialise(source_targets(compact, schedules, most_repeats), "mix-targets")
     fills = materialise(_fills(materialise(_placed(compact, targets), "mix-placed")), "mix-fills")
     bare = set(docs.columns) == {"doc_id", "source", "text"}
@@ -139,7 +141,7 @@ def mix(
     copies = F.when(F.col("repeats") > 0, F.sequence(F.lit(0), F.col("repeats") - 1)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("positions", F.transform(copies, place))
     rows = rows.withColumn("taken", F.col("size") * F.col("repeats"))
-    return rows.drop("_h", "_cell", "_class", "_end", "_full", "_rest", "_s", "_fill")
+    return rows.drop("_key", "_h", "_cell", "_class", "_end", "_full", "_rest", "_s", "_fill")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
