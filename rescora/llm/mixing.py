@@ -85,7 +85,8 @@ def source_targets(
     left = supply - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
     weight = F.sum("_w").over(all_rows) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
     per = per.withColumn("_level", F.try_divide(left, weight))
-    level = F.min(F.when(F.col("_level") <= F.col("_full"), F.struct("_full", "_level"))).over(all_rows)["_level"]
+    per = per.withColumn("_at", F.row_number().over(order))
+    level = F.min(F.when(F.col("_level") <= F.col("_full"), F.struct("_at", "_level"))).over(all_rows)["_level"]
     target = F.least(F.coalesce(level, F.lit(0.0)) * F.col("_w"), F.col("_cap"))
     return per.select("source", "source_size", F.when(F.col("_w") > 0, target).otherwise(0.0).alias("target"), "_class")
 

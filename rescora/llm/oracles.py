@@ -15,12 +15,12 @@ WITH d AS (
   SELECT *, CASE class WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS wt,
          CAST(source_size * 3 AS DOUBLE) AS cap FROM c
 ), l AS (
-  SELECT *, cap / wt AS fill,
+  SELECT *, cap / wt AS fill, row_number() OVER (ORDER BY cap / wt, source NULLS LAST) AS place,
     (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(wt) OVER () - coalesce(sum(wt) OVER (ORDER BY cap / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
   FROM w
 ), t AS (
-  SELECT *, least((SELECT level FROM l WHERE level <= fill ORDER BY fill, level LIMIT 1) * wt, cap) AS target FROM l
+  SELECT *, least((SELECT level FROM l WHERE level <= fill ORDER BY place LIMIT 1) * wt, cap) AS target FROM l
 ), p AS (
   SELECT d.*, t.source_size, t.target, t.class,
          CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e,
