@@ -17,7 +17,7 @@ from ..functions.scalars import binomial_prior, clamp, emission, is_decoy_protei
 from ..session import materialise
 from .components import connected_components
 from .proteins import protein_edges
-from .targetdecoy import bayes_qvalues
+from .targetdecoy import ONE_TASK, bayes_qvalues
 
 
 #: Edges of the graph in one task, but for a connected part that has more.
@@ -81,7 +81,7 @@ def graph_diagnostics(entries: DataFrame, named: DataFrame | None = None) -> Dat
 
 def _cluster_components(edges: DataFrame) -> DataFrame:
     first = edges.groupBy("row_id").agg(F.min("cluster").alias("a"))
-    found = connected_components(edges.join(first, "row_id").select("a", F.col("cluster").alias("b")))
+    found = connected_components(edges.join(first, "row_id").select("a", F.col("cluster").alias("b")), one_task=ONE_TASK)
     every = edges.select("cluster").distinct()
     return every.join(found, every.cluster == found.node, "left").select("cluster", F.coalesce("component", "cluster").alias("component"))
 

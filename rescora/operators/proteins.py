@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamp, is_decoy_protein, pairing_key, split_proteins
 from ..session import materialise
 from .components import connected_components
-from .targetdecoy import TEST_FDR, qvalues, yield_at
+from .targetdecoy import ONE_TASK, TEST_FDR, qvalues, yield_at
 
 
 def protein_edges(entries: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def protein_components(entries: DataFrame) -> DataFrame:
     names = F.array_distinct(split_proteins(F.col("proteins")))
     rows = entries.select(names.alias("p")).where(F.size("p") > 1)
     links = rows.select(F.get("p", F.lit(0)).alias("a"), F.explode(F.slice("p", 2, 1 << 30)).alias("b")).distinct()
-    found = connected_components(links)
+    found = connected_components(links, one_task=ONE_TASK)
     every = protein_edges(entries).select("protein").distinct()
     return every.join(found, every.protein == found.node, "left").select("protein", F.coalesce("component", "protein").alias("component"))
 

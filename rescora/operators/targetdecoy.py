@@ -96,6 +96,19 @@ def yield_at(fdr: float = TEST_FDR, q: str = "q") -> Column:
     return F.count_if((F.col("label") > 0) & (F.col(q) < fdr))
 
 
+def yields_of(df: DataFrame, keys: Sequence[str], pi0: Column | float, fdr: float = TEST_FDR, score: str = "score") -> DataFrame:
+    """keys and n: how many targets of each group are accepted, without q-values.
+
+    A rank's q-value is under the limit if a rate at it or a worse rank is, so all targets down to the last such rank
+    are accepted, and one ordering is enough.
+    """
+    down = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col("row_id")).rowsBetween(Window.unboundedPreceding, 0)
+    t, d = (F.sum(c.cast("long")).over(down) for c in (F.col("label") > 0, F.col("label") < 0))
+    rows = df.withColumns({"_t": t, "_d": d, "_pi0": F.lit(float(pi0)) if isinstance(pi0, (int, float)) else pi0})
+    passed = F.when(_fdr(F.col("_t"), F.col("_d"), F.col("_pi0")) < fdr, F.col("_t"))
+    return rows.groupBy(*keys).agg(F.coalesce(F.max(passed), F.lit(0)).alias("n"))
+
+
 def yield_sweep(df: DataFrame, cuts: Sequence[float], q: str = "q") -> DataFrame:
     """cut and targets under it, all cuts in one pass."""
     counts = df.agg(*[yield_at(c, q).alias(f"y{k}") for k, c in enumerate(cuts)])
@@ -110,7 +123,7 @@ def pool(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n: list[int] = []
     for x, y in zip(values.tolist(), weights.tolist(), strict=True):
         k = 1
-        while v and v[-1] > x:
+        while v and v[-1] >= x:
             total = w[-1] + y
             x, y, k = (v[-1] * w[-1] + x * y) / total, total, k + n[-1]
             v.pop(), w.pop(), n.pop()

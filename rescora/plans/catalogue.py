@@ -102,7 +102,7 @@ def engine_support(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ensemble_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = rollup.join_engines(V.psm_lines(spark, sf), sorted(WIDTHS), WIDTHS)
-    return rows.select("row_id", F.array_join(F.transform("features", lambda x: S.fixed(x, 2)), ",").alias("features"))
+    return rows.select("row_id", *[F.get("features", F.lit(k)).alias(f"f{k}") for k in range(3 + 12 + 2)])
 
 
 @query
@@ -350,6 +350,12 @@ def svm_rescore(spark: SparkSession, sf: str) -> DataFrame:
     return _learned(spark, sf, Params())
 
 
+@query
+def svm_rescore_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = learn.rescored(V.psm_lines(spark, sf), Params())
+    return td.qvalues(rows.select("row_id", "label", "score", "fold")).select("row_id", "label", "fold", "score", "q")
+
+
 @query
 def svm_rescore_distributed(spark: SparkSession, sf: str) -> DataFrame:
     rows = learn.rescored_distributed(V.psm_lines(spark, sf), Params(max_iter=2))

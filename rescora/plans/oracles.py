@@ -62,7 +62,7 @@ BLOCKS = ", ".join(f"CASE WHEN source = '{e}' THEN features ELSE [0.0, 0.0, 0.0,
 oracle(
     "ensemble_features", "psm_lines",
     SUPPORT + f""", f AS (SELECT row_id, list_concat([{', '.join(f"(source = '{e}')::INT::DOUBLE" for e in 'ANR')}], {BLOCKS}, [scan_engines::DOUBLE, candidate_engines::DOUBLE]) AS x FROM e)
-  SELECT row_id, array_to_string(list_transform(x, lambda v: printf('%.2f', v)), ',') AS features FROM f""",
+  SELECT row_id, {', '.join(f'x[{k + 1}] AS f{k}' for k in range(17))} FROM f""",
 )
 oracle("join_pool_yield_per_source", "psm_events", _q("psm") + f" SELECT source, {YIELD} AS accepted FROM q GROUP BY source")
 oracle(

@@ -1,0 +1,91 @@
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from rescora.operators import targetdecoy as td
+from rescora.operators.learn import rank_qvalues
+
+
+def brute(rows, pi0):
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    fdr, t, d = [], 0, 0
+    for r in order:
+        t, d = t + (r[1] > 0), d + (r[1] < 0)
+        fdr.append(min(1.0, pi0 * d / t) if t else 1.0)
+    return {r[0]: min([1.0, *fdr[k:]]) for k, r in enumerate(order)}
+
+
+def made(n, seed=0, ties=50):
+    rng = random.Random(seed)
+    return [(i, rng.choice((-1, 1)), float(rng.randrange(ties))) for i in range(n)]
+
+
+@pytest.mark.parametrize("one_task", [10**6, 0])
+def test_qvalues_equal_a_sequential_walk(spark, one_task):
+    rows = made(400)
+    df = spark.createDataFrame(rows, "row_id long, label int, score double")
+    t = sum(r[1] > 0 for r in rows)
+    want = brute(rows, min(1.0, (len(rows) - t) / t))
+    got = {r["row_id"]: r["q"] for r in td.qvalues(df, one_task=one_task).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_two_passes_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(td, "RANGE_ROWS", 50)
+    df = spark.createDataFrame(made(1000, 3), "row_id long, label int, score double")
+    a = {r["row_id"]: r["q"] for r in td.qvalues(df, pi0=0.7).collect()}
+    b = {r["row_id"]: r["q"] for r in td.qvalues(df, pi0=0.7, one_task=0).collect()}
+    assert a == b
+
+
+@pytest.mark.parametrize("labels,pi0", [([1, 1, 1], 0.0), ([-1, -1], 1.0), ([1, 1, 1, -1], 1 / 3)])
+def test_pi0(spark, labels, pi0):
+    df = spark.createDataFrame([(i, x, float(i)) for i, x in enumerate(labels)], "row_id long, label int, score double")
+    assert td.label_counts(df).first()["pi0"] == pytest.approx(pi0)
+    q = [r["q"] for r in td.qvalues(df).collect()]
+    if pi0 == 0:
+        assert set(q) == {0.0}
+    if -1 in labels and 1 not in labels:
+        assert set(q) == {1.0}
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "row_id long, label int, score double")
+    assert td.qvalues(df).count() == 0
+    assert td.peps(df).count() == 0
+
+
+def test_peps_equal_pooling_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(td, "RANGE_ROWS", 40)
+    rows = made(300, 5, 1000)
+    df = spark.createDataFrame(rows, "row_id long, label int, score double")
+    order = sorted(rows, key=lambda r: (-r[2], r[0]))
+    y = np.array([r[1] < 0 for r in order], float)
+    fit = [max(min(y[i : j + 1].mean() for j in range(k, len(y))) for i in range(k + 1)) for k in range(len(y))]
+    want = {r[0]: min(1.0, 2 * 0.5 * f) for r, f in zip(order, fit, strict=True)}
+    got = {r["row_id"]: r["pep"] for r in td.peps(df, pi0=0.5).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_peps_by_key(spark):
+    rows = [(i, x, s, "ab"[i % 2]) for i, x, s in made(100, 7)]
+    df = spark.createDataFrame(rows, "row_id long, label int, score double, source string")
+    got = td.peps(df, ["source"]).collect()
+    assert len(got) == 100 and all(0 <= r["pep"] <= 1 for r in got)
+
+
+@given(st.lists(st.tuples(st.sampled_from([-1, 1]), st.integers(0, 9)), min_size=1, max_size=40))
+def test_kernel_ranks_as_the_walk(rows):
+    rows = [(i, a, float(b)) for i, (a, b) in enumerate(rows)]
+    got = rank_qvalues(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), 0.8)
+    want = brute(rows, 0.8)
+    assert got == pytest.approx([want[i] for i in range(len(rows))])
+
+
+@given(st.lists(st.floats(0, 1), min_size=1, max_size=30))
+def test_pooled_levels_rise(values):
+    v, w, n = td.pool(np.array(values), np.ones(len(values)))
+    assert (np.diff(v) > 0).all() and n.sum() == len(values) == w.sum()
