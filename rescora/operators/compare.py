@@ -36,6 +36,11 @@ def differences(rows: DataFrame) -> DataFrame:
     )
 
 
+def lower_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and the middle of the repeats; the lower of the two middle ones for an even number."""
+    return df.groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}`)").alias(value))
+
+
 def totals(files: DataFrame) -> DataFrame:
     """Sums of a run, null unless every file succeeded; the largest memory of those that have one."""
     every = F.bool_and("ok")

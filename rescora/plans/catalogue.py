@@ -439,3 +439,29 @@ def unmatched_inputs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def duplicate_inputs(spark: SparkSession, sf: str) -> DataFrame:
     return compare.duplicates(V.psm_lines(spark, sf).select("scan", "peptide").withColumn("input", F.concat_ws("-", F.col("scan").cast("string"), "peptide")), "input")
+
+
+@query
+def median_of_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return compare.lower_median(V.psm_events(spark, sf).select("scan", "score"), ["scan"], "score")
+
+
+@query
+def results_class(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.results import entrapment_class
+
+    foreign = F.when(F.col("scan") % 4 == 0, F.lit("ENT_X1")).otherwise(F.col("proteins"))
+    rows = V.psm_events(spark, sf).select(F.col("score").alias("q-value"), F.concat_ws(";", foreign, F.when(F.col("scan") % 3 == 0, F.lit("ENT_Y2"))).alias("proteinIds"))
+    return entrapment_class(rows).groupBy("pure", "mixed").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def parsed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """events written as ragged match lines and parsed again."""
+    from ..sources.matches import Layout, parsed
+
+    rows = V.psm_events(spark, sf)
+    line = F.concat_ws("\t", F.col("row_id").cast("string"), F.col("label").cast("string"), F.concat(F.lit("s"), F.col("scan").cast("string")), F.lit("1.0"), F.lit("bad"), (F.col("scan") % 50).cast("string"), "peptide", "proteins", F.when(F.col("scan") % 2 == 0, "Q2"))
+    layout = Layout(("SpecId", "Label", "ScanNr", "ExpMass", "f1", "f2", "Peptide", "Proteins"))
+    out = parsed(rows.select(F.lit("events").alias("source"), line.alias("value")), layout)
+    return out.select("spec_id", "label", "scan", "peptide", "proteins", F.get("features", F.lit(0)).alias("f1"), F.get("features", F.lit(1)).alias("f2"))

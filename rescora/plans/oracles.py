@@ -217,3 +217,12 @@ oracle(
   UNION ALL SELECT * FROM (SELECT input, 'baseline' AS only_in FROM y WHERE input NOT IN (SELECT input FROM x) ORDER BY input LIMIT 3)""",
 )
 oracle("duplicate_inputs", "psm_lines", " SELECT scan || '-' || peptide AS input, count(*) AS count FROM psm GROUP BY 1 HAVING count(*) > 1")
+oracle("median_of_repeats", "psm_events", " SELECT scan, quantile_disc(score, 0.5) AS score FROM psm GROUP BY scan")
+oracle(
+    "results_class", "psm_events",
+    """, c AS (SELECT scan % 4 = 0 AS a, scan % 3 = 0 AS b FROM psm), d AS (SELECT a AS pure, b AND NOT a AS mixed FROM c) SELECT pure, mixed, count(*) AS rows FROM d GROUP BY 1, 2""",
+)
+oracle(
+    "parsed_lines", "psm_events",
+    " SELECT row_id::VARCHAR AS spec_id, label, scan, peptide, proteins || CASE WHEN scan % 2 = 0 THEN chr(9) || 'Q2' ELSE '' END AS proteins, 0.0::DOUBLE AS f1, (scan % 50)::DOUBLE AS f2 FROM psm",
+)

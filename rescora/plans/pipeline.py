@@ -47,7 +47,9 @@ def statistics(df: DataFrame) -> DataFrame:
     return q.join(pep, F.col("row_id") == F.col("_row")).drop("_row")
 
 
-def rescore(df: DataFrame, p: Params | None = None, infer_proteins: bool = False) -> Run:
+def rescore(
+    df: DataFrame, p: Params | None = None, infer_proteins: bool = False, bayes_params: bayes.BayesParams | None = None
+) -> Run:
     """Learn a score on a canonical table and carry it to matches, peptides and proteins.
 
     Pools of several runs are one table; in an ensemble the reports of one candidate share a fold, only the best of
@@ -79,7 +81,7 @@ def rescore(df: DataFrame, p: Params | None = None, infer_proteins: bool = False
         entries = peptides.select("row_id", "score", "pep", "proteins")
         groups = proteins.infer_picked(entries)
         if p.protein_inference == "bayesian":
-            groups = bayes.infer_bayes(entries).withColumn("picked", F.lit(True))
+            groups = bayes.infer_bayes(entries, bayes_params).withColumn("picked", F.lit(True))
     return Run(matches, peptides, groups, choices)
 
 

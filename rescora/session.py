@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches handed to Python hold at most so many bytes and rows, so that a run of very long texts stays small.
-ARROW_BYTES, ARROW_ROWS = 8 << 20, 4096
+ARROW_BYTES, ARROW_ROWS = 4 << 20, 4096
 
 _own_dirs: dict[str, str] = {}
 

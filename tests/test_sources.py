@@ -183,3 +183,38 @@ def test_peptide_rollup_takes_the_first_of_ties(spark):
     df = spark.createDataFrame([(2, 1, "K.A.R", 5.0), (1, 1, "K.A.K", 5.0), (3, -1, "K.A.R", 9.0)], "row_id long, label int, peptide string, score double")
     got = {(r["label"], r["core"]): r["row_id"] for r in rollup.best_psm_of_peptide(df).collect()}
     assert got == {(1, "A"): 1, (-1, "A"): 3}
+
+
+def test_command_line(spark, tmp_path):
+    from rescora.__main__ import main
+
+    df = table(spark)
+    matches.write_matches(df.withColumn("source", F.lit("x")).coalesce(1), ["f1", "f2"], str(tmp_path / "in"))
+    path = str(tmp_path / "in" / "part*")
+    assert main([path, "-m", str(tmp_path / "psms"), "-l", str(tmp_path / "prot"), "--feature-report", str(tmp_path / "rep"), "--fast"]) == 0
+    text = "".join(p.read_text() for p in sorted((tmp_path / "rep").glob("part*")))
+    assert len([x for x in text.splitlines() if not x.startswith("#")]) == 3
+    assert (tmp_path / "psms").exists() and (tmp_path / "prot").exists()
+    assert main([path, "--join", "--ensemble"]) == 2 and main([path, path]) == 2 and main([path, "--model", "mlp", "--select-c"]) == 2
+    (tmp_path / "m.toml").write_text(GOOD)
+    assert main(["manifests", str(tmp_path / "m.toml")]) == 0
+    (tmp_path / "m.toml").write_text("version = 2")
+    assert main(["manifests", str(tmp_path / "m.toml")]) == 1
+
+
+def test_dataset_runs_are_recorded_and_compared(spark, tmp_path):
+    from rescora.plans import benchmark
+
+    matches.write_matches(table(spark).coalesce(1), ["f1", "f2"], str(tmp_path / "in"))
+    next((tmp_path / "in").glob("part*.txt")).rename(tmp_path / "good.pin")
+    (tmp_path / "bad.pin").write_text("no\theader\n")
+    data = manifest.parse(GOOD)["d-1"]
+    files, record = benchmark.run_dataset(spark, data, Params(max_iter=2), {"DATA_DIR": str(tmp_path)})
+    assert record["files_attempted"] == 2 and record["files_successful"] == 1 and record["psms_q_lt_0_01"] is None
+    benchmark.write_run(files, record, str(tmp_path / "out"))
+    path = str(tmp_path / "out" / "result.json")
+    row = benchmark.compare_runs(spark, path, path).first()
+    assert row["ties"] == 1 and row["wins"] == row["losses"] == 0
+    with pytest.raises(Exception):
+        main = __import__("rescora.__main__", fromlist=["main"]).main
+        main(["compare", path, path, str(tmp_path / "out" / "files.tsv")])
