@@ -4,27 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running_sum
+
+#: Hexadecimal digits of a draw that cut rows into cells.
+CELL_DIGITS = 3
+
 
 def drawn(seed: int, purpose: str, *key: Column) -> Column:
     """The draw of a key: its md5 in hexadecimal."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(purpose), *[k.cast("string") for k in key]))
 
 
+def draw_rank(df: DataFrame, draw: Column, keys: Sequence[str] = (), tie: Sequence[str] = ("row_id",), out: str = "rank") -> DataFrame:
+    """Append the rank of each row's draw within keys (without nulls), from 1, then by `tie`.
+
+    Draws are cut into cells by their first digits, so no task has all rows: ranks in a cell, plus what is before it.
+    """
+    cell = F.conv(F.substring("_draw", 1, CELL_DIGITS), 16, 10).cast("int")
+    df = df.withColumn("_draw", draw).withColumn("_cell", cell)
+    order = [F.col("_draw"), *[F.col(t) for t in tie]]
+    return running_sum(df, {out: F.lit(1).cast("long")}, keys, "_cell", order).drop("_draw", "_cell")
+
+
 def assign_folds(df: DataFrame, k: int = 3, seed: int = 1, out: str = "fold") -> DataFrame:
     """Folds 0 to k - 1 whose sizes differ by one at most."""
-    order = Window.orderBy(drawn(seed, "fold", F.col("row_id")), "row_id")
-    return df.withColumn(out, ((F.row_number().over(order) - 1) % k).cast("int"))
+    rows = draw_rank(df, drawn(seed, "fold", F.col("row_id")), out="_r")
+    return rows.withColumn(out, ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
 def assign_grouped_folds(df: DataFrame, keys: Sequence[str], k: int = 3, seed: int = 1, out: str = "fold") -> DataFrame:
     """Folds over the distinct keys; rows of one key are together."""
     groups = df.select(*keys).distinct()
-    order = Window.orderBy(drawn(seed, "fold", *[F.col(c) for c in keys]), *keys)
-    groups = groups.withColumn(out, ((F.row_number().over(order) - 1) % k).cast("int"))
-    named = groups.select(*[F.col(c).alias(f"_{c}") for c in keys], out)
+    groups = draw_rank(groups, drawn(seed, "fold", *[F.col(c) for c in keys]), tie=keys, out="_r")
+    named = groups.select(*[F.col(c).alias(f"_{c}") for c in keys], ((F.col("_r") - 1) % k).cast("int").alias(out))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
     return df.join(named, same).drop(*[f"_{c}" for c in keys])
 
@@ -34,17 +49,14 @@ def training_cap(df: DataFrame, cap: int, seed: int = 1) -> DataFrame:
     if cap < 2:
         raise ValueError("a cap below 2 leaves a class empty")
     half = cap // 2
-    order = Window.partitionBy("label").orderBy(drawn(seed, "cap", F.col("row_id")), "row_id")
-    pos = F.least(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).over(Window.partitionBy()), F.lit(half))
-    rows = df.withColumns({"_r": F.row_number().over(order), "_pos": pos})
-    kept = F.when(F.col("label") > 0, F.col("_r") <= half).otherwise(F.col("_r") <= F.lit(cap) - F.col("_pos"))
-    return rows.where(kept).drop("_r", "_pos")
+    draw = [drawn(seed, "cap", F.col("row_id")), F.col("row_id")]
+    pos = df.where("label > 0").orderBy(*draw).limit(half)
+    neg = df.where("label <= 0").orderBy(*draw).limit(cap - min(half, df.where("label > 0").limit(half).count()))
+    return pos.unionByName(neg)
 
 
 def permute(df: DataFrame, column: str, within: Sequence[str] = ("fold",), seed: int = 1, out: str = "permuted") -> DataFrame:
-    """Append the column as shuffled over the rows of each group."""
-    here = Window.partitionBy(*within).orderBy("row_id")
-    there = Window.partitionBy(*within).orderBy(drawn(seed, column, F.col("row_id")), "row_id")
-    a = df.withColumn("_k", F.row_number().over(here))
-    b = df.select(*within, F.col(column).alias(out), F.row_number().over(there).alias("_k"))
-    return a.join(b, [*within, "_k"]).drop("_k")
+    """Append the column as shuffled over the rows of each group: one draw's order is laid beside another's."""
+    a = draw_rank(df, drawn(seed, f"{column}:to", F.col("row_id")), within, out="_k")
+    b = draw_rank(df.select(*within, "row_id", column), drawn(seed, column, F.col("row_id")), within, out="_k")
+    return a.join(b.select(*within, F.col(column).alias(out), "_k"), [*within, "_k"]).drop("_k")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .ordering import range_bounds, range_bucket, running_sum
+from .ordering import MOST_BUCKETS, range_bounds, range_bucket, running_sum
 
 ONE_TASK = 1_000_000
 #: Rows of a score range in the two-pass form.
@@ -41,6 +41,38 @@ def _fdr(targets: Column, decoys: Column, pi0: Column) -> Column:
     return F.when(targets > 0, F.least(pi0 * decoys / targets, F.lit(1.0))).otherwise(F.lit(1.0))
 
 
+def _in_ranges(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """A written table with _g, a hash of the keys, and _b, the score range within them, worse scores later."""
+    df = materialise(df.withColumn("_g", F.xxhash64(*keys) if keys else F.lit(0).cast("long")), "scores")
+    n = min(MOST_BUCKETS, max(2, df.count() // RANGE_ROWS))
+    cuts = df.groupBy("_g").agg(F.percentile_approx(score, [k / n for k in range(1, n)], n * 20).alias("_cuts"))
+    df = df.join(cuts.withColumnRenamed("_g", "_kg"), F.col("_g") == F.col("_kg"))
+    above = F.size(F.filter("_cuts", lambda c: c < F.col(score)))
+    return df.withColumn("_b", -F.coalesce(above, F.lit(0))).drop("_cuts", "_kg")
+
+
+def _counted(df: DataFrame, keys: Sequence[str], score: str, one_task: int) -> tuple[DataFrame, bool]:
+    """Append _t and _d, targets and decoys down to each rank; whether by score ranges."""
+    best = [F.col(score).desc(), F.col("row_id").asc()]
+    ones = {"_t": (F.col("label") > 0).cast("long"), "_d": (F.col("label") < 0).cast("long")}
+    if df.count() <= one_task:
+        down = Window.partitionBy(*keys).orderBy(*best).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({k: F.sum(v).over(down) for k, v in ones.items()}), False
+    return running_sum(_in_ranges(df, keys, score), ones, ["_g"], "_b", best), True
+
+
+def _with_pi0(df: DataFrame, keys: Sequence[str], pi0: Column | float | None) -> DataFrame:
+    if isinstance(pi0, (int, float)):
+        return df.withColumn("_pi0", F.lit(float(pi0)))
+    if pi0 is not None:
+        return df.withColumn("_pi0", pi0)
+    own = df.groupBy(*keys).agg(pi0_of(F.col("label")).alias("_pi0"))
+    if not keys:
+        return df.crossJoin(F.broadcast(own))
+    own = own.select("_pi0", *[F.col(k).alias(f"_p_{k}") for k in keys])
+    return df.join(own, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys]).drop(*[f"_p_{k}" for k in keys])
+
+
 def qvalues(
     df: DataFrame,
     keys: Sequence[str] = (),
@@ -54,36 +86,18 @@ def qvalues(
     Over falling score, the false discovery rate at a rank is pi0 * decoys / targets so far (1 before any target, at
     most 1); q is its minimum from the worst rank up. pi0: a number, a column equal within keys, or None to estimate.
     """
-    own = isinstance(pi0, (int, float))
-    if own:
-        df = df.withColumn("_pi0", F.lit(float(pi0)))
-    elif pi0 is not None:
-        df = df.withColumn("_pi0", pi0)
-    elif keys:
-        group = Window.partitionBy(*keys)
-        targets, decoys = (F.sum(c.cast("long")).over(group) for c in (F.col("label") > 0, F.col("label") < 0))
-        df = df.withColumn("_pi0", _share(targets, decoys))
-    else:
-        df = df.crossJoin(F.broadcast(df.agg(pi0_of(F.col("label")).alias("_pi0"))))
-    df = df.withColumns({"_t": (F.col("label") > 0).cast("long"), "_d": (F.col("label") < 0).cast("long")})
-    best, worst = [F.col(score).desc(), F.col("row_id").asc()], [F.col(score).asc(), F.col("row_id").desc()]
-    upto = (Window.unboundedPreceding, 0)
-    if keys or df.count() <= one_task:
-        down = Window.partitionBy(*keys).orderBy(*best).rowsBetween(*upto)
-        up = Window.partitionBy(*keys).orderBy(*worst).rowsBetween(*upto)
-        df = df.withColumn("_f", _fdr(F.sum("_t").over(down), F.sum("_d").over(down), F.col("_pi0")))
-        return df.withColumn(out, F.min("_f").over(up)).drop("_f", "_t", "_d", "_pi0")
-    df = materialise(df, "scores")
-    bounds = range_bounds(df, score, max(2, df.count() // RANGE_ROWS))
-    df = df.withColumn("_b", -range_bucket(F.col(score), bounds))
-    df = running_sum(df, {"_tc": F.col("_t"), "_dc": F.col("_d")}, [], "_b", best)
-    df = df.withColumn("_f", _fdr(F.col("_tc"), F.col("_dc"), F.col("_pi0")))
-    later = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    low = df.groupBy("_b").agg(F.min("_f").alias("_m")).select(F.col("_b").alias("_kb"), F.min("_m").over(later).alias("_later"))
-    df = df.join(low, F.col("_b") == F.col("_kb"))
-    up = Window.partitionBy("_b").orderBy(*worst).rowsBetween(*upto)
-    df = df.withColumn(out, F.least(F.min("_f").over(up), F.col("_later")))
-    return df.drop("_f", "_t", "_d", "_pi0", "_b", "_tc", "_dc", "_kb", "_later")
+    df, ranges = _counted(_with_pi0(df, keys, pi0), keys, score, one_task)
+    df = df.withColumn("_f", _fdr(F.col("_t"), F.col("_d"), F.col("_pi0")))
+    cells = ["_g", "_b"] if ranges else list(keys)
+    up = Window.partitionBy(*cells).orderBy(F.col(score).asc(), F.col("row_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    low = F.min("_f").over(up)
+    if not ranges:
+        return df.withColumn(out, low).drop("_f", "_t", "_d", "_pi0")
+    later = Window.partitionBy("_g").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    worse = df.groupBy("_g", "_b").agg(F.min("_f").alias("_m"))
+    worse = worse.select(F.col("_g").alias("_kg"), F.col("_b").alias("_kb"), F.min("_m").over(later).alias("_later"))
+    df = df.join(worse, (F.col("_g") == F.col("_kg")) & (F.col("_b") == F.col("_kb")))
+    return df.withColumn(out, F.least(low, F.col("_later"))).drop("_f", "_t", "_d", "_pi0", "_g", "_b", "_kg", "_kb", "_later")
 
 
 def accepted(df: DataFrame, fdr: float = TEST_FDR, q: str = "q") -> DataFrame:
@@ -96,15 +110,15 @@ def yield_at(fdr: float = TEST_FDR, q: str = "q") -> Column:
     return F.count_if((F.col("label") > 0) & (F.col(q) < fdr))
 
 
-def yields_of(df: DataFrame, keys: Sequence[str], pi0: Column | float, fdr: float = TEST_FDR, score: str = "score") -> DataFrame:
+def yields_of(
+    df: DataFrame, keys: Sequence[str], pi0: Column | float | None, fdr: float = TEST_FDR, score: str = "score", one_task: int = ONE_TASK
+) -> DataFrame:
     """keys and n: how many targets of each group are accepted, without q-values.
 
     A rank's q-value is under the limit if a rate at it or a worse rank is, so all targets down to the last such rank
     are accepted, and one ordering is enough.
     """
-    down = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col("row_id")).rowsBetween(Window.unboundedPreceding, 0)
-    t, d = (F.sum(c.cast("long")).over(down) for c in (F.col("label") > 0, F.col("label") < 0))
-    rows = df.withColumns({"_t": t, "_d": d, "_pi0": F.lit(float(pi0)) if isinstance(pi0, (int, float)) else pi0})
+    rows, _ = _counted(_with_pi0(df, keys, pi0), keys, score, one_task)
     passed = F.when(_fdr(F.col("_t"), F.col("_d"), F.col("_pi0")) < fdr, F.col("_t"))
     return rows.groupBy(*keys).agg(F.coalesce(F.max(passed), F.lit(0)).alias("n"))
 

@@ -85,7 +85,7 @@ oracle(
 )
 oracle(
     "permute_feature", "psm_events",
-    FOLDS + """, a AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY row_id) AS k FROM folds),
+    FOLDS + """, a AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5('1:score:to:' || row_id), row_id) AS k FROM folds),
   b AS (SELECT fold, score AS permuted, row_number() OVER (PARTITION BY fold ORDER BY md5('1:score:' || row_id), row_id) AS k FROM folds)
   SELECT row_id, fold, permuted FROM a JOIN b USING (fold, k)""",
 )

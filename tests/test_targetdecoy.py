@@ -41,6 +41,17 @@ def test_two_passes_over_many_ranges(spark, monkeypatch):
     assert a == b
 
 
+def test_two_passes_within_keys(spark, monkeypatch):
+    monkeypatch.setattr(td, "RANGE_ROWS", 50)
+    rows = [(i, x, s * (1000 if i % 3 else 1), ["a", "b", None][i % 3]) for i, x, s in made(900, 4)]
+    df = spark.createDataFrame(rows, "row_id long, label int, score double, source string")
+    a, b = ({r["row_id"]: r["q"] for r in td.qvalues(df, ["source"], one_task=n).collect()} for n in (10**6, 0))
+    assert a == b and len(a) == 900
+    y, z = ({r["source"]: r["n"] for r in td.yields_of(df, ["source"], None, 0.5, one_task=n).collect()} for n in (10**6, 0))
+    q = td.qvalues(df, ["source"]).groupBy("source").agg(td.yield_at(0.5).alias("n")).collect()
+    assert y == z == {r["source"]: r["n"] for r in q}
+
+
 @pytest.mark.parametrize("labels,pi0", [([1, 1, 1], 0.0), ([-1, -1], 1.0), ([1, 1, 1, -1], 1 / 3)])
 def test_pi0(spark, labels, pi0):
     df = spark.createDataFrame([(i, x, float(i)) for i, x in enumerate(labels)], "row_id long, label int, score double")
