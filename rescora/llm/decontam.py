@@ -214,6 +214,37 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def _one(text: bytes, files: list[str]) -> tuple[bytes, int, int, list[str]]:
+    words = text.translate(_FOLD).split()
+    hit, items = np.zeros(len(words), bool), set()
+    for file in files:
+        _automaton(file).match(words, hit, items)
+    return _result(text, hit, items)
+
+
+def _by_block(rows: list[bytes], files: list[str]) -> Iterator[tuple[bytes, int, int, list[str]]]:
+    words = [t.translate(_FOLD).split() for t in rows]
+    found = [(np.zeros(len(w), bool), set()) for w in words]
+    for file in files:
+        own = _automaton(file)
+        for w, (hit, items) in zip(words, found, strict=True):
+            own.match(w, hit, items)
+    return (_result(t, hit, items) for t, (hit, items) in zip(rows, found, strict=True))
+
+
+def _result(text: bytes, hit: np.ndarray, items: set) -> tuple[bytes, int, int, list[str]]:
+    n = int(hit.sum())
+    return without(text, hit) if n else text, len(hit), n, sorted(items - {None})
+
+
+def _struct(rows: Iterable[tuple[bytes, int, int, list[str]]]) -> pa.StructArray:
+    clean, n_words, n_hit, items = zip(*rows, strict=True) if (rows := list(rows)) else ((), (), (), ())
+    return pa.StructArray.from_arrays(
+        [pa.array(clean, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))],
+        names=["text", "n_words", "n_hit", "items"],
+    )
+
+
 KIND = "struct<text string, n_words long, n_hit long, items array<string>>"
 
 
@@ -224,23 +255,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     @F.arrow_udf(KIND)
     def cleaned(text: pa.Array) -> pa.Array:
-        rows = [(t, t.translate(_FOLD).split()) for t in texts(text)]
-        hits = [np.zeros(len(w), bool) for _, w in rows]
-        items: list[set] = [set() for _ in rows]
-        for file in files:
-            own = _automaton(file)
-            for (_, words), hit, found in zip(rows, hits, items, strict=True):
-                own.match(words, hit, found)
-        clean = [without(t, h) if h.any() else t for (t, _), h in zip(rows, hits, strict=True)]
-        return pa.StructArray.from_arrays(
-            [
-                pa.array(clean, pa.binary()).cast(pa.string()),
-                pa.array([len(h) for h in hits], pa.int64()),
-                pa.array([int(h.sum()) for h in hits], pa.int64()),
-                pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string())),
-            ],
-            names=["text", "n_words", "n_hit", "items"],
-        )
+        if len(files) > HELD_BLOCKS:
+            # blocks are loaded once for each batch, not for each text
+            return _struct(_by_block(list(texts(text)), files))
+        return _struct(_one(t, files) for t in texts(text))
 
     out = docs.withColumn("_c", cleaned(F.col("text")))
     return out.withColumns({c: F.col(f"_c.{c}") for c in ("text", "n_words", "n_hit", "items")}).drop("_c")
