@@ -358,7 +358,7 @@ def svm_rescore_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def svm_rescore_distributed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = learn.rescored_distributed(V.psm_lines(spark, sf), Params(max_iter=2))
+    rows = learn.rescored(V.psm_lines(spark, sf), Params(max_iter=2), task_rows=0)
     return td.qvalues(rows.select("row_id", "label", "score", "fold")).select("row_id", "label", "fold", "score", "q")
 
 
