@@ -163,10 +163,13 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x[: SAMPLE_TOKENS * WIDTH] for x in _ids(vocabulary, end_id, b.column("text"))], pa.binary())], names=["x"])
 
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    # a text's first SAMPLE_TOKENS ids lie in its first 16 * SAMPLE_TOKENS characters, or fewer ids do for training
-    few = docs.select("doc_id", F.substring("text", 1, 16 * SAMPLE_TOKENS).alias("text")).orderBy(h, "doc_id", "text").limit(SAMPLE_DOCS)
-    rows = [bytes(r["x"]) for r in few.mapInArrow(sample, "x binary").collect()]
+    # ids first: each task orders ids, not texts, and at most SAMPLE_DOCS of them are broadcast
+    own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"))
+    own = own.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(SAMPLE_DOCS).distinct()
+    few = docs.join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", F.substring("text", 1, 16 * SAMPLE_TOKENS).alias("text"))
+    # repeated rows of one id may be many: again no more than SAMPLE_DOCS, of what is small by now
+    ids = few.mapInArrow(sample, "x binary").orderBy(F.md5("x")).limit(SAMPLE_DOCS)
+    rows = [bytes(r["x"]) for r in ids.collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, rows).as_bytes()
     except zstandard.ZstdError:
