@@ -2,8 +2,8 @@
 
 Rows are points in a few metadata dimensions with their bytes as weights. A node that should hold k target leaves is cut
 along its widest dimension (range as a share of the whole table's range) at the weighted quantile floor(k/2)/k, found by
-distributed histograms: each pass adds 12 bits of the ordering key (dimension, hash of the text, hash of the row), and
-only nodes x 4096 sums reach the driver. Passes end when what straddles the cut is under `tolerance` of a leaf.
+distributed histograms: each pass adds up to 12 bits of the ordering key (dimension, hash of the text, hash of the row),
+fewer where many nodes are cut at once, so that at most SUMS sums reach the driver. Passes end when what straddles the cut is under `tolerance` of a leaf.
 
 Equal texts have equal coordinates and equal text hashes, so a group of copies stays in one shard; only where one group
 straddles a cut with more than `cohesion` of a leaf, and more than the largest row, is it cut by row hash, as near-equal
@@ -25,7 +25,9 @@ from ..operators.ordering import running_sum
 from ..session import materialise
 from .common import utf8_bytes
 
-BITS = 12
+#: Bits of the key that a pass may add; each divides the fields.
+STEPS = (12, 8, 6, 4, 3, 2)
+SUMS = 1 << 18
 VALUE_BITS, HASH_BITS = 24, 48
 #: Parts of a leaf's bytes: at most so much lies on the wrong side of a cut; groups of copies up to this stay whole.
 TOLERANCE, COHESION = 0.002, 0.08
@@ -79,21 +81,22 @@ def _below(grid: list[Column], cut: Cut) -> Column:
     return (x < v) | ((x == v) & ((F.col("_g") < g) | ((F.col("_g") == g) & (F.col("_i") < i))))
 
 
-def _digit(grid: list[Column], dim: int, p: int) -> Column:
-    """Bits BITS * p and on of the ordering key along a dimension."""
-    n = VALUE_BITS // BITS
-    if p < n:
-        return F.shiftright(grid[dim], VALUE_BITS - BITS * (p + 1)).bitwiseAND((1 << BITS) - 1)
-    p, column = (p - n, "_g") if p - n < HASH_BITS // BITS else (p - n - HASH_BITS // BITS, "_i")
-    return F.shiftright(F.col(column), HASH_BITS - BITS * (p + 1)).bitwiseAND((1 << BITS) - 1)
+def _digit(grid: list[Column], dim: int, p: int, bits: int) -> Column:
+    """Bits bits * p and on of the ordering key along a dimension."""
+    at, mask = bits * p, (1 << bits) - 1
+    if at < VALUE_BITS:
+        return F.shiftright(grid[dim], VALUE_BITS - at - bits).bitwiseAND(mask)
+    at -= VALUE_BITS
+    column, at = ("_g", at) if at < HASH_BITS else ("_i", at - HASH_BITS)
+    return F.shiftright(F.col(column), HASH_BITS - at - bits).bitwiseAND(mask)
 
 
-def _bound(prefix: list[int]) -> tuple[int, int, int]:
+def _bound(prefix: list[int], bits: int) -> tuple[int, int, int]:
     """The least key that begins with these digits; a digit may be one too many, which carries."""
-    total = (VALUE_BITS + 2 * HASH_BITS) // BITS
+    total = (VALUE_BITS + 2 * HASH_BITS) // bits
     n = 0
     for d in [*prefix, *[0] * (total - len(prefix))]:
-        n = (n << BITS) + d
+        n = (n << bits) + d
     mask = (1 << HASH_BITS) - 1
     return n >> (2 * HASH_BITS), (n >> HASH_BITS) & mask, n & mask
 
@@ -114,8 +117,9 @@ def _cuts(rows: DataFrame, grid: list[Column], tree: dict[int, Cut], leaves: dic
     dim = {r["_n"]: max(range(len(grid)), key=lambda k: (r[f"s{k}"], -k)) for r in spread}
     goal = {r["_n"]: r["w"] * (leaves[r["_n"]] // 2) / leaves[r["_n"]] for r in spread}
     prefix, done, before = {n: [] for n in dim}, {}, dict.fromkeys(dim, 0)
-    rows_from = (VALUE_BITS + HASH_BITS) // BITS
-    last = (VALUE_BITS + 2 * HASH_BITS) // BITS
+    bits = next((b for b in STEPS if len(dim) << b <= SUMS), STEPS[-1])
+    rows_from = (VALUE_BITS + HASH_BITS) // bits
+    last = (VALUE_BITS + 2 * HASH_BITS) // bits
     for p in range(last):
         open_ = [n for n in dim if n not in done]
         if not open_:
@@ -124,8 +128,8 @@ def _cuts(rows: DataFrame, grid: list[Column], tree: dict[int, Cut], leaves: dic
         for n in open_:
             here = F.col("_n") == n
             for q, d in enumerate(prefix[n]):
-                here = here & (_digit(grid, dim[n], q) == d)
-            digit, inside = F.when(F.col("_n") == n, _digit(grid, dim[n], p)).otherwise(digit), inside | here
+                here = here & (_digit(grid, dim[n], q, bits) == d)
+            digit, inside = F.when(F.col("_n") == n, _digit(grid, dim[n], p, bits)).otherwise(digit), inside | here
         sums: dict[int, dict[int, int]] = {n: {} for n in open_}
         for r in at.where(inside).groupBy("_n", digit.alias("d")).agg(F.sum("size").alias("w")).collect():
             sums[r["_n"]][r["d"]] = r["w"]
@@ -137,7 +141,7 @@ def _cuts(rows: DataFrame, grid: list[Column], tree: dict[int, Cut], leaves: dic
             group_whole = p == rows_from - 1 and w <= whole
             if w <= TOLERANCE * leaf or group_whole or p == last - 1:
                 after = before[n] + w - goal[n] < goal[n] - before[n]
-                done[n] = Cut(dim[n], _bound([*prefix[n], d + after]))
+                done[n] = Cut(dim[n], _bound([*prefix[n], d + after], bits))
             else:
                 prefix[n].append(d)
     return done
