@@ -34,7 +34,7 @@ def oracle(name: str, view: str, body: str, recursive: bool = False) -> None:
 
 YIELD = "count(*) FILTER (WHERE label > 0 AND q < 0.01)"
 CORE = "CASE WHEN length(peptide) - length(replace(peptide, '.', '')) >= 2 THEN regexp_extract(peptide, '^[^.]*\\.(.*)\\.[^.]*$', 1, 's') ELSE peptide END"
-RT = " + ".join(f"({k}) * (length(core) - length(replace(core, '{a}', '')))" for a, k in RESIDUE_COEFFICIENTS.items() if k)
+RT = " + ".join(f"({k})::DOUBLE * (length(core) - length(replace(core, '{a}', '')))" for a, k in RESIDUE_COEFFICIENTS.items() if k)
 NAMES = "list_filter(string_split_regex({0}, '[\t ;]'), lambda x: x <> '')"
 PI0 = "CASE WHEN count(*) FILTER (WHERE label > 0) > 0 THEN least(count(*) FILTER (WHERE label < 0)::DOUBLE / count(*) FILTER (WHERE label > 0), 1.0) ELSE 1.0 END"
 
