@@ -105,7 +105,7 @@ FROM q
 ORACLES["op8_rotation"] = r"""
 WITH t AS (
   SELECT conv_id, coalesce(turn, 0) AS n, turn IS NOT NULL AS k, coalesce(turn, 0) // 512 AS part,
-    CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE regexp_replace(role, '[^\\p{L}\\p{N}_-]', '_', 'g') END AS who,
+    CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE regexp_replace(role, '[^\p{L}\p{N}_-]', '_', 'g') END AS who,
     replace(coalesce(text, ''), '<|', '< |') AS said
   FROM conversations
 ), o AS (
