@@ -9,8 +9,8 @@ equal, so at least two of the four byte pairs, so one of the six choices of two
 LIST nodes isn't paired: its nodes are posted again under every fingerprint at one bit from them, where two nodes with 2
 or fewer differing bits meet; those lists have 33 nodes at most, each linked to the smallest. No link is lost.
 
-Similarity grouping, `keep_one()`: the index is on 16 bytes of a SimHash of the distinct words, of which a few edits
-change little; a choice is a line of the affine plane of order 4 over the byte positions, in three arrangements.
+Similarity grouping, `keep_one()`: the index is on 32 bytes of a SimHash of the distinct words, of which a few edits
+change little; choices are 120 sets of four byte positions, the cosets of 15 planes of positions as binary vectors.
 Pairs in a list are verified on a SimHash of WIDE bits of the distinct five-word shingles, whose angle estimates their
 Jaccard similarity to about 0.02; lists give spanning links, not pairs, so the output is linear in the input.
 
@@ -153,17 +153,23 @@ def components(docs: DataFrame, k: int = 3) -> DataFrame:
     return rows.join(named, rows.fp == named._fp).select("doc_id", "fp", "component_id")
 
 
-def _lines() -> list[tuple[int, ...]]:
-    """Choices of 4 of 16 byte positions: the 20 lines of the affine plane of order 4, in three arrangements."""
-    times = lambda a, b: 0 if not a or not b else (a + b - 2) % 3 + 1  # noqa: E731  the field of four elements
-    lines = [[4 * x + (times(m, x) ^ c) for x in range(4)] for m in range(4) for c in range(4)]
-    lines += [[4 * x + y for y in range(4)] for x in range(4)]
-    return [tuple((u * p + v) % 16 for p in line) for u, v in ((1, 0), (5, 3), (11, 7)) for line in lines]
-
-
-LINES = np.array(_lines())
-
+def _choices(planes: int = 15, bits: int = 5) -> list[list[int]]:
+    """Sets of 4 of 32 byte positions: cosets of planes {0, a, b, a ^ b}, of those that share least with others first.
 
+    Each plane's cosets have every position once, so a pair of fingerprints gets `planes` chances at every position.
+    """
+    used, out = dict.fromkeys(range(1, 1 << bits), 0), []
+    for _ in range(planes):
+        every = ((a, b) for a in range(1, 1 << bits) for b in range(a + 1, 1 << bits) if b < a ^ b)
+        a, b = min(every, key=lambda p: (sorted((used[p[0]], used[p[1]], used[p[0] ^ p[1]]), reverse=True), p))
+        for v in (a, b, a ^ b):
+            used[v] += 1
+        out += sorted({tuple(sorted((x, x ^ a, x ^ b, x ^ a ^ b))) for x in range(1 << bits)})
+    return [list(c) for c in out]
+
+
+INDEX_BYTES = 32
+SETS = np.array(_choices())
 SKETCH = "struct<index binary, wide binary, n int, sig long>"
 
 
@@ -174,7 +180,7 @@ def wide_sketches(text: pa.Array) -> pa.Array:
     for k in range(0, len(all_), 256):
         part = all_[k : k + 256]
         shingles = [np.unique(shingle_hashes(t, SHINGLE_WORDS)) for t in part]
-        index += [x.tobytes() for x in simhash([word_hashes(t) for t in part], 2)]
+        index += [x.tobytes() for x in simhash([word_hashes(t) for t in part], INDEX_BYTES // 8)]
         wide += [x.tobytes() for x in simhash(shingles, WIDE // 64)]
         n += map(len, shingles)
     sig = [xxhash.xxh3_64_intdigest(a + b + c.to_bytes(8, "little")) for a, b, c in zip(index, wide, n, strict=True)]
@@ -187,10 +193,10 @@ def wide_sketches(text: pa.Array) -> pa.Array:
 def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, sig) for each choice of byte positions."""
     for b in batches:
-        x = np.frombuffer(b"".join(b.column("index").to_pylist()), np.uint8).reshape(-1, 16)
-        keys = np.ascontiguousarray(x[:, LINES]).view(np.uint32)[:, :, 0].astype(np.int64)
-        keys |= np.arange(len(LINES), dtype=np.int64) << 32
-        sig = np.repeat(b.column("sig").to_numpy(), len(LINES))
+        x = np.frombuffer(b"".join(b.column("index").to_pylist()), np.uint8).reshape(-1, INDEX_BYTES)
+        keys = np.ascontiguousarray(x[:, SETS]).view(np.uint32)[:, :, 0].astype(np.int64)
+        keys |= np.arange(len(SETS), dtype=np.int64) << 32
+        sig = np.repeat(b.column("sig").to_numpy(), len(SETS))
         for at in range(0, keys.size, 1 << 16):
             z = slice(at, at + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[z]), pa.array(sig[z])], names=["key", "sig"])

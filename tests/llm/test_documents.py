@@ -98,6 +98,14 @@ def test_shards_are_even_and_hot_groups_are_cut(spark):
     assert len(odd) == 5 and max(odd) < 1.1 * sum(odd) / 5
 
 
+def test_fewer_bits_a_pass_give_even_shards_too(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SUMS", 64)
+    rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8, compact=True)
+    sizes = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.05 * sum(sizes) / 8
+
+
 def test_written_shards(spark, docs, tmp_path):
     out = sharding.write_shards(docs, str(tmp_path / "s"), 40_000)
     assert out.count() == docs.count() and out.select("shard").distinct().count() > 1
@@ -241,11 +249,10 @@ def test_no_link_is_lost_in_long_lists(spark, monkeypatch, limit):
     assert {f: got.get(f, f) for (f,) in signed} == {f: find(f) for (f,) in signed}
 
 
-def test_lines_of_the_plane():
-    assert len(simhash.LINES) == 60 and all(len(set(x)) == 4 for x in simhash.LINES.tolist())
-    for part in range(3):
-        pairs = collections.Counter(p for line in simhash.LINES[20 * part : 20 * part + 20] for p in itertools.combinations(sorted(line.tolist()), 2))
-        assert len(pairs) == 120 and set(pairs.values()) == {1}
+def test_choices_of_positions():
+    sets = simhash.SETS.tolist()
+    assert len(sets) == 120 == len(set(map(tuple, sets))) and all(len(set(x)) == 4 for x in sets)
+    assert set(collections.Counter(p for x in sets for p in x).values()) == {15}
 
 
 def test_near_copies_go(spark, docs, rows):
