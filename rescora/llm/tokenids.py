@@ -263,7 +263,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> dic
     frames = docs.withColumn("_b", range_bucket(F.col("doc_id"), bounds).cast("long")).mapInArrow(
         _frames(vocabulary, end_id, dictionary), "b long, doc_id long, n long, crc long, frame binary"
     )
-    frames = frames.repartition(shuffle_partitions(spark), "b").sortWithinPartitions("b", F.col("doc_id").asc_nulls_first(), "crc")
+    frames = frames.repartitionById(max(1, len(bounds)), F.col("b").cast("int")).sortWithinPartitions("b", F.col("doc_id").asc_nulls_first(), "crc")
     files = frames.mapInArrow(_write(folder, hashlib.sha256(dictionary).digest()), "file long, docs long, tokens long").collect()
     out, start = {"dictionary_sha256": hashlib.sha256(dictionary).hexdigest(), "width": WIDTH, "files": []}, 0
     for r in sorted(files, key=lambda r: r["file"]):
