@@ -54,7 +54,7 @@ def synthetic_rows():
 
     for i in range(120):
         add(1000 - i, [f"T{i:03d}"], 3)
-        add(900 - i if i % 3 else 1100 - i, [f"DECOY_T{i:03d}"], 2)
+        add(920.5 - i if i < 40 else 140 - i, [f"DECOY_T{i:03d}"], 2)
     add(930.25, ["SHARED_A", "SHARED_B"], 3)
     add(910.25, ["DECOY_SHARED_A", "DECOY_SHARED_B"], 2)
     add(40, ["DECOY_LONE_A"], 1)
@@ -69,6 +69,9 @@ def test_picked_groups(spark):
     assert len(groups) == 244
     shared = next(g for g in groups if g["proteins"] == ["SHARED_A", "SHARED_B"])
     assert shared["n_peptides"] == 3 and not shared["is_decoy"] and shared["picked"]
+    passed = [g for g in groups if not g["is_decoy"] and g["picked"] and g["q"] < 0.01]
+    frame = spark.createDataFrame(groups)
+    assert len(passed) == 121 and proteins.classic_count(frame).first()[0] == 81
     by = {}
     for g in groups:
         by.setdefault(g["key"], []).append(g)

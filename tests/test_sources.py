@@ -218,3 +218,57 @@ def test_dataset_runs_are_recorded_and_compared(spark, tmp_path):
     with pytest.raises(Exception):
         main = __import__("rescora.__main__", fromlist=["main"]).main
         main(["compare", path, path, str(tmp_path / "out" / "files.tsv")])
+
+
+def regression_lines():
+    """260 lone targets, and 110 pairs of a target and a decoy protein with two peptides each."""
+    lines = ["SpecId\tLabel\tScanNr\tXcorr\tPeptide\tProteins"]
+
+    def add(name, label, score, peptide, protein):
+        lines.append("\t".join([name, str(label), str(len(lines)), str(score), f"K.{peptide}.R", protein]))
+
+    for i in range(1, 261):
+        add(f"seed{i}", 1, 5000.0 - i, f"SEEDT{i}", f"SEEDPROT_{i}")
+    for i in range(1, 111):
+        t = 2000 - 2 * i
+        add(f"t{i}a", 1, float(t), f"TGT{i}A", f"PROT_{i}")
+        add(f"t{i}b", 1, t - 1 + 0.8, f"TGT{i}B", f"PROT_{i}")
+        add(f"d{i}a", -1, t - 2 + 0.5, f"DEC{i}A", f"DECOY_PROT_{i}")
+        add(f"d{i}b", -1, t - 3 + 0.3, f"DEC{i}B", f"DECOY_PROT_{i}")
+    return lines
+
+
+def drawn_folds(n, k=3):
+    """Folds by a swap shuffle over a 64-bit shift generator from 1, for counts that depend on the draw."""
+    order, x, mask = list(range(n)), 1, (1 << 64) - 1
+    for i in range(n - 1, 0, -1):
+        x ^= x << 13 & mask
+        x ^= x >> 7
+        x ^= x << 17 & mask
+        j = x % (i + 1)
+        order[i], order[j] = order[j], order[i]
+    out = [0] * n
+    for place, row in enumerate(order):
+        out[row] = place % k
+    return out
+
+
+def test_proteins_of_a_whole_file(spark, tmp_path):
+    from rescora.operators import learn, proteins
+
+    (tmp_path / "r.pin").write_text("\n".join(regression_lines()) + "\n")
+    df, _ = matches.read_matches(spark, [str(tmp_path / "r.pin")])
+    assert df.count() == 700
+    fold = spark.createDataFrame(list(enumerate(drawn_folds(700))), "k long, fold int")
+    df = df.withColumn("row_id", F.col("scan") - 1).join(fold, F.col("row_id") == F.col("k")).drop("k")
+    scored = learn.rescored(df, Params(), folds=False).drop("features")
+    peptides = pipeline.statistics(rollup.best_psm_of_peptide(scored))
+    groups = proteins.infer_picked(peptides.select("row_id", "score", "pep", "proteins"))
+    rows = groups.collect()
+    targets = [g for g in rows if g["picked"] and not g["is_decoy"]]
+    assert len(rows) == 480 and sum(g["picked"] for g in rows) == 370 and len(targets) == 338
+    assert sum(g["q"] < 0.01 for g in targets) == 276
+    assert proteins.classic_count(groups.select("component", "is_decoy", "score")).first()[0] == 263
+    assert [sum(g["n_peptides"] == n for g in targets) for n in (1, 2)] == [260, 78]
+    run = pipeline.rescore(df.drop("fold"), Params(protein_inference="bayesian"), infer_proteins=True)
+    assert all(g["score"] + g["pep"] == pytest.approx(1) and 0 <= g["q"] <= 1 for g in run.proteins.collect())
