@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
+#: A node's links are dealt to so many parts, since a hub may have a third of all.
+PARTS = 32
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u, v), u > v. A hub's rows are only aggregated and joined, never collected."""
+    """One star step over edges (u, v), u > v: neighbours (smaller ones, or larger ones) move to the smallest of all.
+
+    Links meet the smallest neighbour by (node, part of the neighbours), so that no task has all links of a hub.
+    """
     near = edges.select("u", "v")
     if large:
         near = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("c"), F.least("u", "w").alias("m"))
-    joined = near.join(least, near.u == least.c)
+    near = near.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    parts = near.groupBy("u", "part").agg(F.min("v").alias("w"))
+    least = parts.groupBy("u").agg(F.min("w").alias("w")).select(F.col("u").alias("c"), F.least("u", "w").alias("m"))
+    named = parts.join(least, parts.u == least.c).select("c", F.col("part").alias("p"), "m")
+    joined = near.join(named, (near.u == named.c) & (near.part == named.p))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
