@@ -190,7 +190,7 @@ def line_index(docs: DataFrame, min_docs: int, min_chars: int = 1) -> tuple[str,
     folder = scratch(spark, "line-index")
     # unsigned remainder, as shard_of() has it
     shard = F.pmod(F.pmod(F.shiftrightunsigned("h", 1), F.lit(n)) * 2 + F.col("h").bitwiseAND(1), F.lit(n))
-    rows = counts.withColumn("shard", shard.cast("long")).repartition(n, "shard").sortWithinPartitions("shard", "h")
+    rows = counts.withColumn("shard", shard.cast("long")).repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "h")
     built = rows.mapInArrow(_build(folder, n), "shard long, keys long").collect()
     have = {r["shard"] for r in built}
     empty = PerfectHash.build(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))).dump()

@@ -192,5 +192,5 @@ def write_shards(docs: DataFrame, path: str, target_bytes: int) -> DataFrame:
     total = docs.agg(F.sum(utf8_bytes(F.col("text")) + 1)).first()[0] or 0
     out = shard(docs, target_shards(total, target_bytes))
     n = target_shards(total, target_bytes)
-    out.repartition(n, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)
