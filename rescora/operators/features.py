@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import linear_score
-from .targetdecoy import TEST_FDR, pi0_of, yields_of
+from .targetdecoy import ONE_TASK, TEST_FDR, pi0_of, yields_of
 
 LEAST_SD = 1e-12
 
@@ -58,7 +58,8 @@ def single_feature_yield(df: DataFrame, fdr: float = TEST_FDR) -> DataFrame:
     """feature, sign and how many targets that feature alone accepts; all features side by side."""
     signs = F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign")
     long = unpivoted(df).select("*", signs).withColumn("score", F.col("x") * F.col("sign"))
-    return yields_of(long, ["feature", "sign"], df.agg(pi0_of(F.col("label"))).first()[0], fdr)
+    # each feature and sign has as many rows as the table
+    return yields_of(long, ["feature", "sign"], df.agg(pi0_of(F.col("label"))).first()[0], fdr, one_task=ONE_TASK * 2 * width(df))
 
 
 def rank_features(yields: DataFrame) -> DataFrame:
