@@ -9,10 +9,12 @@ equal, so at least two of the four byte pairs, so one of the six choices of two
 LIST nodes isn't paired: its nodes are posted again under every fingerprint at one bit from them, where two nodes with 2
 or fewer differing bits meet; those lists have 33 nodes at most, each linked to the smallest. No link is lost.
 
-Similarity grouping, `keep_one()`: the index is on 32 bytes of a SimHash of the distinct words, of which a few edits
-change little; choices are 120 sets of four byte positions, the cosets of 15 planes of positions as binary vectors.
-Pairs in a list are verified on a SimHash of WIDE bits of the distinct five-word shingles, whose angle estimates their
-Jaccard similarity to about 0.02; lists give spanning links, not pairs, so the output is linear in the input.
+Similarity grouping, `keep_one()`: documents are linked at an exact Jaccard similarity of 0.8 of their distinct five-word
+shingles (48 bits of each hash). All shingles have one order; if two texts have that similarity, they share one of the
+first fifth of theirs, so posting lists under these have every pair: none is lost, whatever the edit. Shingles that are
+common in a sample come last in the order, which only keeps lists short. Texts of a list are compared with its smallest
+first, then all those that no link connects yet; long lists are compared in pairs of blocks. The rows written are sets,
+lists and spanning links; a list of many texts that are not alike costs its square.
 
 Null and empty texts have no words: fingerprint 0, linked like any other. Rows of equal fingerprints are one group
 however many; a null doc_id is never a component's id while another is there. Extra columns are kept by keep_one().
@@ -40,11 +42,11 @@ MOST_BITS, LEAST_BYTES = 2, 6
 #: Choices of byte positions of a 64-bit fingerprint: two of the four byte pairs.
 CHOICES = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
 
-WIDE, SHINGLE_WORDS = 2048, 5
-#: Estimated Jaccard similarity from which documents are linked: 0.8 less about one and a half standard errors.
-SIMILARITY = 0.77
-#: Lists are compared in blocks of so many nodes.
-BLOCK = 512
+SHINGLE_WORDS = 5
+#: Jaccard similarity of the distinct shingles from which documents are linked.
+SIMILARITY = 0.8
+#: Up to so many links are joined up in one task.
+ONE_TASK = 1_000_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -61,11 +63,6 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     return np.array([h(joined[a:z], SEED) for a, z in spans], np.uint64)
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """XXH64 of each distinct word."""
-    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(text.lower().split())], np.uint64)
-
-
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th further hash of each hash; the hashes themselves for 0."""
     if not k:
@@ -169,93 +166,309 @@ def _choices(planes: int = 15, bits: int = 5) -> list[list[int]]:
 
 
 INDEX_BYTES = 32
+#: Balanced choices of positions for an index on the bytes of a longer SimHash; keep_one() has its index on shingles.
 SETS = np.array(_choices())
-SKETCH = "struct<index binary, wide binary, n int, sig long>"
-
-
-def wide_sketches(text: pa.Array) -> pa.Array:
-    """Index bytes, verification bits and number of distinct shingles; sig names what has all of these equal."""
-    all_ = list(texts(text))
-    index, wide, n = [], [], []
-    for k in range(0, len(all_), 256):
-        part = all_[k : k + 256]
-        shingles = [np.unique(shingle_hashes(t, SHINGLE_WORDS)) for t in part]
-        index += [x.tobytes() for x in simhash([word_hashes(t) for t in part], INDEX_BYTES // 8)]
-        wide += [x.tobytes() for x in simhash(shingles, WIDE // 64)]
-        n += map(len, shingles)
-    sig = [xxhash.xxh3_64_intdigest(a + b + c.to_bytes(8, "little")) for a, b, c in zip(index, wide, n, strict=True)]
-    return pa.StructArray.from_arrays(
-        [pa.array(index, pa.binary()), pa.array(wide, pa.binary()), pa.array(n, pa.int32()), pa.array(np.array(sig, np.uint64).view(np.int64))],
-        names=["index", "wide", "n", "sig"],
-    )
-
-
-def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sig) for each choice of byte positions."""
+#: Bytes of a shingle hash that sets are written and compared with.
+HASH_BYTES = 6
+#: Texts that the common shingles are counted in, the texts from which a shingle is common, and the most that are kept.
+SAMPLE, COMMON_TEXTS, MOST_COMMON = 8192, 4, 1 << 16
+#: Cells of a set's counts: a power of two near a quarter of its size, at least and at most so many.
+LEAST_CELLS, MOST_CELLS = 32, 1 << 16
+#: A verified group holds about so many texts and shingles.
+GROUP, GROUP_SHINGLES = 256, 1 << 17
+#: Added where a ratio of whole numbers meets `least`.
+TINY = 1e-9
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct shingles' hashes, ascending, cut to HASH_BYTES."""
+    return np.unique(shingle_hashes(text, SHINGLE_WORDS) >> np.uint64(64 - 8 * HASH_BYTES))
+
+
+def packed(h: np.ndarray) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(b, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8")[:, 0]
+
+
+def shingle_sets(text: pa.Array) -> pa.Array:
+    """The packed set of each text, sig, which names it, and its counts in cells."""
+    own = [shingle_set(t) for t in texts(text)]
+    sets = [packed(h) for h in own]
+    cells = [cell_counts(h).tobytes() for h in own]
+    sig = np.array([xxhash.xxh3_64_intdigest(x) for x in sets], np.uint64).view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(sets, pa.binary()), pa.array(sig), pa.array(cells, pa.binary())], names=["set", "sig", "cells"])
+
+
+def cell_counts(h: np.ndarray) -> np.ndarray:
+    """How many hashes are in each of equal ranges, as bytes; all 255, which bounds nothing, if one has more."""
+    bits = min(max(int(len(h) // 4).bit_length(), LEAST_CELLS.bit_length() - 1), MOST_CELLS.bit_length() - 1)
+    n = np.bincount((h >> np.uint64(8 * HASH_BYTES - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(n, 255).astype(np.uint8) if n.max() <= 255 else np.full(1 << bits, 255, np.uint8)
+
+
+def _folded(cells: np.ndarray, size: int) -> np.ndarray:
+    return cells.reshape(size, -1).sum(1, dtype=np.uint16)
+
+
+def may_be_alike(a: bytes, b: bytes, na: int, nb: int, least: float) -> bool:
+    """False only for sets under `least`: what they share is at most the sum over cells of the lesser count."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    most = int(np.minimum(_folded(x, size), _folded(y, size)).sum())
+    return most >= least * (na + nb - most) - TINY
+
+
+def candidates(cells: list[bytes], n: np.ndarray, part: np.ndarray, least: float) -> np.ndarray:
+    """Which of the sets, by rising size, may be alike to one of another part."""
+    rows = [np.frombuffer(c, np.uint8) for c in cells]
+    length = np.array([len(r) for r in rows])
+    out, at = np.zeros(len(n), bool), 0
+    end = np.searchsorted(n * least - TINY, n, side="right")
+    while at < len(n):
+        # all sets of one length, and those that rows of it may be alike to, in its cells
+        z = int(np.searchsorted(length, length[at], side="right"))
+        m = np.stack([_folded(r, length[at]) for r in rows[at : int(end[z - 1])]])
+        for i in range(at, z):
+            j = slice(i + 1, int(end[i]))
+            most = np.minimum(m[i - at], m[i + 1 - at : int(end[i]) - at]).sum(1, dtype=np.int64)
+            near = (most >= least * (n[i] + n[j] - most) - TINY) & (part[j] != part[i])
+            out[i] |= near.any()
+            out[j] |= near
+        at = z
+    return out
+
+
+def prefix_length(n: int, least: float) -> int:
+    """Of n shingles in an order that all texts share, how many of the first two texts at `least` or more share one in."""
+    return n - int(np.ceil(least * n - TINY)) + 1 if n else 0
+
+
+def prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles: those that aren't common by hash, then the common ones by rank."""
+    k = prefix_length(len(h), least)
+    if not len(common):
+        return h[:k]
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    often = common[at] == h
+    own = h[~often]
+    if len(own) >= k:
+        return own[:k]
+    late = h[often]
+    return np.concatenate([own, late[np.argsort(rank[at[often]], kind="stable")][: k - len(own)]])
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of a bounded sample of texts have, ascending, and their ranks, the rarest first.
+
+    Only the order of shingles depends on them, so that no posting list is long without need; any order loses no pair.
+    """
+    some = rows.select("sig").distinct().orderBy(F.xxhash64("sig")).limit(SAMPLE)
+    sets = rows.join(F.broadcast(some), "sig").groupBy("sig").agg(F.first("set").alias("set"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray]]:
+        for b in batches:
+            for x in b.column("set").to_pylist():
+                yield (unpacked(x).view(np.int64),)
+
+    counts = sets.select("set").mapInArrow(_batched(each, ["h"]), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= COMMON_TEXTS).orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).collect()
+    h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    by = np.argsort(h)
+    return h[by], (len(h) - np.arange(len(h)))[by]
+
+
+def _posts(common: np.ndarray, rank: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, n, sig) for each shingle of the prefix."""
+        for b in batches:
+            keys, n = [], []
+            for x in b.column("set").to_pylist():
+                h = unpacked(x)
+                keys.append(prefix(h, common, rank, least).view(np.int64))
+                n.append(len(h))
+            if not keys:
+                continue
+            sizes = [len(k) for k in keys]
+            key, n = np.concatenate(keys), np.repeat(np.array(n, np.int32), sizes)
+            sig = np.repeat(b.column("sig").to_numpy(), sizes)
+            for at in range(0, len(key), 1 << 16):
+                z = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(n[z]), pa.array(sig[z])], names=["key", "n", "sig"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: str, columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of each whole run of equal values of `by` with two rows or more, from rows sorted by it."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [b.column(c).to_numpy(zero_copy_only=False) for c in [by, *columns]]
+        edge = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
+        if held and held[0][0][0] != now[0][0]:
+            edge = np.concatenate([[0], edge])
+        at = 0
+        for z in (int(e) for e in edge):
+            if held or z - at > 1:
+                part = [*held, [c[at:z] for c in now]]
+                whole = [np.concatenate(c) for c in zip(*part, strict=True)]
+                if len(whole[0]) > 1:
+                    yield whole[1:]
+            held, at = [], z
+        held.append([c[at:] for c in now])
+    if held:
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        if len(whole[0]) > 1:
+            yield whole[1:]
+
+
+def _lists(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Posting lists of two texts or more, cut where lengths are too far apart: list's name, sigs and sizes."""
+        names, sigs, ns, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(ns, pa.binary())], names=["list", "sigs", "ns"]
+            )
+
+        for n, sig in _runs(batches, "key", ["n", "sig"]):
+            # rows of equal texts lie side by side
+            own = np.concatenate([[True], sig[1:] != sig[:-1]])
+            n, sig = n[own], sig[own]
+            if len(sig) < 2:
+                continue
+            cuts = [0, *(np.flatnonzero(n[1:] * least > n[:-1] + TINY) + 1).tolist(), len(n)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if z - a > 1:
+                    names.append(xxhash.xxh3_64_intdigest(sig[a:z].tobytes()))
+                    sigs.append(sig[a:z].tobytes())
+                    ns.append(n[a:z].tobytes())
+                    size += z - a
+            if size > 1 << 16:
+                yield out()
+                names, sigs, ns, size = [], [], [], 0
+        yield out()
+
+    return run
+
+
+def _batched(run, names: list[str]):
+    """Rows of many short arrays in batches."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for arrays in run(batches):
+            held.append(arrays)
+            size += len(arrays[0])
+            if size >= 1 << 16:
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                for at in range(0, size, 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in whole], names=names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+    return out
+
+
+def _of_lists(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for k, s, m in zip(*(b.column(c).to_pylist() for c in ("list", "sigs", "ns")), strict=True):
+        yield k, np.frombuffer(s, np.int64), np.frombuffer(m, np.int32)
+
+
+def _to_first(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(first, sig, n): each text of a list beside the list's smallest sig, where lengths allow."""
+        for b in batches:
+            for _, sig, n in _of_lists(b):
+                k = int(np.argmin(sig))
+                near = np.minimum(n, n[k]) >= np.maximum(n, n[k]) * least - TINY
+                near[k] = False
+                yield np.full(int(near.sum()), sig[k]), sig[near], n[near]
+
+    return _batched(run, ["first", "sig", "n"])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     for b in batches:
-        x = np.frombuffer(b"".join(b.column("index").to_pylist()), np.uint8).reshape(-1, INDEX_BYTES)
-        keys = np.ascontiguousarray(x[:, SETS]).view(np.uint32)[:, :, 0].astype(np.int64)
-        keys |= np.arange(len(SETS), dtype=np.int64) << 32
-        sig = np.repeat(b.column("sig").to_numpy(), len(SETS))
-        for at in range(0, keys.size, 1 << 16):
-            z = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[z]), pa.array(sig[z])], names=["key", "sig"])
-
-
-def _signs(wide: list[bytes]) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)
-    return bits.astype(np.float32) * 2 - 1
-
-
-def alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of verification bits have an estimated Jaccard similarity of at least `least`."""
-    angle = np.pi * (0.5 - (a @ b.T) / (2 * a.shape[1]))
-    shared = np.cos(angle) * np.sqrt(np.outer(na, nb))
-    return shared >= least / (1 + least) * np.add.outer(na, nb)
-
-
-def _linked(sig: np.ndarray, wide: list[bytes], n: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links that span the groups within one list. Blocks that are in one group already aren't compared."""
-    root = np.arange(len(sig))
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for i in range(0, len(sig), BLOCK):
-        a = None
-        for j in range(i, len(sig), BLOCK):
-            u, v = min(i + BLOCK, len(sig)), min(j + BLOCK, len(sig))
-            if len({top(k) for k in range(i, u)} | {top(k) for k in range(j, v)}) == 1:
+        for k, sig, n in _of_lists(b):
+            yield np.full(len(sig), k), sig, n
+
+
+def _groups(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(g, sig, part): of each two blocks of a list, the texts that may be alike to one of another part."""
+        for n, sig, part, cells in _runs(batches, "list", ["n", "sig", "part", "cells"]):
+            if (part == part[0]).all():
                 continue
-            a = _signs(wide[i:u]) if a is None else a
-            near = alike(a, a if i == j else _signs(wide[j:v]), n[i:u], n[j:v], least)
-            for p, q in zip(*np.nonzero(near), strict=True):
-                p, q = top(i + int(p)), top(j + int(q))
-                root[max(p, q)] = min(p, q)
-    tops = [top(k) for k in range(len(sig))]
-    return [(int(sig[k]), int(sig[t])) for k, t in enumerate(tops) if k != t]
+            cell = np.maximum((np.cumsum(n, dtype=np.int64) - n) // GROUP_SHINGLES, 0)
+            starts, at = [0], 0
+            for k in range(1, len(n)):
+                if k - at >= GROUP or cell[k] != cell[at]:
+                    starts.append(k)
+                    at = k
+            blocks = [slice(a, z) for a, z in zip(starts, [*starts[1:], len(n)], strict=True)]
+            for i, u in enumerate(blocks):
+                # a block's own pairs are met beside its neighbour
+                for v in blocks[i + 1 :] or ([u] if not i else []):
+                    if n[v.start] * least > n[u.stop - 1] + TINY:
+                        break
+                    s, p, m, c = (x[u] if v is u else np.concatenate([x[u], x[v]]) for x in (sig, part, n, cells))
+                    near = candidates(c, m, p, least) if (p != p[0]).any() else np.zeros(len(s), bool)
+                    if near.any():
+                        s, p = s[near], p[near]
+                        yield np.full(len(s), np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64)), s, p
+
+    return _batched(run, ["g", "sig", "part"])
+
+
+def linked(sets: list[np.ndarray], part: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links by exact Jaccard similarity that span a group's texts; texts in one part already aren't compared."""
+    n = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(n) - n
+    root = np.unique(part, return_inverse=True)[1].reshape(-1)
+    hashes, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids, mark, out = ids.reshape(-1), np.zeros(len(hashes), np.int32), []
+    for i in range(len(sets) - 1):
+        if (root == root[i]).all():
+            break
+        own = ids[starts[i] : starts[i] + n[i]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[ids[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        mark[own] = 0
+        near = shared >= least * (n[i] + n[i + 1 :] - shared) - TINY
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if root[i] != root[j]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
 
 
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a list ends where the key changes."""
-        key, sig, wide, n = None, [], [], []
+        """Rows come sorted by group; a group ends where g changes."""
+        g, sig, part, sets = None, [], [], []
 
         def links_of() -> list[tuple[int, int]]:
-            return _linked(np.array(sig), wide, np.array(n, np.float64), least) if len(sig) > 1 else []
+            found = linked(sets, np.array(part), least) if len(sig) > 1 else []
+            return [(sig[i], sig[j]) for i, j in found]
 
         for b in batches:
             found = []
-            for k, s, w, m in zip(*(b.column(c).to_pylist() for c in ("key", "sig", "wide", "n")), strict=True):
-                if k != key:
+            for k, s, p, x in zip(*(b.column(c).to_pylist() for c in ("g", "sig", "part", "set")), strict=True):
+                if k != g:
                     found += links_of()
-                    key, sig, wide, n = k, [], [], []
+                    g, sig, part, sets = k, [], [], []
                 sig.append(s)
-                wide.append(w)
-                n.append(m)
+                part.append(p)
+                sets.append(unpacked(x))
             yield _pairs(found)
         yield _pairs(links_of())
 
@@ -267,25 +480,60 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
 
-def similar(nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between sketches (sig, index, wide, n) that share a list and are alike."""
-    posts = nodes.select("index", "sig").mapInArrow(_posts, "key long, sig long")
-    posts = posts.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("m > 1").drop("m")
-    rows = posts.join(nodes.select("sig", "wide", "n"), "sig")
-    rows = rows.repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "sig")
-    return rows.select("key", "sig", "wide", "n").mapInArrow(_verify(least), "a long, b long").distinct()
+def _verified(groups: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) among the texts (sig, part) of each group g; only the sets of these texts are moved."""
+    groups = materialise(groups, "groups")
+    some = materialise(groups.select("sig").distinct(), "group-texts")
+    sets = rows.select("sig", "set").join(some, "sig", "left_semi").dropDuplicates(["sig"])
+    out = groups.join(sets, "sig").repartition(shuffle_partitions(groups.sparkSession), "g").sortWithinPartitions("g", "sig")
+    return materialise(out.select("g", "sig", "part", "set").mapInArrow(_verify(least), "a long, b long").distinct(), "links")
+
+
+def similar(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between sets (sig, set, cells) of exact Jaccard similarity `least` or more; enough to connect all such.
+
+    First each text is compared with the smallest of its lists, then the lists whose texts aren't all connected by that
+    are compared in full, but for pairs that are. Pairs that the counts in cells rule out aren't compared.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    common, rank = common_shingles(rows)
+    posts = rows.select("set", "sig").mapInArrow(_posts(common, rank, least), "key long, n int, sig long")
+    lists = posts.repartition(n, "key").sortWithinPartitions("key", "n", "sig").mapInArrow(_lists(least), "list long, sigs binary, ns binary")
+    lists = materialise(lists.dropDuplicates(["list"]), "lists")
+    members = lists.mapInArrow(_batched(_members, ["list", "sig", "n"]), "list long, sig long, n int")
+    cells = rows.select("sig", (F.octet_length("set") / HASH_BYTES).cast("int").alias("size"), "cells")
+    cells = materialise(cells.join(members.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "cells")
+
+    @F.arrow_udf("boolean")
+    def may(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        return pa.array([may_be_alike(*x, least) for x in zip(*(c.to_pylist() for c in (a, b, na, nb)), strict=True)], pa.bool_())
+
+    pairs = lists.mapInArrow(_batched(_to_first(least), ["first", "sig", "n"]), "first long, sig long, n int").distinct()
+    first = cells.select(F.col("sig").alias("first"), F.col("size").alias("m"), F.col("cells").alias("others"))
+    pairs = pairs.join(cells, "sig").join(first, "first").where(may("cells", "others", "n", "m")).select("first", "sig", "n")
+    pairs = materialise(pairs, "pairs")
+    sizes = pairs.groupBy("first").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
+    dealt = pairs.join(sizes, "first").select("first", "sig", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("k"))
+    both = dealt.unionByName(dealt.select("first", F.col("first").alias("sig"), "k").distinct())
+    near = _verified(both.select(F.xxhash64("first", "k").alias("g"), "sig", F.col("sig").alias("part")), rows, least)
+
+    found = connected_components(near, one_task=ONE_TASK).select(F.col("node").alias("sig"), "component")
+    rest = members.join(found, "sig", "left").join(cells, "sig")
+    rest = rest.select("list", "n", "sig", F.coalesce("component", "sig").alias("part"), "cells")
+    rest = rest.repartition(n, "list").sortWithinPartitions("list", "n", "sig")
+    rest = rest.mapInArrow(_batched(_groups(least), ["g", "sig", "part"]), "g long, sig long, part long").distinct()
+    return near.unionByName(_verified(rest, rows, least))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id; all columns of `docs`."""
     bounded_batches(docs.sparkSession)
-    sketch = F.arrow_udf(wide_sketches, SKETCH)
+    sets = F.arrow_udf(shingle_sets, "struct<set binary, sig long, cells binary>")
     last = (1 << 63) - 1
     who = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = docs.select(who.alias("who"), sketch(F.col("text")).alias("s")).select("who", "s.*")
-    nodes = rows.groupBy("sig").agg(F.min("who").alias("who"), *[F.first(c).alias(c) for c in ("index", "wide", "n")])
-    nodes = materialise(nodes, "sketches")
-    found = connected_components(materialise(similar(nodes, least), "links"))
+    rows = materialise(docs.select(who.alias("who"), sets(F.col("text")).alias("s")).select("who", "s.*"), "shingle-sets")
+    nodes = materialise(rows.groupBy("sig").agg(F.min("who").alias("who")), "nodes")
+    found = connected_components(materialise(similar(rows, least), "links"), one_task=ONE_TASK)
     own = nodes.select("sig", "who").join(found, F.col("sig") == F.col("node"), "left")
     kept = own.groupBy(F.coalesce("component", "sig").alias("g")).agg(F.min("who").alias("who")).select("who.id", "who.text")
     kept = kept.select(F.col("id").alias("_kept_id"), F.col("text").alias("_kept_text"))

@@ -273,6 +273,68 @@ def test_near_copies_go(spark, docs, rows):
     assert 3 in ids and 104 not in ids and 105 not in ids and set(range(80)) <= set(ids)
 
 
+def shingles(text):
+    w = [x.encode().lower() for x in word_list(text)]
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def damaged(rng, text, likeness, how):
+    """A copy whose Jaccard similarity in five-word shingles is just at or above `likeness`."""
+    w, own = text.split(), shingles(text)
+    out = w
+    for k in range(1, len(w)):
+        if how == "truncated":
+            new = w[:-k]
+        elif how == "appended":
+            new = w + [f"n{rng.randrange(10**9)}" for _ in range(k)]
+        else:
+            new = list(out)
+            new[rng.randrange(len(new))] = f"n{rng.randrange(10**9)}"
+        got = shingles(" ".join(new))
+        if len(own & got) < likeness * len(own | got):
+            return " ".join(out)
+        out = new
+
+
+@pytest.mark.parametrize("group", [256, 3])
+def test_near_copies_are_those_of_exact_similarity(spark, monkeypatch, group):
+    import random
+
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = random.Random(3)
+    line = " ".join(f"common{k}" for k in range(12))
+    made = []
+    for how, likeness in itertools.product(["truncated", "appended", "edited"], [0.7, 0.75, 0.8, 0.85, 0.9]):
+        for n in (15, 40, 120, 300):
+            base = " ".join(f"w{rng.randrange(9000)}" for _ in range(n)) + (" " + line if n > 20 else "")
+            # a chain, so that some are alike only over others
+            made += [base, damaged(rng, base, likeness, how), damaged(rng, damaged(rng, base, likeness, how), likeness, how)]
+    made += [line, line + " x", "", "one two", "one two", None]
+    sets = [shingles(t) for t in made]
+    top = list(range(len(made)))
+    for i, j in itertools.combinations(range(len(made)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(top))
+
+
+def test_only_sets_under_the_similarity_are_ruled_out():
+    rng = np.random.default_rng(5)
+    most = 1 << 48
+    for n, other in ((4, 4), (30, 33), (200, 200), (2000, 2300), (1000, 1024)):
+        a = np.unique(rng.integers(0, most, n).astype(np.uint64))
+        for shared in np.linspace(0, n, 40).astype(int):
+            b = np.unique(np.concatenate([rng.permutation(a)[:shared], rng.integers(0, most, max(other - shared, 1)).astype(np.uint64)]))
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            x, y = (a, b) if len(a) <= len(b) else (b, a)
+            cells = [simhash.cell_counts(v).tobytes() for v in (x, y)]
+            got = simhash.may_be_alike(*cells, len(x), len(y), 0.8)
+            assert (got or true < 0.8) and (n < 200 or true > 0.5 or not got)
+            assert simhash.candidates(cells, np.array([len(x), len(y)]), np.array([0, 1]), 0.8).all() == got
+            assert bool(simhash.linked([a, b], np.array([0, 1]), 0.8)) == (true >= 0.8)
+
+
 # --- lines
 
 
