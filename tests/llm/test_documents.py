@@ -335,6 +335,15 @@ def test_only_sets_under_the_similarity_are_ruled_out():
             assert bool(simhash.linked([a, b], np.array([0, 1]), 0.8)) == (true >= 0.8)
 
 
+@pytest.mark.parametrize("n,shared,alike", [(6, 5, False), (20, 17, False), (100, 86, False), (300, 257, False), (9, 8, True), (90, 80, True), (270, 240, True)])
+def test_similarity_is_decided_exactly(spark, n, shared, alike):
+    """Shared runs of words give 0.714, 0.739, 0.754 and 0.749, or 0.8 exactly."""
+    words = [f"w{k}" for k in range(n + 4)]
+    other = words[: shared + 4] + [f"x{k}" for k in range(n - shared)]
+    kept = simhash.keep_one(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string"))
+    assert kept.count() == 2 - alike
+
+
 # --- lines
 
 
