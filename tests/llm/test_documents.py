@@ -448,6 +448,20 @@ def test_long_dialogues_are_rendered_in_parts(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_parts_have_all_participants_and_the_system_turn(spark):
+    turns = [(1, 0, "system", "be kind")] + [(1, 1000 * k, "ann" if k < 12 else "bob", f"t{k}") for k in range(1, 25)] + [(1, 5500, "system", "later")]
+    got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), part=10).orderBy("part", "speaker").collect()
+    assert [(r["part"], r["speaker"], r["n_turns"], r["n_spoken"]) for r in got] == [
+        (0, "ann", 10, 8), (0, "bob", 10, 0), (1, "ann", 10, 3), (1, "bob", 10, 7), (2, "ann", 6, 0), (2, "bob", 6, 6)
+    ]
+    for r in got:
+        assert r["text"].startswith("<|im_start|>system\nbe kind<|im_end|>\n") and r["text"].count("be kind") == 1
+        assert ("later" in r["text"]) == (r["part"] == 0)
+        spoken = [r["text"][m["start"] : m["end"]] for m in r["mask"]]
+        own = [f"{t[3]}<|im_end|>" for t in sorted(turns, key=lambda t: t[1])[10 * r["part"] : 10 * r["part"] + 10] if t[2] == r["speaker"]]
+        assert spoken == own
+
+
 # --- decontamination
 
 FOLD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
