@@ -358,7 +358,7 @@ def svm_rescore_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def svm_rescore_distributed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = learn.rescored(V.psm_lines(spark, sf), Params(max_iter=2), task_rows=0)
+    rows = learn.rescored(V.psm_lines(spark, sf), Params(), task_rows=0)
     return td.qvalues(rows.select("row_id", "label", "score", "fold")).select("row_id", "label", "fold", "score", "q")
 
 
@@ -374,8 +374,8 @@ def select_c(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def nested_selection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.psm_emb(spark, sf, planted=True).withColumn("features", F.slice("features", 57, 9))
-    scored = learn.cross_validated(rows, Params(nested=True, max_iter=3))
+    rows = V.psm_emb(spark, sf, planted=True)
+    scored = learn.cross_validated(rows, Params(nested=True))
     return learn.fold_choices(scored).drop("weights")
 
 

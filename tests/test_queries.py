@@ -22,3 +22,25 @@ def test_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_learning_queries_use_all_features_and_rounds(spark, monkeypatch):
+    from rescora.operators import features, learn
+    from rescora.plans import catalogue
+    from rescora.plans.params import Params
+
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def look(df, p, *a, **k):
+        seen.append((features.width(df), p))
+        raise Seen
+
+    monkeypatch.setattr(learn, "cross_validated", look)
+    monkeypatch.setattr(learn, "rescored", look)
+    for run in (catalogue.nested_selection, catalogue.svm_rescore_distributed):
+        with pytest.raises(Seen):
+            run(spark, "/root/testdata/sf0.001")
+    assert seen[0] == (65, Params(nested=True)) and seen[1][1] == Params()
