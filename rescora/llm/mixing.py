@@ -115,19 +115,46 @@ def _fills(placed: DataFrame) -> DataFrame:
     return best.select(F.col("source").alias("_s"), F.col("b._end").alias("_fill"))
 
 
+def _filled(placed: DataFrame) -> DataFrame:
+    """The rows (_k, _e) beyond the last partial pass that fill what is missing, until no row that is left fits.
+
+    Each round takes, of the rows that aren't larger than the gap, the first by hash up to it.
+    """
+    fits = F.col("_end") <= F.col("_rest")
+    gaps = placed.groupBy("_key").agg((F.first("_rest") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("_gap"))
+    left = placed.where(~fits & (F.col("size") > 0)).select("_key", "_cell", "_h", "doc_id", "size", "_end")
+    out = None
+    while True:
+        left = materialise(left.join(gaps, "_key").where("size <= _gap"), "mix-left")
+        taken = running_sum(left, {"_sum": F.col("size")}, ["_key"], "_cell", [F.col("_h"), F.col("doc_id"), F.col("size")])
+        taken = materialise(taken.where("_sum <= _gap").select(F.col("_key").alias("_k"), F.col("_end").alias("_e"), "size", "_gap"), "mix-taken")
+        out = taken if out is None else out.unionByName(taken)
+        if taken.isEmpty():
+            return out.select("_k", "_e")
+        gaps = materialise(taken.groupBy("_k").agg((F.first("_gap") - F.sum("size")).alias("_gap")), "mix-gaps").withColumnRenamed("_k", "_key")
+        left = left.drop("_gap").join(taken, (F.col("_key") == F.col("_k")) & (F.col("_end") == F.col("_e")), "left_anti")
+
+
 def mix(
-    docs: DataFrame, schedules: Sequence[Knots] = CURRICULUM, most_repeats: int = MOST_REPEATS
+    docs: DataFrame, schedules: Sequence[Knots] = CURRICULUM, most_repeats: int = MOST_REPEATS, fill: bool = False
 ) -> DataFrame:
     """Every row of `docs` with size, source_size, target, taken, repeats and positions (one for each copy, ascending).
 
+    The last partial pass stops at the first row by hash that is too long; one row, the nearest to what is missing, is
+    added, as in the query's SQL. With `fill`, all rows are that fit, until what is missing is below the smallest left.
     The plan is made on a written table without the texts; only the small tables that come of it join the documents.
     """
     compact = materialise(prepared(docs).select("doc_id", "source", "_key", "size", "_h", "_cell"), "mix-rows")
     targets = materialise(source_targets(compact, schedules, most_repeats), "mix-targets")
-    fills = materialise(_fills(materialise(_placed(compact, targets), "mix-placed")), "mix-fills")
+    placed = materialise(_placed(compact, targets), "mix-placed")
+    fills = _filled(placed) if fill else materialise(_fills(placed), "mix-fills")
     bare = set(docs.columns) == {"doc_id", "source", "text"}
     rows = _placed(compact if bare else prepared(docs), targets)
-    rows = rows.join(fills, F.col("source").eqNullSafe(F.col("_s")), "left")
+    if fill:
+        found = fills.select("_k", "_e", F.col("_e").alias("_fill"), F.col("_k").alias("_s"))
+        rows = rows.join(found, (F.col("_key") == F.col("_k")) & (F.col("_end") == F.col("_e")), "left").drop("_k", "_e")
+    else:
+        rows = rows.join(fills, F.col("source").eqNullSafe(F.col("_s")), "left")
     extra = (F.col("_end") <= F.col("_rest")) | F.coalesce(F.col("_end") == F.col("_fill"), F.lit(False))
     rows = rows.withColumn("repeats", F.least(F.col("_full") + extra.cast("int"), F.lit(most_repeats)))
     start = F.col("_end") - F.col("size")
