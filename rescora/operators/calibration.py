@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import drawn
+from .names import own_names
+from .ordering import in_order, running_sum
 from .targetdecoy import qvalues, yield_at
 
+# The limits that reports use, and the normal quantile of a 95 % interval.
 CUTS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1)
 Z = 1.959963984540054
 
@@ -35,29 +38,49 @@ def wilson(k: Column, n: Column, z: float = Z) -> Column:
     return F.struct(F.try_divide(middle - half, scale).alias("low"), F.try_divide(middle + half, scale).alias("high"))
 
 
-def entrapment(df: DataFrame, cuts: Sequence[float] = CUTS) -> DataFrame:
-    """By cut (q at most the cut): accepted, foreign, and the false discovery proportion with its interval.
+def entrapment(df: DataFrame, cuts: Sequence[float] = CUTS, fraction: float | None = None) -> DataFrame:
+    """By method and cut (q at most the cut): accepted, foreign, mixed, and the false discovery proportion with its interval.
 
-    Foreign targets are certainly wrong; the share of passing decoys that are foreign estimates how much of the wrong
-    matches they are, so the proportion is foreign / accepted / that share.
+    Foreign targets are certainly wrong; the share of passing decoys that are foreign, those with mixed proteins left
+    out, estimates how much of the wrong matches they are, so the proportion is foreign / accepted / that share. Without
+    such decoys the share is `fraction`, the foreign part of the searched residues; null if that isn't given. Without
+    accepted targets the proportion is 0. Columns mixed and method may be missing; all rows are one method then, named "".
     """
-    target, inside = F.col("label") > 0, F.col("q") <= F.col("cut")
-    rows = df.select("label", "q", "foreign").crossJoin(F.broadcast(df.sparkSession.createDataFrame([(float(c),) for c in cuts], "cut double")))
-    agg = rows.groupBy("cut").agg(
-        F.count_if(target & inside).alias("accepted"), F.count_if(target & inside & F.col("foreign")).alias("foreign"),
-        F.count_if(~target & inside).alias("decoys"), F.count_if(~target & inside & F.col("foreign")).alias("foreign_decoys"),
-    )
-    share = F.try_divide(F.col("foreign_decoys").cast("double"), F.col("decoys").cast("double"))
+    if "mixed" not in df.columns:
+        df = df.withColumn("mixed", F.lit(False))
+    if "method" not in df.columns:
+        df = df.withColumn("method", F.lit(""))
+    target, foreign, mixed = F.col("label") > 0, F.col("foreign"), F.col("mixed")
+    counts = []
+    for k, c in enumerate(cuts):
+        here = F.col("q") <= float(c)
+        counts += [
+            F.count_if(here & x).alias(f"{n}{k}")
+            for n, x in (("a", target), ("f", target & foreign), ("m", target & mixed), ("d", ~target & ~mixed), ("e", ~target & ~mixed & foreign))
+        ]
+    rows = [
+        F.struct(F.lit(float(c)).alias("cut"), *[F.col(f"{n}{k}").alias(name) for n, name in (("a", "accepted"), ("f", "foreign"), ("m", "mixed"), ("d", "decoys"), ("e", "foreign_decoys"))])
+        for k, c in enumerate(cuts)
+    ]
+    agg = df.groupBy("method").agg(*counts).select("method", F.explode(F.array(*rows)).alias("r")).select("method", "r.*")
+    share = F.when(F.col("decoys") > 0, F.col("foreign_decoys") / F.col("decoys")).otherwise(F.lit(fraction).cast("double"))
     bounds = wilson(F.col("foreign"), F.col("accepted"))
-    return agg.select(
-        "cut", "accepted", "foreign", share.alias("foreign_share"),
-        F.try_divide(F.try_divide(F.col("foreign").cast("double"), F.col("accepted").cast("double")), share).alias("fdp"),
-        F.try_divide(bounds["low"], share).alias("fdp_low"), F.try_divide(bounds["high"], share).alias("fdp_high"),
+    none = F.col("accepted") == 0
+    scaled = lambda x: F.when(none, 0.0).otherwise(F.try_divide(x, F.col("foreign_share")))
+    return agg.withColumn("foreign_share", share).select(
+        "method", "cut", "accepted", "foreign", "mixed", "foreign_share",
+        scaled(F.try_divide(F.col("foreign").cast("double"), F.col("accepted").cast("double"))).alias("fdp"),
+        scaled(F.greatest(bounds["low"], F.lit(0.0))).alias("fdp_low"), scaled(F.least(bounds["high"], F.lit(1.0))).alias("fdp_high"),
     )
 
 
+@own_names
 def residue_budget(foreign: DataFrame, budget: int, order: Sequence[Column]) -> DataFrame:
-    """Sequences in order until their residues reach the budget; the one that reaches it is taken."""
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum(F.length("sequence")).over(before), F.lit(0))
-    return foreign.withColumn("_before", taken).where(F.col("_before") < budget).drop("_before")
+    """Sequences in order until their residues reach the budget; the one that reaches it is taken.
+
+    `order` ends in a key; columns, or their names.
+    """
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    rows = in_order(foreign, order, foreign.count())
+    rows = running_sum(rows, {"_upto": F.length("sequence").cast("long")}, [], "_b", order)
+    return rows.where(F.col("_upto") - F.length("sequence") < budget).drop("_upto", "_b")

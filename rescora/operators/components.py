@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 
 
 #: A node's links are dealt to so many parts, since a hub may have a third of all.
@@ -80,7 +80,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", one_task:
         kind = edges.schema["u"].dataType.simpleString()
         return edges.coalesce(1).mapInArrow(_in_one_task, f"node {kind}, component {kind}")
     while before[0]:
+        last = edges
         edges = materialise(_star(_star(edges, True), False), "edges")
+        discard(last)
         now = _digest(edges)
         if now == before:
             break

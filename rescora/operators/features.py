@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import linear_score
+from .names import own_names
 from .targetdecoy import ONE_TASK, TEST_FDR, pi0_of, yields_of
 
 LEAST_SD = 1e-12
@@ -78,6 +79,7 @@ def top_features(yields: DataFrame, k: int) -> DataFrame:
     return rank_features(yields).where(F.col("rank") <= k)
 
 
+@own_names
 def standardise_scores(df: DataFrame, train: Column, score: str = "score", out: str = "standard") -> DataFrame:
     """Score minus the mean, over the deviation, of training decoys; of all training rows with under two decoys."""
     decoy = train & (F.col("label") < 0)

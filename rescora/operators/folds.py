@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import own_names
 from .ordering import running_sum
 
 #: Hexadecimal digits of a draw that cut rows into cells.
@@ -29,12 +30,14 @@ def draw_rank(df: DataFrame, draw: Column, keys: Sequence[str] = (), tie: Sequen
     return running_sum(df, {out: F.lit(1).cast("long")}, keys, "_cell", order).drop("_draw", "_cell")
 
 
+@own_names
 def assign_folds(df: DataFrame, k: int = 3, seed: int = 1, out: str = "fold") -> DataFrame:
     """Folds 0 to k - 1 whose sizes differ by one at most."""
     rows = draw_rank(df, drawn(seed, "fold", F.col("row_id")), out="_r")
     return rows.withColumn(out, ((F.col("_r") - 1) % k).cast("int")).drop("_r")
 
 
+@own_names
 def assign_grouped_folds(df: DataFrame, keys: Sequence[str], k: int = 3, seed: int = 1, out: str = "fold") -> DataFrame:
     """Folds over the distinct keys; rows of one key are together."""
     groups = df.select(*keys).distinct()
@@ -55,6 +58,7 @@ def training_cap(df: DataFrame, cap: int, seed: int = 1) -> DataFrame:
     return pos.unionByName(neg)
 
 
+@own_names
 def permute(df: DataFrame, column: str, within: Sequence[str] = ("fold",), seed: int = 1, out: str = "permuted") -> DataFrame:
     """Append the column as shuffled over the rows of each group: one draw's order is laid beside another's."""
     a = draw_rank(df, drawn(seed, f"{column}:to", F.col("row_id")), within, out="_k")

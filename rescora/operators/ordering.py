@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
+#: Rows of a cell of in_order(), and the most cells.
+CELL_ROWS, MOST_CELLS = 250_000, 1 << 16
 #: More buckets than this are never asked for; the bounds go to the driver.
 MOST_BUCKETS = 4096
 
@@ -59,3 +63,13 @@ def running_sum(
     on = [F.col(c) == F.col(f"_k_{c}") for c in cells]
     out = out.join(base, on, "left")
     return out.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in sums}).drop(*[c for c in base.columns])
+
+
+def in_order(df: DataFrame, order: Sequence[Column], rows: int, cell: str = "_b") -> DataFrame:
+    """A written table with `cell`, rising along `order` over all rows; cells have about CELL_ROWS of the `rows` rows.
+
+    Cells are cut in the whole order, so where `order` ends in a key, rows of one hot value are cut as well.
+    """
+    n = max(1, min(MOST_CELLS, -(-rows // CELL_ROWS)))
+    dealt = df.repartitionByRange(n, *order) if n > 1 else df
+    return materialise(dealt.withColumn(cell, F.spark_partition_id() if n > 1 else F.lit(0)), "in-order")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import retention
+from .names import own_names
 
 
 def line_fit(x: Column, y: Column, use: Column) -> Column:
@@ -31,11 +32,12 @@ def fits(df: DataFrame) -> DataFrame:
     return agg.select("source", pick["slope"].alias("slope"), pick["intercept"].alias("intercept"))
 
 
+@own_names
 def with_retention(df: DataFrame) -> DataFrame:
     """Append rt_predicted, rt_abs_error and rt_sq_error; fitted for each source by itself."""
-    fit = fits(df).withColumnRenamed("source", "_source")
+    fit = fits(df).select(F.col("source").alias("_source"), F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"))
     out = df.join(fit, F.col("source").eqNullSafe(F.col("_source")))
-    expected = F.col("slope") * retention(F.col("peptide")) + F.col("intercept")
-    out = out.withColumn("rt_predicted", expected).drop("slope", "intercept", "_source")
+    expected = F.col("_slope") * retention(F.col("peptide")) + F.col("_intercept")
+    out = out.withColumn("rt_predicted", expected).drop("_slope", "_intercept", "_source")
     off = F.col("scan").cast("double") - F.col("rt_predicted")
     return out.withColumns({"rt_abs_error": F.abs(off), "rt_sq_error": off * off})

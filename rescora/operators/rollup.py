@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import core_peptide, one_hot
+from .names import own_names
+from .ordering import in_order, running_sum
 from .targetdecoy import yield_at
 
 
+@own_names
 def best_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The row with the highest score of each key, the first by row_id on ties."""
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("row_id").asc())
@@ -58,11 +61,12 @@ def yield_of_sources(df: DataFrame, fdr: float = 0.01) -> DataFrame:
     return df.groupBy("source").agg(yield_at(fdr).alias("accepted"))
 
 
+@own_names
 def interleaved_by_size(df: DataFrame, size: str = "size", name: str = "name") -> DataFrame:
     """Largest, smallest, second largest, ...: position 1 on."""
-    down = F.row_number().over(Window.orderBy(F.col(size).desc(), F.col(name)))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    rows = df.withColumn("_d", down).withColumn("_n", n)
+    n = df.count()
+    order = [F.col(size).desc(), F.col(name)]
+    rows = running_sum(in_order(df, order, n), {"_d": F.lit(1).cast("long")}, [], "_b", order)
     first = F.col("_d") * 2 - 1
-    place = F.when(first <= F.col("_n"), first).otherwise((F.col("_n") - F.col("_d") + 1) * 2)
-    return rows.withColumn("position", place).drop("_d", "_n")
+    place = F.when(first <= n, first).otherwise((F.lit(n) - F.col("_d") + 1) * 2)
+    return rows.withColumn("position", place).drop("_d", "_b")

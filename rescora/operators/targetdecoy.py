@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .ordering import MOST_BUCKETS, range_bounds, range_bucket, running_sum
+from .names import own_names
+from .ordering import in_order, running_sum
 
 ONE_TASK = 1_000_000
-#: Rows of a score range in the two-pass form.
-RANGE_ROWS = 250_000
 TEST_FDR = 0.01
 
 
@@ -41,38 +40,40 @@ def _fdr(targets: Column, decoys: Column, pi0: Column) -> Column:
     return F.when(targets > 0, F.least(pi0 * decoys / targets, F.lit(1.0))).otherwise(F.lit(1.0))
 
 
-def _in_ranges(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """A written table with _g, a hash of the keys, and _b, the score range within them, worse scores later."""
-    df = materialise(df.withColumn("_g", F.xxhash64(*keys) if keys else F.lit(0).cast("long")), "scores")
-    n = min(MOST_BUCKETS, max(2, df.count() // RANGE_ROWS))
-    cuts = df.groupBy("_g").agg(F.percentile_approx(score, [k / n for k in range(1, n)], n * 20).alias("_cuts"))
-    df = df.join(cuts.withColumnRenamed("_g", "_kg"), F.col("_g") == F.col("_kg"))
-    above = F.size(F.filter("_cuts", lambda c: c < F.col(score)))
-    return df.withColumn("_b", -F.coalesce(above, F.lit(0))).drop("_cuts", "_kg")
+def _in_ranges(df: DataFrame, keys: Sequence[str], score: str, rows: int) -> DataFrame:
+    """A written table with _g, a hash of the keys, and _b, cells along (keys, falling score, row_id)."""
+    df = df.withColumn("_g", F.xxhash64(*keys) if keys else F.lit(0).cast("long"))
+    return in_order(df, [F.col("_g"), F.col(score).desc(), F.col("row_id")], rows)
 
 
-def _counted(df: DataFrame, keys: Sequence[str], score: str, one_task: int) -> tuple[DataFrame, bool]:
-    """Append _t and _d, targets and decoys down to each rank; whether by score ranges."""
+def _counted(df: DataFrame, keys: Sequence[str], score: str, pi0: Column | float | None, one_task: int) -> tuple[DataFrame, bool]:
+    """Append _pi0, and _t and _d, targets and decoys down to each rank; whether by score ranges.
+
+    One aggregation over the rows gives their number and pi0.
+    """
+    known = pi0 is not None
+    if known:
+        df = df.withColumn("_pi0", F.lit(float(pi0)) if isinstance(pi0, (int, float)) else pi0)
+    if not keys:
+        row = df.agg(F.count(F.lit(1)).alias("n"), pi0_of(F.col("label")).alias("p")).first()
+        rows = row["n"]
+        df = df if known else df.withColumn("_pi0", F.lit(float(row["p"])))
+    elif known:
+        rows = df.count()
+    else:
+        own = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), pi0_of(F.col("label")).alias("_pi0")), "label-counts")
+        rows = own.agg(F.sum("_n")).first()[0] or 0
+        own = own.select("_pi0", *[F.col(k).alias(f"_p_{k}") for k in keys])
+        df = df.join(own, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys]).drop(*[f"_p_{k}" for k in keys])
     best = [F.col(score).desc(), F.col("row_id").asc()]
     ones = {"_t": (F.col("label") > 0).cast("long"), "_d": (F.col("label") < 0).cast("long")}
-    if df.count() <= one_task:
+    if rows <= one_task:
         down = Window.partitionBy(*keys).orderBy(*best).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({k: F.sum(v).over(down) for k, v in ones.items()}), False
-    return running_sum(_in_ranges(df, keys, score), ones, ["_g"], "_b", best), True
-
-
-def _with_pi0(df: DataFrame, keys: Sequence[str], pi0: Column | float | None) -> DataFrame:
-    if isinstance(pi0, (int, float)):
-        return df.withColumn("_pi0", F.lit(float(pi0)))
-    if pi0 is not None:
-        return df.withColumn("_pi0", pi0)
-    own = df.groupBy(*keys).agg(pi0_of(F.col("label")).alias("_pi0"))
-    if not keys:
-        return df.crossJoin(F.broadcast(own))
-    own = own.select("_pi0", *[F.col(k).alias(f"_p_{k}") for k in keys])
-    return df.join(own, [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys]).drop(*[f"_p_{k}" for k in keys])
+    return running_sum(_in_ranges(df, keys, score, rows), ones, ["_g"], "_b", best), True
 
 
+@own_names
 def qvalues(
     df: DataFrame,
     keys: Sequence[str] = (),
@@ -86,7 +87,7 @@ def qvalues(
     Over falling score, the false discovery rate at a rank is pi0 * decoys / targets so far (1 before any target, at
     most 1); q is its minimum from the worst rank up. pi0: a number, a column equal within keys, or None to estimate.
     """
-    df, ranges = _counted(_with_pi0(df, keys, pi0), keys, score, one_task)
+    df, ranges = _counted(df, keys, score, pi0, one_task)
     df = df.withColumn("_f", _fdr(F.col("_t"), F.col("_d"), F.col("_pi0")))
     cells = ["_g", "_b"] if ranges else list(keys)
     up = Window.partitionBy(*cells).orderBy(F.col(score).asc(), F.col("row_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -110,6 +111,7 @@ def yield_at(fdr: float = TEST_FDR, q: str = "q") -> Column:
     return F.count_if((F.col("label") > 0) & (F.col(q) < fdr))
 
 
+@own_names
 def yields_of(
     df: DataFrame, keys: Sequence[str], pi0: Column | float | None, fdr: float = TEST_FDR, score: str = "score", one_task: int = ONE_TASK
 ) -> DataFrame:
@@ -118,7 +120,7 @@ def yields_of(
     A rank's q-value is under the limit if a rate at it or a worse rank is, so all targets down to the last such rank
     are accepted, and one ordering is enough.
     """
-    rows, _ = _counted(_with_pi0(df, keys, pi0), keys, score, one_task)
+    rows, _ = _counted(df, keys, score, pi0, one_task)
     passed = F.when(_fdr(F.col("_t"), F.col("_d"), F.col("_pi0")) < fdr, F.col("_t"))
     return rows.groupBy(*keys).agg(F.coalesce(F.max(passed), F.lit(0)).alias("n"))
 
@@ -145,6 +147,7 @@ def pool(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array(v), np.array(w), np.array(n, np.int64)
 
 
+@own_names
 def peps(df: DataFrame, keys: Sequence[str] = (), pi0: Column | float | None = None, score: str = "score", out: str = "pep") -> DataFrame:
     """Append the error probability: min(1, 2 * pi0 * isotonic fit of the decoy share along worsening score).
 
@@ -153,9 +156,7 @@ def peps(df: DataFrame, keys: Sequence[str] = (), pi0: Column | float | None = N
     """
     p = df.groupBy(*keys).agg(pi0_of(F.col("label")).alias("_pi0")) if pi0 is None else None
     order = [F.col(score).desc(), F.col("row_id").asc()]
-    df = materialise(df, "scores")
-    bounds = range_bounds(df, score, max(1, df.count() // RANGE_ROWS))
-    df = df.withColumn("_b", -range_bucket(F.col(score), bounds))
+    df = in_order(df, order, df.count())
     cells = [*keys, "_b"]
     at = Window.partitionBy(*cells).orderBy(*order)
     ranked = df.withColumn("_r", F.row_number().over(at))
@@ -188,7 +189,17 @@ def peps(df: DataFrame, keys: Sequence[str] = (), pi0: Column | float | None = N
     return out_.withColumn(out, F.least(F.lit(2.0) * F.col("_pi0") * F.col("_fit"), F.lit(1.0))).drop("_b", "_r", "_fit", "_pi0")
 
 
+@own_names
 def bayes_qvalues(df: DataFrame, keys: Sequence[str] = ("is_decoy",), pep: str = "pep", out: str = "q") -> DataFrame:
-    """Append the mean error probability of all rows up to this one's, ties included, over rising probability."""
-    upto = Window.partitionBy(*keys).orderBy(pep).rangeBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(pep).over(upto) / F.count(F.lit(1)).over(upto))
+    """Append the mean error probability of all rows up to this one's, ties included, over rising probability.
+
+    Sums and counts of each probability are summed up cell by cell; rows get those of their own.
+    """
+    per = df.groupBy(*keys, pep).agg(F.sum(pep).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    per = per.withColumn("_g", F.xxhash64(*keys) if keys else F.lit(0).cast("long"))
+    per = materialise(per, "probabilities")
+    per = in_order(per, [F.col("_g"), F.col(pep)], per.count())
+    upto = running_sum(per, {"_us": F.col("_s"), "_un": F.col("_n")}, ["_g"], "_b", [F.col(pep)])
+    upto = upto.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, pep)], (F.col("_us") / F.col("_un")).alias("_q"))
+    rows = df.join(upto, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, pep)])
+    return rows.withColumn(out, F.col("_q")).drop("_q", *[f"_k_{k}" for k in (*keys, pep)])

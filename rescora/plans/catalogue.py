@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import bayes, calibration, compare, features, folds, learn, proteins, retention, rollup
 from ..operators import targetdecoy as td
+from ..operators.calibration import CUTS
+from ..session import materialise
+from ..sources.matches import Layout, parsed
+from ..sources.results import entrapment_class
 from . import views as V
 from .params import Params
 
-CUTS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.1)
 #: Weights of the fixed linear score over the lineitem features.
 LINE_WEIGHTS = (0.5, 0.0001, -2.0, 3.0)
 WIDTHS = {"A": 4, "N": 4, "R": 4}
@@ -340,36 +343,51 @@ def bp_posterior(spark: SparkSession, sf: str) -> DataFrame:
 # --- learning ---------------------------------------------------------------------------------------------------
 
 
-def _learned(spark: SparkSession, sf: str, p: Params) -> DataFrame:
-    rows = learn.rescored(V.psm_emb(spark, sf, planted=True), p)
-    return td.qvalues(rows.select("row_id", "label", "score", "fold")).select("row_id", "label", "fold", "score", "q")
+def _learned(spark: SparkSession, rows: DataFrame, p: Params, task_rows: int = learn.TASK_ROWS) -> DataFrame:
+    """Held-out scores, written once, with their q-values."""
+    scored = learn.cross_validated(rows.select("row_id", "label", "features"), p, task_rows=task_rows)
+    scored = materialise(scored.select("row_id", "label", "score", "fold"), "learned")
+    return td.qvalues(scored).select("row_id", "label", "fold", "score", "q")
 
 
 @query
 def svm_rescore(spark: SparkSession, sf: str) -> DataFrame:
-    return _learned(spark, sf, Params())
+    return _learned(spark, V.psm_emb(spark, sf, planted=True), Params())
 
 
 @query
 def svm_rescore_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = learn.rescored(V.psm_lines(spark, sf), Params())
-    return td.qvalues(rows.select("row_id", "label", "score", "fold")).select("row_id", "label", "fold", "score", "q")
+    return _learned(spark, V.psm_lines(spark, sf), Params())
 
 
 @query
 def svm_rescore_distributed(spark: SparkSession, sf: str) -> DataFrame:
-    rows = learn.rescored(V.psm_lines(spark, sf), Params(), task_rows=0)
-    return td.qvalues(rows.select("row_id", "label", "score", "fold")).select("row_id", "label", "fold", "score", "q")
+    """svm_rescore_lines by partial sums, as beyond the rows of a task."""
+    return _learned(spark, V.psm_lines(spark, sf), Params(), task_rows=0)
+
+
+@query
+def repeated_lines_rescored(spark: SparkSession, sf: str) -> DataFrame:
+    """events as match lines, those of every seventh user three times over: all are rows of their own after rescoring."""
+    rows = V.psm_events(spark, sf)
+    times = F.when(F.col("scan") % 7 == 0, 3).otherwise(1)
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), times)))
+    number = lambda c: c.cast("decimal(18,4)").cast("string")
+    line = F.concat_ws("\t", F.col("row_id").cast("string"), F.col("label").cast("string"), F.col("scan").cast("string"), number(F.col("score")), "peptide", "proteins")
+    found = parsed(rows.select(F.lit("events").alias("source"), line.alias("value")), Layout(("SpecId", "Label", "ScanNr", "f1", "Peptide", "Proteins")))
+    scored = learn.rescored(materialise(found, "lines"), Params(max_iter=2))
+    per = scored.groupBy("spec_id", "label", "scan").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("row_id").alias("ids"))
+    return per.select(F.col("spec_id").cast("long").alias("spec_id"), "label", "scan", "rows", "ids")
 
 
 @query
 def mlp_rescore(spark: SparkSession, sf: str) -> DataFrame:
-    return _learned(spark, sf, Params(model="mlp"))
+    return _learned(spark, V.psm_emb(spark, sf, planted=True), Params(model="mlp"))
 
 
 @query
 def select_c(spark: SparkSession, sf: str) -> DataFrame:
-    return _learned(spark, sf, Params(select_c=True))
+    return _learned(spark, V.psm_emb(spark, sf, planted=True), Params(select_c=True))
 
 
 @query
@@ -394,9 +412,10 @@ def null_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def entrapment_fdp(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.psm_events(spark, sf).withColumn("foreign", F.col("scan") % 3 == 0)
-    out = calibration.entrapment(td.qvalues(rows))
-    return out.select("cut", "accepted", "foreign", *[r6(c).alias(c) for c in ("foreign_share", "fdp", "fdp_low", "fdp_high")])
+    foreign, mixed = F.col("scan") % 3 == 0, (F.col("scan") % 3 != 0) & (F.col("scan") % 5 == 0)
+    rows = td.qvalues(V.psm_events(spark, sf)).withColumns({"foreign": foreign, "mixed": mixed, "method": F.col("source")})
+    out = calibration.entrapment(rows, fraction=0.5)
+    return out.select("method", "cut", "accepted", "foreign", "mixed", *[r6(c).alias(c) for c in ("foreign_share", "fdp", "fdp_low", "fdp_high")])
 
 
 @query
@@ -448,8 +467,6 @@ def median_of_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def results_class(spark: SparkSession, sf: str) -> DataFrame:
-    from ..sources.results import entrapment_class
-
     foreign = F.when(F.col("scan") % 4 == 0, F.lit("ENT_X1")).otherwise(F.col("proteins"))
     rows = V.psm_events(spark, sf).select(F.col("score").alias("q-value"), F.concat_ws(";", foreign, F.when(F.col("scan") % 3 == 0, F.lit("ENT_Y2"))).alias("proteinIds"))
     return entrapment_class(rows).groupBy("pure", "mixed").agg(F.count(F.lit(1)).alias("rows"))
@@ -458,8 +475,6 @@ def results_class(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parsed_lines(spark: SparkSession, sf: str) -> DataFrame:
     """events written as ragged match lines and parsed again."""
-    from ..sources.matches import Layout, parsed
-
     rows = V.psm_events(spark, sf)
     line = F.concat_ws("\t", F.col("row_id").cast("string"), F.col("label").cast("string"), F.concat(F.lit("s"), F.col("scan").cast("string")), F.lit("1.0"), F.lit("bad"), (F.col("scan") % 50).cast("string"), "peptide", "proteins", F.when(F.col("scan") % 2 == 0, "Q2"))
     layout = Layout(("SpecId", "Label", "ScanNr", "ExpMass", "f1", "f2", "Peptide", "Proteins"))

@@ -191,11 +191,12 @@ _W = "(p + {s} * 1.959963984540054 * sqrt(p * (1 - p) / accepted + 3.84145882069
 oracle(
     "entrapment_fdp", "psm_events",
     _q("psm") + """, c AS (SELECT unnest([0.001, 0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[]) AS cut),
-  a AS (SELECT cut, count(*) FILTER (WHERE label > 0 AND q <= cut) AS accepted, count(*) FILTER (WHERE label > 0 AND q <= cut AND scan % 3 = 0) AS "foreign",
-    count(*) FILTER (WHERE label < 0 AND q <= cut)::DOUBLE AS decoys, count(*) FILTER (WHERE label < 0 AND q <= cut AND scan % 3 = 0)::DOUBLE AS fd FROM q, c GROUP BY cut),
-  b AS (SELECT *, fd / nullif(decoys, 0) AS share, "foreign"::DOUBLE / nullif(accepted, 0) AS p FROM a)
-  SELECT cut, accepted, "foreign", round(share, 6) AS foreign_share, round(p / nullif(share, 0), 6) AS fdp,
-    round(""" + _W.format(s="-1") + " / nullif(share, 0), 6) AS fdp_low, round(" + _W.format(s="1") + " / nullif(share, 0), 6) AS fdp_high FROM b",
+  k AS (SELECT *, source AS method, scan % 3 = 0 AS pure, scan % 3 <> 0 AND scan % 5 = 0 AS mix FROM q),
+  a AS (SELECT method, cut, count(*) FILTER (WHERE label > 0 AND q <= cut) AS accepted, count(*) FILTER (WHERE label > 0 AND q <= cut AND pure) AS "foreign", count(*) FILTER (WHERE label > 0 AND q <= cut AND mix) AS mixed,
+    count(*) FILTER (WHERE label < 0 AND q <= cut AND NOT mix)::DOUBLE AS decoys, count(*) FILTER (WHERE label < 0 AND q <= cut AND NOT mix AND pure)::DOUBLE AS fd FROM k, c GROUP BY method, cut),
+  b AS (SELECT *, CASE WHEN decoys > 0 THEN fd / decoys ELSE 0.5 END AS share, "foreign"::DOUBLE / nullif(accepted, 0) AS p FROM a)
+  SELECT method, cut, accepted, "foreign", mixed, round(share, 6) AS foreign_share, CASE WHEN accepted = 0 THEN 0 ELSE round(p / nullif(share, 0), 6) END AS fdp,
+    CASE WHEN accepted = 0 THEN 0 ELSE round(greatest(""" + _W.format(s="-1") + ", 0) / nullif(share, 0), 6) END AS fdp_low, CASE WHEN accepted = 0 THEN 0 ELSE round(least(" + _W.format(s="1") + ", 1) / nullif(share, 0), 6) END AS fdp_high FROM b",
 )
 oracle("residue_budget", "psm_docs", ", b AS (SELECT row_id, length(peptide) AS n, coalesce(sum(length(peptide)) OVER (ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM psm) SELECT row_id, n::BIGINT AS residues FROM b WHERE before < 200000")
 RUNS = """, base AS (SELECT scan::VARCHAR AS input, round(sum(score), 6) AS wall_s, count(*) FILTER (WHERE label > 0 AND score > 300) AS good, max(scan) AS m FROM psm GROUP BY scan),
@@ -226,3 +227,7 @@ oracle(
     "parsed_lines", "psm_events",
     " SELECT row_id::VARCHAR AS spec_id, label, scan, peptide, proteins || CASE WHEN scan % 2 = 0 THEN chr(9) || 'Q2' ELSE '' END AS proteins, 0.0::DOUBLE AS f1, (scan % 50)::DOUBLE AS f2 FROM psm",
 )
+oracle(
+    "repeated_lines_rescored", "psm_events",
+    " SELECT row_id::BIGINT AS spec_id, label, scan, CAST(CASE WHEN scan % 7 = 0 THEN 3 ELSE 1 END AS BIGINT) AS rows, CAST(CASE WHEN scan % 7 = 0 THEN 3 ELSE 1 END AS BIGINT) AS ids FROM psm",
+)

@@ -1,7 +1,7 @@
 """Tab-separated match inputs (.pin): reading into the canonical table, pooling, and writing.
 
-Canonical columns: row_id, source, spec_id, label, scan, peptide, proteins, features. row_id is a hash of source and
-line, alike in any partitioning; equal lines of one file share it.
+Canonical columns: row_id, source, spec_id, label, scan, peptide, proteins, features. row_id is a hash of the file and
+the line, alike in any partitioning; of equal lines of one file, each further one has a hash of that and its number.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import label_of, lenient_double, lenient_int
+from ..operators.ordering import running_sum
 
 SKIPPED = ("ExpMass", "CalcMass")
 DIRECTION = "DefaultDirection"
@@ -63,19 +64,31 @@ def source_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def numbered(rows: DataFrame, *key: str) -> DataFrame:
+    """Append row_id, a hash of `key` that no other row has: of rows with equal keys, the first keeps it.
+
+    Rows with equal keys are counted by the partition that they are read in, so that no task has all copies of a hot
+    row; which of equal rows gets which number makes no difference.
+    """
+    rows = rows.withColumn("_id", F.xxhash64(*key)).withColumn("_at", F.spark_partition_id())
+    rows = running_sum(rows, {"_no": F.lit(1).cast("long")}, ["_id"], "_at", [F.col(k) for k in key])
+    own = F.when(F.col("_no") == 1, F.col("_id")).otherwise(F.xxhash64("_id", "_no"))
+    return rows.withColumn("row_id", own).drop("_id", "_at", "_no")
+
+
 def parsed(lines: DataFrame, layout: Layout) -> DataFrame:
-    """Canonical rows of lines (source, value); too short ones drop out.
+    """Canonical rows of lines (source, value, and file where sources don't tell files apart); too short ones drop out.
 
     Unreadable numbers are 0; a label above 0 is a target, all else a decoy; everything after the peptide is proteins.
     """
     f = F.split("value", "\t", -1)
     last = layout.at("Peptide")
-    rows = lines.withColumn("value", F.regexp_replace("value", "\r$", "")).withColumn("f", f)
-    rows = rows.where((F.col("value") != "") & (F.size("f") > last))
+    rows = lines.withColumn("value", F.regexp_replace("value", "\r$", "")).where((F.col("value") != "") & (F.size(f) > last))
+    rows = numbered(rows, "file" if "file" in lines.columns else "source", "value").withColumn("f", f)
     field = lambda k: F.get("f", F.lit(k))
     scan = F.coalesce(lenient_int(field(layout.at("ScanNr"))), F.lit(0).cast("long"))
     return rows.select(
-        F.xxhash64("source", "value").alias("row_id"), "source", field(0).alias("spec_id"),
+        "row_id", "source", field(0).alias("spec_id"),
         label_of(field(layout.at("Label"))).alias("label"), scan.alias("scan"), field(last).alias("peptide"),
         F.array_join(F.slice("f", last + 2, F.greatest(F.size("f") - last - 1, F.lit(0))), "\t").alias("proteins"),
         F.array(*[lenient_double(field(k)) for k, _ in layout.features]).alias("features"),
@@ -88,7 +101,11 @@ def read_matches(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame,
     Files with one header are one scan.
     """
     by: dict[Layout, list[tuple[str, str | None]]] = {}
-    for path in discover(spark, paths):
+    found = discover(spark, paths)
+    # files of one name in several folders are told apart by their paths
+    names_ = [p.rsplit("/", 1)[-1] for p in found]
+    named = source_name if len(set(names_)) == len(names_) else lambda path: path
+    for path in found:
         layout, direction = layout_of(spark, path)
         by.setdefault(layout, []).append((path, direction))
     names = {tuple(n for _, n in k.features) for k in by}
@@ -96,12 +113,13 @@ def read_matches(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame,
         raise ValueError("the inputs have different features")
     tables = []
     for layout, files in by.items():
-        lines = spark.read.text([p for p, _ in files]).select(source_name(F.col("_metadata.file_path")).alias("source"), "value")
+        file = F.col("_metadata.file_path")
+        lines = spark.read.text([p for p, _ in files]).select(file.alias("file"), named(file).alias("source"), "value")
         header = "\t".join(layout.columns)
         out = F.regexp_replace("value", "\r$", "") == header
         for path, direction in files:
             if direction is not None:
-                out = out | ((F.col("source") == path.rsplit("/", 1)[-1]) & (F.regexp_replace("value", "\r$", "") == direction))
+                out = out | (F.col("file").endswith(path.split(":", 1)[-1].lstrip("/")) & (F.regexp_replace("value", "\r$", "") == direction))
         tables.append(parsed(lines.where(~out), layout))
     return reduce(DataFrame.unionByName, tables), list(names.pop())
 
@@ -148,7 +166,7 @@ def _headed(header: str):
     return run
 
 
-#: Columns of one search tool's files that can't be features, and the scan number inside its spectrum titles.
+# Columns of one search tool's files that can't be features, and the scan number inside its spectrum titles.
 TOOL_COLUMNS = ("posterior_error", "ion_mobility", "predicted_mobility", "sqrt(delta_mobility)")
 TITLE_SCAN = r"#(\d+)(?:\D.*)?$"
 

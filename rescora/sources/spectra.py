@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import charge_features, minus_log10
+from .matches import numbered
 
 #: Mass of a proton.
 PROTON = 1.00727646688
@@ -71,15 +72,19 @@ def as_matches(hits: DataFrame, names: list[str], decoy_prefix: str = "rev_") ->
     spec = F.concat_ws("_", F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", ""), F.col("_end_scan").cast("string"), charge.cast("string"), rank)
     rows = hits.select(
         spec.alias("spec_id"), label.alias("label"), F.col("_end_scan").alias("scan"), modified_peptide(h).alias("peptide"),
-        F.array_join(prot, "\t").alias("proteins"), features.alias("features"), F.element_at(F.split("file", "/"), -1).alias("source"),
+        F.array_join(prot, "\t").alias("proteins"), features.alias("features"), F.element_at(F.split("file", "/"), -1).alias("source"), F.col("file").alias("_file"),
     )
-    out = rows.withColumn("row_id", F.xxhash64("source", "spec_id", "peptide"))
+    out = numbered(rows.withColumn("file", F.col("_file")), "file", "spec_id", "peptide").drop("file", "_file")
     return out, [*fixed, *names, *[f"Charge{z}" for z in range(1, 8)]]
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """source, header and sequence; lines of a record are put together. Compressed files are read as they are."""
-    rows = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("p"), "value").where(F.trim("value") != "")
+    """source, header and sequence; lines of a record are put together. Compressed files are read as they are.
+
+    A record begins with ">" at the start of a line; the file's first line is one.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("p"), F.regexp_replace("value", r"\A\s*>", "").alias("value"))
+    rows = rows.where(F.trim("value") != "")
     parts = F.split(F.regexp_replace("value", "\r", ""), "\n", 2)
     return rows.select(
         F.element_at(F.split("p", "/"), -1).alias("source"), F.rtrim(F.get(parts, F.lit(0))).alias("header"),
