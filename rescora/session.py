@@ -89,7 +89,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """
     for name, most in (("maxBytesPerBatch", ARROW_BYTES), ("maxRecordsPerBatch", ARROW_ROWS)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, "0")
+        now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
