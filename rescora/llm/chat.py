@@ -4,10 +4,10 @@ For every participant of a dialogue, the dialogue is rendered with that speaker'
 else's as a named `user`; system turns stay `system`. The mask lists the spans of code points that the loss is taken
 over: the content and closing mark of each turn of that speaker. Native expressions only.
 
-Dialogues are rendered in parts of PART turns by their rank in the dialogue, so that no row or task grows with the
-longest dialogue; part k has the turns of rank k * PART to k * PART + PART - 1, however sparse their numbers. Each part has
-a perspective of every participant of the whole dialogue. The system turns that come before all others lead each further
-part again; n_turns doesn't count these again.
+Every participant of the whole dialogue gets every turn, whether they speak in it or not. A row is a whole dialogue, or,
+with `part`, so many turns by their rank, however sparse their numbers: then no row or task grows with the longest
+dialogue, and the parts of a perspective, put together without the turns that lead them again, are the whole. The system
+turns that come before all others lead each further part again; n_turns doesn't count these again.
 
 Nulls and ties: a null conv_id is a dialogue of its own; a null turn counts as turn 0, before it by order; null text is
 empty; a null or empty role is `unknown`. Turns of equal number are in order of role and text; repeated rows are turns
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import running_sum
 
-PART = 512
+#: Turns of a cell in which ranks are counted.
+CELL = 512
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM = "system"
 
@@ -37,16 +38,17 @@ def speaker_name(role: Column) -> Column:
     return F.when(name == "", F.lit("unknown")).otherwise(name)
 
 
-def rotate(turns: DataFrame, part: int = PART) -> DataFrame:
+def rotate(turns: DataFrame, part: int | None = None) -> DataFrame:
     """conv_id, part, speaker, text, mask (array of start and end, end exclusive), n_turns, n_spoken.
 
     Ranks are running sums over cells of turn numbers; one more shuffle gathers the turns of each part, and names and
     leading system turns come to the parts by (dialogue, part). Rendering is by expressions over the sorted array.
     """
+    part = part or 1 << 60
     number = F.coalesce(F.col("turn").cast("long"), F.lit(0).cast("long"))
     # keys without nulls
     rows = turns.select(
-        "conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("_key"), F.floor(number / part).alias("_cell"),
+        "conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("_key"), F.floor(number / CELL).alias("_cell"),
         F.struct(
             F.col("turn").isNotNull().alias("k"), number.alias("turn"), speaker_name(F.col("role")).alias("who"), _safe(F.col("text")).alias("said")
         ).alias("_turn"),

@@ -104,24 +104,33 @@ FROM q
 
 ORACLES["op8_rotation"] = r"""
 WITH t AS (
-  SELECT conv_id, coalesce(turn, 0) AS n, turn IS NOT NULL AS k, coalesce(turn, 0) // 512 AS part,
+  SELECT conv_id, coalesce(turn, 0) AS n, turn IS NOT NULL AS k,
     CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE regexp_replace(role, '[^\p{L}\p{N}_-]', '_', 'g') END AS who,
     replace(coalesce(text, ''), '<|', '< |') AS said
   FROM conversations
 ), o AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY k, n, who, said) AS i FROM t
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n, k, who, said) AS i FROM t
+), f AS (
+  SELECT conv_id, coalesce(min(i) FILTER (WHERE who <> 'system'), 9223372036854775807) AS first FROM o GROUP BY conv_id
 ), p AS (
-  SELECT DISTINCT conv_id, part, who AS speaker FROM o WHERE who <> 'system'
+  SELECT DISTINCT conv_id, who AS speaker FROM o WHERE who <> 'system'
+), parts AS (
+  SELECT DISTINCT conv_id, CAST((i - 1) // 512 AS BIGINT) AS part FROM o
+), m AS (
+  SELECT conv_id, CAST((i - 1) // 512 AS BIGINT) AS part, i, who, said, TRUE AS own_part FROM o
+  UNION ALL
+  SELECT o.conv_id, parts.part, i, who, said, FALSE FROM o JOIN f ON o.conv_id IS NOT DISTINCT FROM f.conv_id
+    JOIN parts ON o.conv_id IS NOT DISTINCT FROM parts.conv_id WHERE i < first AND i <= part * 512
 ), r AS (
-  SELECT p.conv_id, p.part, p.speaker, i, who = speaker AS own,
+  SELECT m.conv_id, m.part, p.speaker, i, own_part, who = speaker AS own,
     '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = speaker THEN 'assistant' ELSE 'user name=' || who END || chr(10) AS head,
     said || '<|im_end|>' AS body
-  FROM o JOIN p ON o.conv_id IS NOT DISTINCT FROM p.conv_id AND o.part = p.part
+  FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id
 ), s AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, speaker ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS pos FROM r
 )
 SELECT conv_id, part, speaker, string_agg(head || body || chr(10), '' ORDER BY i) AS text,
   coalesce(string_agg(CAST(pos AS BIGINT)::VARCHAR || '-' || CAST(pos + length(body) AS BIGINT)::VARCHAR, ',' ORDER BY i) FILTER (WHERE own), '') AS mask,
-  count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_spoken
+  count(*) FILTER (WHERE own_part) AS n_turns, count(*) FILTER (WHERE own) AS n_spoken
 FROM s GROUP BY conv_id, part, speaker
 """

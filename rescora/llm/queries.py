@@ -96,7 +96,8 @@ def op8_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import rotate
 
     spans = F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string")))
-    rows = rotate(table(spark, sf_dir, "conversations"))
+    # a dialogue may have a third of all turns, so rows are parts of it
+    rows = rotate(table(spark, sf_dir, "conversations"), part=512)
     return rows.select("conv_id", "part", "speaker", "text", F.array_join(spans, ",").alias("mask"), "n_turns", "n_spoken")
 
 

@@ -1,13 +1,15 @@
 """SimHash near-duplicates by an inverted index on the bytes of fingerprints.
 
-A fingerprint bit is set if it is in over half of the text's shingle hashes. Equal fingerprints are one node. Nodes are
-posted under choices of byte positions with their bytes; the choices are such that two fingerprints with the guaranteed
-number of equal positional bytes share a posting list. Within a list, pairs are tallied for equal bytes and verified.
+A fingerprint bit is set if it is in over half of the text's shingle hashes. Equal fingerprints are one node.
 
 Exact grouping, `components()`: 64 bits, links at 2 or fewer differing bits. Such a pair has at least 6 of 8 bytes
-equal, so at least two of the four byte pairs, so one of the six choices of two byte pairs is shared. A list of over
-LIST nodes isn't paired: its nodes are posted again under every fingerprint at one bit from them, where two nodes with 2
-or fewer differing bits meet; those lists have 33 nodes at most, each linked to the smallest. No link is lost.
+equal. The posting list of one position and byte would have a 256th of all nodes, so it is split by four more positions:
+a list is named by five positions and their bytes. LISTS has so many choices of five positions that two nodes with 6 or
+more equal bytes share a list with each of these bytes. Pairs of a list are tallied for their shared positional bytes
+over all lists; those that reach the guaranteed 6 are kept, and verified by their bits. A list of over LIST nodes is
+split by a further position, of which such a pair has one more equal in any case, and then by two of the four half
+bytes left, of which it has two equal; lists have 256 nodes at most by then. Splitting loses no pair that is verified,
+and pairs of split lists are tallied like all others.
 
 Similarity grouping, `keep_one()`: documents are linked at an exact Jaccard similarity of 0.8 of their distinct five-word
 shingles (48 bits of each hash). All shingles have one order; if two texts have that similarity, they share one of the
@@ -22,25 +24,44 @@ however many; a null doc_id is never a component's id while another is there. Ex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.names import own_names
 from ..session import bounded_batches, materialise, shuffle_partitions
 from .common import texts
 
 SEED = 42
-#: Longer posting lists are linked without pairing.
-LIST = 64
+#: Longer posting lists are split further.
+LIST = 256
 MOST_BITS, LEAST_BYTES = 2, 6
-#: Choices of byte positions of a 64-bit fingerprint: two of the four byte pairs.
-CHOICES = [(*a, *b) for a, b in combinations([(0, 1), (2, 3), (4, 5), (6, 7)], 2)]
+
+
+def _five_of_eight() -> list[tuple[int, ...]]:
+    """Choices of five byte positions: any two positions are both left out by at least two of them.
+
+    Then of any six positions, each is in a choice of five among the six. Three positions at a time are left out, those
+    first that leave most pairs out which are still to be.
+    """
+    left = dict.fromkeys(combinations(range(8), 2), 2)
+    triples, out = list(combinations(range(8), 3)), []
+    while any(left.values()):
+        best = max(triples, key=lambda t: sum(left[x] > 0 for x in combinations(t, 2)))
+        triples.remove(best)
+        for x in combinations(best, 2):
+            left[x] = max(0, left[x] - 1)
+        out.append(tuple(p for p in range(8) if p not in best))
+    return out
+
+
+LISTS = _five_of_eight()
 
 SHINGLE_WORDS = 5
 #: Jaccard similarity of the distinct shingles from which documents are linked.
@@ -109,34 +130,47 @@ def with_fingerprint(docs: DataFrame, k: int = 3) -> DataFrame:
     return docs.withColumn("fp", fp(F.col("text")))
 
 
-def _mask(positions: tuple[int, ...]) -> int:
-    n = sum(255 << (8 * p) for p in positions)
+def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def _equal_bytes(x: Column) -> Column:
-    """How many bytes of x are zero."""
-    return sum((F.when(x.bitwiseAND(_mask((p,))) == 0, 1).otherwise(0) for p in range(8)), F.lit(0))
+def _mask(positions: Iterable[int], bits: int = 8) -> int:
+    return _signed(sum(((1 << bits) - 1) << (bits * p) for p in positions))
+
 
+def _finer(level: int) -> Column:
+    """Masks that split a list's mask: by one more byte, then by two more half bytes."""
+    more = [_mask((p,)) for p in range(8)] if level == 0 else [_mask(x, 4) for x in combinations(range(16), 2)]
+    free = F.filter(F.array(*[F.lit(m) for m in more]), lambda m: m.bitwiseAND(F.col("mask")) == 0)
+    return F.transform(free, lambda m: m.bitwiseOR(F.col("mask")))
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fp with at most MOST_BITS differing bits; enough to connect all such."""
-    posts = F.array(*[F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(_mask(p)).alias("key")) for k, p in enumerate(CHOICES)])
-    rows = nodes.select("fp", F.explode(posts).alias("x")).select("fp", "x.c", "x.key")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("c", "key"))).where("n > 1")
-    rows = materialise(rows, "postings")
-    short, long_ = rows.where(F.col("n") <= LIST), rows.where(F.col("n") > LIST)
-    a, b = short.select("c", "key", F.col("fp").alias("a")), short.select("c", "key", F.col("fp").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    near = (F.col("a") < F.col("b")) & (_equal_bytes(x) >= LEAST_BYTES) & (F.bit_count(x) <= MOST_BITS)
-    pairs = a.join(b, ["c", "key"]).where(near).select("a", "b")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)])
-    kept = F.array(*[F.lit(_mask(p)) for p in CHOICES])
-    # bits of the key are equal in the whole list, so only the others are flipped
-    free = F.filter(flips, lambda m: m.bitwiseAND(F.get(kept, F.col("c"))) == 0)
-    met = long_.select("c", "fp", F.explode(F.transform(free, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
-    met = met.select(F.col("fp").alias("a"), F.min("fp").over(Window.partitionBy("c", "mid")).alias("b")).where("a <> b")
-    return pairs.unionByName(met)
+
+def postings(nodes: DataFrame, most: int = LIST) -> DataFrame:
+    """mask, key, fp: lists of two nodes or more, long ones split."""
+    masks = F.array(*[F.lit(_mask(p)) for p in LISTS])
+    posts, out = nodes.select("fp", F.explode(masks).alias("mask")), None
+    for level in range(3):
+        posts = posts.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        posts = posts.distinct() if level else posts
+        shared = posts.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        kept = materialise(posts.join(shared, ["mask", "key"]), "postings")
+        done = kept if level == 2 else kept.where(F.col("n") <= most)
+        out = done if out is None else out.unionByName(done)
+        posts = kept.where(F.col("n") > most)
+        if level == 2 or posts.isEmpty():
+            return out.drop("n")
+        posts = posts.select("fp", F.explode(_finer(level)).alias("mask"))
+
+
+def links(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints fp with at most MOST_BITS differing bits: all such pairs."""
+    posts = postings(nodes, LIST if most is None else most)
+    a, b = posts.withColumnRenamed("fp", "a"), posts.withColumnRenamed("fp", "b")
+    pairs = a.join(b, ["mask", "key"]).where("a < b")
+    # the positional bytes that a pair's lists have, each once
+    tally = pairs.groupBy("a", "b").agg(F.bit_or("mask").alias("shared"))
+    n = sum((F.when(F.col("shared").bitwiseAND(_mask((p,))) == _mask((p,)), 1).otherwise(0) for p in range(8)), F.lit(0))
+    return tally.where((n >= LEAST_BYTES) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("a", "b")
 
 
 def components(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -150,24 +184,6 @@ def components(docs: DataFrame, k: int = 3) -> DataFrame:
     return rows.join(named, rows.fp == named._fp).select("doc_id", "fp", "component_id")
 
 
-def _choices(planes: int = 15, bits: int = 5) -> list[list[int]]:
-    """Sets of 4 of 32 byte positions: cosets of planes {0, a, b, a ^ b}, of those that share least with others first.
-
-    Each plane's cosets have every position once, so a pair of fingerprints gets `planes` chances at every position.
-    """
-    used, out = dict.fromkeys(range(1, 1 << bits), 0), []
-    for _ in range(planes):
-        every = ((a, b) for a in range(1, 1 << bits) for b in range(a + 1, 1 << bits) if b < a ^ b)
-        a, b = min(every, key=lambda p: (sorted((used[p[0]], used[p[1]], used[p[0] ^ p[1]]), reverse=True), p))
-        for v in (a, b, a ^ b):
-            used[v] += 1
-        out += sorted({tuple(sorted((x, x ^ a, x ^ b, x ^ a ^ b))) for x in range(1 << bits)})
-    return [list(c) for c in out]
-
-
-INDEX_BYTES = 32
-#: Balanced choices of positions for an index on the bytes of a longer SimHash; keep_one() has its index on shingles.
-SETS = np.array(_choices())
 #: Bytes of a shingle hash that sets are written and compared with.
 HASH_BYTES = 6
 #: Texts that the common shingles are counted in, the texts from which a shingle is common, and the most that are kept.
@@ -196,12 +212,14 @@ def unpacked(b: bytes) -> np.ndarray:
 
 
 def shingle_sets(text: pa.Array) -> pa.Array:
-    """The packed set of each text, sig, which names it, and its counts in cells."""
+    """The packed set of each text, sig, which names it, check, which shows if another has the same sig, and its counts in cells."""
     own = [shingle_set(t) for t in texts(text)]
     sets = [packed(h) for h in own]
     cells = [cell_counts(h).tobytes() for h in own]
-    sig = np.array([xxhash.xxh3_64_intdigest(x) for x in sets], np.uint64).view(np.int64)
-    return pa.StructArray.from_arrays([pa.array(sets, pa.binary()), pa.array(sig), pa.array(cells, pa.binary())], names=["set", "sig", "cells"])
+    both = np.array([divmod(xxhash.xxh3_128_intdigest(x), 1 << 64) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+    return pa.StructArray.from_arrays(
+        [pa.array(sets, pa.binary()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(cells, pa.binary())], names=["set", "sig", "check", "cells"]
+    )
 
 
 def cell_counts(h: np.ndarray) -> np.ndarray:
@@ -525,17 +543,26 @@ def similar(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return near.unionByName(_verified(rest, rows, least))
 
 
+@own_names
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id; all columns of `docs`."""
+    """One document of each group of near copies, the one with the smallest doc_id; all columns of `docs`.
+
+    Where two sets have one sig, the one with the smaller check is compared with others, and the other one's documents
+    are a group of their own: nothing unlike is dropped.
+    """
     bounded_batches(docs.sparkSession)
-    sets = F.arrow_udf(shingle_sets, "struct<set binary, sig long, cells binary>")
+    sets = F.arrow_udf(shingle_sets, "struct<set binary, sig long, check long, cells binary>")
     last = (1 << 63) - 1
     who = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
     rows = materialise(docs.select(who.alias("who"), sets(F.col("text")).alias("s")).select("who", "s.*"), "shingle-sets")
-    nodes = materialise(rows.groupBy("sig").agg(F.min("who").alias("who")), "nodes")
+    nodes = materialise(rows.groupBy("sig", "check").agg(F.min("who").alias("who")), "nodes")
+    clash = nodes.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("named")).where("n > 1").select(F.col("sig").alias("twice"), "named")
+    nodes = nodes.join(clash, F.col("sig") == F.col("twice"), "left")
     found = connected_components(materialise(similar(rows, least), "links"), one_task=ONE_TASK)
-    own = nodes.select("sig", "who").join(found, F.col("sig") == F.col("node"), "left")
-    kept = own.groupBy(F.coalesce("component", "sig").alias("g")).agg(F.min("who").alias("who")).select("who.id", "who.text")
+    own = nodes.join(found, F.col("sig") == F.col("node"), "left")
+    group = F.when(F.col("named").isNull() | (F.col("check") == F.col("named")), F.struct(F.coalesce("component", "sig").alias("g"), F.lit(0).cast("long").alias("c")))
+    group = group.otherwise(F.struct(F.col("sig").alias("g"), F.col("check").alias("c")))
+    kept = own.groupBy(group.alias("g")).agg(F.min("who").alias("who")).select("who.id", "who.text")
     kept = kept.select(F.col("id").alias("_kept_id"), F.col("text").alias("_kept_text"))
     marked = docs.withColumns({"_id": who["id"], "_text": who["text"]})
     out = marked.join(kept, (F.col("_id") == F.col("_kept_id")) & (F.col("_text") == F.col("_kept_text")))

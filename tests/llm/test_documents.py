@@ -226,43 +226,52 @@ def test_simhash_components(spark, docs, rows):
     assert collections.Counter((r["doc_id"], r["component_id"]) for r in got) == want
 
 
-@pytest.mark.parametrize("limit", [64, 3])
-def test_no_link_is_lost_in_long_lists(spark, monkeypatch, limit):
+def test_lists_of_five_positions_hold_every_byte_of_six():
+    assert len(simhash.LISTS) < 30 and all(len(t) == 5 for t in simhash.LISTS)
+    for n in (6, 7, 8):
+        for equal in itertools.combinations(range(8), n):
+            inside = [t for t in simhash.LISTS if set(t) <= set(equal)]
+            assert {p for t in inside for p in t} == set(equal)
+
+
+@pytest.mark.parametrize("most", [256, 3])
+def test_links_are_all_pairs_at_two_bits(spark, most):
     import random
 
-    monkeypatch.setattr(simhash, "LIST", limit)
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(6)]
     fps = set(base)
     for b in base:
-        for _ in range(40):
+        for _ in range(60):
             x = b
             for _ in range(rng.randrange(1, 6)):
                 x ^= 1 << rng.randrange(64)
             fps.add(x)
-    fps = sorted(fps)
-    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    from rescora.operators.components import connected_components
+    # a ball: all at one or two bits in two bytes
+    fps |= {base[0] ^ (1 << i) ^ (1 << j) for i in range(16) for j in range(16)}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)]
+    nodes = spark.createDataFrame(signed, "fp long")
+    got = [(r["a"], r["b"]) for r in simhash.links(nodes, most).collect()]
+    want = {(a, b) for (a,), (b,) in itertools.combinations(sorted(signed), 2) if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    assert len(got) == len(set(got)) and set(got) == want
+    sizes = [r["count"] for r in simhash.postings(nodes, most).groupBy("mask", "key").count().collect()]
+    assert max(sizes) <= 256
 
-    got = {r["node"]: r["component"] for r in connected_components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect()}
-    top = {f: f for (f,) in signed}
 
-    def find(x):
-        while top[x] != x:
-            x = top[x]
-        return x
+def test_two_sets_of_one_name_are_not_one_document(spark, monkeypatch):
+    made = [(1, "a b c d e f g h"), (2, "other words than these are here now"), (3, "a b c d e f g h")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    whole = simhash.shingle_sets
 
-    for (a,), (b,) in itertools.combinations(signed, 2):
-        if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2:
-            x, y = find(a), find(b)
-            top[max(x, y)] = min(x, y)
-    assert {f: got.get(f, f) for (f,) in signed} == {f: find(f) for (f,) in signed}
+    def same_sig(text):
+        out = whole(text)
+        import pyarrow as pa
 
+        fields = [pa.array([7] * len(out), pa.int64()) if n == "sig" else out.field(n) for n in ("set", "sig", "check", "cells")]
+        return pa.StructArray.from_arrays(fields, names=["set", "sig", "check", "cells"])
 
-def test_choices_of_positions():
-    sets = simhash.SETS.tolist()
-    assert len(sets) == 120 == len(set(map(tuple, sets))) and all(len(set(x)) == 4 for x in sets)
-    assert set(collections.Counter(p for x in sets for p in x).values()) == {15}
+    monkeypatch.setattr(simhash, "shingle_sets", same_sig)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df).collect()) == [1, 2]
 
 
 def test_near_copies_go(spark, docs, rows):
@@ -458,6 +467,17 @@ def test_long_dialogues_are_rendered_in_parts(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_a_participant_who_speaks_once_gets_the_whole_dialogue(spark):
+    turns = [(1, k, "ann" if k == 700 else ("bob", "cy")[k % 2], f"t{k}") for k in range(1030)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    whole = {r["speaker"]: r for r in chat.rotate(df).collect()}
+    assert {k: (r["part"], r["n_turns"], r["n_spoken"]) for k, r in whole.items()} == {"ann": (0, 1030, 1), "bob": (0, 1030, 514), "cy": (0, 1030, 515)}
+    parts = chat.rotate(df, part=100).orderBy("part").collect()
+    for who in whole:
+        own = [r for r in parts if r["speaker"] == who]
+        assert [r["part"] for r in own] == list(range(11)) and "".join(r["text"] for r in own) == whole[who]["text"]
+
+
 def test_parts_have_all_participants_and_the_system_turn(spark):
     turns = [(1, 0, "system", "be kind")] + [(1, 1000 * k, "ann" if k < 12 else "bob", f"t{k}") for k in range(1, 25)] + [(1, 5500, "system", "later")]
     got = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), part=10).orderBy("part", "speaker").collect()
