@@ -5,10 +5,11 @@ document has, tracks for each training word the longest match that ends there. W
 whole item of fewer, the matched words are hit. Hit spans are removed from the text; a document of which more than
 `most_share` of the words are hit can be dropped by the caller, who gets the counts.
 
-Only word runs whose neighbouring pairs all occur in items are streamed through the automaton: others can't match.
-
-Automata hold at most BLOCK_WORDS item words each (an item is never cut). They are files in the shared folder, built
-one at a time on the driver and loaded a few at a time by workers, so neither grows with the benchmark.
+Automata hold about BLOCK_WORDS item words each, however large the benchmark; an item of more is cut into pieces that
+share window - 1 words, so that each of its windows is in one. They are files in the shared folder, built side by side
+by tasks. With each goes its gate, a bit array over the hashes of all its windows and whole short items: a text is
+streamed through those automata only whose gate has one of its windows, and no text that an item matches is kept out.
+Workers hold all gates, and the HELD_BLOCKS automata used last.
 
 Null or empty texts have no words. A null item_id hits like any other but isn't listed; items of one id are one item.
 Items without words never match. Repeated documents are treated alike. Extra columns are kept; those named like a
@@ -25,13 +26,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_batches, scratch
+from ..operators.names import own_names
+from ..operators.ordering import in_order, running_sum
+from ..session import bounded_batches, materialise, scratch
 from .common import open_fs, texts, write_atomically
 
 BLOCK_WORDS, HELD_BLOCKS = 100_000, 4
+#: Bits of a gate for each window, and how many of them a window sets.
+GATE_BITS, GATE_SET = 16, 4
 WINDOW, MOST_SHARE = 10, 0.5
 _WORD = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
 #: Each byte lower-cased, or a space where it isn't part of a word.
@@ -166,41 +173,166 @@ class Automaton:
                         items.add(key)
 
 
-def build_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> list[str]:
-    """Files of automata over (item_id, text), each of at most block_words words or one item."""
-    folder, files, own, n = scratch(benchmark.sparkSession, "benchmark"), [], [], 0
-
-    def write() -> None:
-        data = pickle.dumps(Automaton.build(own, window), 5)
-        files.append(f"{folder}/block-{len(files):06d}")
-        write_atomically(files[-1], "driver", lambda out: out.write(data))
-
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n neighbouring words."""
+    out = np.zeros(max(len(h) - n + 1, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
+
+
+class Gate:
+    """By number of words, the bits of the hashes of a block's windows and whole short items."""
+
+    def __init__(self, items: Iterable[list[bytes]], window: int):
+        found: dict[int, list[np.ndarray]] = {}
+        for words in items:
+            n = min(window, len(words))
+            if n:
+                found.setdefault(n, []).append(window_hashes(word_hashes(words), n))
+        self.bits = {}
+        for n, own in found.items():
+            h = np.concatenate(own)
+            bits = np.zeros(-(-len(h) * GATE_BITS // 8) * 8, bool)
+            for k in range(GATE_SET):
+                bits[self._slot(h, k, len(bits))] = True
+            self.bits[n] = np.packbits(bits, bitorder="little")
+
+    @staticmethod
+    def _slot(h: np.ndarray, k: int, size: int) -> np.ndarray:
+        turned = h if not k else (h >> np.uint64(16 * k)) | (h << np.uint64(64 - 16 * k))
+        return (turned % np.uint64(size)).astype(np.int64)
+
+    def open(self, h: np.ndarray, seen: dict[int, np.ndarray]) -> bool:
+        """Whether words with these hashes may have a match; `seen` keeps their window hashes."""
+        for n, bits in self.bits.items():
+            if n not in seen:
+                seen[n] = window_hashes(h, n)
+            left = seen[n]
+            for k in range(GATE_SET):
+                slot = self._slot(left, k, 8 * len(bits))
+                left = left[(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)]
+            if len(left):
+                return True
+        return False
+
+
+def _pieces(window: int, block_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k, part, words, n): items in pieces of at most block_words words; neighbours share window - 1."""
+        most = max(block_words, 2 * window)
+        for b in batches:
+            rows = []
+            for k, t in zip(b.column("k").to_pylist(), texts(b.column("text")), strict=True):
+                words = item_words(t)
+                for part, at in enumerate(range(0, max(len(words) - window + 1, 1), most - window + 1)):
+                    own = words[at : at + most]
+                    if own:
+                        rows.append((k, part, b" ".join(own), len(own)))
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["k", "part", "words", "n"])
+
+    return run
+
+
+def _build(folder: str, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block; a file for each."""
+        block, own = None, []
+
+        def write() -> pa.RecordBatch:
+            attempt = str(TaskContext.get().taskAttemptId())
+            for name, what in (("block", Automaton.build(own, window)), ("gate", Gate((w for _, w in own), window))):
+                data = pickle.dumps(what, 5)
+                write_atomically(f"{folder}/{name}-{block:06d}", attempt, lambda out, data=data: out.write(data))
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], names=["block"])
+
+        for b in batches:
+            for k, words, at in zip(*(b.column(c).to_pylist() for c in ("k", "words", "block")), strict=True):
+                if at != block:
+                    if own:
+                        yield write()
+                    block, own = at, []
+                own.append((k, words.split()))
+        if own:
+            yield write()
+
+    return run
+
+
+def build_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> tuple[str, list[int]]:
+    """Folder and numbers of the automata over (item_id, text), each of about block_words words."""
+    spark = benchmark.sparkSession
+    folder = scratch(spark, "benchmark")
     rows = benchmark.select(F.col("item_id").cast("string").alias("k"), "text").where("text is not null")
-    for r in rows.toLocalIterator():
-        words = item_words(r["text"].encode())
-        if own and n + len(words) > block_words:
-            write()
-            own, n = [], 0
-        own.append((r["k"], words))
-        n += len(words)
-    if own:
-        write()
-    return files
-
-
-#: Automata that this worker holds, by file.
-_held: OrderedDict[str, Automaton] = OrderedDict()
-
-
-def _automaton(file: str) -> Automaton:
-    if file not in _held:
-        store, path = open_fs(file)
-        with store.open_input_stream(path) as f:
-            _held[file] = pickle.loads(f.read())
-        while len(_held) > HELD_BLOCKS:
-            _held.popitem(last=False)
-    _held.move_to_end(file)
-    return _held[file]
+    rows = materialise(rows.mapInArrow(_pieces(window, block_words), "k string, part int, words binary, n long"), "items")
+    items, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, -(-words // block_words))
+    if blocks == 1:
+        dealt = rows.withColumn("block", F.lit(0).cast("long")).coalesce(1)
+    else:
+        order = [F.col("k"), F.col("part"), F.col("words")]
+        dealt = running_sum(in_order(rows, order, items), {"upto": F.col("n")}, [], "_b", order)
+        dealt = dealt.withColumn("block", F.floor((F.col("upto") - 1) / block_words)).repartitionById(blocks, F.col("block").cast("int"))
+        dealt = dealt.sortWithinPartitions("block")
+    built = dealt.select("k", "words", "block").mapInArrow(_build(folder, window), "block long").collect()
+    return folder, sorted(r["block"] for r in built)
+
+
+def _load(folder: str, name: str, block: int):
+    store, path = open_fs(f"{folder}/{name}-{block:06d}")
+    with store.open_input_stream(path) as f:
+        return pickle.loads(f.read())
+
+
+class Held:
+    """The gates of all blocks, and the automata that were used last."""
+
+    def __init__(self, folder: str, blocks: list[int]):
+        self.folder, self.automata, self.loads = folder, OrderedDict(), 0
+        self.gates = {k: _load(folder, "gate", k) for k in blocks}
+
+    def get(self, block: int) -> Automaton:
+        if block not in self.automata:
+            self.loads += 1
+            self.automata[block] = _load(self.folder, "block", block)
+            while len(self.automata) > HELD_BLOCKS:
+                self.automata.popitem(last=False)
+        self.automata.move_to_end(block)
+        return self.automata[block]
+
+    def match(self, rows: list[bytes]) -> Iterator[tuple[bytes, int, int, list[str]]]:
+        """Texts without their hit spans, number of words, of hit words, and items; block by block over all texts."""
+        words = [t.translate(_FOLD).split() for t in rows]
+        found = [(np.zeros(len(w), bool), set()) for w in words]
+        wanted: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            h, seen = word_hashes(w), {}
+            for k, gate in self.gates.items():
+                if len(w) and gate.open(h, seen):
+                    wanted.setdefault(k, []).append(i)
+        for k in sorted(wanted, key=lambda k: k not in self.automata):
+            own = self.get(k)
+            for i in wanted[k]:
+                own.match(words[i], *found[i])
+        return (_result(t, hit, items) for t, (hit, items) in zip(rows, found, strict=True))
+
+
+#: What this worker holds of a benchmark.
+_held: Held | None = None
+
+
+def _worker(folder: str, blocks: list[int]) -> Held:
+    global _held
+    if _held is None or _held.folder != folder:
+        _held = Held(folder, blocks)
+    return _held
 
 
 def without(text: bytes, hit: np.ndarray) -> bytes:
@@ -214,24 +346,6 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _one(text: bytes, files: list[str]) -> tuple[bytes, int, int, list[str]]:
-    words = text.translate(_FOLD).split()
-    hit, items = np.zeros(len(words), bool), set()
-    for file in files:
-        _automaton(file).match(words, hit, items)
-    return _result(text, hit, items)
-
-
-def _by_block(rows: list[bytes], files: list[str]) -> Iterator[tuple[bytes, int, int, list[str]]]:
-    words = [t.translate(_FOLD).split() for t in rows]
-    found = [(np.zeros(len(w), bool), set()) for w in words]
-    for file in files:
-        own = _automaton(file)
-        for w, (hit, items) in zip(words, found, strict=True):
-            own.match(w, hit, items)
-    return (_result(t, hit, items) for t, (hit, items) in zip(rows, found, strict=True))
-
-
 def _result(text: bytes, hit: np.ndarray, items: set) -> tuple[bytes, int, int, list[str]]:
     n = int(hit.sum())
     return without(text, hit) if n else text, len(hit), n, sorted(items - {None})
@@ -248,17 +362,15 @@ def _struct(rows: Iterable[tuple[bytes, int, int, list[str]]]) -> pa.StructArray
 KIND = "struct<text string, n_words long, n_hit long, items array<string>>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+@own_names
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` with hit spans removed from text, and n_words, n_hit, and items (sorted ids) of the text as it was."""
     bounded_batches(docs.sparkSession)
-    files = build_blocks(benchmark, window)
+    folder, blocks = build_blocks(benchmark, window, block_words)
 
     @F.arrow_udf(KIND)
     def cleaned(text: pa.Array) -> pa.Array:
-        if len(files) > HELD_BLOCKS:
-            # blocks are loaded once for each batch, not for each text
-            return _struct(_by_block(list(texts(text)), files))
-        return _struct(_one(t, files) for t in texts(text))
+        return _struct(_worker(folder, blocks).match(list(texts(text))))
 
     out = docs.withColumn("_c", cleaned(F.col("text")))
     return out.withColumns({c: F.col(f"_c.{c}") for c in ("text", "n_words", "n_hit", "items")}).drop("_c")

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.names import own_names
 from ..operators.ordering import running_sum
 from ..session import materialise, shuffle_partitions
 from .common import word_count
@@ -135,6 +136,7 @@ def _filled(placed: DataFrame) -> DataFrame:
         left = left.drop("_gap").join(taken, (F.col("_key") == F.col("_k")) & (F.col("_end") == F.col("_e")), "left_anti")
 
 
+@own_names
 def mix(
     docs: DataFrame, schedules: Sequence[Knots] = CURRICULUM, most_repeats: int = MOST_REPEATS, fill: bool = False
 ) -> DataFrame:

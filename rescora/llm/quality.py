@@ -1,11 +1,13 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text is a vector of pair counts over 64 classes of bytes (lower-case letters, one class of capitals, digits, white
-space, each punctuation mark, bytes beyond ASCII) and of words that repeat those before them, as square roots of shares
-times inverse document frequency; a truncated singular value decomposition of a sample of labelled rows gives the latent space. Every document is compared
-with every labelled vector by exact cosine, in blocks, and its K nearest vote with similarity ** SHARPNESS as weight.
-
-Bounds: at most SAMPLE rows of each label, the first by md5 of doc_id, are fitted and broadcast; RANK numbers each.
+A text's terms are its words and its runs of three bytes, lower-cased in A-Z and hashed to WORDS and TRIGRAMS numbers,
+and two shares that no hash shows: of words, and of neighbouring pairs of words, that repeat earlier ones. Terms weigh by
+the square root of their share times inverse document frequency; a truncated singular value decomposition of a sample
+of labelled rows gives the latent space. Every document is compared with every labelled vector by exact cosine, in
+blocks, and its K nearest vote with similarity ** SHARPNESS as weight.
+
+Bounds: at most SAMPLE rows of each label, the first by md5 of doc_id, are fitted and broadcast; RANK numbers each. Where
+their ids have several rows, 4 * SAMPLE rows are fitted at most, the first by a hash of id and terms.
 A null or empty text, or one unlike all labelled rows, gets the share of label 1 among all training labels; without
 labels 0.5. Null labels are ignored; repeated equal labels count once. Extra columns are kept; `score` is replaced.
 """
@@ -13,11 +15,10 @@ labels 0.5. Null labels are ignored; repeated equal labels count once. Extra col
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,37 +28,27 @@ from .common import texts
 SAMPLE, RANK, K, SHARPNESS, BLOCK = 1024, 48, 24, 8, 256
 
 
-def _classes() -> np.ndarray:
-    """Class of each byte, 0 to 63."""
-    out = np.zeros(256, np.int32)
-    out[:32] = 26
-    for b in range(33, 127):
-        out[b] = 0
-    punctuation = [b for b in range(33, 127) if not chr(b).isalnum()]
-    out[ord(" ")], out[ord("\n")] = 27, 28
-    out[48:58], out[65:91], out[128:] = 29, 30, 31
-    for k, b in enumerate(punctuation):
-        out[b] = 32 + k
-    out[97:123] = np.arange(26)
-    out[127] = 26
-    return out
+TRIGRAMS, WORDS = 4096, 4096
+WIDTH = TRIGRAMS + WORDS + 2
 
 
-CLASSES = _classes()
-PAIRS = 64 * 64
-WIDTH = PAIRS + 2
+def _repeated(x: list) -> float:
+    return np.sqrt(1 - len(set(x)) / len(x)) if x else 0.0
 
 
 def shares(text: bytes) -> np.ndarray:
-    """Square roots of the shares of class pairs in a whole text, and of words that repeat the last, or last but one."""
-    out = np.zeros(WIDTH, np.float32)
-    c = CLASSES[np.frombuffer(text, np.uint8)]
-    if len(c) > 1:
-        out[:PAIRS] = np.sqrt(np.bincount(c[:-1] * 64 + c[1:], minlength=PAIRS) / (len(c) - 1))
+    """Square roots of the shares of hashed trigrams and words in a whole text, and of repeated words and pairs."""
+    out, text = np.zeros(WIDTH, np.float32), text.lower()
+    b = np.frombuffer(text, np.uint8).astype(np.uint32)
+    if len(b) > 2:
+        code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
+        slot = (code * np.uint32(2654435761)) >> np.uint32(20)
+        out[:TRIGRAMS] = np.sqrt(np.bincount(slot, minlength=TRIGRAMS) / len(code))
     words = text.split()
-    for k in (1, 2):
-        if len(words) > k:
-            out[PAIRS + k - 1] = np.sqrt(sum(map(eq, words, islice(words, k, None))) / (len(words) - k))
+    if words:
+        slot = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(WORDS)
+        out[TRIGRAMS:-2] = np.sqrt(np.bincount(slot.astype(np.int64), minlength=WORDS) / len(words))
+        out[-2:] = _repeated(words), _repeated(list(zip(words, words[1:], strict=False)))
     return out
 
 
@@ -119,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None) -> Model
     # at most 2 * SAMPLE ids
     ids = F.broadcast(picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "_id"))
     found = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text")
-    rows_ = found.mapInArrow(_vectors, "doc_id long, quality int, x binary").orderBy("doc_id", "quality", "x").limit(4 * SAMPLE).collect()
+    h = F.xxhash64("doc_id", "quality", "x")
+    rows_ = found.mapInArrow(_vectors, "doc_id long, quality int, x binary").orderBy(h, "doc_id", "quality", "x").limit(4 * SAMPLE).collect()
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows_]).astype(np.float32) if rows_ else np.zeros((0, WIDTH), np.float32)
     return fit_vectors(x, np.array([r["quality"] for r in rows_]), ones / n if n else 0.5)
 

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.names import own_names
 from ..operators.ordering import running_sum
 from ..session import materialise
 from .common import utf8_bytes
@@ -171,6 +172,7 @@ def target_shards(total_bytes: int, target_bytes: int) -> int:
     return max(1, -(-total_bytes // max(1, target_bytes)))
 
 
+@own_names
 def shard(docs: DataFrame, shards: int, compact: bool = False) -> DataFrame:
     """Every row of `docs` with size, text_crc32, shard and slot (gapless in its shard, in an order by hash).
 

@@ -49,6 +49,22 @@ ODD += map(chr, [0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF])
 MARK = "\0"
 
 
+def splits_at_white_space(vocabulary: str) -> bool:
+    """Whether the vocabulary file is byte-level with its usual split, no normaliser and no marks of white space.
+
+    Texts of any other are encoded whole.
+    """
+    store, path = open_fs(vocabulary)
+    with store.open_input_stream(path) as f:
+        said = json.loads(f.read())
+    split = said.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    marks = all(a.get("special") and not a.get("normalized") and "<|" in a.get("content", "") for a in said.get("added_tokens") or [])
+    model = said.get("model") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return bool(usual and marks and plain and not said.get("normalizer"))
+
+
 class Encoder:
     """Ids of texts, as bytes; remembers the ids of chunks (a line break or space with the word after it)."""
 
@@ -61,6 +77,7 @@ class Encoder:
             raise ValueError(f"ids of {vocabulary} need more than {WIDTH} bytes")
         #: Bytes that each id stands for: one for each character of its name.
         self.length = np.zeros(max(words.values()) + 1, np.int64)
+        self.in_chunks = splits_at_white_space(vocabulary)
         for word, k in words.items():
             self.length[k] = len(word)
         self._renew()
@@ -116,7 +133,7 @@ class Encoder:
             self.arrays = start, size, np.concatenate([flat, ids])
 
     def __call__(self, texts_: list[str]) -> Iterator[bytes]:
-        odd = [not t or t[0].isspace() or t[-1].isspace() or any(x in t for x in ODD) for t in texts_]
+        odd = [not self.in_chunks or not t or t[0].isspace() or t[-1].isspace() or any(x in t for x in ODD) for t in texts_]
         whole = iter(self._encode([t for t, o in zip(texts_, odd, strict=True) if o]))
         # each text after a line break of its own, whose id is dropped again
         parts = [("\n" + t).replace("\n", " \n").split(" ") for t, o in zip(texts_, odd, strict=True) if not o]

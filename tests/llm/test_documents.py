@@ -194,6 +194,38 @@ def test_votes_are_exact(spark):
         assert got == pytest.approx((w * y[top]).sum() / w.sum(), abs=1e-5)
 
 
+def test_scores_of_texts_are_votes_of_their_nearest_labelled_texts(spark, rows):
+    """From texts to scores by plain loops: terms, space, cosines with every labelled text, votes."""
+    texts = [(r[0], r[1] or "") for r in rows if r[0] is not None and r[0] < 80]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    known = {i: int(i % 3 > 0) for i, _ in texts if i % 2}
+    model = quality.fit(docs, spark.createDataFrame(list(known.items()), "doc_id long, quality int"))
+    got = {r["doc_id"]: r["score"] for r in quality.with_score(docs, model).collect()}
+    latent = {i: model.latent(quality.shares(t.encode())[None])[0].astype(float) for i, t in texts}
+    for i, _ in texts:
+        near = sorted(((float(latent[i] @ latent[k]), k) for k in known), reverse=True)[: quality.K]
+        w = [max(c, 0.0) ** quality.SHARPNESS for c, _ in near]
+        assert got[i] == pytest.approx(sum(a * known[k] for a, (_, k) in zip(w, near, strict=True)) / sum(w), abs=2e-3)
+
+
+def test_held_out_accuracy_by_label(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    from rescora.llm.queries import held_out
+
+    scored = quality.with_score(docs, quality.fit(docs, labels, ~held_out())).where(held_out()).join(labels.select("doc_id", "quality"), "doc_id")
+    per = {r["quality"]: r["right"] / r["n"] for r in scored.groupBy("quality").agg(F.count_if((F.col("score") >= 0.5) == (F.col("quality") == 1)).alias("right"), F.count("*").alias("n")).collect() if r["quality"] is not None}
+    assert per[0] >= 0.95 and per[1] >= 0.98
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 3)
+    docs = spark.createDataFrame([(i % 4, f"text number {i} of one id") for i in range(400)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    a, b = (quality.fit(docs.repartition(k), known) for k in (1, 5))
+    assert len(a.votes) == 12 and np.allclose(a.vectors, b.vectors, atol=1e-4)
+
+
 def test_quality_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.with_score(docs, quality.fit(docs, empty)).collect()} == {0.5}
@@ -384,21 +416,34 @@ def test_common_lines(spark, rows, least, chars):
     docs = spark.createDataFrame(rows, KIND)
     got = linededup.drop_common_lines(docs.withColumn("n_lines", F.lit("clash")), least, chars).collect()
     assert collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got) == collections.Counter(brute_lines(rows, least, chars))
+    odd = docs.withColumns({"t": F.lit(1), "_c": F.lit("mine"), "u": F.lit(2)})
+    split = linededup.drop_common_lines(odd, least, chars, held_bytes=0, shard_keys=3)
+    assert split.columns == [*odd.columns, "n_lines", "n_dropped"] and {r["_c"] for r in split.select("_c").distinct().collect()} == {"mine"}
+    assert collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in split.collect()) == collections.Counter(brute_lines(rows, least, chars))
 
 
 def test_perfect_hash_in_small_shards(tmp_path):
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
-    prints, counts = keys ^ np.uint64(7), np.arange(5000)
+    # keys that share one half, and counts beyond 32 bits
+    keys[1::10] = keys[::10]
+    prints, counts = rng.integers(0, 1 << 63, 5000).astype(np.uint64), np.arange(5000)
+    prints[3::10] = prints[2::10]
+    counts[7] = 1 << 40
     h = linededup.PerfectHash.load(linededup.PerfectHash.build(keys, prints, counts).dump())
-    assert sorted(h.index(keys)) == list(range(5000)) and (h.count(keys, prints) == counts).all()
+    assert sorted(h.index(keys, prints)) == list(range(5000)) and (h.count(keys, prints) == counts).all()
+    assert linededup.PerfectHash.build(keys, prints, np.ones(5000, np.int64)).nbytes() < 5000 * linededup.KEY_BYTES
     other = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
     assert (h.count(other, other) == 0).all()
     for k in range(4):
         own = linededup.shard_of(keys, 4) == k
         (tmp_path / f"{k:06d}.npz").write_bytes(linededup.PerfectHash.build(keys[own], prints[own], counts[own]).dump())
     shards = linededup.Shards(f"file://{tmp_path}", 4, cache_bytes=1)
-    assert (shards.count(np.stack([keys, prints], 1)) == counts).all() and len(shards.held) == 1
+    assert (shards.count(np.stack([keys, prints], 1)) == counts).all() and len(shards.held) == 1 and shards.loads == 4
+    held = linededup.Shards(f"file://{tmp_path}", 4)
+    for _ in range(3):
+        held.count(np.stack([keys, prints], 1))
+    assert held.loads == 4
 
 
 # --- token ids
@@ -517,17 +562,14 @@ def brute_hits(text, items, window):
 
 
 @pytest.mark.parametrize("window,block,short", [(4, 100_000, True), (4, 10, True), (3, 100_000, False)])
-def test_hits(spark, docs, rows, monkeypatch, window, block, short):
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
-    monkeypatch.setattr(decontam.build_blocks, "__defaults__", (block,))
+def test_hits(spark, docs, rows, window, block, short):
     t = rows[5][1].split()
     items = [(1, " ".join(t[2:9]).upper()), (2, "!! ".join(t[8:12])), (10, rows[9][1]), (None, " ".join(rows[11][1].split()[1:6])), (3, None), (4, "..."), (2, "the of the of the")]
     items += [(5, "the of"), (6, "one"), (7, "a b a b a c")] if short else []
     bench = spark.createDataFrame(items, "item_id long, text string")
-    extra = docs.limit(0)
-    del extra
     more = spark.createDataFrame([(400, "a b a b a b a c the of one", "en", "s", 1), (401, rows[9][1] + " x " + rows[9][1], "en", "s", 1)], docs.schema)
-    got = decontam.decontaminate(docs.unionByName(more).withColumn("items", F.lit("clash")), bench, window).collect()
+    got = decontam.decontaminate(docs.unionByName(more).withColumns({"items": F.lit("clash"), "_c": F.lit("mine")}), bench, window, block).collect()
+    assert {r["_c"] for r in got} == {"mine"}
     texts = {r[0]: r[1] for r in rows} | {400: "a b a b a b a c the of one", 401: rows[9][1] + " x " + rows[9][1]}
     for r in got:
         n, hit, found = brute_hits(texts[r["doc_id"]], items, window)
@@ -538,6 +580,19 @@ def test_hits(spark, docs, rows, monkeypatch, window, block, short):
     assert 401 not in [r["doc_id"] for r in decontam.mostly_clean(spark.createDataFrame([(401, 5, 9)], "doc_id long, n_hit long, n_words long")).collect()]
 
 
+def test_automata_are_loaded_for_texts_that_may_match_only(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "HELD_BLOCKS", 2)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(30))) for k in range(40)] + [(99, " ".join(f"long{j}" for j in range(500)))]
+    folder, blocks = decontam.build_blocks(spark.createDataFrame(items, "item_id long, text string"), 5, 100)
+    assert len(blocks) > 12
+    held = decontam.Held(folder, blocks)
+    clean = [b"nothing of the kind is here at all today", b"", b"i3x1 i3x2 i3x3 i3x4"]
+    assert [r[2] for r in held.match(clean * 50)] == [0] * 150 and held.loads <= 1
+    dirty = [b"a i7x1 i7x2 i7x3 i7x4 i7x5 b", b"long%d " * 6 % tuple(range(198, 204))]
+    got = list(held.match(clean + dirty))
+    assert [r[1:] for r in got[3:]] == [(7, 5, ["7"]), (6, 6, ["99"])] and held.loads <= 5
+
+
 def test_no_items(spark, docs, rows):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(docs, bench).where("n_hit > 0").count() == 0
