@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_batches, scratch, shuffle_partitions
+from ..session import bounded_batches, materialise, scratch, shuffle_partitions
 from .common import open_fs
 
 #: Records this near are read together; a stretch of a file is read by one task.
 GAP, STRETCH, LEVEL = 64 << 10, 8 << 20, 1
+#: Payloads that more than one in HOT of all pages has are joined apart.
+HOT = 1024
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 
@@ -42,8 +44,16 @@ def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to: the smallest page_id with the same payload, for rows that revisit it."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("_sha1"))
-    first = rows.select("page_id", "_sha1").groupBy("_sha1").agg(F.min("page_id").alias("_first"))
-    rows = rows.join(first, "_sha1").drop("_sha1")
+    first = rows.select("page_id", "_sha1").groupBy(F.col("_sha1").alias("_same")).agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = materialise(first, "payloads")
+    # at most HOT payloads have a part of all pages that is over 1 / HOT; their pages stay where they are
+    total = first.agg(F.sum("_n")).first()[0] or 0
+    hot = first.where(F.col("_n") * HOT > total).select(F.col("_same").alias("_hot"), F.col("_first").alias("_hot_first"), F.lit(True).alias("_is_hot"))
+    rows = rows.join(F.broadcast(hot), F.col("_sha1") == F.col("_hot"), "left")
+    # a key of its own for each page of a hot payload, so that they are dealt out
+    key = F.when(F.col("_is_hot"), F.concat_ws(":", F.lit("hot"), F.col("page_id").cast("string"), F.xxhash64("url").cast("string"))).otherwise(F.col("_sha1"))
+    rest = first.where(F.col("_n") * HOT <= total).drop("_n")
+    rows = rows.withColumn("_key", key).join(rest, F.col("_key") == F.col("_same"), "left").withColumn("_first", F.coalesce("_first", "_hot_first"))
     again: Column = (F.col("page_id").isNull() | (F.col("page_id") > F.col("_first"))) & F.col("_first").isNotNull()
     return rows.select("page_id", "url", "html", F.when(again & (F.octet_length("html") >= least_bytes), F.col("_first")).alias("refers_to"))
 

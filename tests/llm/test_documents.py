@@ -108,15 +108,29 @@ def test_shards_are_even_and_hot_groups_are_cut(spark):
     assert len(odd) == 5 and max(odd) < 1.1 * sum(odd) / 5
 
 
-def test_fewer_bits_a_pass_give_even_shards_too(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "SUMS", 64)
-    rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(2000)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8, compact=True)
-    sizes = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
-    assert len(sizes) == 8 and max(sizes) < 1.05 * sum(sizes) / 8
+def test_the_cut_digit_is_found_alike_here_and_in_spark(spark):
+    rng = np.random.default_rng(3)
+    rows = [(n, int(d), int(rng.integers(1, 50)), float(rng.integers(1, 900)), int(rng.integers(1, 4))) for n in range(5) for d in rng.choice(90, 30, replace=False)]
+    goal = {n: g for n, _, _, g, _ in rows}
+    sums = spark.createDataFrame([(n, d, w, c, goal[n], 7) for n, d, w, _, c in rows], "_node long, d long, w long, c long, goal double, before long")
+    assert sorted(sharding._where_reached(sums, True)) == sorted(sharding._where_reached(sums, False))
+
+
+def test_groups_stay_whole_where_asked(spark):
+    rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(600)] + [(5000 + i, "the same text again and again") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(docs, 8, cohesion=float("inf"))
+    assert got.groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    assert got.count() == len(rows)
+
+
+def test_both_forms_give_the_same_shards(spark, docs):
+    a, b = (sorted((r["doc_id"] or -1, r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(docs, 7, compact=c).collect()) for c in (True, False))
+    assert a == b
 
 
 def test_written_shards(spark, docs, tmp_path):
+    assert sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 40_000).count() == 0
     out = sharding.write_shards(docs, str(tmp_path / "s"), 40_000)
     assert out.count() == docs.count() and out.select("shard").distinct().count() > 1
 
