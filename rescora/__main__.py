@@ -1,8 +1,12 @@
-"""Command line: python -m rescora [flags] inputs...; also compare and manifests as first words."""
+"""Command line: python -m rescora [flags] inputs...
+
+First words for other work: compare, manifests, dataset (runs a registered dataset) and entrapment (its report).
+"""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from .plans.params import PROFILES, Params
@@ -47,6 +51,17 @@ def parser() -> argparse.ArgumentParser:
     return a
 
 
+def dataset_parser() -> argparse.ArgumentParser:
+    a = argparse.ArgumentParser(prog="rescora dataset", allow_abbrev=False)
+    a.add_argument("--manifest", default="bench/datasets.toml", help="registry of datasets")
+    a.add_argument("--dataset", required=True)
+    a.add_argument("--output", required=True, help="folder for the run's records and results")
+    a.add_argument("--profile", default="canonical", choices=PROFILES)
+    a.add_argument("--seed", type=int, default=1)
+    a.add_argument("--dry-run", action="store_true", help="print the commands only")
+    return a
+
+
 def settings(a: argparse.Namespace) -> Params:
     own = {
         "model": a.rescore_model, "seed": a.seed, "tolerance": a.svm_tolerance, "select_c": a.select_c, "nested": a.nested, "join": a.join, "ensemble": a.ensemble,
@@ -88,6 +103,36 @@ def main(argv: list[str]) -> int:
         spark = SparkSession.builder.getOrCreate()
         results.write_once(benchmark.compare_runs(spark, *argv[1:3]), argv[3])
         return 0
+    if argv[:1] == ["dataset"]:
+        d = dataset_parser().parse_args(argv[1:])
+        try:
+            with open(d.manifest) as f:
+                found = manifest.parse(f.read())
+            if d.dataset not in found:
+                raise ValueError(f"dataset {d.dataset} is not in {d.manifest}")
+            p = Params.of(d.profile, seed=d.seed)
+            spark = SparkSession.builder.getOrCreate()
+            if d.dry_run:
+                print("\n".join(benchmark.planned(spark, found[d.dataset], p, d.output)))
+                return 0
+            files, record = benchmark.run_dataset(spark, found[d.dataset], p, output=d.output)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
+        benchmark.write_run(files, record, d.output)
+        return int(record["files_successful"] < record["files_attempted"])
+    if argv[:1] == ["entrapment"]:
+        e = argparse.ArgumentParser(prog="rescora entrapment", allow_abbrev=False)
+        e.add_argument("--entrapment-fraction", type=float, required=True)
+        e.add_argument("--output")
+        e.add_argument("inputs", nargs="+", help="target result files; decoys are found beside them")
+        e = e.parse_args(argv[1:])
+        report = benchmark.entrapment_report(SparkSession.builder.getOrCreate(), e.inputs, e.entrapment_fraction).orderBy("method", "cut")
+        if e.output:
+            results.write_entrapment(report, e.output)
+        for r in report.collect():
+            print("\t".join(str(x) if isinstance(x, (str, int)) else "NA" if x is None else f"{x:.6f}" for x in r))
+        return 0
     a = parser().parse_args(argv)
     try:
         p = settings(a)
@@ -111,7 +156,7 @@ def main(argv: list[str]) -> int:
     if a.feature_report:
         lines = results.feature_report_lines(pipeline.learn.feature_report(df, p), names)
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(a.feature_report)
-    print(pipeline.run_log(run).first().asDict(), file=sys.stderr)
+    print(json.dumps(pipeline.run_log(run, p, a.profile)), file=sys.stderr)
     if p.join:
         for r in pipeline.yields_by_source(run).collect():
             print(f"{r['source']}\t{r['accepted']}", file=sys.stderr)

@@ -102,7 +102,10 @@ def closed_posterior(edges: DataFrame, entries: DataFrame, p: BayesParams) -> Da
 
 
 def propagate(pdf: pd.DataFrame, p: BayesParams) -> pd.DataFrame:
-    """Damped sum-product messages over whole connected parts: rows (row_id, cluster, size, lr)."""
+    """Damped sum-product messages over whole connected parts: rows (row_id, cluster, size, lr).
+
+    cluster, pep, the iterations that these parts took together, and whether their messages settled by then.
+    """
     _, factor = np.unique(pdf["row_id"].to_numpy(), return_inverse=True)
     names, cluster = np.unique(pdf["cluster"].to_numpy().astype(str), return_inverse=True)
     size = np.zeros(len(names), np.int64)
@@ -122,14 +125,15 @@ def propagate(pdf: pd.DataFrame, p: BayesParams) -> pd.DataFrame:
     n_factors = factor.max() + 1
     order = np.argsort(factor, kind="stable")
     starts = np.searchsorted(factor[order], np.arange(n_factors))
-    for _ in range(p.max_iter):
+    delta, rounds = np.inf, 0
+    for rounds in range(1, p.max_iter + 1):  # noqa: B007
         moment = to_factor @ off
-        others = np.ones(len(moment))
-        product = np.multiply.reduceat(moment[order], starts)
+        # the product over a peptide's other edges: of those that aren't 0, and 0 if another one is
         zero = moment <= 0
-        others[~zero] = product[factor[~zero]] / moment[~zero]
-        for e in np.flatnonzero(zero):
-            others[e] = np.prod(moment[(factor == factor[e]) & (np.arange(len(moment)) != e)])
+        some = np.where(zero, 1.0, moment)
+        product = np.multiply.reduceat(some[order], starts)
+        zeros = np.add.reduceat(zero[order].astype(np.int64), starts)
+        others = np.where(zeros[factor] - zero > 0, 0.0, product[factor] / some)
         emitted = np.clip(1 - (1 - p.beta) * off[None, :] * others[:, None], 0.0, 1.0)
         message = _shares(np.where(live, np.maximum(1 + (lr[:, None] - 1) * emitted, 1e-300), 0.0))
         change = p.damping * (message - to_cluster)
@@ -144,7 +148,7 @@ def propagate(pdf: pd.DataFrame, p: BayesParams) -> pd.DataFrame:
         if delta < p.tolerance:
             break
     post = _softmax(np.where(alive, _beliefs(prior, to_cluster, cluster, live), -np.inf))
-    return pd.DataFrame({"cluster": names, "pep": np.clip(post[:, 0], 0.0, 1.0)})
+    return pd.DataFrame({"cluster": names, "pep": np.clip(post[:, 0], 0.0, 1.0), "iterations": rounds, "converged": bool(delta < p.tolerance)})
 
 
 def _shares(x: np.ndarray) -> np.ndarray:
@@ -161,22 +165,35 @@ def _beliefs(prior: np.ndarray, to_cluster: np.ndarray, cluster: np.ndarray, liv
     return out
 
 
-def infer_bayes(entries: DataFrame, p: BayesParams | None = None) -> DataFrame:
-    """cluster, proteins, is_decoy, n_peptides, pep, score = 1 - pep and q by polarity."""
-    p = p or BayesParams()
-    named = materialise(clusters(entries), "clusters")
-    edges = materialise(cluster_edges(entries, named), "cluster-edges")
+def solved(edges: DataFrame, entries: DataFrame, p: BayesParams) -> DataFrame:
+    """cluster, component, pep, iterations and converged of all clusters; 0 iterations where the form is closed."""
     tangled = edges.where("parents > 1").select("cluster").distinct()
-    closed = closed_posterior(edges.join(tangled, "cluster", "left_anti"), entries, p)
-    comp = _cluster_components(edges)
+    comp = materialise(_cluster_components(edges), "cluster-components")
     hard = comp.join(comp.join(tangled, "cluster", "left_semi").select("component").distinct(), "component")
+    easy = closed_posterior(edges.join(hard.select("cluster"), "cluster", "left_anti"), entries, p)
     lr = odds_ratio(clamp(F.col("pep"), 1e-12, 1 - 1e-12), p.peptide_prior)
-    rows = edges.join(hard, "cluster").join(entries.select("row_id", lr.alias("lr")), "row_id")
-    # connected parts share tasks: messages never cross them, and small ones come by the thousand
+    rows = materialise(edges.join(hard, "cluster").join(entries.select("row_id", lr.alias("lr")), "row_id"), "tangled")
+    # connected parts share tasks: messages never cross them, and small ones come by the thousand. Parts of one task
+    # have largest clusters of about one size, as every edge has as many states as the task's largest
     n = max(1, -(-rows.count() // TASK_EDGES))
-    dealt = rows.select("row_id", "cluster", "size", "lr", F.pmod(F.xxhash64("component"), F.lit(n)).alias("task"))
-    solved = dealt.groupBy("task").applyInPandas(lambda x: propagate(x, p), "cluster string, pep double")
-    closed = closed.join(hard.select("cluster"), "cluster", "left_anti")
+    largest = rows.groupBy("component").agg(F.ceil(F.log2(F.max("size") + 1)).alias("states"))
+    task = F.struct("states", F.pmod(F.xxhash64("component"), F.lit(n)).alias("part"))
+    dealt = rows.join(largest, "component").select("row_id", "cluster", "size", "lr", task.alias("task"))
+    some = dealt.groupBy("task").applyInPandas(lambda x: propagate(x, p), "cluster string, pep double, iterations int, converged boolean")
+    easy = easy.select("cluster", "pep", F.lit(0).alias("iterations"), F.lit(True).alias("converged"))
+    return easy.unionByName(some).join(comp, "cluster")
+
+
+def infer_bayes(entries: DataFrame, p: BayesParams | None = None) -> DataFrame:
+    """cluster, proteins, is_decoy, n_peptides, pep, score = 1 - pep, q by polarity, and iterations and converged of its part."""
+    p = p or BayesParams()
+    named = materialise(clusters(entries), "clusters")
+    edges = materialise(cluster_edges(entries, named), "cluster-edges")
     members = named.groupBy("cluster", "is_decoy", "n_peptides").agg(F.array_sort(F.collect_list("protein")).alias("proteins"))
-    out = members.join(closed.unionByName(solved), "cluster")
-    return bayes_qvalues(out.withColumn("score", 1 - F.col("pep")))
+    out = members.join(solved(edges, entries, p).drop("component"), "cluster")
+    return bayes_qvalues(materialise(out.withColumn("score", 1 - F.col("pep")), "posteriors"))
+
+
+def inference_diagnostics(groups: DataFrame) -> DataFrame:
+    """One row: the most iterations that any part took, and whether all settled; not settled posteriors are the last ones."""
+    return groups.agg(F.max("iterations").alias("iterations"), F.coalesce(F.bool_and("converged"), F.lit(True)).alias("converged"))

@@ -82,6 +82,7 @@ def rescore(
         groups = proteins.infer_picked(entries)
         if p.protein_inference == "bayesian":
             groups = bayes.infer_bayes(entries, bayes_params).withColumn("picked", F.lit(True))
+        groups = materialise(groups, "protein-groups")
     return Run(matches, peptides, groups, choices)
 
 
@@ -90,7 +91,22 @@ def yields_by_source(run: Run) -> DataFrame:
     return rollup.yield_of_sources(run.matches)
 
 
-def run_log(run: Run) -> DataFrame:
-    """One row of counts."""
-    m = run.matches.agg(F.count_if(F.col("label") > 0).alias("targets"), F.count_if(F.col("label") < 0).alias("decoys"), td.pi0_of(F.col("label")).alias("pi0"), td.yield_at().alias("psms_q01"))
-    return m.crossJoin(run.peptides.agg(td.yield_at().alias("peptides_q01")))
+def run_log(run: Run, p: Params | None = None, profile: str = "canonical") -> dict:
+    """What a run did: its settings, what each fold chose, counts, and whether inference settled."""
+    p = p or Params()
+    m = run.matches.agg(F.count_if(F.col("label") > 0).alias("targets"), F.count_if(F.col("label") < 0).alias("decoys"), td.pi0_of(F.col("label")).alias("pi0"), td.yield_at().alias("psms_q01")).first()
+    choices = [r.asDict() for r in run.choices.drop("weights").orderBy("fold").collect()]
+    out = {"profile": profile, "model": p.model, "max_iter": p.max_iter, "cap": p.cap, "seed": p.seed, "join": p.join, "ensemble": p.ensemble, "rt_features": p.rt_features}
+    out |= {"class_weights": "nested" if p.nested else "selected" if p.select_c else "fixed", "folds": choices}
+    if p.model == "mlp":
+        out |= {"mlp_hidden": p.mlp_hidden, "mlp_epochs": p.mlp_epochs, "mlp_rate": p.mlp_rate, "mlp_l2": p.mlp_l2}
+    out |= m.asDict() | {"peptides_q01": run.peptides.agg(td.yield_at()).first()[0]}
+    if run.proteins is not None:
+        out["proteins_q01"] = proteins_accepted(run.proteins, p.test_fdr)
+        if "converged" in run.proteins.columns:
+            out["inference"] = bayes.inference_diagnostics(run.proteins).first().asDict()
+    return out
+
+
+def proteins_accepted(groups: DataFrame, fdr: float) -> int:
+    return groups.where(F.col("picked") & ~F.col("is_decoy") & (F.col("q") < fdr)).count()

@@ -106,6 +106,7 @@ def timing(text: str) -> tuple[float, int]:
     return float(wall), int(rss)
 
 
-def command_line(words: list[str]) -> str:
-    """A command as a shell would read it."""
-    return shlex.join(words)
+def command_line(words: list[str], time_file: str | None = None) -> str:
+    """A command as a shell would read it; with a file for its wall time and memory, under the timing tool."""
+    timed = ["/usr/bin/time", "-f", r"%e\t%M", "-o", time_file] if time_file else []
+    return shlex.join([*timed, *words])

@@ -16,7 +16,7 @@ RUN_SCHEMA = (
     "schema_version int, benchmark_timestamp_unix_seconds long, dataset_id string, implementation string, random_seed long, wall_seconds double,"
     " peak_rss_kb long, files_attempted int, files_successful int, psms_q_lt_0_01 long, peptides_q_lt_0_01 long, proteins_q_lt_0_01 long,"
     " failed_files array<struct<input string, exit_status int, reason string>>,"
-    " per_file_results array<struct<input string, wall_seconds double, peak_rss_kb long, psms_q_lt_0_01 long, peptides_q_lt_0_01 long, failure string>>"
+    " per_file_results array<struct<input string, exit_status int, wall_seconds double, peak_rss_kb long, psms_q_lt_0_01 long, peptides_q_lt_0_01 long, proteins_q_lt_0_01 long, failure string>>"
 )
 
 
@@ -94,9 +94,20 @@ def entrapment_class(results: DataFrame, decoy: bool = False) -> DataFrame:
     return rows.select("q", pure.alias("pure"), ((F.size(foreign) > 0) & ~pure).alias("mixed"))
 
 
-def pair_key(path: Column) -> Column:
-    """The name that target and decoy result files of one run share."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)(\.|_)?(target|decoy)s?", "")
+def decoy_path(path: str) -> str:
+    """Where the decoys of a target result file lie; the same path if it isn't named as one."""
+    return path.replace(".target.psms.tsv", ".decoy.psms.tsv")
+
+
+def method_of(path: str) -> str:
+    """The method that a result file is of: its name up to the first dot."""
+    return path.rstrip("/").rsplit("/", 1)[-1].split(".")[0]
+
+
+def write_entrapment(report: DataFrame, path: str) -> None:
+    """The entrapment report, tab-separated, by method and limit."""
+    names = ("method", "q_threshold", "accepted_targets", "pure_entrapment", "mixed", "effective_entrapment_fraction", "adjusted_fdp", "fdp_ci95_low", "fdp_ci95_high")
+    report.select("method", "cut", "accepted", "foreign", "mixed", "foreign_share", "fdp", "fdp_low", "fdp_high").toDF(*names).orderBy("method", "q_threshold").coalesce(1).write.csv(path, sep="\t", header=True)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -109,6 +120,21 @@ def run_json(row) -> str:
     return json.dumps(row.asDict(recursive=True), indent=2)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_line(spark: SparkSession, text: str, path: str) -> None:
+    """A small file, in any store that Spark writes to; an existing one is an error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        out.write(bytearray((text + "\n").encode()))
+    finally:
+        out.close()
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """JSON with explicit nulls; an existing path is an error."""
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)

@@ -142,3 +142,27 @@ def test_bayes_q_rises_with_error(spark):
     rows = [(1, float(rng.uniform(0.01, 0.9)), f"P{i % 20}") for i in range(60)]
     out = bayes.infer_bayes(entries(spark, rows)).orderBy("pep").collect()
     assert all(a["q"] <= b["q"] + 1e-12 for a, b in zip(out, out[1:], strict=False))
+
+
+def test_zero_messages_and_settling():
+    """A peptide that some parent explains for certain, and a run that is stopped early."""
+    pdf = pd.DataFrame({"row_id": [0, 0, 1, 1, 2], "cluster": ["a", "b", "b", "c", "c"], "size": [1, 2, 2, 1, 1], "lr": [9.0, 9.0, 0.2, 0.2, 5.0]})
+    got = bayes.propagate(pdf, bayes.BayesParams())
+    assert got["converged"].all() and 1 < got["iterations"].max() < 200
+    short = bayes.propagate(pdf, bayes.BayesParams(max_iter=1))
+    assert not short["converged"].any() and short["iterations"].max() == 1
+
+
+def test_parts_of_several_sizes_are_solved_alike(spark):
+    rows = [(9 - i, 0.1 + i / 40, f"G{i};H{i};K{i % 3}") for i in range(9)] + [(5, 0.2, "G1;X"), (4, 0.3, "X;Y;Z")]
+    df = entries(spark, rows)
+    out = bayes.infer_bayes(df)
+    alone = {r["cluster"]: r["pep"] for r in out.collect()}
+    named = bayes.clusters(df)
+    edges = bayes.cluster_edges(df, named).join(df.select("row_id", "pep"), "row_id").toPandas()
+    post = 1 - edges["pep"]
+    edges["lr"] = (post / (1 - post)) / (0.1 / 0.9)
+    whole = bayes.propagate(edges, bayes.BayesParams()).set_index("cluster")["pep"].to_dict()
+    assert set(whole) == set(alone) and all(alone[c] == pytest.approx(whole[c], abs=1e-6) for c in whole)
+    log = bayes.inference_diagnostics(out).first()
+    assert log["converged"] and log["iterations"] > 1

@@ -168,7 +168,8 @@ def table(spark, n=240):
 @pytest.mark.parametrize("p,proteins", [(Params(), True), (Params(protein_inference="bayesian", rt_features=True), True), (Params(ensemble=True), False)])
 def test_whole_run(spark, tmp_path, p, proteins):
     run = pipeline.rescore(table(spark), p, infer_proteins=proteins)
-    log = pipeline.run_log(run).first()
+    log = pipeline.run_log(run, p)
+    assert len(log["folds"]) == 3 and log["class_weights"] == "fixed" and ("inference" in log) == (p.protein_inference == "bayesian")
     assert log["psms_q01"] >= 40 and log["targets"] <= 120
     assert run.peptides.count() == run.peptides.select("label", "core").distinct().count()
     assert sum(r["accepted"] for r in pipeline.yields_by_source(run).collect()) == log["psms_q01"]
@@ -210,9 +211,10 @@ def test_dataset_runs_are_recorded_and_compared(spark, tmp_path):
     (tmp_path / "bad.pin").write_text("no\theader\n")
     data = manifest.parse(GOOD)["d-1"]
     files, record = benchmark.run_dataset(spark, data, Params(max_iter=2), {"DATA_DIR": str(tmp_path)})
+    assert [r["exit_status"] for r in record["per_file_results"]] == [1, 0] and record["failed_files"][0]["exit_status"] == 1
     assert record["files_attempted"] == 2 and record["files_successful"] == 1 and record["psms_q_lt_0_01"] is None
     benchmark.write_run(files, record, str(tmp_path / "out"))
-    path = str(tmp_path / "out" / "result.json")
+    path = str(tmp_path / "out" / "rescora-result.json")
     row = benchmark.compare_runs(spark, path, path).first()
     assert row["ties"] == 1 and row["wins"] == row["losses"] == 0
     with pytest.raises(Exception):
@@ -220,6 +222,82 @@ def test_dataset_runs_are_recorded_and_compared(spark, tmp_path):
         main(["compare", path, path, str(tmp_path / "out" / "files.tsv")])
 
 
+def test_dataset_command(spark, tmp_path, monkeypatch, capsys):
+    from rescora.__main__ import main
+
+    matches.write_matches(table(spark).coalesce(1), ["f1", "f2"], str(tmp_path / "in"))
+    next((tmp_path / "in").glob("part*.txt")).rename(tmp_path / "good.pin")
+    (tmp_path / "m.toml").write_text(GOOD.replace("protein_level_evaluation = false", "protein_level_evaluation = true"))
+    monkeypatch.setenv("DATA_DIR", str(tmp_path))
+    words = ["dataset", "--manifest", str(tmp_path / "m.toml"), "--dataset", "d-1", "--output", str(tmp_path / "run"), "--profile", "fast"]
+    assert main([*words, "--dry-run"]) == 0
+    said = capsys.readouterr().out
+    assert "/usr/bin/time" in said and "good.pin" in said and not (tmp_path / "run").exists()
+    assert main(words) == 0
+    row = results.read_runs(spark, str(tmp_path / "run" / "rescora-result.json")).first()
+    assert row["proteins_q_lt_0_01"] is not None and row["per_file_results"][0]["proteins_q_lt_0_01"] == row["proteins_q_lt_0_01"]
+    assert len(manifest.timing((tmp_path / "run" / "good" / "time.tsv").read_text())) == 2
+    assert main([*words[:4], "none", *words[5:]]) == 2
+
+
+def test_entrapment_report(spark, tmp_path):
+    from rescora.__main__ import main
+    from rescora.plans import benchmark
+
+    head = "\t".join(results.MATCH_COLUMNS)
+    row = lambda i, q, p: f"{i}\t1.0\t{q}\t0.1\tK.A.R\t{p}"
+    (tmp_path / "svm.target.psms.tsv").write_text("\n".join([head, row(1, 0.0005, "P1"), row(2, 0.0005, "ENT_A"), row(3, 0.004, "P2;ENT_B"), row(4, 0.03, "ENT_C\tENT_D")]) + "\n")
+    (tmp_path / "svm.decoy.psms.tsv").write_text("\n".join([head, row(5, 0.004, "DECOY_ENT_A"), row(6, 0.004, "decoy_P1"), row(7, 0.004, "DECOY_P1;DECOY_ENT_Q"), row(8, 0.004, "DECOY_P9")]) + "\n")
+    (tmp_path / "mlp.target.psms.tsv").write_text("\n".join([head, row(1, 0.5, "P1")]) + "\n")
+    files = [str(tmp_path / f"{m}.target.psms.tsv") for m in ("svm", "mlp")]
+    rows = {(r["method"], r["cut"]): r for r in benchmark.entrapment_report(spark, files, 0.5).collect()}
+    r = rows["svm", 0.001]
+    # no decoy passes: the given fraction
+    assert (r["accepted"], r["foreign"], r["mixed"], r["foreign_share"], r["fdp"]) == (2, 1, 0, 0.5, 1.0)
+    r = rows["svm", 0.005]
+    # a third of the decoys that aren't mixed
+    assert (r["accepted"], r["foreign"], r["mixed"]) == (3, 1, 1) and r["foreign_share"] == pytest.approx(1 / 3) and r["fdp"] == pytest.approx(1.0)
+    assert rows["svm", 0.05]["foreign"] == 2 and rows["mlp", 0.1]["fdp"] == rows["mlp", 0.1]["fdp_high"] == 0.0
+    assert main(["entrapment", "--entrapment-fraction", "0.5", "--output", str(tmp_path / "report"), *files]) == 0
+    text = next((tmp_path / "report").glob("part*")).read_text().splitlines()
+    assert len(text) == 13 and text[0].startswith("method\tq_threshold\taccepted_targets")
+
+
+def test_repeated_lines_are_rows_of_their_own(spark, tmp_path):
+    from rescora.operators import learn
+
+    head, *lines = regression_lines()[:60]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "r.pin").write_text("\n".join([head, *lines, lines[0], lines[0]]) + "\n")
+    (tmp_path / "b" / "r.pin").write_text("\n".join([head, lines[0]]) + "\n")
+    one, _ = matches.read_matches(spark, [str(tmp_path / "a" / "r.pin")])
+    assert one.count() == one.select("row_id").distinct().count() == len(lines) + 2
+    assert learn.rescored(one, Params(max_iter=1)).count() == len(lines) + 2
+    both, _ = matches.read_matches(spark, [str(tmp_path / "*" / "r.pin")])
+    assert both.select("source").distinct().count() == 2 and both.select("row_id").distinct().count() == len(lines) + 3
+    again, _ = matches.read_matches(spark, [str(tmp_path / "a" / "r.pin")])
+    ids = lambda d: sorted(r["row_id"] for r in d.select("row_id").collect())
+    assert ids(one) == ids(again.repartition(5))
+
+
+def test_marks_inside_headers(spark, tmp_path):
+    (tmp_path / "f.fasta").write_text(">A a->b binding\nAC\nDE\n>B >x\n>C\nKK")
+    df = spectra.read_fasta(spark, str(tmp_path / "f.fasta"))
+    assert {(r["header"], r["sequence"]) for r in df.collect()} == {("A a->b binding", "ACDE"), ("B >x", ""), ("C", "KK")}
+
+
+def test_callers_names_are_kept(spark):
+    from rescora.operators import folds, targetdecoy
+
+    df = table(spark).drop("features").selectExpr("*", "cast(row_id as double) AS score", "'mine' AS _t", "'mine' AS _D", "'mine' AS _pi0", "'mine' AS _b", "'mine' AS _r", "'mine' AS _draw")
+    rows = [targetdecoy.qvalues(df), targetdecoy.qvalues(df, one_task=0), targetdecoy.peps(df), rollup.best_of(df, ["peptide"]), folds.assign_folds(df), rollup.interleaved_by_size(df.withColumn("size", F.col("scan")), name="spec_id")]
+    for out in rows:
+        assert set(df.columns) <= set(out.columns) and out.count() > 0
+        for c in ("_t", "_D", "_pi0", "_b", "_r", "_draw"):
+            assert {r[c] for r in out.select(c).distinct().collect()} == {"mine"}
+
+
 def regression_lines():
     """260 lone targets, and 110 pairs of a target and a decoy protein with two peptides each."""
     lines = ["SpecId\tLabel\tScanNr\tXcorr\tPeptide\tProteins"]

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from rescora.operators import ordering
 from rescora.operators import targetdecoy as td
 from rescora.operators.learn import rank_qvalues
 
@@ -34,7 +35,7 @@ def test_qvalues_equal_a_sequential_walk(spark, one_task):
 
 
 def test_two_passes_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(td, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ordering, "CELL_ROWS", 50)
     df = spark.createDataFrame(made(1000, 3), "row_id long, label int, score double")
     a = {r["row_id"]: r["q"] for r in td.qvalues(df, pi0=0.7).collect()}
     b = {r["row_id"]: r["q"] for r in td.qvalues(df, pi0=0.7, one_task=0).collect()}
@@ -42,7 +43,7 @@ def test_two_passes_over_many_ranges(spark, monkeypatch):
 
 
 def test_two_passes_within_keys(spark, monkeypatch):
-    monkeypatch.setattr(td, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ordering, "CELL_ROWS", 50)
     rows = [(i, x, s * (1000 if i % 3 else 1), ["a", "b", None][i % 3]) for i, x, s in made(900, 4)]
     df = spark.createDataFrame(rows, "row_id long, label int, score double, source string")
     a, b = ({r["row_id"]: r["q"] for r in td.qvalues(df, ["source"], one_task=n).collect()} for n in (10**6, 0))
@@ -70,7 +71,7 @@ def test_empty(spark):
 
 
 def test_peps_equal_pooling_of_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(td, "RANGE_ROWS", 40)
+    monkeypatch.setattr(ordering, "CELL_ROWS", 40)
     rows = made(300, 5, 1000)
     df = spark.createDataFrame(rows, "row_id long, label int, score double")
     order = sorted(rows, key=lambda r: (-r[2], r[0]))
