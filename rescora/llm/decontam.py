@@ -309,19 +309,24 @@ class Held:
 
     def match(self, rows: list[bytes]) -> Iterator[tuple[bytes, int, int, list[str]]]:
         """Texts without their hit spans, number of words, of hit words, and items; block by block over all texts."""
-        words = [t.translate(_FOLD).split() for t in rows]
-        found = [(np.zeros(len(w), bool), set()) for w in words]
-        wanted: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            h, seen = word_hashes(w), {}
+        # one text's words at a time; those of texts that may match are cut out again for each automaton
+        lengths, wanted = [], {}
+        for i, t in enumerate(rows):
+            words = item_words(t)
+            lengths.append(len(words))
+            h, seen = word_hashes(words), {}
             for k, gate in self.gates.items():
-                if len(w) and gate.open(h, seen):
+                if words and gate.open(h, seen):
                     wanted.setdefault(k, []).append(i)
+        found: dict[int, tuple[np.ndarray, set]] = {}
         for k in sorted(wanted, key=lambda k: k not in self.automata):
             own = self.get(k)
             for i in wanted[k]:
-                own.match(words[i], *found[i])
-        return (_result(t, hit, items) for t, (hit, items) in zip(rows, found, strict=True))
+                own.match(item_words(rows[i]), *found.setdefault(i, (np.zeros(lengths[i], bool), set())))
+        for i, t in enumerate(rows):
+            hit, items = found.get(i, (None, set()))
+            n = int(hit.sum()) if hit is not None else 0
+            yield without(t, hit) if n else t, lengths[i], n, sorted(items - {None})
 
 
 #: What this worker holds of a benchmark.
@@ -346,11 +351,6 @@ def without(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _result(text: bytes, hit: np.ndarray, items: set) -> tuple[bytes, int, int, list[str]]:
-    n = int(hit.sum())
-    return without(text, hit) if n else text, len(hit), n, sorted(items - {None})
-
-
 def _struct(rows: Iterable[tuple[bytes, int, int, list[str]]]) -> pa.StructArray:
     clean, n_words, n_hit, items = zip(*rows, strict=True) if (rows := list(rows)) else ((), (), (), ())
     return pa.StructArray.from_arrays(

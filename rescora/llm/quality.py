@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 from ..session import bounded_batches
 from .common import texts
 
-SAMPLE, RANK, K, SHARPNESS, BLOCK = 1024, 48, 24, 8, 256
+SAMPLE, RANK, K, SHARPNESS, BLOCK = 1024, 48, 24, 8, 64
 
 
 TRIGRAMS, WORDS = 4096, 4096
 WIDTH = TRIGRAMS + WORDS + 2
 
 
-def _repeated(x: list) -> float:
-    return np.sqrt(1 - len(set(x)) / len(x)) if x else 0.0
+def _repeated(h: np.ndarray) -> float:
+    return np.sqrt(1 - len(np.unique(h)) / len(h)) if len(h) else 0.0
 
 
 def shares(text: bytes) -> np.ndarray:
@@ -46,9 +46,10 @@ def shares(text: bytes) -> np.ndarray:
         out[:TRIGRAMS] = np.sqrt(np.bincount(slot, minlength=TRIGRAMS) / len(code))
     words = text.split()
     if words:
-        slot = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(WORDS)
-        out[TRIGRAMS:-2] = np.sqrt(np.bincount(slot.astype(np.int64), minlength=WORDS) / len(words))
-        out[-2:] = _repeated(words), _repeated(list(zip(words, words[1:], strict=False)))
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        out[TRIGRAMS:-2] = np.sqrt(np.bincount((h % np.uint64(WORDS)).astype(np.int64), minlength=WORDS) / len(h))
+        with np.errstate(over="ignore"):
+            out[-2:] = _repeated(h), _repeated(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
     return out
 
 
