@@ -134,3 +134,47 @@ SELECT conv_id, part, speaker, string_agg(head || body || chr(10), '' ORDER BY i
   count(*) FILTER (WHERE own_part) AS n_turns, count(*) FILTER (WHERE own) AS n_spoken
 FROM s GROUP BY conv_id, part, speaker
 """
+
+ORACLES["op13_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d
+), l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(w.doc_id > first_id, FALSE) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, fails
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o
+), r AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS own, fails, n, good, toxic,
+    contains(fails, substr(filter_order, step, 1)) AS hit,
+    len(translate(fails, substr(filter_order, 1, step - 1), '')) < len(fails) AS gone
+  FROM c, s
+), t AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND NOT hit), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE gone AND hit), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE NOT gone AND hit), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM t
+"""

@@ -119,6 +119,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, encode, n_ids
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
+    rows = decode(rows.select("doc_id", "ids"), vocabulary)
+    return rows.select("doc_id", n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_kdtree": op2_kdtree,
@@ -130,4 +153,7 @@ QUERIES = {
     "op8_rotation": op8_rotation,
     "op9_decontam": op9_decontam,
     "op10_warc": op10_warc,
+    "op11_bpe": op11_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_audit": op13_audit,
 }

@@ -16,5 +16,5 @@ def test_against_sql(spark, name):
     compare(spark, QUERIES[name], ORACLES[name])
 
 
-def test_ten_operators():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+def test_all_operators():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
