@@ -7,7 +7,7 @@ document copy the time at which its words are due, and range-sorting by that pos
 
 Nulls and ties: a null source is a source of its own, last; a null text has no words; equal documents are ordered by
 md5 of doc_id, doc_id and size, and rows that agree in all of these are interchangeable. A document without words is
-in the mix as often as its source is passed over. Extra columns are kept; those named like a result are replaced.
+in the mix as often as its source is passed over, once more if it lies in the last partial pass, and fills nothing. Extra columns are kept; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -103,19 +103,6 @@ def _placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("_full", full).withColumn("_rest", F.col("target") - F.col("_full") * F.col("source_size"))
 
 
-def _fills(placed: DataFrame) -> DataFrame:
-    """For each source, the one row beyond the last partial pass that comes nearest to the words still missing."""
-    fits = F.col("_end") <= F.col("_rest")
-    gap = placed.groupBy("source").agg(
-        F.first("_rest").alias("_rest"), F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0)).alias("_got")
-    )
-    gap = gap.select(F.col("source").alias("_s"), (F.col("_rest") - F.col("_got")).alias("_gap"))
-    out = placed.where(~fits).join(gap, F.col("source").eqNullSafe(F.col("_s")))
-    off = F.abs(F.col("_gap") - F.col("size"))
-    best = out.where(off < F.col("_gap")).groupBy("source").agg(F.min(F.struct(off.alias("o"), "_h", "_end")).alias("b"))
-    return best.select(F.col("source").alias("_s"), F.col("b._end").alias("_fill"))
-
-
 def _filled(placed: DataFrame) -> DataFrame:
     """The rows (_k, _e) beyond the last partial pass that fill what is missing, until no row that is left fits.
 
@@ -138,26 +125,24 @@ def _filled(placed: DataFrame) -> DataFrame:
 
 @own_names
 def mix(
-    docs: DataFrame, schedules: Sequence[Knots] = CURRICULUM, most_repeats: int = MOST_REPEATS, fill: bool = False
+    docs: DataFrame, schedules: Sequence[Knots] = CURRICULUM, most_repeats: int = MOST_REPEATS
 ) -> DataFrame:
     """Every row of `docs` with size, source_size, target, taken, repeats and positions (one for each copy, ascending).
 
-    The last partial pass stops at the first row by hash that is too long; one row, the nearest to what is missing, is
-    added, as in the query's SQL. With `fill`, all rows are that fit, until what is missing is below the smallest left.
-    The plan is made on a written table without the texts; only the small tables that come of it join the documents.
+    The last partial pass stops at the first row by hash that is too long. Then rows beyond it are added by hash, of those
+    that fit, again and again until what is missing is below the smallest left, so a source misses its target by less
+    than that. The plan is made on a written table without the texts; only the small tables that come of it join the documents.
     """
     compact = materialise(prepared(docs).select("doc_id", "source", "_key", "size", "_h", "_cell"), "mix-rows")
     targets = materialise(source_targets(compact, schedules, most_repeats), "mix-targets")
     placed = materialise(_placed(compact, targets), "mix-placed")
-    fills = _filled(placed) if fill else materialise(_fills(placed), "mix-fills")
+    fills = _filled(placed)
     bare = set(docs.columns) == {"doc_id", "source", "text"}
     rows = _placed(compact if bare else prepared(docs), targets)
-    if fill:
-        found = fills.select("_k", "_e", F.col("_e").alias("_fill"), F.col("_k").alias("_s"))
-        rows = rows.join(found, (F.col("_key") == F.col("_k")) & (F.col("_end") == F.col("_e")), "left").drop("_k", "_e")
-    else:
-        rows = rows.join(fills, F.col("source").eqNullSafe(F.col("_s")), "left")
-    extra = (F.col("_end") <= F.col("_rest")) | F.coalesce(F.col("_end") == F.col("_fill"), F.lit(False))
+    # a row with words is alone at its end; those without take no part in filling
+    found = fills.select("_k", F.col("_e").alias("_fill"))
+    rows = rows.join(found, (F.col("_key") == F.col("_k")) & (F.col("_end") == F.col("_fill")) & (F.col("size") > 0), "left")
+    extra = (F.col("_end") <= F.col("_rest")) | F.col("_fill").isNotNull()
     rows = rows.withColumn("repeats", F.least(F.col("_full") + extra.cast("int"), F.lit(most_repeats)))
     start = F.col("_end") - F.col("size")
 
@@ -171,7 +156,7 @@ def mix(
     copies = F.when(F.col("repeats") > 0, F.sequence(F.lit(0), F.col("repeats") - 1)).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("positions", F.transform(copies, place))
     rows = rows.withColumn("taken", F.col("size") * F.col("repeats"))
-    return rows.drop("_key", "_h", "_cell", "_class", "_end", "_full", "_rest", "_s", "_fill")
+    return rows.drop("_key", "_h", "_cell", "_class", "_end", "_full", "_rest", "_k", "_fill")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_mixing"] = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents
@@ -30,14 +30,18 @@ WITH d AS (
   SELECT *, target - full_passes * source_size AS rest FROM p
 ), g AS (
   SELECT source, any_value(rest) - coalesce(sum(size) FILTER (WHERE e <= rest), 0) AS gap FROM q GROUP BY source
+), m AS (
+  SELECT coalesce('=' || q.source, '') AS k, h, doc_id, size, e, gap, FALSE AS took
+  FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source WHERE e > rest AND size > 0
+  UNION ALL
+  SELECT k, h, doc_id, size, e, gap - sum(CASE WHEN upto <= gap THEN size ELSE 0 END) OVER (PARTITION BY k), upto <= gap
+  FROM (SELECT *, sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM m WHERE NOT took AND size <= gap)
 ), f AS (
-  SELECT q.source, arg_min(e, (abs(gap - size), h, e)) AS fill_end
-  FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source
-  WHERE e > rest AND abs(gap - size) < gap GROUP BY q.source
+  SELECT k, e FROM m WHERE took
 ), r AS (
-  SELECT q.*, least(full_passes + CASE WHEN e <= rest OR coalesce(e = fill_end, FALSE) THEN 1 ELSE 0 END, 3) AS n,
-         coalesce((e - size) / nullif(target, 0), 0) AS share
-  FROM q LEFT JOIN f ON q.source IS NOT DISTINCT FROM f.source
+  SELECT q.*, least(full_passes + CASE WHEN q.e <= rest OR f.e IS NOT NULL THEN 1 ELSE 0 END, 3) AS n,
+         coalesce((q.e - size) / nullif(target, 0), 0) AS share
+  FROM q LEFT JOIN f ON coalesce('=' || q.source, '') = f.k AND q.e = f.e AND size > 0
 )
 SELECT doc_id, size, source_size, target, CAST(size * n AS BIGINT) AS taken,
   CASE WHEN n > 0 THEN round(least(CASE class

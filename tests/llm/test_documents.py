@@ -63,16 +63,26 @@ def test_mix(spark, docs, rows):
     assert order == sorted(order) and len(order) == sum(len(r["positions"]) for r in got)
 
 
-def test_a_source_with_one_dominating_document_is_filled(spark):
+@pytest.mark.parametrize("schedules", [mixing.CURRICULUM, [((0.0, 1.0), (1.0, 1.0)), ((0.0, 19.0), (1.0, 19.0))]])
+def test_a_source_with_one_dominating_document_is_filled(spark, schedules):
     least = min(range(200), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
     made = [(i, "long" if i < 200 else "other", "w " * (1000 if i == least else 10)) for i in range(500)]
+    made += [(600 + i, "few", "w " * (1000 if i == 0 else 10)) for i in range(40)] + [(700 + i, "few", "") for i in range(9)]
     rows = spark.createDataFrame(made, "doc_id long, source string, text string")
-    got = mixing.mix(rows, [((0.0, 1.0), (1.0, 1.0)), ((0.0, 19.0), (1.0, 19.0))], fill=True)
-    for source in ("long", "other"):
+    got = mixing.mix(rows, schedules)
+    for source in ("long", "other", "few"):
         own = got.where(F.col("source") == source).agg(F.first("target").alias("t"), F.sum("taken").alias("n")).first()
         assert 0 <= own["t"] - own["n"] < 10
 
 
+def test_the_probe_of_39_short_rows_and_a_long_one(spark):
+    first = min(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    made = [(i, "b", "w " * (1000 if i == first else 10)) for i in range(40)] + [(100 + i, "a", "w " * 7) for i in range(60)]
+    got = mixing.mix(spark.createDataFrame(made, "doc_id long, source string, text string")).where("source = 'b'")
+    own = got.agg(F.first("target").alias("t"), F.sum("taken").alias("n")).first()
+    assert 0 <= own["t"] - own["n"] < 10
+
+
 def test_positions_follow_the_schedule(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
     late = [((0.0, 0.0), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0))]
