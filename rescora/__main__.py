@@ -141,22 +141,23 @@ def main(argv: list[str]) -> int:
         return 2
     builder = SparkSession.builder
     spark = (builder if SparkSession.getActiveSession() else builder.config("spark.master", f"local[{max(1, a.num_threads)}]")).getOrCreate()
+    counts = matches.LineCounts()
     if p.ensemble:
-        df, names = matches.read_engines(spark, dict(x.split("=", 1) for x in a.inputs))
+        df, names = matches.read_engines(spark, dict(x.split("=", 1) for x in a.inputs), counts)
     else:
-        df, names = matches.read_matches(spark, a.inputs)
+        df, names = matches.read_matches(spark, a.inputs, counts)
     bayes_params = pipeline.bayes.BayesParams(a.protein_alpha, a.protein_beta, a.protein_gamma, a.protein_peptide_prior, max_iter=a.protein_max_iter)
     run = pipeline.rescore(df, p, bool(a.results_proteins or a.decoy_results_proteins), bayes_params)
     for flags, level, decoys in OUTPUTS:
         path = getattr(a, flags[1].lstrip("-").replace("-", "_"))
         if path and level == "proteins":
-            results.write_protein_results(run.proteins, path, decoys)
+            results.write_protein_results(run.proteins, path, decoys, one_file=True)
         elif path:
-            results.write_match_results(getattr(run, level).where("label < 0" if decoys else "label > 0"), path)
+            results.write_match_results(getattr(run, level).where("label < 0" if decoys else "label > 0"), path, one_file=True)
     if a.feature_report:
-        lines = results.feature_report_lines(pipeline.learn.feature_report(df, p), names)
+        lines = results.feature_report_lines(run.feature_report(p), names + ["rt_abs_error", "rt_sq_error"] * p.rt_features)
         spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(a.feature_report)
-    print(json.dumps(pipeline.run_log(run, p, a.profile)), file=sys.stderr)
+    print(json.dumps(pipeline.run_log(run, p, a.profile) | {"inputs": counts.by_file()}), file=sys.stderr)
     if p.join:
         for r in pipeline.yields_by_source(run).collect():
             print(f"{r['source']}\t{r['accepted']}", file=sys.stderr)

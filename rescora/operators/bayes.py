@@ -1,7 +1,9 @@
 """Bayesian protein inference: exchangeable proteins as counts, peptides as noisy-or factors.
 
-Where every peptide of a cluster has that cluster as its only parent, the posterior is in closed form and stays an
-expression; other clusters get damped belief propagation, each connected part of the graph in a task of its own.
+What a peptide with one parent cluster says doesn't depend on other clusters, so it is summed into the cluster's own
+evidence by state. A cluster without other peptides has its posterior from that in closed form. The others, with their
+shared peptides only, get damped belief propagation: connected parts of the graph share tasks, and a part with more
+states than a task should hold is a table of edges, each half of a round an aggregate over peptides or clusters.
 """
 
 from __future__ import annotations
@@ -10,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import binomial_prior, clamp, emission, is_decoy_protein, odds_ratio
-from ..session import materialise
+from ..functions.scalars import binomial_prior, clamp, emission, is_decoy_protein, normalise, odds_ratio, softmax
+from ..session import discard, materialise
 from .components import connected_components
 from .proteins import protein_edges
 from .targetdecoy import ONE_TASK, bayes_qvalues
@@ -22,6 +24,10 @@ from .targetdecoy import ONE_TASK, bayes_qvalues
 
 #: Edges of the graph in one task, but for a connected part that has more.
 TASK_EDGES = 50_000
+#: States of edges (a cluster's members and none) of a connected part up to which it is one task.
+TASK_STATES = 1_000_000
+#: Edges of one peptide or cluster in one task, where a part is a table.
+HOT_EDGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -45,19 +51,35 @@ class BayesParams:
             raise ValueError("max_iter and tolerance must be positive")
 
 
-def clusters(entries: DataFrame) -> DataFrame:
+def clusters(entries: DataFrame, digest: Column | None = None) -> DataFrame:
     """protein, is_decoy, cluster (its first member) and size: proteins with the same peptides and polarity.
 
-    A protein's peptides are compared by count and two sums of hashes, so no list grows with them.
+    Groups of equal count and hashes (`digest`, of row_id) of peptides are proposals. A member is proved by as many
+    peptides in common with the proposal's first protein as each has; what is not is proposed again without those, so
+    no list of peptides is gathered and hashes that clash only cost a pass.
     """
     edges = protein_edges(entries)
-    h = F.xxhash64("row_id")
-    seen = edges.groupBy("protein").agg(
-        F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(row_id))").alias("x"), F.sum(F.shiftrightunsigned(h, 24)).alias("s")
-    )
-    seen = seen.withColumn("is_decoy", is_decoy_protein(F.col("protein")))
-    same = seen.groupBy("is_decoy", "n", "x", "s").agg(F.min("protein").alias("cluster"), F.count(F.lit(1)).alias("size"))
-    return seen.join(same, ["is_decoy", "n", "x", "s"]).select("protein", "is_decoy", "cluster", "size", F.col("n").alias("n_peptides"))
+    h = F.xxhash64("row_id") if digest is None else digest
+    seen = edges.groupBy("protein").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 24)).alias("s"))
+    left = materialise(seen.withColumn("is_decoy", is_decoy_protein(F.col("protein"))), "proposals")
+    proved = None
+    while True:
+        first = left.groupBy("is_decoy", "n", "x", "s").agg(F.min("protein").alias("cluster"), F.count(F.lit(1)).alias("m"))
+        proposed = left.join(first, ["is_decoy", "n", "x", "s"])
+        # peptides of each other member, looked up among those of the first one
+        others = edges.join(proposed.where("protein <> cluster").select("protein", "cluster"), "protein")
+        firsts = edges.join(first.where("m > 1").select(F.col("cluster").alias("protein")), "protein")
+        common = others.join(firsts.select("row_id", F.col("protein").alias("cluster")), ["row_id", "cluster"], "left_semi")
+        common = common.groupBy("protein").agg(F.count(F.lit(1)).alias("common"))
+        out = proposed.join(common, "protein", "left").withColumn("same", (F.col("protein") == F.col("cluster")) | (F.coalesce("common", F.lit(0)) == F.col("n")))
+        out = materialise(out.select("protein", "is_decoy", "cluster", "n", "x", "s", "same"), "proved")
+        some = out.where("same").select("protein", "is_decoy", "cluster", "n")
+        proved = some if proved is None else proved.unionByName(some)
+        left = out.where("NOT same").select("protein", "is_decoy", "n", "x", "s")
+        if left.isEmpty():
+            break
+    size = proved.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return proved.join(size, "cluster").select("protein", "is_decoy", "cluster", "size", F.col("n").alias("n_peptides"))
 
 
 def cluster_edges(entries: DataFrame, named: DataFrame) -> DataFrame:
@@ -80,46 +102,64 @@ def graph_diagnostics(entries: DataFrame, named: DataFrame | None = None) -> Dat
 
 
 def _cluster_components(edges: DataFrame) -> DataFrame:
-    first = edges.groupBy("row_id").agg(F.min("cluster").alias("a"))
-    found = connected_components(edges.join(first, "row_id").select("a", F.col("cluster").alias("b")), one_task=ONE_TASK)
+    """cluster and component; only peptides with several parents connect clusters."""
+    shared = edges.where("parents > 1").select("row_id", "cluster")
+    first = shared.groupBy("row_id").agg(F.min("cluster").alias("a"))
+    found = connected_components(shared.join(first, "row_id").select("a", F.col("cluster").alias("b")), one_task=ONE_TASK)
     every = edges.select("cluster").distinct()
     return every.join(found, every.cluster == found.node, "left").select("cluster", F.coalesce("component", "cluster").alias("component"))
 
 
-def closed_posterior(edges: DataFrame, entries: DataFrame, p: BayesParams) -> DataFrame:
-    """cluster and pep (chance that no member is present) where each peptide has the cluster as its only parent."""
-    lr = odds_ratio(clamp(F.col("pep"), 1e-12, 1 - 1e-12), p.peptide_prior)
-    evidence = edges.join(entries.select("row_id", lr.alias("lr")), "row_id")
-    states = evidence.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("size").cast("int"))))
+def _lr(p: BayesParams) -> Column:
+    return odds_ratio(clamp(F.col("pep"), 1e-12, 1 - 1e-12), p.peptide_prior)
+
+
+def own_evidence(edges: DataFrame, entries: DataFrame, p: BayesParams) -> DataFrame:
+    """cluster and logs: by the number of present members, the prior and the peptides with no other parent, in logarithms."""
+    k = F.explode(F.sequence(F.lit(0), F.col("size").cast("int")))
+    alone = edges.where("parents = 1").join(entries.select("row_id", _lr(p).alias("lr")), "row_id").withColumn("k", k)
     term = F.log(F.greatest(1 + (F.col("lr") - 1) * clamp(emission(F.col("k"), p.alpha, p.beta), 0.0, 1.0), F.lit(1e-300)))
     # every term is divided by its sum over states in a message; a constant for each peptide, so it drops out
-    logs = states.groupBy("cluster", "size", "k").agg(F.sum(term).alias("l"))
-    prior = F.get(binomial_prior(F.col("size").cast("double"), p.gamma), F.col("k"))
-    logs = logs.withColumn("l", F.col("l") + F.log(F.greatest(prior, F.lit(1e-300))))
-    top = logs.groupBy("cluster").agg(F.max("l").alias("m"))
-    w = logs.join(top, "cluster").withColumn("w", F.exp(F.col("l") - F.col("m")))
-    return w.groupBy("cluster").agg((F.sum(F.when(F.col("k") == 0, F.col("w"))) / F.sum("w")).alias("pep"))
+    prior = edges.select("cluster", "size").distinct().select("cluster", F.posexplode(binomial_prior(F.col("size").cast("double"), p.gamma)).alias("k", "l"))
+    prior = prior.withColumn("l", F.log(F.greatest("l", F.lit(1e-300))))
+    return _by_state(alone.select("cluster", "k", term.alias("l")).unionByName(prior))
+
+
+def _by_state(rows: DataFrame) -> DataFrame:
+    """cluster and logs, the sum of l for each k, in order of k; a cluster has a row for each of its states at least."""
+    sums = rows.groupBy("cluster", "k").agg(F.sum("l").alias("l"))
+    listed = F.array_sort(F.collect_list(F.struct("k", "l")))
+    return sums.groupBy("cluster").agg(F.transform(listed, lambda x: x["l"]).alias("logs"))
+
+
+def closed_posterior(edges: DataFrame, entries: DataFrame, p: BayesParams) -> DataFrame:
+    """cluster and pep (chance that no member is present) where each peptide has the cluster as its only parent."""
+    return own_evidence(edges, entries, p).select("cluster", F.get(softmax(F.col("logs")), F.lit(0)).alias("pep"))
 
 
 def propagate(pdf: pd.DataFrame, p: BayesParams) -> pd.DataFrame:
-    """Damped sum-product messages over whole connected parts: rows (row_id, cluster, size, lr).
+    """Damped sum-product messages over whole connected parts: rows (row_id, cluster, size, lr) and, if known, logs.
 
-    cluster, pep, the iterations that these parts took together, and whether their messages settled by then.
+    logs are a cluster's own evidence; else its prior. cluster, pep, the iterations that these parts took together, and
+    whether their messages settled by then.
     """
     _, factor = np.unique(pdf["row_id"].to_numpy(), return_inverse=True)
-    names, cluster = np.unique(pdf["cluster"].to_numpy().astype(str), return_inverse=True)
-    size = np.zeros(len(names), np.int64)
-    size[cluster] = pdf["size"].to_numpy()
+    names, at, cluster = np.unique(pdf["cluster"].to_numpy().astype(str), return_index=True, return_inverse=True)
+    size = pdf["size"].to_numpy()[at].astype(np.int64)
     lr = pdf["lr"].to_numpy()
     k = np.arange(size.max() + 1)
     alive = k[None, :] <= size[:, None]
     logs = np.zeros(alive.shape)
-    for j in range(alive.shape[1] - 1):
-        step = np.log(np.maximum(size - j, 1e-300)) - np.log(j + 1) + np.log(p.gamma) - np.log(1 - p.gamma)
-        logs[:, j + 1] = logs[:, j] + step
-    prior = _shares(np.where(alive, np.exp(np.where(alive, logs - np.where(alive, logs, -np.inf).max(1, keepdims=True), -700)), 0.0))
+    if "logs" in pdf:
+        for row, own in zip(logs, pdf["logs"].to_numpy()[at], strict=True):
+            row[: len(own)] = own
+    else:
+        for j in range(alive.shape[1] - 1):
+            step = np.log(np.maximum(size - j, 1e-300)) - np.log(j + 1) + np.log(p.gamma) - np.log(1 - p.gamma)
+            logs[:, j + 1] = logs[:, j] + step
+    logs = np.where(alive, logs, -np.inf)
     live = alive[cluster]
-    to_factor = prior[cluster].copy()
+    to_factor = _softmax(logs)[cluster]
     to_cluster = _shares(live.astype(float))
     off = (1 - p.alpha) ** k
     n_factors = factor.max() + 1
@@ -130,16 +170,16 @@ def propagate(pdf: pd.DataFrame, p: BayesParams) -> pd.DataFrame:
         moment = to_factor @ off
         # the product over a peptide's other edges: of those that aren't 0, and 0 if another one is
         zero = moment <= 0
-        some = np.where(zero, 1.0, moment)
-        product = np.multiply.reduceat(some[order], starts)
+        some = np.log(np.where(zero, 1.0, moment))
+        product = np.add.reduceat(some[order], starts)
         zeros = np.add.reduceat(zero[order].astype(np.int64), starts)
-        others = np.where(zeros[factor] - zero > 0, 0.0, product[factor] / some)
+        others = np.where(zeros[factor] - zero > 0, 0.0, np.exp(product[factor] - some))
         emitted = np.clip(1 - (1 - p.beta) * off[None, :] * others[:, None], 0.0, 1.0)
         message = _shares(np.where(live, np.maximum(1 + (lr[:, None] - 1) * emitted, 1e-300), 0.0))
         change = p.damping * (message - to_cluster)
         delta = np.abs(change).max()
         to_cluster = _shares(to_cluster + change)
-        belief = _beliefs(prior, to_cluster, cluster, live)
+        belief = _beliefs(logs, to_cluster, cluster, live)
         own = np.log(np.maximum(to_cluster, 1e-300))
         message = _softmax(np.where(live, belief[cluster] - own, -np.inf))
         change = p.damping * (message - to_factor)
@@ -147,7 +187,7 @@ def propagate(pdf: pd.DataFrame, p: BayesParams) -> pd.DataFrame:
         to_factor = _shares(to_factor + change)
         if delta < p.tolerance:
             break
-    post = _softmax(np.where(alive, _beliefs(prior, to_cluster, cluster, live), -np.inf))
+    post = _softmax(_beliefs(logs, to_cluster, cluster, live))
     return pd.DataFrame({"cluster": names, "pep": np.clip(post[:, 0], 0.0, 1.0), "iterations": rounds, "converged": bool(delta < p.tolerance)})
 
 
@@ -159,38 +199,128 @@ def _softmax(logs: np.ndarray) -> np.ndarray:
     return _shares(np.exp(logs - logs.max(1, keepdims=True)))
 
 
-def _beliefs(prior: np.ndarray, to_cluster: np.ndarray, cluster: np.ndarray, live: np.ndarray) -> np.ndarray:
-    out = np.log(np.maximum(prior, 1e-300))
+def _beliefs(logs: np.ndarray, to_cluster: np.ndarray, cluster: np.ndarray, live: np.ndarray) -> np.ndarray:
+    out = logs.copy()
     np.add.at(out, cluster, np.where(live, np.log(np.maximum(to_cluster, 1e-300)), 0.0))
     return out
 
 
-def solved(edges: DataFrame, entries: DataFrame, p: BayesParams) -> DataFrame:
-    """cluster, component, pep, iterations and converged of all clusters; 0 iterations where the form is closed."""
-    tangled = edges.where("parents > 1").select("cluster").distinct()
-    comp = materialise(_cluster_components(edges), "cluster-components")
-    hard = comp.join(comp.join(tangled, "cluster", "left_semi").select("component").distinct(), "component")
-    easy = closed_posterior(edges.join(hard.select("cluster"), "cluster", "left_anti"), entries, p)
-    lr = odds_ratio(clamp(F.col("pep"), 1e-12, 1 - 1e-12), p.peptide_prior)
-    rows = materialise(edges.join(hard, "cluster").join(entries.select("row_id", lr.alias("lr")), "row_id"), "tangled")
-    # connected parts share tasks: messages never cross them, and small ones come by the thousand. Parts of one task
-    # have largest clusters of about one size, as every edge has as many states as the task's largest
-    n = max(1, -(-rows.count() // TASK_EDGES))
-    largest = rows.groupBy("component").agg(F.ceil(F.log2(F.max("size") + 1)).alias("states"))
-    task = F.struct("states", F.pmod(F.xxhash64("component"), F.lit(n)).alias("part"))
-    dealt = rows.join(largest, "component").select("row_id", "cluster", "size", "lr", task.alias("task"))
-    some = dealt.groupBy("task").applyInPandas(lambda x: propagate(x, p), "cluster string, pep double, iterations int, converged boolean")
-    easy = easy.select("cluster", "pep", F.lit(0).alias("iterations"), F.lit(True).alias("converged"))
-    return easy.unionByName(some).join(comp, "cluster")
-
-
-def infer_bayes(entries: DataFrame, p: BayesParams | None = None) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, other: str, out: str) -> DataFrame:
+    """Append the part of `key` that an edge is in: one for every HOT_EDGES of its edges."""
+    n = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / HOT_EDGES).alias("_n"))
+    return rows.join(n, key).withColumn(out, F.pmod(F.xxhash64(other), F.col("_n")).cast("int")).drop("_n")
+
+
+def _spread(edges: DataFrame, totals: DataFrame, key: str, part: str) -> DataFrame:
+    """Edges with the totals of their key, sent once to each of the key's parts."""
+    return edges.join(edges.select(key, part).distinct().join(totals, key), [key, part])
+
+
+def _changed(new: Column, old: Column, p: BayesParams) -> Column:
+    return F.zip_with(new, old, lambda a, b: F.lit(p.damping) * (a - b))
+
+
+def _largest(change: Column) -> Column:
+    return F.array_max(F.transform(change, F.abs))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
+def _from_peptides(edges: DataFrame, p: BayesParams) -> DataFrame:
+    """First half of a round: to_cluster after the peptides' messages, and the change.
+
+    A peptide has the sum of logarithms of its edges' moments and the number of those that are 0, so that an edge's own
+    share is taken out of what the others give.
+    """
+    off = F.transform(F.sequence(F.lit(0), F.col("size").cast("int")), lambda k: F.pow(F.lit(1 - p.alpha), k))
+    edges = edges.withColumn("_m", _sum(F.zip_with("to_factor", off, lambda f, o: f * o)))
+    edges = edges.withColumn("_zero", (F.col("_m") <= 0).cast("int")).withColumn("_log", F.when(F.col("_m") > 0, F.log("_m")).otherwise(0.0))
+    parts = edges.groupBy("row_id", "_fp").agg(F.sum("_log").alias("_logs"), F.sum("_zero").alias("_zeros"))
+    totals = parts.groupBy("row_id").agg(F.sum("_logs").alias("_logs"), F.sum("_zeros").alias("_zeros"))
+    rows = _spread(edges, totals, "row_id", "_fp")
+    rows = rows.withColumn("_others", F.when(F.col("_zeros") > F.col("_zero"), 0.0).otherwise(F.exp(F.col("_logs") - F.col("_log"))))
+    shown = F.transform(off, lambda o: clamp(1 - F.lit(1 - p.beta) * o * F.col("_others"), 0.0, 1.0))
+    rows = rows.withColumn("_new", normalise(F.transform(shown, lambda e: F.greatest(1 + (F.col("lr") - 1) * e, F.lit(1e-300)))))
+    rows = rows.withColumn("_change", _changed(F.col("_new"), F.col("to_cluster"), p))
+    rows = rows.withColumn("to_cluster", normalise(F.zip_with("to_cluster", "_change", lambda a, b: a + b)))
+    return rows.withColumn("delta", _largest(F.col("_change"))).drop("_m", "_zero", "_log", "_logs", "_zeros", "_others", "_new", "_change")
+
+
+def _logs(messages: str) -> Column:
+    return F.transform(messages, lambda x: F.log(F.greatest(x, F.lit(1e-300))))
+
+
+def _sums(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """cluster and logs: the clusters' own evidence and all messages to them."""
+    parts = edges.select("cluster", "_cp", F.posexplode(_logs("to_cluster")).alias("k", "l")).groupBy("cluster", "_cp", "k").agg(F.sum("l").alias("l"))
+    return _by_state(parts.select("cluster", "k", "l").unionByName(own))
+
+
+def _from_clusters(edges: DataFrame, own: DataFrame, p: BayesParams) -> DataFrame:
+    """Second half of a round: to_factor after the clusters' messages, and the larger change of the two halves."""
+    rows = _spread(edges, _sums(edges, own), "cluster", "_cp")
+    rows = rows.withColumn("_new", softmax(F.zip_with("logs", _logs("to_cluster"), lambda a, b: a - b)))
+    rows = rows.withColumn("_change", _changed(F.col("_new"), F.col("to_factor"), p))
+    rows = rows.withColumn("to_factor", normalise(F.zip_with("to_factor", "_change", lambda a, b: a + b)))
+    return rows.withColumn("delta", F.greatest("delta", _largest(F.col("_change")))).drop("logs", "_new", "_change")
+
+
+def propagate_tables(rows: DataFrame, p: BayesParams) -> DataFrame:
+    """propagate() for parts beyond a task, from rows (row_id, cluster, size, lr, logs): the same messages as a table.
+
+    Each half of a round is a written table, so a lost executor costs a half at most; one number a round, the largest
+    change of all messages, reaches the driver. All parts go on until all have settled. Peptides and clusters with more
+    than HOT_EDGES edges are dealt to parts, summed by part and together.
+    """
+    own = materialise(rows.groupBy("cluster").agg(F.first("logs").alias("logs")).select("cluster", F.posexplode("logs").alias("k", "l")), "own-evidence")
+    edges = _dealt(_dealt(rows, "row_id", "cluster", "_fp"), "cluster", "row_id", "_cp")
+    edges = edges.withColumns({"to_factor": softmax(F.col("logs")), "to_cluster": F.array_repeat(1 / (F.col("size") + 1), F.col("size").cast("int") + 1)})
+    edges = materialise(edges.select("row_id", "cluster", "size", "lr", "_fp", "_cp", "to_factor", "to_cluster"), "messages")
+    delta, rounds = float("inf"), 0
+    while rounds < p.max_iter and delta >= p.tolerance:
+        last, rounds = edges, rounds + 1
+        half = materialise(_from_peptides(edges.drop("delta"), p), "messages")
+        edges = materialise(_from_clusters(half, own, p), "messages")
+        discard(last, half)
+        delta = edges.agg(F.max("delta")).first()[0] or 0.0
+    post = _sums(edges, own).select("cluster", F.get(softmax(F.col("logs")), F.lit(0)).alias("pep"))
+    return post.select("cluster", "pep", F.lit(rounds).alias("iterations"), F.lit(delta < p.tolerance).alias("converged"))
+
+
+def solved(edges: DataFrame, entries: DataFrame, p: BayesParams, task_states: int = TASK_STATES) -> DataFrame:
+    """cluster, pep, iterations and converged of all clusters; 0 iterations where the form is closed."""
+    own = materialise(own_evidence(edges, entries, p), "own-evidence")
+    shared = edges.where("parents > 1")
+    easy = own.join(shared.select("cluster").distinct(), "cluster", "left_anti")
+    easy = easy.select("cluster", F.get(softmax(F.col("logs")), F.lit(0)).alias("pep"), F.lit(0).alias("iterations"), F.lit(True).alias("converged"))
+    hard = shared.join(_cluster_components(shared), "cluster").join(own, "cluster")
+    rows = materialise(hard.join(entries.select("row_id", _lr(p).alias("lr")), "row_id").drop("parents"), "tangled")
+    states = F.sum(F.col("size") + 1)
+    parts = materialise(rows.groupBy("component").agg(states.alias("all"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n")), "parts")
+    large = F.col("all") > task_states
+    n_small, n_large = parts.agg(F.sum(F.when(~large, F.col("n"))), F.count_if(large)).first()
+    out = easy
+    if n_small:
+        # connected parts share tasks: messages never cross them, and small ones come by the thousand. Parts of one
+        # task have largest clusters of about one size, as every edge has as many states as the task's largest
+        n = -(-n_small // TASK_EDGES)
+        task = F.struct(F.ceil(F.log2(F.col("most") + 1)).alias("states"), F.pmod(F.xxhash64("component"), F.lit(n)).alias("part"))
+        dealt = rows.join(parts.where(~large), "component").select("row_id", "cluster", "size", "lr", "logs", task.alias("task"))
+        out = out.unionByName(dealt.groupBy("task").applyInPandas(lambda x: propagate(x, p), "cluster string, pep double, iterations int, converged boolean"))
+    if n_large:
+        out = out.unionByName(propagate_tables(rows.join(parts.where(large).select("component"), "component").drop("component"), p))
+    return out
+
+
+def infer_bayes(entries: DataFrame, p: BayesParams | None = None, task_states: int = TASK_STATES) -> DataFrame:
     """cluster, proteins, is_decoy, n_peptides, pep, score = 1 - pep, q by polarity, and iterations and converged of its part."""
     p = p or BayesParams()
     named = materialise(clusters(entries), "clusters")
     edges = materialise(cluster_edges(entries, named), "cluster-edges")
     members = named.groupBy("cluster", "is_decoy", "n_peptides").agg(F.array_sort(F.collect_list("protein")).alias("proteins"))
-    out = members.join(solved(edges, entries, p).drop("component"), "cluster")
+    out = members.join(solved(edges, entries, p, task_states), "cluster")
     return bayes_qvalues(materialise(out.withColumn("score", 1 - F.col("pep")), "posteriors"))
 
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .names import own_names
+from ..session import materialise
+from .names import key_of, own_names
 from .ordering import running_sum
 
+#: Turns of the network that shuffles ranks, and the prime that its products are reduced by.
+FEISTEL_TURNS, PRIME = 6, 2**31 - 1
 #: Hexadecimal digits of a draw that cut rows into cells.
 CELL_DIGITS = 3
 
@@ -58,9 +64,60 @@ def training_cap(df: DataFrame, cap: int, seed: int = 1) -> DataFrame:
     return pos.unionByName(neg)
 
 
+def shuffled_rank(rank: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each rank of 0 to n - 1 another of them, one to one for each (n, key); keys are of 60 bits.
+
+    A Feistel network permutes the whole numbers of an even number of bits that n fits in; a result that is not under n
+    is put in again, until it is.
+    """
+    out = rank.astype(np.int64)
+    half = np.zeros(len(out), np.int64)
+    while (low := (np.int64(1) << (2 * half)) < n).any():
+        half += low
+    mask = (np.int64(1) << half) - 1
+    open_ = np.flatnonzero(n > 1)
+    while len(open_):
+        left, right, m, k = out[open_] >> half[open_], out[open_] & mask[open_], mask[open_], key[open_]
+        for turn in range(FEISTEL_TURNS):
+            v = (right + ((k >> (6 * turn)) & (2**30 - 1))) * (1 + (k >> (4 * turn)) % (PRIME - 1)) % PRIME
+            left, right = right, left ^ ((v ^ (v >> 11)) & m)
+        out[open_] = left << half[open_] | right
+        open_ = open_[out[open_] >= n[open_]]
+    return out
+
+
+@F.arrow_udf(LongType())
+def _partner(rank: pa.Array, n: pa.Array, key: pa.Array) -> pa.Array:
+    return pa.array(shuffled_rank(*[x.to_numpy(zero_copy_only=False) for x in (rank, n, key)]), pa.int64())
+
+
+def _ranked(df: DataFrame, within: Sequence[str], seed: int, purpose: str) -> DataFrame:
+    """Append _key, _k, the row's rank in its group from 0, and _n, the group's rows."""
+    rows = draw_rank(df.withColumn("_key", key_of(within)), drawn(seed, purpose, F.col("row_id")), ["_key"], out="_k")
+    rows = rows.withColumn("_k", F.col("_k") - 1)
+    return rows.join(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key")
+
+
 @own_names
 def permute(df: DataFrame, column: str, within: Sequence[str] = ("fold",), seed: int = 1, out: str = "permuted") -> DataFrame:
-    """Append the column as shuffled over the rows of each group: one draw's order is laid beside another's."""
-    a = draw_rank(df, drawn(seed, f"{column}:to", F.col("row_id")), within, out="_k")
-    b = draw_rank(df.select(*within, "row_id", column), drawn(seed, column, F.col("row_id")), within, out="_k")
-    return a.join(b.select(*within, F.col(column).alias(out), "_k"), [*within, "_k"]).drop("_k")
+    """Append the column as shuffled over the rows of each group: one draw's order is laid beside another's. Null groups are groups."""
+    df = df.withColumn("_key", key_of(within))
+    a = draw_rank(df, drawn(seed, f"{column}:to", F.col("row_id")), ["_key"], out="_k")
+    b = draw_rank(df.select("_key", "row_id", column), drawn(seed, column, F.col("row_id")), ["_key"], out="_k")
+    return a.join(b.select("_key", F.col(column).alias(out), "_k"), ["_key", "_k"]).drop("_key", "_k")
+
+
+@own_names
+def permute_each(df: DataFrame, features: str = "features", within: Sequence[str] = ("fold",), seed: int = 1) -> DataFrame:
+    """A row for each row and feature: feature, x, permuted, and the columns of `df` but the features.
+
+    Rows are ranked in their groups once, and each feature has a bijection of the ranks of its own, so the long table
+    is shuffled once, to where its values go. Null groups are groups.
+    """
+    rows = materialise(_ranked(df, within, seed, features), "ranked")
+    long = rows.select("_key", "_k", "_n", F.posexplode(features).alias("feature", "permuted"))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("feature").cast("string"), "_key")), 1, 15), 16, 10).cast("long")
+    to = _partner("_k", "_n", key)
+    sent = long.select(F.col("_key").alias("_to_key"), to.alias("_to"), "feature", "permuted")
+    out = rows.join(sent, (F.col("_key") == F.col("_to_key")) & (F.col("_k") == F.col("_to")))
+    return out.withColumn("x", F.get(features, F.col("feature"))).drop("_key", "_k", "_n", "_to_key", "_to", features)

@@ -6,10 +6,11 @@ of the operation and get their names back, so nothing of theirs is lost or repla
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import wraps
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -38,3 +39,12 @@ def own_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         return out.withColumnsRenamed({v: k for k, v in other.items()})
 
     return run
+
+
+def key_of(keys: Sequence[str]) -> Column:
+    """One text for the values of all keys, which tells apart what they tell apart and isn't null where they are.
+
+    Joins on it keep rows with null keys; each value is led by its length, so that none runs into the next.
+    """
+    texts = [F.col(k).cast("string") for k in keys]
+    return F.concat_ws(",", F.lit(""), *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("null")) for t in texts])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import core_peptide, one_hot
@@ -12,6 +12,8 @@ from .names import own_names
 from .ordering import in_order, running_sum
 from .targetdecoy import yield_at
 
+#: Engines of one word of a bitmap.
+WORD_BITS = 64
 
 @own_names
 def best_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -30,11 +32,29 @@ def best_report_of_candidate(df: DataFrame) -> DataFrame:
     return best_of(df, ["scan", "label", "peptide"])
 
 
+@own_names
 def engine_support(df: DataFrame) -> DataFrame:
-    """Append how many engines report the spectrum, and the candidate."""
-    spectra = df.groupBy("scan").agg(F.countDistinct("source").alias("scan_engines"))
-    candidates = df.groupBy("scan", "label", "peptide").agg(F.countDistinct("source").alias("candidate_engines"))
-    return df.join(spectra, "scan").join(candidates, ["scan", "label", "peptide"])
+    """Append how many engines report the spectrum, and the candidate. A null source is no engine; null keys are groups.
+
+    Engines are bits of words of 64. One aggregate over the rows gives each candidate's words; a spectrum's are those of
+    its candidates together.
+    """
+    engines = df.where(F.col("source").isNotNull()).select(F.col("source").alias("_engine")).distinct()
+    number = F.row_number().over(Window.orderBy("_engine")) - 1
+    engines = engines.select("_engine", F.floor(number / WORD_BITS).alias("_word"), (number % WORD_BITS).alias("_bit"))
+    rows = df.join(engines, F.col("source") == F.col("_engine"), "left")
+    keys = ["scan", "label", "peptide"]
+    words = rows.groupBy(*keys, "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_bits"))
+    candidates = words.groupBy(*keys).agg(_engines("_bits").alias("candidate_engines"))
+    spectra = words.groupBy("scan", "_word").agg(F.bit_or("_bits").alias("_bits")).groupBy("scan").agg(_engines("_bits").alias("scan_engines"))
+    for found, own in ((spectra, ["scan"]), (candidates, keys)):
+        found = found.withColumnsRenamed({k: f"_k_{k}" for k in own})
+        df = df.join(found, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in own]).drop(*[f"_k_{k}" for k in own])
+    return df
+
+
+def _engines(bits: str) -> Column:
+    return F.coalesce(F.sum(F.bit_count(bits)), F.lit(0)).cast("long")
 
 
 def join_runs(runs: Sequence[DataFrame]) -> DataFrame:

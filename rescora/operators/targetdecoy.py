@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .names import own_names
+from .names import key_of, own_names
 from .ordering import in_order, running_sum
 
 ONE_TASK = 1_000_000
+#: Hulls of neighbouring score ranges that are merged at once.
+FAN_IN = 64
 TEST_FDR = 0.01
 
 
@@ -132,61 +134,83 @@ def yield_sweep(df: DataFrame, cuts: Sequence[float], q: str = "q") -> DataFrame
     return counts.select(F.explode(rows).alias("r")).select("r.cut", "r.targets")
 
 
-def pool(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Non-decreasing least-squares fit: value, weight and number of inputs of each level."""
-    v: list[float] = []
-    w: list[float] = []
+def pool(sums: Sequence[int], weights: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
+    """Non-decreasing least-squares fit of the means sums / weights: sum, weight and number of inputs of each level.
+
+    The levels are the edges of the lower convex hull of the running sums, so fits of neighbouring stretches pool to the
+    fit of both. Whole numbers are compared without rounding.
+    """
+    s: list[int] = []
+    w: list[int] = []
     n: list[int] = []
-    for x, y in zip(values.tolist(), weights.tolist(), strict=True):
+    for x, y in zip(sums, weights, strict=True):
         k = 1
-        while v and v[-1] >= x:
-            total = w[-1] + y
-            x, y, k = (v[-1] * w[-1] + x * y) / total, total, k + n[-1]
-            v.pop(), w.pop(), n.pop()
-        v.append(x), w.append(y), n.append(k)
-    return np.array(v), np.array(w), np.array(n, np.int64)
+        while s and s[-1] * y >= x * w[-1]:
+            x, y, k = s.pop() + x, w.pop() + y, k + n.pop()
+        s.append(x), w.append(y), n.append(k)
+    return s, w, n
+
+
+def _hulls(ranked: DataFrame, highest: int, fan_in: int) -> tuple[DataFrame, DataFrame]:
+    """The levels of the fit of each key over all its cells, and each cell's own, from rows (_key, _b, _r, label).
+
+    A level is where it starts (_b, _r), its decoys and its rows. Hulls of fan_in neighbouring cells are merged at a
+    time, so a task has a cell's rows, or what is left of so many hulls; a hull of n rows has about n ** (1 / 3) edges,
+    n ** (2 / 3) at most.
+    """
+    schema = "_key string, _b int, _r long, _s long, _w long"
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_r")
+        s, w, n = pool((pdf["label"] < 0).astype(int).tolist(), [1] * len(pdf))
+        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "_b": pdf["_b"].iloc[0], "_r": np.cumsum([1, *n[:-1]]), "_s": s, "_w": w})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_b", "_r"]).reset_index(drop=True)
+        s, w, n = pool(pdf["_s"].tolist(), pdf["_w"].tolist())
+        starts = pdf.iloc[np.cumsum([0, *n[:-1]])]
+        return pd.DataFrame({"_key": starts["_key"], "_b": starts["_b"], "_r": starts["_r"], "_s": s, "_w": w})
+
+    own = levels = materialise(ranked.select("_key", "_b", "_r", "label").groupBy("_key", "_b").applyInPandas(first, schema), "levels")
+    cells = 1
+    while cells <= highest:
+        cells *= fan_in
+        node = F.floor(F.col("_b") / cells)
+        levels = materialise(levels.groupBy("_key", node.alias("_node")).applyInPandas(merge, schema), "levels")
+    return levels, own
 
 
 @own_names
-def peps(df: DataFrame, keys: Sequence[str] = (), pi0: Column | float | None = None, score: str = "score", out: str = "pep") -> DataFrame:
+def peps(
+    df: DataFrame, keys: Sequence[str] = (), pi0: Column | float | None = None, score: str = "score", out: str = "pep", fan_in: int = FAN_IN
+) -> DataFrame:
     """Append the error probability: min(1, 2 * pi0 * isotonic fit of the decoy share along worsening score).
 
-    Each score range is pooled by itself, which leaves few levels; pooling the levels of all ranges gives the fit of all
-    rows. Only levels meet in one task.
+    The fit is the lower convex hull of the running number of decoys: that of each score range by itself, then merged.
+    Rows with null keys are a group as others are.
     """
-    p = df.groupBy(*keys).agg(pi0_of(F.col("label")).alias("_pi0")) if pi0 is None else None
+    df = df.withColumn("_key", key_of(keys))
+    estimated = df.groupBy("_key").agg(pi0_of(F.col("label")).alias("_pi0")) if pi0 is None else None
     order = [F.col(score).desc(), F.col("row_id").asc()]
     df = in_order(df, order, df.count())
-    cells = [*keys, "_b"]
-    at = Window.partitionBy(*cells).orderBy(*order)
-    ranked = df.withColumn("_r", F.row_number().over(at))
-    schema = ", ".join([*[f"{k} {df.schema[k].dataType.simpleString()}" for k in keys], "_b int, _from long, _to long, _v double, _w double"])
-
-    def levels(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_r")
-        v, w, n = pool((pdf["label"].to_numpy() < 0).astype(float), np.ones(len(pdf)))
-        to = np.cumsum(n)
-        head = {k: [pdf[k].iloc[0]] * len(v) for k in cells}
-        return pd.DataFrame(head | {"_from": to - n + 1, "_to": to, "_v": v, "_w": w})
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_b", "_from"]).reset_index(drop=True)
-        v, _, n = pool(pdf["_v"].to_numpy(), pdf["_w"].to_numpy())
-        pdf["_v"] = np.repeat(v, n)
-        return pdf
-
-    blocks = materialise(ranked.select(*cells, "label", "_r").groupBy(*cells).applyInPandas(levels, schema), "levels")
-    fitted = blocks.groupBy(*keys).applyInPandas(fit, schema)
-    # a level's rows are a range of ranks in a cell; each rank finds its level by a running maximum over both
-    marks = fitted.select(*cells, F.col("_from").cast("int").alias("_r"), F.col("_v").alias("_fit"))
-    out_ = ranked.join(marks, [*cells, "_r"], "left")
-    last = Window.partitionBy(*cells).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-    out_ = out_.withColumn("_fit", F.last("_fit", ignorenulls=True).over(last))
-    if pi0 is None:
-        out_ = out_.join(p, list(keys)) if keys else out_.crossJoin(F.broadcast(p))
-    else:
-        out_ = out_.withColumn("_pi0", F.lit(float(pi0)) if isinstance(pi0, (int, float)) else pi0)
-    return out_.withColumn(out, F.least(F.lit(2.0) * F.col("_pi0") * F.col("_fit"), F.lit(1.0))).drop("_b", "_r", "_fit", "_pi0")
+    cells = ["_key", "_b"]
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*cells).orderBy(*order)).cast("long"))
+    levels, own = _hulls(ranked, df.agg(F.max("_b")).first()[0] or 0, fan_in)
+    marks = levels.select(*cells, "_r", (F.col("_s") / F.col("_w")).alias("_fit"))
+    # a level that began in an earlier cell is marked at the start of each further one
+    last = marks.groupBy(*cells).agg(F.max_by("_fit", "_r").alias("_last"), F.min("_r").alias("_first"))
+    before = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    every = own.where("_r = 1").select(*cells).join(last, cells, "left").withColumn("_fit", F.last("_last", ignorenulls=True).over(before))
+    carried = every.where("_first IS NULL OR _first > 1").select(*cells, F.lit(1).cast("long").alias("_r"), "_fit")
+    marks = marks.unionByName(carried)
+    if estimated is not None:
+        marks = marks.join(estimated, "_key").withColumn("_fit", F.col("_fit") * F.col("_pi0")).drop("_pi0")
+    rows = ranked.join(marks, [*cells, "_r"], "left")
+    upto = Window.partitionBy(*cells).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    fit = F.last("_fit", ignorenulls=True).over(upto)
+    if pi0 is not None:
+        fit = fit * (F.lit(float(pi0)) if isinstance(pi0, (int, float)) else pi0)
+    return rows.withColumn("_fit", fit).withColumn(out, F.least(F.lit(2.0) * F.col("_fit"), F.lit(1.0))).drop("_key", "_b", "_r", "_fit")
 
 
 @own_names

@@ -147,6 +147,12 @@ def permute_feature(spark: SparkSession, sf: str) -> DataFrame:
     return folds.permute(rows, "score").select("row_id", "fold", "permuted")
 
 
+@query
+def permuted_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = folds.assign_folds(V.psm_lines(spark, sf).select("row_id", "features"))
+    return folds.permute_each(rows).select("row_id", "fold", "feature", "x", "permuted")
+
+
 # --- feature statistics -----------------------------------------------------------------------------------------
 
 
@@ -385,6 +391,12 @@ def mlp_rescore(spark: SparkSession, sf: str) -> DataFrame:
     return _learned(spark, V.psm_emb(spark, sf, planted=True), Params(model="mlp"))
 
 
+@query
+def mlp_rescore_distributed(spark: SparkSession, sf: str) -> DataFrame:
+    """mlp_rescore over blocks, by a barrier stage, as beyond the rows of a task."""
+    return _learned(spark, V.psm_emb(spark, sf, planted=True), Params(model="mlp"), task_rows=0)
+
+
 @query
 def select_c(spark: SparkSession, sf: str) -> DataFrame:
     return _learned(spark, V.psm_emb(spark, sf, planted=True), Params(select_c=True))
@@ -410,6 +422,12 @@ def null_calibration(spark: SparkSession, sf: str) -> DataFrame:
     return calibration.null_yield(V.psm_events(spark, sf))
 
 
+@query
+def null_training(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole runs on relabelled decoys, with fixed weights and with the grid."""
+    return learn.null_trained(V.psm_lines(spark, sf), Params())
+
+
 @query
 def entrapment_fdp(spark: SparkSession, sf: str) -> DataFrame:
     foreign, mixed = F.col("scan") % 3 == 0, (F.col("scan") % 3 != 0) & (F.col("scan") % 5 == 0)

@@ -44,6 +44,20 @@ for _name in ("psm_qvalues", "psm_qvalues_two_pass"):
 oracle("psm_qvalues_per_source", "psm_events", _q("psm", "source") + " SELECT row_id, source, q FROM q")
 oracle("psm_accepted_q01", "psm_events", _q("psm") + " SELECT row_id, score, q, peptide, proteins FROM q WHERE label > 0 AND q < 0.01")
 oracle("yield_sweep", "psm_events", _q("psm") + " SELECT c::DOUBLE AS cut, (SELECT count(*) FROM q WHERE label > 0 AND q < c) AS targets FROM (SELECT unnest([0.001, 0.005, 0.01, 0.02, 0.05, 0.1]::DOUBLE[]) AS c)")
+# each edge of the lower hull of the running decoys goes to the point of the least slope, the farthest of equals
+oracle(
+    "psm_pep_isotonic", "psm_events",
+    """, pts AS MATERIALIZED (
+    SELECT row_id, row_number() OVER w AS i, sum((label < 0)::INT) OVER w AS d FROM psm WINDOW w AS (ORDER BY score DESC, row_id ROWS UNBOUNDED PRECEDING)
+  ), hull(a, i, d, slope) AS (
+    SELECT 0::BIGINT, 0::BIGINT, 0::HUGEINT, 0::DOUBLE
+    UNION ALL
+    SELECT h.i, x.n.i, x.n.d, (x.n.d - h.d)::DOUBLE / (x.n.i - h.i)
+    FROM (SELECT h.i AS at, arg_min({'i': p.i, 'd': p.d}, ((p.d - h.d)::DOUBLE / (p.i - h.i), -p.i)) AS n FROM hull h JOIN pts p ON p.i > h.i GROUP BY h.i) x
+    JOIN hull h ON h.i = x.at
+  ) SELECT row_id, round(least(2 * (SELECT """ + PI0 + """ FROM psm) * slope, 1), 6) AS pep FROM pts JOIN hull ON pts.i > hull.a AND pts.i <= hull.i""",
+    recursive=True,
+)
 oracle(
     "bayes_qvalues", "psm_events",
     """, b AS (SELECT row_id, label < 0 AS is_decoy, round(1 / (1 + abs(score) / 100), 2) AS pep FROM psm)
@@ -89,6 +103,30 @@ oracle(
   b AS (SELECT fold, score AS permuted, row_number() OVER (PARTITION BY fold ORDER BY md5('1:score:' || row_id), row_id) AS k FROM folds)
   SELECT row_id, fold, permuted FROM a JOIN b USING (fold, k)""",
 )
+# a Feistel network of six turns over the ranks of a fold; what isn't under the fold's rows is put in again
+_TURN = "(((r + ((key >> (6 * turn)::INT) & 1073741823)) * (1 + (key >> (4 * turn)::INT) % 2147483646)) % 2147483647)"
+oracle(
+    "permuted_features", "psm_lines",
+    FOLDS + f""", k AS (
+    SELECT folds.*, psm.features, row_number() OVER (PARTITION BY fold ORDER BY md5('1:features:' || row_id), row_id) - 1 AS k, count(*) OVER (PARTITION BY fold) AS n
+    FROM folds JOIN psm USING (row_id)
+  ), b AS MATERIALIZED (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE CAST(ceil(len(bin(n - 1)) / 2.0) AS INT) END AS half FROM k),
+  f AS MATERIALIZED (
+    SELECT fold, k, n, half, CAST(unnest(range(len(features))) AS INT) AS feature, unnest(features) AS x,
+      ('0x' || substr(md5('1:' || CAST(unnest(range(len(features))) AS INT) || ':,1:' || fold), 1, 15))::BIGINT AS key FROM b
+  ), w AS (
+    SELECT fold, feature, k, n, half, key, x, k >> half AS l, k & ((1 << half) - 1) AS r, 0 AS turn, FALSE AS done FROM f WHERE n > 1
+    UNION ALL
+    SELECT fold, feature, k, n, half, key, x, CASE WHEN turn = 6 THEN ((l << half) | r) >> half ELSE r END,
+      CASE WHEN turn = 6 THEN ((l << half) | r) & ((1 << half) - 1) ELSE xor(l, xor({_TURN}, {_TURN} >> 11) & ((1 << half) - 1)) END,
+      CASE WHEN turn = 6 THEN 0 ELSE turn + 1 END, turn = 6 AND ((l << half) | r) < n
+    FROM w WHERE NOT done
+  ), sent AS (
+    SELECT fold, feature, (l << half) | r AS k, x AS permuted FROM w WHERE done
+    UNION ALL SELECT fold, feature, k, x FROM f WHERE n <= 1
+  ) SELECT row_id, fold, feature, features[feature + 1] AS x, permuted FROM b JOIN sent USING (fold, k)""",
+    recursive=True,
+)
 LONG = ", long AS (SELECT row_id, label, unnest(features) AS x, CAST(unnest(range(len(features))) AS INT) AS feature FROM psm)"
 STATS = LONG + ", stats AS (SELECT feature, avg(x) AS mean, CASE WHEN stddev_pop(x) <= 1e-12 THEN 1.0 ELSE stddev_pop(x) END AS sd FROM long GROUP BY feature)"
 oracle("feature_stats", "psm_lines", STATS + " SELECT feature, round(mean, 6) AS mean, round(sd, 6) AS sd FROM stats")

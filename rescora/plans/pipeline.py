@@ -22,6 +22,12 @@ class Run:
     peptides: DataFrame
     proteins: DataFrame | None
     choices: DataFrame
+    #: Matches with the features that the models were trained on, and their held-out scores and folds.
+    trained: DataFrame
+
+    def feature_report(self, p: Params) -> DataFrame:
+        """The report of this run's own models, on the features and folds that they had."""
+        return learn.report_of(self.trained, self.choices, p)
 
     def write(self, path: str) -> None:
         """Targets and decoys of each level, as result files under a folder."""
@@ -68,7 +74,7 @@ def rescore(
         rows = df
     own = materialise(learn.cross_validated(rows, p, folds=not p.ensemble), "learned")
     choices = learn.fold_choices(own)
-    scored = df.join(own.select(F.col("row_id").alias("_row"), "score", "fold"), F.col("row_id") == F.col("_row")).drop("_row")
+    scored = trained = df.join(own.select(F.col("row_id").alias("_row"), "score", "fold"), F.col("row_id") == F.col("_row")).drop("_row")
     if p.ensemble:
         scored = rollup.best_report_of_candidate(scored)
     scored = materialise(scored.drop("features"), "scored")
@@ -83,7 +89,7 @@ def rescore(
         if p.protein_inference == "bayesian":
             groups = bayes.infer_bayes(entries, bayes_params).withColumn("picked", F.lit(True))
         groups = materialise(groups, "protein-groups")
-    return Run(matches, peptides, groups, choices)
+    return Run(matches, peptides, groups, choices, trained)
 
 
 def yields_by_source(run: Run) -> DataFrame:

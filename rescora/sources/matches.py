@@ -1,23 +1,27 @@
 """Tab-separated match inputs (.pin): reading into the canonical table, pooling, and writing.
 
-Canonical columns: row_id, source, spec_id, label, scan, peptide, proteins, features. row_id is a hash of the file and
-the line, alike in any partitioning; of equal lines of one file, each further one has a hash of that and its number.
+Canonical columns: row_id, source, spec_id, label, scan, peptide, proteins, features. row_id is a file's number and a
+line's offset in it. Lines that come from elsewhere have a hash of source and line; of equal lines, each further one has
+a hash of that and its number.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import label_of, lenient_double, lenient_int
 from ..operators.ordering import running_sum
+from .lines import head_of, read_lines
 
 SKIPPED = ("ExpMass", "CalcMass")
-DIRECTION = "DefaultDirection"
+#: Bits of a file's number within an engine's files.
+ENGINE_BITS = 14
 
 
 @dataclass(frozen=True)
@@ -47,17 +51,47 @@ def discover(spark: SparkSession, patterns: Sequence[str], count: int | None = N
     return paths
 
 
-def _head(spark: SparkSession, path: str, lines: int = 16) -> list[str]:
-    return [r["value"].removesuffix("\r") for r in spark.read.text(path).limit(lines).collect()]
+def _inventory(spark: SparkSession, patterns: Sequence[str]) -> list[dict]:
+    """path, bytes, header, direction and body (where lines begin) of each file, sorted; one job reads all heads."""
+    import pyarrow as pa
 
-
-def layout_of(spark: SparkSession, path: str) -> tuple[Layout, str | None]:
-    """Columns of a file, and its line of default directions if the first line with anything in it is one."""
-    head = _head(spark, path)
-    if not head:
-        raise ValueError(f"{path} is empty")
-    first = next((x for x in head[1:] if x), "")
-    return Layout(tuple(head[0].split("\t"))), first if first.startswith(DIRECTION) else None
+    def heads(batches):
+        for b in batches:
+            rows = [(p, n, *head_of(p)) for p, n in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True)]
+            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "bytes", "header", "direction", "body"])
+
+    files = spark.read.format("binaryFile").load(list(patterns)).select("path", "length")
+    found = files.mapInArrow(heads, "path string, bytes long, header string, direction string, body long").collect()
+    if not found:
+        raise ValueError(f"0 files match {', '.join(patterns)}")
+    if empty := [r["path"] for r in found if r["header"] is None]:
+        raise ValueError(f"{empty[0]} is empty")
+    return sorted((r.asDict() for r in found), key=lambda r: r["path"])
+
+
+class LineCounts:
+    """How many lines of each file are matches and how many too short, counted while the table is read the first time."""
+
+    def __init__(self):
+        self._parts: list[tuple[Observation, list[str], int]] = []
+
+    def counted(self, lines: DataFrame, whole: Column, files: list[str], first: int) -> DataFrame:
+        """`lines` under observation: as many histogram cells as files, so each file has its own count."""
+        seen = Observation(f"lines-{uuid.uuid4().hex}")
+        self._parts.append((seen, files, first))
+        cells = F.lit(max(len(files), 2))
+        kept, dropped = (F.histogram_numeric(F.when(on, F.col("number")), cells) for on in (whole, ~whole))
+        return lines.observe(seen, kept.alias("kept"), dropped.alias("dropped"))
+
+    def by_file(self) -> list[dict]:
+        """input, kept and dropped; waits until a job has read the table."""
+        out = []
+        for seen, files, first in self._parts:
+            got = {k: {round(c["x"]): int(c["y"]) for c in v or ()} for k, v in seen.get.items()}
+            out += [{"input": f, "kept": got["kept"].get(k, 0), "dropped": got["dropped"].get(k, 0)} for k, f in enumerate(files, first)]
+        return out
 
 
 def source_name(path: Column) -> Column:
@@ -77,14 +111,15 @@ def numbered(rows: DataFrame, *key: str) -> DataFrame:
 
 
 def parsed(lines: DataFrame, layout: Layout) -> DataFrame:
-    """Canonical rows of lines (source, value, and file where sources don't tell files apart); too short ones drop out.
+    """Canonical rows of lines (source, value, and row_id, or file where sources don't tell files apart); too short ones drop out.
 
     Unreadable numbers are 0; a label above 0 is a target, all else a decoy; everything after the peptide is proteins.
     """
     f = F.split("value", "\t", -1)
-    last = layout.at("Peptide")
-    rows = lines.withColumn("value", F.regexp_replace("value", "\r$", "")).where((F.col("value") != "") & (F.size(f) > last))
-    rows = numbered(rows, "file" if "file" in lines.columns else "source", "value").withColumn("f", f)
+    rows = lines.withColumn("value", F.regexp_replace("value", "\r$", "")).where((F.col("value") != "") & _whole(layout))
+    if "row_id" not in lines.columns:
+        rows = numbered(rows, "file" if "file" in lines.columns else "source", "value")
+    rows, last = rows.withColumn("f", f), layout.at("Peptide")
     field = lambda k: F.get("f", F.lit(k))
     scan = F.coalesce(lenient_int(field(layout.at("ScanNr"))), F.lit(0).cast("long"))
     return rows.select(
@@ -95,52 +130,50 @@ def parsed(lines: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
-def read_matches(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def _whole(layout: Layout) -> Column:
+    return F.size(F.split("value", "\t", -1)) > layout.at("Peptide")
+
+
+def read_matches(spark: SparkSession, paths: Sequence[str], counts: LineCounts | None = None, first: int = 0) -> tuple[DataFrame, list[str]]:
     """All files as one canonical table, and the feature names; their layouts must have the same features.
 
-    Files with one header are one scan.
+    Files with one header are one scan. row_id is the file's number, from `first` on in order of paths, and the line's
+    offset, so rows are in order of files and lines and have the same ids in any partitioning.
     """
-    by: dict[Layout, list[tuple[str, str | None]]] = {}
-    found = discover(spark, paths)
+    found = _inventory(spark, paths)
     # files of one name in several folders are told apart by their paths
-    names_ = [p.rsplit("/", 1)[-1] for p in found]
-    named = source_name if len(set(names_)) == len(names_) else lambda path: path
-    for path in found:
-        layout, direction = layout_of(spark, path)
-        by.setdefault(layout, []).append((path, direction))
+    plain = len({r["path"].rsplit("/", 1)[-1] for r in found}) == len(found)
+    by: dict[Layout, list[dict]] = {}
+    for r in found:
+        by.setdefault(Layout(tuple(r["header"].split("\t"))), []).append(r)
     names = {tuple(n for _, n in k.features) for k in by}
     if len(names) > 1:
         raise ValueError("the inputs have different features")
     tables = []
     for layout, files in by.items():
-        file = F.col("_metadata.file_path")
-        lines = spark.read.text([p for p, _ in files]).select(file.alias("file"), named(file).alias("source"), "value")
-        header = "\t".join(layout.columns)
-        out = F.regexp_replace("value", "\r$", "") == header
-        for path, direction in files:
-            if direction is not None:
-                out = out | (F.col("file").endswith(path.split(":", 1)[-1].lstrip("/")) & (F.regexp_replace("value", "\r$", "") == direction))
-        tables.append(parsed(lines.where(~out), layout))
+        own = [r["path"] for r in files]
+        lines = read_lines(spark, [(r["path"], r["bytes"], r["body"]) for r in files], first)
+        lines = lines.withColumn("source", source_name(F.col("file")) if plain else F.col("file"))
+        if counts is not None:
+            lines = counts.counted(lines, _whole(layout), own, first)
+        first += len(files)
+        tables.append(parsed(lines, layout))
     return reduce(DataFrame.unionByName, tables), list(names.pop())
 
 
-def dropped_lines(lines: DataFrame, layout: Layout) -> DataFrame:
-    """How many lines (source, value) are too short to be matches."""
-    return lines.where((F.col("value") != "") & (F.size(F.split("value", "\t", -1)) <= layout.at("Peptide"))).groupBy("source").count()
-
-
-def read_engines(spark: SparkSession, inputs: dict[str, str]) -> tuple[DataFrame, list[str]]:
+def read_engines(spark: SparkSession, inputs: dict[str, str], counts: LineCounts | None = None) -> tuple[DataFrame, list[str]]:
     """Engines' files of one run as one table, features namespaced by engine, two agreement counts last."""
     from ..operators.rollup import join_engines
 
     if len(inputs) < 2 or not all(inputs):
         raise ValueError("an ensemble needs two named engines at least")
     tables, widths, names = [], {}, [f"engine={e}" for e in inputs]
-    for engine, path in inputs.items():
-        rows, features = read_matches(spark, [path])
+    for k, (engine, path) in enumerate(inputs.items()):
+        # engines' files have numbers of their own
+        rows, features = read_matches(spark, [path], counts, k << ENGINE_BITS)
         widths[engine] = len(features)
         names += [f"{engine}:{x}" for x in features]
-        tables.append(rows.withColumn("source", F.lit(engine)).withColumn("row_id", F.xxhash64(F.lit(engine), "row_id")))
+        tables.append(rows.withColumn("source", F.lit(engine)))
     both = reduce(DataFrame.unionByName, tables)
     return join_engines(both, list(inputs), widths), [*names, "spectrum_engines", "candidate_engines"]
 

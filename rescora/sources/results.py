@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed, split_proteins
+from .lines import write_ordered
 
+# The columns of result files and the fields of run records.
 MATCH_COLUMNS = ("PSMId", "score", "q-value", "posterior_error_prob", "peptide", "proteinIds")
 PROTEIN_COLUMNS = ("ProteinGroupId", "q-value", "posterior_error_prob", "score", "numPeptides", "proteinIds")
 
@@ -20,28 +22,34 @@ RUN_SCHEMA = (
 )
 
 
-def _text(df: DataFrame, header: str, fields: list[Column], order: list[Column], path: str) -> None:
-    """Lines in order under one header; names may hold raw tabs, so lines are put together here."""
+def _text(df: DataFrame, header: str, fields: list[Column], order: list[Column], path: str, one_file: bool) -> None:
+    """Lines in order under one header; names may hold raw tabs, so lines are put together here.
+
+    One file, joined from its parts when all are written, or a folder of parts with the header in the first.
+    """
     rows = df.select(F.lit(1).alias("k"), F.concat_ws("\t", *fields).alias("value"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
+    keys = ["k", *[F.col(f"o{i}") for i in range(len(order))]]
+    if one_file:
+        write_ordered(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), path, header)
+        return
     top = df.sparkSession.createDataFrame([(0, header)], "k int, value string")
     for i, (name, kind) in enumerate(rows.dtypes[2:]):
         top = top.withColumn(f"o{i}", F.lit(None).cast(kind))
     both = top.unionByName(rows)
-    keys = ["k", *[F.col(f"o{i}") for i in range(len(order))]]
     both.repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.text(path)
 
 
-def write_match_results(df: DataFrame, path: str) -> None:
+def write_match_results(df: DataFrame, path: str, one_file: bool = False) -> None:
     """spec_id, score, q, pep, peptide and proteins by falling score."""
     fields = [F.col("spec_id"), *[fixed(F.col(c), 6) for c in ("score", "q", "pep")], F.col("peptide"), F.col("proteins")]
-    _text(df, "\t".join(MATCH_COLUMNS), fields, [-F.col("score"), F.col("row_id")], path)
+    _text(df, "\t".join(MATCH_COLUMNS), fields, [-F.col("score"), F.col("row_id")], path, one_file)
 
 
-def write_protein_results(groups: DataFrame, path: str, decoys: bool = False) -> None:
+def write_protein_results(groups: DataFrame, path: str, decoys: bool = False, one_file: bool = False) -> None:
     """Picked groups of one polarity by falling score."""
     rows = groups.where(F.col("picked") & (F.col("is_decoy") == decoys))
     fields = [F.get("proteins", F.lit(0)), *[fixed(F.col(c), 6) for c in ("q", "pep", "score")], F.col("n_peptides").cast("string"), F.array_join("proteins", ",")]
-    _text(rows, "\t".join(PROTEIN_COLUMNS), fields, [-F.col("score"), F.array_join("proteins", ",")], path)
+    _text(rows, "\t".join(PROTEIN_COLUMNS), fields, [-F.col("score"), F.array_join("proteins", ",")], path, one_file)
 
 
 def feature_report_lines(report: DataFrame, names: list[str]) -> list[str]:
@@ -106,6 +114,7 @@ def method_of(path: str) -> str:
 
 def write_entrapment(report: DataFrame, path: str) -> None:
     """The entrapment report, tab-separated, by method and limit."""
+    # fixed values
     names = ("method", "q_threshold", "accepted_targets", "pure_entrapment", "mixed", "effective_entrapment_fraction", "adjusted_fdp", "fdp_ci95_low", "fdp_ci95_high")
     report.select("method", "cut", "accepted", "foreign", "mixed", "foreign_share", "fdp", "fdp_low", "fdp_high").toDF(*names).orderBy("method", "q_threshold").coalesce(1).write.csv(path, sep="\t", header=True)
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rescora.operators import bayes, proteins
 from rescora.operators.components import connected_components
@@ -166,3 +167,60 @@ def test_parts_of_several_sizes_are_solved_alike(spark):
     assert set(whole) == set(alone) and all(alone[c] == pytest.approx(whole[c], abs=1e-6) for c in whole)
     log = bayes.inference_diagnostics(out).first()
     assert log["converged"] and log["iterations"] > 1
+
+
+def tangled_rows(n=60, seed=4):
+    """A graph with loops in one large part, a peptide of many proteins, a protein of many peptides, and other parts."""
+    rng = np.random.default_rng(seed)
+    rows = [(1.0, float(rng.uniform(0.01, 0.9)), f"P{i};P{(i * 7 + 3) % n};P{(i * 5 + 1) % n}") for i in range(n)]
+    rows += [(2.0, float(rng.uniform(0.05, 0.8)), f"P0;P{i % n}") for i in range(0, 40, 2)]
+    rows += [(3.0, 0.2, ";".join(f"P{i}" for i in range(25))), (1.0, 0.4, "X;Y"), (1.0, 0.1, "X"), (1.0, 0.3, "Z"), (1.0, 0.02, "S1;S2"), (1.0, 0.2, "S1;S2;P3")]
+    return rows
+
+
+def test_a_part_as_tables_equals_a_part_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(bayes, "HOT_EDGES", 6)
+    df = entries(spark, tangled_rows())
+    p = bayes.BayesParams()
+    task = {r["cluster"]: r for r in bayes.infer_bayes(df, p).collect()}
+    tables = {r["cluster"]: r for r in bayes.infer_bayes(df, p, task_states=6).collect()}
+    assert set(task) == set(tables) and sum(r["iterations"] > 0 for r in tables.values()) > 50
+    assert all(tables[c]["converged"] and abs(tables[c]["pep"] - task[c]["pep"]) < 1e-8 for c in task)
+    assert tables["Z"]["iterations"] == 0 and tables["Z"]["pep"] == task["Z"]["pep"]
+
+
+def test_tables_stop_where_propagation_stops(spark):
+    df = entries(spark, tangled_rows(12))
+    p = bayes.BayesParams(max_iter=3)
+    edges = bayes.cluster_edges(df, bayes.clusters(df))
+    logs = bayes.own_evidence(edges, df, p)
+    rows = edges.where("parents > 1").join(logs, "cluster").join(df.select("row_id", bayes._lr(p).alias("lr")), "row_id")
+    want = bayes.propagate(rows.toPandas(), p).set_index("cluster")
+    got = bayes.propagate_tables(rows, p).toPandas().set_index("cluster")
+    assert set(got.index) == set(want.index) and (got["iterations"] == 3).all() and not got["converged"].any()
+    assert np.allclose(got["pep"], want.loc[got.index, "pep"], atol=1e-10)
+
+
+def test_peptides_with_one_parent_are_part_of_the_evidence(spark):
+    """Their messages propagated, or summed beforehand: the same posteriors."""
+    df = entries(spark, tangled_rows(20))
+    p = bayes.BayesParams()
+    named = bayes.clusters(df)
+    rows = bayes.cluster_edges(df, named).join(df.select("row_id", bayes._lr(p).alias("lr")), "row_id").toPandas()
+    whole = bayes.propagate(rows, p).set_index("cluster")["pep"]
+    got = bayes.infer_bayes(df, p).toPandas().set_index("cluster")["pep"]
+    assert set(whole.index) == set(got.index) and np.allclose(got, whole.loc[got.index], atol=1e-7)
+
+
+def test_clusters_with_clashing_hashes_are_taken_apart(spark):
+    rows = [(1, 0.1, "A;B"), (1, 0.1, "A;B;C"), (1, 0.1, "C;D"), (1, 0.1, "E;F"), (1, 0.1, "E;F"), (1, 0.1, "D;rev_A"), (1, 0.1, "G")]
+    df = entries(spark, rows)
+    plain = sorted(map(tuple, bayes.clusters(df).collect()))
+    for digest in (F.lit(1).cast("long"), F.xxhash64("row_id") % 2):
+        assert sorted(map(tuple, bayes.clusters(df, digest).collect())) == plain
+    assert {r[0]: r[2] for r in plain} == {"A": "A", "B": "A", "C": "C", "D": "D", "E": "E", "F": "E", "G": "G", "rev_A": "rev_A"}
+
+
+def test_no_entries(spark):
+    none = spark.createDataFrame([], "row_id long, score double, pep double, proteins string")
+    assert bayes.infer_bayes(none).collect() == [] and bayes.clusters(none).collect() == []

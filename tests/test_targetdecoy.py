@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -97,7 +98,92 @@ def test_kernel_ranks_as_the_walk(rows):
     assert got == pytest.approx([want[i] for i in range(len(rows))])
 
 
-@given(st.lists(st.floats(0, 1), min_size=1, max_size=30))
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(1, 5)), min_size=1, max_size=30))
 def test_pooled_levels_rise(values):
-    v, w, n = td.pool(np.array(values), np.ones(len(values)))
-    assert (np.diff(v) > 0).all() and n.sum() == len(values) == w.sum()
+    s, w, n = td.pool(*zip(*values, strict=True))
+    assert all(a * z < b * y for a, y, b, z in zip(s, w, s[1:], w[1:], strict=False))
+    assert sum(n) == len(values) and sum(s) == sum(v for v, _ in values) and sum(w) == sum(v for _, v in values)
+    # pooling of two stretches, then of their levels, gives the same levels
+    at = len(values) // 2
+    parts = [td.pool(*zip(*own, strict=True)) for own in (values[:at], values[at:]) if own]
+    again = td.pool(sum((p[0] for p in parts), []), sum((p[1] for p in parts), []))
+    assert (again[0], again[1]) == (s, w)
+
+
+@pytest.mark.parametrize("fan_in", [2, 64])
+def test_hulls_of_many_ranges_and_null_keys(spark, monkeypatch, fan_in):
+    """Levels over several ranges, keys that miss whole ranges, and rows with null keys, which stay."""
+    monkeypatch.setattr(ordering, "CELL_ROWS", 25)
+    rows = [(i, x, s, [None, "a", "b"][i % 3], i % 2 if i % 5 else None) for i, x, s in made(400, 9, 60)]
+    rows += [(1000 + i, -1 if i % 4 else 1, 900.0 + i, "rare", 1) for i in range(8)]
+    df = spark.createDataFrame(rows, "row_id long, label int, score double, source string, charge int")
+    got = {r["row_id"]: r["pep"] for r in td.peps(df, ["source", "charge"], fan_in=fan_in).collect()}
+    assert len(got) == len(rows)
+    for key in {r[3:] for r in rows}:
+        own = sorted((r for r in rows if r[3:] == key), key=lambda r: (-r[2], r[0]))
+        y = np.array([r[1] < 0 for r in own], float)
+        pi0 = min(y.sum() / max((1 - y).sum(), 1e-9), 1.0)
+        means = np.array([[y[i : j + 1].mean() if j >= i else np.inf for j in range(len(y))] for i in range(len(y))])
+        fit = [max(means[i, k:].min() for i in range(k + 1)) for k in range(len(y))]
+        assert [got[r[0]] for r in own] == pytest.approx([min(1.0, 2 * pi0 * f) for f in fit])
+
+
+def test_every_keyed_operator_keeps_rows_with_null_keys(spark):
+    from rescora.operators import folds, rollup
+
+    rows = [(i, 1 if i % 3 else -1, float(i % 17), ["a", "b", None, None, "c"][i % 5], i % 4 if i % 7 else None, f"P{i % 6}" if i % 4 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "row_id long, label int, score double, source string, scan int, peptide string")
+    for out in (
+        td.qvalues(df, ["source"]), td.qvalues(df, ["source", "scan"], one_task=0), td.peps(df, ["source"]), td.peps(df, ["source"], pi0=0.5), td.bayes_qvalues(df.withColumn("pep", F.col("score")), ["source"]),
+        folds.permute(df, "score", ["source"]), folds.permute(df, "score", ["source", "scan"]), folds.permute_each(df.withColumn("features", F.array("score")), within=["source"]),
+        folds.assign_grouped_folds(df, ["source", "peptide"]), rollup.engine_support(df), rollup.join_engines(df.withColumn("features", F.array("score")), ["a", "b", "c"], {"a": 1, "b": 1, "c": 1}),
+    ):
+        assert sorted(r["row_id"] for r in out.select("row_id").collect()) == list(range(100))
+    groups = {tuple(r) for r in df.select("source").distinct().collect()}
+    assert {(r["source"],) for r in td.yields_of(df, ["source"], None).collect()} == groups
+    best = rollup.best_of(df, ["source", "peptide"])
+    assert best.count() == df.select("source", "peptide").distinct().count()
+    assert td.qvalues(df, ["source"]).where("q IS NULL").count() == td.peps(df, ["source"]).where("pep IS NULL").count() == 0
+
+
+def test_engines_of_several_words(spark):
+    from rescora.operators import rollup
+
+    rows = [(i, f"e{i % 150}" if i % 11 else None, i // 150 % 3 if i % 5 else None, 1, f"P{i % 4}" if i % 6 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, source string, scan int, label int, peptide string")
+    spectra, candidates = {}, {}
+    for _, e, scan, label, pep in rows:
+        spectra.setdefault(scan, set()).update({e} - {None})
+        candidates.setdefault((scan, label, pep), set()).update({e} - {None})
+    got = rollup.engine_support(df.withColumn("_bit", F.lit("mine"))).collect()
+    assert len(got) == 900 and max(r["scan_engines"] for r in got) > 64
+    for r in got:
+        assert r["scan_engines"] == len(spectra[r["scan"]]) and r["candidate_engines"] == len(candidates[r["scan"], r["label"], r["peptide"]]) and r["_bit"] == "mine"
+
+
+@given(st.integers(1, 3000), st.integers(0, 2**60 - 1))
+def test_ranks_are_shuffled_one_to_one(n, key):
+    from rescora.operators.folds import shuffled_rank
+
+    got = shuffled_rank(np.arange(n), np.full(n, n), np.full(n, key))
+    assert sorted(got.tolist()) == list(range(n))
+    both = shuffled_rank(np.array([0, 0, 1, 0]), np.array([1, n, 0, 2]), np.array([key] * 4))
+    assert both[0] == 0 and 0 <= both[1] < n
+
+
+def test_features_are_shuffled_apart(spark):
+    from rescora.operators import folds
+
+    rows = [(i, [float(i), float(1000 + i), float(2000 + i)], ["x", "y", None][i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_id long, features array<double>, fold string").withColumn("_k", F.lit(7))
+    got = folds.permute_each(df).collect()
+    assert len(got) == 1800
+    for fold in ("x", "y", None):
+        per = [sorted((r["row_id"], r["permuted"]) for r in got if r["fold"] == fold and r["feature"] == f) for f in range(3)]
+        for f, own in enumerate(per):
+            assert sorted(v - 1000 * f for _, v in own) == [k for k, _ in own]
+            assert abs(np.corrcoef([k for k, _ in own], [v for _, v in own])[0, 1]) < 0.25
+        assert [v for _, v in per[0]] != [v - 1000 for _, v in per[1]]
+    assert all(r["x"] == 1000 * r["feature"] + r["row_id"] and r["_k"] == 7 for r in got)
+    again = {(r["row_id"], r["feature"]): r["permuted"] for r in folds.permute_each(df.repartition(5)).collect()}
+    assert all(again[r["row_id"], r["feature"]] == r["permuted"] for r in got)
