@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -207,14 +208,18 @@ class Tree:
     shards: dict[int, int]
     ranges: list[tuple[float, float]]
 
+    @cached_property
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cut, left and right child, and shard of each node; made once by each worker that holds the tree."""
+        nodes = sorted({*self.cuts, *self.shards})
+        place = {n: k for k, n in enumerate(nodes)}
+        cut = np.array([(self.cuts[n].dim, *self.cuts[n].bound) if n in self.cuts else (-1, 0, 0, 0) for n in nodes], np.int64).reshape(-1, 4)
+        left, right = (np.array([place.get(2 * n + k, 0) for n in nodes], np.int64) for k in (0, 1))
+        return cut, left, right, np.array([self.shards.get(n, -1) for n in nodes], np.int32)
+
     def walk(self, points_: list[np.ndarray]) -> np.ndarray:
         """The shard of each point (_x0, _x1, _x2, _g, _i), level by level."""
-        nodes = np.array(sorted({*self.cuts, *self.shards}), np.int64)
-        place = {n: k for k, n in enumerate(nodes.tolist())}
-        cut = np.array([(self.cuts[n].dim, *self.cuts[n].bound) if n in self.cuts else (-1, 0, 0, 0) for n in nodes.tolist()], np.int64).reshape(-1, 4)
-        left = np.array([place.get(2 * n, 0) for n in nodes.tolist()], np.int64)
-        right = np.array([place.get(2 * n + 1, 0) for n in nodes.tolist()], np.int64)
-        shard_ = np.array([self.shards.get(n, -1) for n in nodes.tolist()], np.int32)
+        cut, left, right, shard_ = self.arrays
         x, g, i = np.stack(points_[:-2]), *points_[-2:]
         at = np.zeros(len(g), np.int64)
         while len(open_ := np.flatnonzero(cut[at, 0] >= 0)):

@@ -566,4 +566,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     kept = kept.select(F.col("id").alias("_kept_id"), F.col("text").alias("_kept_text"))
     marked = docs.withColumns({"_id": who["id"], "_text": who["text"]})
     out = marked.join(kept, (F.col("_id") == F.col("_kept_id")) & (F.col("_text") == F.col("_kept_text")))
-    return out.dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    # of rows of one doc_id and text, the first by a hash of what else they have
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    other = F.xxhash64(F.to_json(F.struct(F.lit(0), *[c for c, n in zip(columns, docs.columns, strict=True) if n != "text"])))
+    return out.groupBy("_id", "_text").agg(F.min_by(F.struct(*columns), other).alias("_row")).select("_row.*")

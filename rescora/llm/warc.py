@@ -49,11 +49,14 @@ def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     # at most HOT payloads have a part of all pages that is over 1 / HOT; their pages stay where they are
     total = first.agg(F.sum("_n")).first()[0] or 0
     hot = first.where(F.col("_n") * HOT > total).select(F.col("_same").alias("_hot"), F.col("_first").alias("_hot_first"), F.lit(True).alias("_is_hot"))
-    rows = rows.join(F.broadcast(hot), F.col("_sha1") == F.col("_hot"), "left")
-    # a key of its own for each page of a hot payload, so that they are dealt out
-    key = F.when(F.col("_is_hot"), F.concat_ws(":", F.lit("hot"), F.col("page_id").cast("string"), F.xxhash64("url").cast("string"))).otherwise(F.col("_sha1"))
+    # ids only meet their payload's first page; the pages themselves are joined by id and payload
+    ids = rows.select(F.col("page_id").alias("_id"), F.col("_sha1").alias("_of")).distinct()
+    ids = ids.join(F.broadcast(hot), F.col("_of") == F.col("_hot"), "left")
+    key = F.when(F.col("_is_hot"), F.concat_ws(":", F.lit("hot"), F.col("_id").cast("string"))).otherwise(F.col("_of"))
     rest = first.where(F.col("_n") * HOT <= total).drop("_n")
-    rows = rows.withColumn("_key", key).join(rest, F.col("_key") == F.col("_same"), "left").withColumn("_first", F.coalesce("_first", "_hot_first"))
+    ids = ids.withColumn("_key", key).join(rest, F.col("_key") == F.col("_same"), "left")
+    ids = ids.select("_id", "_of", F.coalesce("_first", "_hot_first").alias("_first"))
+    rows = rows.join(ids, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_sha1") == F.col("_of")), "left")
     again: Column = (F.col("page_id").isNull() | (F.col("page_id") > F.col("_first"))) & F.col("_first").isNotNull()
     return rows.select("page_id", "url", "html", F.when(again & (F.octet_length("html") >= least_bytes), F.col("_first")).alias("refers_to"))
 
