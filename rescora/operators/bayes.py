@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import binomial_prior, clamp, emission, is_decoy_protein, normalise, odds_ratio, softmax
+from ..functions.scalars import binomial_prior, clamp, emission, is_decoy_protein, normalise, odds_ratio, softmax, split_proteins
 from ..session import discard, materialise
 from .components import connected_components
 from .proteins import protein_edges
@@ -83,10 +83,14 @@ def clusters(entries: DataFrame, digest: Column | None = None) -> DataFrame:
 
 
 def cluster_edges(entries: DataFrame, named: DataFrame) -> DataFrame:
-    """row_id, cluster, size and the peptide's number of parent clusters."""
-    parents = protein_edges(entries).join(named, "protein").select("row_id", "cluster", "size").distinct()
-    n = parents.groupBy("row_id").agg(F.count(F.lit(1)).alias("parents"))
-    return parents.join(n, "row_id")
+    """row_id, cluster, size, the peptide's number of parent clusters, and its pep if the entries have one.
+
+    A peptide's parents are gathered from its own names, so a row has no more of them than an entry names.
+    """
+    pep = ["pep"] if "pep" in entries.columns else []
+    edges = entries.select("row_id", *pep, F.explode(F.array_distinct(split_proteins(F.col("proteins")))).alias("protein"))
+    parents = edges.join(named.select("protein", "cluster", "size"), "protein").groupBy("row_id", *pep).agg(F.collect_set(F.struct("cluster", "size")).alias("p"))
+    return parents.select("row_id", F.explode("p").alias("c"), F.size("p").cast("long").alias("parents"), *pep).select("row_id", "c.cluster", "c.size", "parents", *pep)
 
 
 def graph_diagnostics(entries: DataFrame, named: DataFrame | None = None) -> DataFrame:
@@ -114,10 +118,15 @@ def _lr(p: BayesParams) -> Column:
     return odds_ratio(clamp(F.col("pep"), 1e-12, 1 - 1e-12), p.peptide_prior)
 
 
+def _with_lr(edges: DataFrame, entries: DataFrame, p: BayesParams) -> DataFrame:
+    rows = edges if "pep" in edges.columns else edges.join(entries.select("row_id", "pep"), "row_id")
+    return rows.withColumn("lr", _lr(p)).drop("pep")
+
+
 def own_evidence(edges: DataFrame, entries: DataFrame, p: BayesParams) -> DataFrame:
     """cluster and logs: by the number of present members, the prior and the peptides with no other parent, in logarithms."""
     k = F.explode(F.sequence(F.lit(0), F.col("size").cast("int")))
-    alone = edges.where("parents = 1").join(entries.select("row_id", _lr(p).alias("lr")), "row_id").withColumn("k", k)
+    alone = _with_lr(edges.where("parents = 1"), entries, p).withColumn("k", k)
     term = F.log(F.greatest(1 + (F.col("lr") - 1) * clamp(emission(F.col("k"), p.alpha, p.beta), 0.0, 1.0), F.lit(1e-300)))
     # every term is divided by its sum over states in a message; a constant for each peptide, so it drops out
     prior = edges.select("cluster", "size").distinct().select("cluster", F.posexplode(binomial_prior(F.col("size").cast("double"), p.gamma)).alias("k", "l"))
@@ -296,7 +305,7 @@ def solved(edges: DataFrame, entries: DataFrame, p: BayesParams, task_states: in
     easy = own.join(shared.select("cluster").distinct(), "cluster", "left_anti")
     easy = easy.select("cluster", F.get(softmax(F.col("logs")), F.lit(0)).alias("pep"), F.lit(0).alias("iterations"), F.lit(True).alias("converged"))
     hard = shared.join(_cluster_components(shared), "cluster").join(own, "cluster")
-    rows = materialise(hard.join(entries.select("row_id", _lr(p).alias("lr")), "row_id").drop("parents"), "tangled")
+    rows = materialise(_with_lr(hard, entries, p).drop("parents"), "tangled")
     states = F.sum(F.col("size") + 1)
     parts = materialise(rows.groupBy("component").agg(states.alias("all"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n")), "parts")
     large = F.col("all") > task_states

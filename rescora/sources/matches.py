@@ -52,7 +52,10 @@ def discover(spark: SparkSession, patterns: Sequence[str], count: int | None = N
 
 
 def _inventory(spark: SparkSession, patterns: Sequence[str]) -> list[dict]:
-    """path, bytes, header, direction and body (where lines begin) of each file, sorted; one job reads all heads."""
+    """path, bytes, header, direction and body (where lines begin) of each file, sorted; one job reads all heads.
+
+    Spark lists no files of 0 bytes.
+    """
     import pyarrow as pa
 
     def heads(batches):
@@ -65,7 +68,7 @@ def _inventory(spark: SparkSession, patterns: Sequence[str]) -> list[dict]:
     files = spark.read.format("binaryFile").load(list(patterns)).select("path", "length")
     found = files.mapInArrow(heads, "path string, bytes long, header string, direction string, body long").collect()
     if not found:
-        raise ValueError(f"0 files match {', '.join(patterns)}")
+        raise ValueError(f"0 files match {', '.join(patterns)}, or all that do are empty")
     if empty := [r["path"] for r in found if r["header"] is None]:
         raise ValueError(f"{empty[0]} is empty")
     return sorted((r.asDict() for r in found), key=lambda r: r["path"])
