@@ -183,6 +183,47 @@ def test_next_documents_wrap_around(spark, docs, rows):
     assert one.withColumn("n", F.lead("text").over(order)).where("_guest = 0").first()["n"] == rows[1][1]
 
 
+def test_the_sketch_query_against_brute_force(spark, docs, rows, tmp_path):
+    """Its columns: edited texts, fingerprints as text, and both likenesses, for all documents."""
+    from rescora.llm import queries
+
+    own = [r for r in rows if r[0] not in (None, 105)]  # equal ids have no one order
+    docs.where("doc_id IS NOT NULL AND doc_id <> 105").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op3_sketch(spark, str(tmp_path)).collect()}
+    text = {r[0]: r[1] or "" for r in own}
+    order = sorted(text, reverse=True)
+    assert sorted(got) == sorted(text)
+
+    def sketch(t):
+        low = t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        w = word_list(low)
+        each = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+        def chained(own):
+            h = 42
+            for e in own:
+                h = xxhash.xxh64_intdigest(signed(e).to_bytes(8, "little", signed=True), h)
+            return signed(h)
+
+        all_ = {chained(each[i : i + 5]) for i in range(max(1, len(each) - 4))}
+        low = sorted(h for h in all_ if h < -(1 << 63) + (1 << 62))
+        return low or [min(all_)]
+
+    def like(a, b):
+        return len(set(a) & set(b)) / min(len(a), len(b))
+
+    for k, i in enumerate(order):
+        r, t, after = got[i], text[i], text[order[(k + 1) % len(order)]]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = sketch(t), sketch(edited), sketch(after)
+        digits = lambda s: "".join(f"{h + (1 << 63):016x}"[:12] for h in s)
+        assert r["fingerprint"] == digits(a) and r["edited_fingerprint"] == digits(b)
+        assert r["near_edited"] == pytest.approx(like(a, b)) and r["near_next"] == pytest.approx(like(a, c))
+
+
 # --- quality
 
 
@@ -650,6 +691,38 @@ def test_archives(spark, tmp_path):
     assert small.where("record_type = 'revisit'").count() == 0
 
 
+def test_pages_of_one_payload_are_dealt_out(spark, monkeypatch):
+    """Payloads of many and of some pages, repeated page_ids, null ids: the smallest page_id answers for all."""
+    made = [(i, f"u{i}", "hot" if i % 3 == 0 else f"warm {i % 9}" if i % 2 else f"own {i}") for i in range(400)]
+    made += [(5, "again", "hot"), (None, "no id", "hot"), (None, None, "warm 1"), (1, "twice", "warm 1"), (900, "only", None), (None, "none", "never else")]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    first = {}
+    for i, _, h in made:
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    want = sorted(str((i, u, first[h or ""] if (h or "") in first and (i is None or i > first[h or ""]) else None)) for i, u, h in made)
+    for hot in (1024, 3, 1):
+        monkeypatch.setattr(warc, "HOT", hot)
+        got = sorted(str((r["page_id"], r["url"], r["refers_to"])) for r in warc.classified(pages).collect())
+        assert got == want
+
+
+def test_the_arrays_of_a_tree_are_made_once():
+    cuts = {n: sharding.Cut(n % 3, (n % 7, 0, 0)) for n in range(1, 1 << 12)}
+    tree = sharding.Tree(cuts, {n: n - (1 << 12) for n in range(1 << 12, 1 << 13)}, [])
+    rng = np.random.default_rng(0)
+    x = [rng.integers(0, 7, 500) for _ in range(3)] + [np.zeros(500, np.int64), np.zeros(500, np.int64)]
+    got = tree.walk(x)
+    held = tree.arrays
+    assert tree.walk(x).tolist() == got.tolist() and tree.arrays is held
+    for k in range(0, 500, 50):
+        n = 1
+        while n < 1 << 12:
+            v = cuts[n].bound[0]
+            n = 2 * n + (0 if (x[n % 3][k], 0, 0) < (v, 0, 0) else 1)
+        assert got[k] == n - (1 << 12)
+
+
 def test_reads_are_coalesced():
     near = [("a", 0, 10), ("a", 10, 10), ("a", 20 + warc.GAP, 5), ("a", 26 + 3 * warc.GAP, 5), ("b", 0, 5), ("b", warc.STRETCH, 9)]
     assert [(f, o, a, z) for f, o, _, a, z in warc._ranges(near)] == [("a", 0, 0, 3), ("a", 26 + 3 * warc.GAP, 3, 4), ("b", 0, 4, 5), ("b", warc.STRETCH, 5, 6)]
