@@ -402,6 +402,12 @@ def select_c(spark: SparkSession, sf: str) -> DataFrame:
     return _learned(spark, V.psm_emb(spark, sf, planted=True), Params(select_c=True))
 
 
+@query
+def select_c_distributed(spark: SparkSession, sf: str) -> DataFrame:
+    """select_c over blocks, as beyond the rows of a task."""
+    return _learned(spark, V.psm_emb(spark, sf, planted=True), Params(select_c=True), task_rows=0)
+
+
 @query
 def nested_selection(spark: SparkSession, sf: str) -> DataFrame:
     rows = V.psm_emb(spark, sf, planted=True)
@@ -409,6 +415,13 @@ def nested_selection(spark: SparkSession, sf: str) -> DataFrame:
     return learn.fold_choices(scored).drop("weights")
 
 
+@query
+def nested_selection_distributed(spark: SparkSession, sf: str) -> DataFrame:
+    """nested_selection over blocks, as beyond the rows of a task."""
+    scored = learn.cross_validated(V.psm_emb(spark, sf, planted=True), Params(nested=True), task_rows=0)
+    return learn.fold_choices(scored).drop("weights")
+
+
 @query
 def feature_report(spark: SparkSession, sf: str) -> DataFrame:
     return learn.feature_report(V.psm_emb(spark, sf, planted=True))

@@ -21,8 +21,9 @@ def test_against_sql(spark, name):
     compare(spark, QUERIES[name], ORACLES[name])
 
 
-RESCORED = ("svm_rescore", "svm_rescore_lines", "svm_rescore_distributed", "mlp_rescore", "select_c")
-OTHERS = ("nested_selection", "feature_report", "psm_pep_isotonic", "bp_posterior")
+LINES = ("svm_rescore_lines", "svm_rescore_distributed")
+RESCORED = (*LINES, "svm_rescore", "mlp_rescore", "mlp_rescore_distributed", "select_c", "select_c_distributed")
+OTHERS = ("nested_selection", "nested_selection_distributed", "feature_report", "null_training", "bp_posterior")
 
 
 def test_queries_without_sql_are_all_looked_at():
@@ -34,23 +35,36 @@ def test_rescored(spark, name):
     """Every row once, folds even, and the q-values those of the scores."""
     from rescora.operators import learn
 
-    view = V.psm_lines(spark, SF) if "_lines" in name or "distributed" in name else V.psm_emb(spark, SF, planted=True)
+    view = V.psm_lines(spark, SF) if name in LINES else V.psm_emb(spark, SF, planted=True)
     rows = QUERIES[name](spark, SF).toPandas().sort_values("row_id")
     assert len(rows) == view.count() == rows["row_id"].nunique()
     assert rows["fold"].value_counts().max() - rows["fold"].value_counts().min() <= 1
     score, label = rows["score"].to_numpy(), rows["label"].to_numpy()
     assert rows["q"].to_numpy() == pytest.approx(learn.rank_qvalues(score, label, learn.share_wrong(label)))
-    if "lines" not in name and "distributed" not in name:
+    if name not in LINES:
         # half the targets stand out, among 64 features of noise and 500 rows
         assert ((rows["q"] < 0.01) & (label > 0)).sum() >= 10
 
 
-def test_nested_selection(spark):
-    rows = QUERIES["nested_selection"](spark, SF).collect()
+@pytest.mark.parametrize("name", ["nested_selection", "nested_selection_distributed"])
+def test_nested_selection(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
     assert sorted(r["fold"] for r in rows) == [0, 1, 2]
     assert all(r["n_features"] in (65, 8, 4) and r["inner_yield"] > 0 and r["negative"] / r["positive"] in (1, 4, 16) for r in rows)
 
 
+def test_forms_over_blocks_choose_as_forms_in_a_task(spark):
+    for name in ("select_c", "nested_selection"):
+        a, b = ({tuple(r[c] for c in ("fold", "n_features", "positive", "negative", "inner_yield") if c in r) for r in QUERIES[n](spark, SF).collect()} for n in (name, f"{name}_distributed"))
+        assert a == b
+
+
+def test_null_training(spark):
+    rows = QUERIES["null_training"](spark, SF).collect()
+    decoys = V.psm_lines(spark, SF).where("label < 0").count()
+    assert len(rows) == 10 and all(r["rows"] == decoys and r["accepted"] <= 0.01 * decoys for r in rows)
+
+
 def test_feature_report(spark):
     rows = QUERIES["feature_report"](spark, SF).toPandas()
     assert sorted(rows["feature"]) == list(range(65))
