@@ -9,6 +9,7 @@ states than a task should hold is a table of edges, each half of a round an aggr
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -58,41 +59,53 @@ def clusters(entries: DataFrame, digest: Column | None = None) -> DataFrame:
     peptides in common with the proposal's first protein as each has; what is not is proposed again without those, so
     no list of peptides is gathered and hashes that clash only cost a pass.
     """
-    edges = protein_edges(entries)
+    edges = protein_edges(entries) if "protein" not in entries.columns else entries.select("row_id", "protein")
     h = F.xxhash64("row_id") if digest is None else digest
-    seen = edges.groupBy("protein").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 24)).alias("s"))
-    left = materialise(seen.withColumn("is_decoy", is_decoy_protein(F.col("protein"))), "proposals")
-    proved = None
+    left = edges.groupBy("protein").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftrightunsigned(h, 24)).alias("s"))
+    left = left.withColumn("is_decoy", is_decoy_protein(F.col("protein")))
+    proved = []
     while True:
-        first = left.groupBy("is_decoy", "n", "x", "s").agg(F.min("protein").alias("cluster"), F.count(F.lit(1)).alias("m"))
-        proposed = left.join(first, ["is_decoy", "n", "x", "s"])
+        left = materialise(left, "proposals")
+        alike = ["is_decoy", "n", "x", "s"]
+        first = left.groupBy(*alike).agg(F.min("protein").alias("cluster"), F.count(F.lit(1)).alias("m"))
+        proposed = materialise(left.join(first, alike), "proposed")
+        proved.append(proposed.where("protein = cluster"))
+        # most proteins are alone; what is left is a small table of its own, which a plan can see is small
+        others = materialise(proposed.where("protein <> cluster").select("protein", "cluster", *alike), "others")
+        if others.isEmpty():
+            break
         # peptides of each other member, looked up among those of the first one
-        others = edges.join(proposed.where("protein <> cluster").select("protein", "cluster"), "protein")
-        firsts = edges.join(first.where("m > 1").select(F.col("cluster").alias("protein")), "protein")
-        common = others.join(firsts.select("row_id", F.col("protein").alias("cluster")), ["row_id", "cluster"], "left_semi")
-        common = common.groupBy("protein").agg(F.count(F.lit(1)).alias("common"))
-        out = proposed.join(common, "protein", "left").withColumn("same", (F.col("protein") == F.col("cluster")) | (F.coalesce("common", F.lit(0)) == F.col("n")))
-        out = materialise(out.select("protein", "is_decoy", "cluster", "n", "x", "s", "same"), "proved")
-        some = out.where("same").select("protein", "is_decoy", "cluster", "n")
-        proved = some if proved is None else proved.unionByName(some)
-        left = out.where("NOT same").select("protein", "is_decoy", "n", "x", "s")
+        own = edges.join(others.select("protein", "cluster"), "protein")
+        firsts = edges.join(others.select(F.col("cluster").alias("protein")).distinct(), "protein").select("row_id", F.col("protein").alias("cluster"))
+        common = own.join(firsts, ["row_id", "cluster"], "left_semi").groupBy("protein").agg(F.count(F.lit(1)).alias("common"))
+        same = others.join(common, "protein", "left").withColumn("same", F.coalesce("common", F.lit(0)) == F.col("n"))
+        same = materialise(same, "proved")
+        proved.append(same.where("same"))
+        left = same.where("NOT same").select("protein", *alike)
         if left.isEmpty():
             break
-    size = proved.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    return proved.join(size, "cluster").select("protein", "is_decoy", "cluster", "size", F.col("n").alias("n_peptides"))
+    found = reduce(DataFrame.unionByName, [t.select("protein", "is_decoy", "cluster", "n") for t in proved])
+    size = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return found.join(size, "cluster").select("protein", "is_decoy", "cluster", "size", F.col("n").alias("n_peptides"))
 
 
-def cluster_edges(entries: DataFrame, named: DataFrame) -> DataFrame:
-    """row_id, cluster, size, the peptide's number of parent clusters, and its pep if the entries have one.
+def cluster_edges(entries: DataFrame, named: DataFrame, with_pep: bool = False) -> DataFrame:
+    """row_id, cluster, size, the peptide's number of parent clusters, and its pep if asked for.
 
     A peptide's parents are gathered from its own names, so a row has no more of them than an entry names.
     """
-    pep = ["pep"] if "pep" in entries.columns else []
-    edges = entries.select("row_id", *pep, F.explode(F.array_distinct(split_proteins(F.col("proteins")))).alias("protein"))
+    pep = ["pep"] if with_pep else []
+    edges = entries if "protein" in entries.columns else named_edges(entries)
     parents = edges.join(named.select("protein", "cluster", "size"), "protein").groupBy("row_id", *pep).agg(F.collect_set(F.struct("cluster", "size")).alias("p"))
     return parents.select("row_id", F.explode("p").alias("c"), F.size("p").cast("long").alias("parents"), *pep).select("row_id", "c.cluster", "c.size", "parents", *pep)
 
 
+def named_edges(entries: DataFrame) -> DataFrame:
+    """protein_edges() with the entries' pep, if they have one."""
+    pep = ["pep"] if "pep" in entries.columns else []
+    return entries.select("row_id", *pep, F.explode(F.array_distinct(split_proteins(F.col("proteins")))).alias("protein"))
+
+
 def graph_diagnostics(entries: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """One row: components, tree_components and loopy_components of the graph of clusters and peptides."""
     named = clusters(entries) if named is None else named
@@ -129,16 +142,19 @@ def own_evidence(edges: DataFrame, entries: DataFrame, p: BayesParams) -> DataFr
     alone = _with_lr(edges.where("parents = 1"), entries, p).withColumn("k", k)
     term = F.log(F.greatest(1 + (F.col("lr") - 1) * clamp(emission(F.col("k"), p.alpha, p.beta), 0.0, 1.0), F.lit(1e-300)))
     # every term is divided by its sum over states in a message; a constant for each peptide, so it drops out
-    prior = edges.select("cluster", "size").distinct().select("cluster", F.posexplode(binomial_prior(F.col("size").cast("double"), p.gamma)).alias("k", "l"))
-    prior = prior.withColumn("l", F.log(F.greatest("l", F.lit(1e-300))))
-    return _by_state(alone.select("cluster", "k", term.alias("l")).unionByName(prior))
+    rows = alone.select("cluster", "size", "k", term.alias("l"))
+    rows = rows.unionByName(edges.where("parents > 1").select("cluster", "size", k.alias("k"), F.lit(0.0).alias("l")))
+    alone_prior = F.array(F.lit(1 - p.gamma), F.lit(p.gamma))
+    prior = F.when(F.col("size") == 1, alone_prior).otherwise(binomial_prior(F.col("size").cast("double"), p.gamma))
+    summed = _by_state(rows, "cluster", "size").withColumn("_prior", prior)
+    return summed.select("cluster", F.zip_with("logs", "_prior", lambda a, b: a + F.log(F.greatest(b, F.lit(1e-300)))).alias("logs"))
 
 
-def _by_state(rows: DataFrame) -> DataFrame:
-    """cluster and logs, the sum of l for each k, in order of k; a cluster has a row for each of its states at least."""
-    sums = rows.groupBy("cluster", "k").agg(F.sum("l").alias("l"))
-    listed = F.array_sort(F.collect_list(F.struct("k", "l")))
-    return sums.groupBy("cluster").agg(F.transform(listed, lambda x: x["l"]).alias("logs"))
+def _by_state(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and logs, the sum of l for each k, in order of k; a cluster has a row for each of its states at least."""
+    sums = rows.groupBy(*keys, "k").agg(F.sum("l").alias("l"))
+    listed = F.sort_array(F.collect_list(F.struct("k", "l")))
+    return sums.groupBy(*keys).agg(listed["l"].alias("logs"))
 
 
 def closed_posterior(edges: DataFrame, entries: DataFrame, p: BayesParams) -> DataFrame:
@@ -264,7 +280,7 @@ def _logs(messages: str) -> Column:
 def _sums(edges: DataFrame, own: DataFrame) -> DataFrame:
     """cluster and logs: the clusters' own evidence and all messages to them."""
     parts = edges.select("cluster", "_cp", F.posexplode(_logs("to_cluster")).alias("k", "l")).groupBy("cluster", "_cp", "k").agg(F.sum("l").alias("l"))
-    return _by_state(parts.select("cluster", "k", "l").unionByName(own))
+    return _by_state(parts.select("cluster", "k", "l").unionByName(own), "cluster")
 
 
 def _from_clusters(edges: DataFrame, own: DataFrame, p: BayesParams) -> DataFrame:
@@ -326,8 +342,10 @@ def solved(edges: DataFrame, entries: DataFrame, p: BayesParams, task_states: in
 def infer_bayes(entries: DataFrame, p: BayesParams | None = None, task_states: int = TASK_STATES) -> DataFrame:
     """cluster, proteins, is_decoy, n_peptides, pep, score = 1 - pep, q by polarity, and iterations and converged of its part."""
     p = p or BayesParams()
-    named = materialise(clusters(entries), "clusters")
-    edges = materialise(cluster_edges(entries, named), "cluster-edges")
+    # names are cut once; the edges are read by every step
+    cut = materialise(named_edges(entries), "edges")
+    named = materialise(clusters(cut), "clusters")
+    edges = materialise(cluster_edges(cut, named, with_pep=True), "cluster-edges")
     members = named.groupBy("cluster", "is_decoy", "n_peptides").agg(F.array_sort(F.collect_list("protein")).alias("proteins"))
     out = members.join(solved(edges, entries, p, task_states), "cluster")
     return bayes_qvalues(materialise(out.withColumn("score", 1 - F.col("pep")), "posteriors"))
