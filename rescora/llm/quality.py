@@ -81,12 +81,13 @@ class Model:
         return np.where(total > 1e-9, vote / np.maximum(total, 1e-9), self.prior)
 
 
-def fit_vectors(x: np.ndarray, y: np.ndarray, prior: float) -> Model:
-    """Fit the space on labelled vectors; a seeded randomised decomposition."""
+def fit_vectors(x: np.ndarray, y: np.ndarray, prior: float, in_place: bool = False) -> Model:
+    """Fit the space on labelled vectors; a seeded randomised decomposition. in_place: x is overwritten, to save its size."""
     if not len(y):
         return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), y, prior)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-    a = _unit(x * idf)
+    a = np.multiply(x, idf, out=x if in_place else None)
+    a /= np.maximum(np.sqrt(np.einsum("ij,ij->i", a, a)), 1e-12)[:, None]
     rng = np.random.default_rng(0)
     q = np.linalg.qr(a.T @ (a @ rng.standard_normal((WIDTH, RANK + 16)).astype(np.float32)))[0]
     q = np.linalg.qr(a.T @ (a @ q))[0]
@@ -94,9 +95,23 @@ def fit_vectors(x: np.ndarray, y: np.ndarray, prior: float) -> Model:
     return Model(idf, basis, _unit(a @ basis), y.astype(np.float64), prior)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Places and values of what isn't 0; most terms are in few texts."""
+    at = np.flatnonzero(x).astype("<u2")
+    return at.tobytes() + x[at].astype("<f2").tobytes()
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), WIDTH), np.float32)
+    for x, packed in zip(out, rows, strict=True):
+        n = len(packed) // 4
+        x[np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, "<f2", n, 2 * n)
+    return out
+
+
 def _vectors(batches):
     for b in batches:
-        x = [shares(t).astype(np.float16).tobytes() for t in texts(b.column("text"))]
+        x = [_packed(shares(t)) for t in texts(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
 
 
@@ -113,8 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None) -> Model
     found = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "quality", "text")
     h = F.xxhash64("doc_id", "quality", "x")
     rows_ = found.mapInArrow(_vectors, "doc_id long, quality int, x binary").orderBy(h, "doc_id", "quality", "x").limit(4 * SAMPLE).collect()
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows_]).astype(np.float32) if rows_ else np.zeros((0, WIDTH), np.float32)
-    return fit_vectors(x, np.array([r["quality"] for r in rows_]), ones / n if n else 0.5)
+    x, y = _unpacked([r["x"] for r in rows_]), np.array([r["quality"] for r in rows_])
+    del rows_
+    return fit_vectors(x, y, ones / n if n else 0.5, in_place=True)
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
