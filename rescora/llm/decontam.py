@@ -7,9 +7,11 @@ whole item of fewer, the matched words are hit. Hit spans are removed from the t
 
 Automata hold about BLOCK_WORDS item words each, however large the benchmark; an item of more is cut into pieces that
 share window - 1 words, so that each of its windows is in one. They are files in the shared folder, built side by side
-by tasks. With each goes its gate, a bit array over the hashes of all its windows and whole short items: a text is
-streamed through those automata only whose gate has one of its windows, and no text that an item matches is kept out.
-Workers hold all gates, and the HELD_BLOCKS automata used last.
+by tasks. With each go the hashes of all its windows and whole short items. A gate is these hashes of many automata,
+sorted, with the automaton of each: one search of a text's window hashes names the automata that the text is streamed
+through, and no text that an item matches is kept out. A worker holds the HELD_GATES gates (of about GATE_WINDOWS hashes
+each, 12 bytes a hash) and HELD_BLOCKS automata used last; a benchmark of more is gone through gate by gate for each batch
+of texts.
 
 Null or empty texts have no words. A null item_id hits like any other but isn't listed; items of one id are one item.
 Items without words never match. Repeated documents are treated alike. Extra columns are kept; those named like a
@@ -37,8 +39,8 @@ from ..session import bounded_batches, materialise, scratch
 from .common import open_fs, texts, write_atomically
 
 BLOCK_WORDS, HELD_BLOCKS = 100_000, 4
-#: Bits of a gate for each window, and how many of them a window sets.
-GATE_BITS, GATE_SET = 16, 4
+#: Window hashes of a gate, about, and the gates that a worker holds.
+GATE_WINDOWS, HELD_GATES = 1 << 22, 2
 WINDOW, MOST_SHARE = 10, 0.5
 _WORD = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
 #: Each byte lower-cased, or a space where it isn't part of a word.
@@ -187,40 +189,39 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
-class Gate:
-    """By number of words, the bits of the hashes of a block's windows and whole short items."""
-
-    def __init__(self, items: Iterable[list[bytes]], window: int):
-        found: dict[int, list[np.ndarray]] = {}
-        for words in items:
-            n = min(window, len(words))
-            if n:
-                found.setdefault(n, []).append(window_hashes(word_hashes(words), n))
-        self.bits = {}
-        for n, own in found.items():
-            h = np.concatenate(own)
-            bits = np.zeros(-(-len(h) * GATE_BITS // 8) * 8, bool)
-            for k in range(GATE_SET):
-                bits[self._slot(h, k, len(bits))] = True
-            self.bits[n] = np.packbits(bits, bitorder="little")
+def own_windows(items: Iterable[list[bytes]], window: int) -> dict[int, np.ndarray]:
+    """By number of words, the distinct hashes of the windows and whole short items."""
+    found: dict[int, list[np.ndarray]] = {}
+    for words in items:
+        n = min(window, len(words))
+        if n:
+            found.setdefault(n, []).append(window_hashes(word_hashes(words), n))
+    return {n: np.unique(np.concatenate(own)) for n, own in found.items()}
 
-    @staticmethod
-    def _slot(h: np.ndarray, k: int, size: int) -> np.ndarray:
-        turned = h if not k else (h >> np.uint64(16 * k)) | (h << np.uint64(64 - 16 * k))
-        return (turned % np.uint64(size)).astype(np.int64)
-
-    def open(self, h: np.ndarray, seen: dict[int, np.ndarray]) -> bool:
-        """Whether words with these hashes may have a match; `seen` keeps their window hashes."""
-        for n, bits in self.bits.items():
-            if n not in seen:
-                seen[n] = window_hashes(h, n)
-            left = seen[n]
-            for k in range(GATE_SET):
-                slot = self._slot(left, k, 8 * len(bits))
-                left = left[(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)]
-            if len(left):
-                return True
-        return False
+
+class Gate:
+    """By number of words, the window hashes of several blocks in ascending order, and the block of each."""
+
+    def __init__(self, blocks: dict[int, dict[int, np.ndarray]]):
+        self.windows = {}
+        for n in sorted({n for own in blocks.values() for n in own}):
+            parts = [(k, own[n]) for k, own in blocks.items() if n in own]
+            h = np.concatenate([x for _, x in parts])
+            order = np.argsort(h, kind="stable")
+            self.windows[n] = h[order], np.repeat(np.array([k for k, _ in parts], np.uint32), [len(x) for _, x in parts])[order]
+
+    def named(self, h: np.ndarray) -> set[int]:
+        """The blocks that have a window, or a whole short item, of the words with these hashes."""
+        out: set[int] = set()
+        for n, (known, block) in self.windows.items():
+            own = window_hashes(h, n)
+            at = np.searchsorted(known, own)
+            own = own[known[np.minimum(at, len(known) - 1)] == own]
+            if len(own):
+                own = np.unique(own)
+                for a, z in zip(np.searchsorted(known, own), np.searchsorted(known, own, "right"), strict=True):
+                    out.update(block[a:z].tolist())
+        return out
 
 
 def _pieces(window: int, block_words: int):
@@ -248,10 +249,11 @@ def _build(folder: str, window: int):
 
         def write() -> pa.RecordBatch:
             attempt = str(TaskContext.get().taskAttemptId())
-            for name, what in (("block", Automaton.build(own, window)), ("gate", Gate((w for _, w in own), window))):
+            windows = own_windows((w for _, w in own), window)
+            for name, what in (("block", Automaton.build(own, window)), ("windows", windows)):
                 data = pickle.dumps(what, 5)
                 write_atomically(f"{folder}/{name}-{block:06d}", attempt, lambda out, data=data: out.write(data))
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64())], names=["block"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sum(map(len, windows.values()))], pa.int64())], names=["block", "n"])
 
         for b in batches:
             for k, words, at in zip(*(b.column(c).to_pylist() for c in ("k", "words", "block")), strict=True):
@@ -266,8 +268,10 @@ def _build(folder: str, window: int):
     return run
 
 
-def build_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> tuple[str, list[int]]:
-    """Folder and numbers of the automata over (item_id, text), each of about block_words words."""
+def build_blocks(
+    benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS, gate_windows: int = GATE_WINDOWS
+) -> tuple[str, list[list[int]]]:
+    """Folder of the automata over (item_id, text), each of about block_words words, and their numbers by gate."""
     spark = benchmark.sparkSession
     folder = scratch(spark, "benchmark")
     rows = benchmark.select(F.col("item_id").cast("string").alias("k"), "text").where("text is not null")
@@ -281,8 +285,15 @@ def build_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WOR
         dealt = running_sum(in_order(rows, order, items), {"upto": F.col("n")}, [], "_b", order)
         dealt = dealt.withColumn("block", F.floor((F.col("upto") - 1) / block_words)).repartitionById(blocks, F.col("block").cast("int"))
         dealt = dealt.sortWithinPartitions("block")
-    built = dealt.select("k", "words", "block").mapInArrow(_build(folder, window), "block long").collect()
-    return folder, sorted(r["block"] for r in built)
+    built = dealt.select("k", "words", "block").mapInArrow(_build(folder, window), "block long, n long").collect()
+    gates, size = [], gate_windows
+    for block, n in sorted((r["block"], r["n"]) for r in built):
+        if size + n > gate_windows:
+            gates.append([])
+            size = 0
+        gates[-1].append(block)
+        size += n
+    return folder, gates
 
 
 def _load(folder: str, name: str, block: int):
@@ -292,32 +303,42 @@ def _load(folder: str, name: str, block: int):
 
 
 class Held:
-    """The gates of all blocks, and the automata that were used last."""
+    """The gates and the automata that were used last."""
 
-    def __init__(self, folder: str, blocks: list[int]):
-        self.folder, self.automata, self.loads = folder, OrderedDict(), 0
-        self.gates = {k: _load(folder, "gate", k) for k in blocks}
+    def __init__(self, folder: str, gates: list[list[int]]):
+        self.folder, self.of, self.loads = folder, gates, 0
+        self.gates, self.automata = OrderedDict(), OrderedDict()
+
+    @staticmethod
+    def _kept(held: OrderedDict, key: int, load, most: int):
+        if key not in held:
+            while len(held) >= most:
+                held.popitem(last=False)
+            held[key] = load()
+        held.move_to_end(key)
+        return held[key]
+
+    def gate(self, g: int) -> Gate:
+        return self._kept(self.gates, g, lambda: Gate({k: _load(self.folder, "windows", k) for k in self.of[g]}), HELD_GATES)
 
     def get(self, block: int) -> Automaton:
-        if block not in self.automata:
+        def load() -> Automaton:
             self.loads += 1
-            self.automata[block] = _load(self.folder, "block", block)
-            while len(self.automata) > HELD_BLOCKS:
-                self.automata.popitem(last=False)
-        self.automata.move_to_end(block)
-        return self.automata[block]
+            return _load(self.folder, "block", block)
+
+        return self._kept(self.automata, block, load, HELD_BLOCKS)
 
     def match(self, rows: list[bytes]) -> Iterator[tuple[bytes, int, int, list[str]]]:
         """Texts without their hit spans, number of words, of hit words, and items; block by block over all texts."""
-        # one text's words at a time; those of texts that may match are cut out again for each automaton
-        lengths, wanted = [], {}
-        for i, t in enumerate(rows):
-            words = item_words(t)
-            lengths.append(len(words))
-            h, seen = word_hashes(words), {}
-            for k, gate in self.gates.items():
-                if words and gate.open(h, seen):
+        # a batch keeps 8 bytes a word; the words of texts that may match are cut out again for each automaton
+        hashes = [word_hashes(item_words(t)) for t in rows]
+        lengths, wanted = [len(h) for h in hashes], {}
+        for g in sorted(range(len(self.of)), key=lambda g: g not in self.gates):
+            gate = self.gate(g)
+            for i, h in enumerate(hashes):
+                for k in gate.named(h):
                     wanted.setdefault(k, []).append(i)
+        del hashes
         found: dict[int, tuple[np.ndarray, set]] = {}
         for k in sorted(wanted, key=lambda k: k not in self.automata):
             own = self.get(k)
@@ -333,10 +354,10 @@ class Held:
 _held: Held | None = None
 
 
-def _worker(folder: str, blocks: list[int]) -> Held:
+def _worker(folder: str, gates: list[list[int]]) -> Held:
     global _held
     if _held is None or _held.folder != folder:
-        _held = Held(folder, blocks)
+        _held = Held(folder, gates)
     return _held
 
 
@@ -366,11 +387,11 @@ KIND = "struct<text string, n_words long, n_hit long, items array<string>>"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`docs` with hit spans removed from text, and n_words, n_hit, and items (sorted ids) of the text as it was."""
     bounded_batches(docs.sparkSession)
-    folder, blocks = build_blocks(benchmark, window, block_words)
+    folder, gates = build_blocks(benchmark, window, block_words)
 
     @F.arrow_udf(KIND)
     def cleaned(text: pa.Array) -> pa.Array:
-        return _struct(_worker(folder, blocks).match(list(texts(text))))
+        return _struct(_worker(folder, gates).match(list(texts(text))))
 
     out = docs.withColumn("_c", cleaned(F.col("text")))
     return out.withColumns({c: F.col(f"_c.{c}") for c in ("text", "n_words", "n_hit", "items")}).drop("_c")

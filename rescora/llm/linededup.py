@@ -9,7 +9,9 @@ are joined. Keys are told apart by all 128 bits, so keys that share half of them
 Shards are files in the shared folder, of about SHARD_KEYS keys each. Up to CACHE_BYTES of them, a worker holds all that
 it probes, each read once. A larger index is probed shard by shard: line hashes are dealt to the shards, with the hash of
 their text and the line's number, each shard is read by its own tasks only, and the numbers of common lines come back
-to the texts. Both drop the same lines.
+to the texts. A shard has as many parts as its lines' counts ask for, so a line that every document has is probed by many
+tasks; the lines of a text that a task met lately aren't given again. Copies of one text meet in the join with the numbers
+of its common lines, a left join that adaptive execution splits where it is skewed. Both forms drop the same lines.
 
 A null or empty text is one empty line; its key has no code points, so it stays where min_chars is 1. Repeated rows
 count as documents of their own. Extra columns are kept; text is replaced, and so are n_lines and n_dropped.
@@ -18,6 +20,7 @@ count as documents of their own. Extra columns are kept; text is replaced, and s
 from __future__ import annotations
 
 import io
+import json
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -33,8 +36,10 @@ from ..session import bounded_batches, materialise, scratch, shuffle_partitions
 from .common import open_fs, texts, write_atomically
 
 SHARD_KEYS, CACHE_BYTES = 1 << 18, 128 << 20
-#: Bytes that a key takes in memory, about; parts that the probes of one shard are dealt to.
-KEY_BYTES, PARTS = 14, 8
+#: Bytes that a key takes in memory, about; line hashes of a part of a shard's probes, about.
+KEY_BYTES, PART_LINES = 14, 1 << 20
+#: Least parts of a shard; texts that a task remembers to have given the lines of.
+LEAST_PARTS, MET_TEXTS = 8, 1 << 16
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -189,7 +194,7 @@ def _build(folder: str, n: int):
             data = PerfectHash.build(h.view(np.uint64), p.view(np.uint64), c).dump()
             attempt = str(TaskContext.get().taskAttemptId())
             write_atomically(f"{folder}/{shard:06d}.npz", attempt, lambda out: out.write(data))
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(h)])], names=["shard", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([int(c.sum())], pa.int64())], names=["shard", "lines"])
 
         for b in batches:
             s, h, p, c = (b.column(x).to_numpy() for x in ("shard", "h", "p", "n"))
@@ -206,8 +211,8 @@ def _build(folder: str, n: int):
     return run
 
 
-def line_index(docs: DataFrame, min_docs: int, min_chars: int = 1, shard_keys: int = SHARD_KEYS) -> tuple[str, int, int]:
-    """Folder, number of shards and number of keys of the index over line keys found in at least min_docs documents."""
+def line_index(docs: DataFrame, min_docs: int, min_chars: int = 1, shard_keys: int = SHARD_KEYS) -> tuple[str, list[int], int]:
+    """Folder, the sum of each shard's counts, and number of keys of the index over keys found in at least min_docs documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
     lines = docs.select("text").mapInArrow(_distinct_keys(min_chars), "h long, p long")
@@ -216,12 +221,12 @@ def line_index(docs: DataFrame, min_docs: int, min_chars: int = 1, shard_keys: i
     n = max(1, -(-keys // shard_keys))
     folder = scratch(spark, "line-index")
     rows = counts.withColumn("shard", _shard(n)).repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "h", "p")
-    built = rows.mapInArrow(_build(folder, n), "shard long, keys long").collect()
-    have = {r["shard"] for r in built}
+    built = rows.mapInArrow(_build(folder, n), "shard long, lines long").collect()
+    lines = dict(built)
     empty = PerfectHash.build(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64))).dump()
-    for k in set(range(n)) - have:
+    for k in set(range(n)) - set(lines):
         write_atomically(f"{folder}/{k:06d}.npz", "driver", lambda out: out.write(empty))
-    return folder, n, keys
+    return folder, [lines.get(k, 0) for k in range(n)], keys
 
 
 def _shard(n: int) -> Column:
@@ -245,8 +250,9 @@ def _cut(lines: list[list[bytes]], common: np.ndarray) -> pa.StructArray:
 KIND = "struct<text string, n_lines long, n_dropped long>"
 
 
-def _probed_in_place(docs: DataFrame, folder: str, n: int, min_docs: int) -> DataFrame:
+def _probed_in_place(docs: DataFrame, folder: str, shard_lines: list[int], min_docs: int) -> DataFrame:
     """Append _c: each worker probes the whole index."""
+    n = len(shard_lines)
 
     @F.arrow_udf(KIND)
     def cleaned(text: pa.Array) -> pa.Array:
@@ -261,8 +267,18 @@ def _probed_in_place(docs: DataFrame, folder: str, n: int, min_docs: int) -> Dat
 
 
 def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, u, i, h, p): the text's hash, the line's number and its key's hash."""
+    """(t, u, i, h, p): the text's hash, the line's number and its key's hash; copies met lately are passed over."""
+    met: OrderedDict[tuple[int, int], None] = OrderedDict()
     for b in batches:
+        new = []
+        for at, name in enumerate(zip(b.column("t").to_pylist(), b.column("u").to_pylist(), strict=True)):
+            if name not in met:
+                new.append(at)
+                met[name] = None
+            met.move_to_end(name)
+            if len(met) > MET_TEXTS:
+                met.popitem(last=False)
+        b = b.take(pa.array(new, pa.int64()))
         own = [line_keys(t) for t in texts(b.column("text"))]
         sizes = [len(x) for x in own]
         h = key_hashes([k for x in own for k in x])
@@ -285,13 +301,20 @@ def _probe(folder: str, n: int, min_docs: int):
     return run
 
 
-def _probed_by_shard(docs: DataFrame, folder: str, n: int, min_docs: int) -> DataFrame:
+def _parts(shard_lines: list[int]) -> list[int]:
+    """Into how many parts the probes of each shard are dealt: common lines by their counts, others are spread evenly."""
+    return [LEAST_PARTS + n // PART_LINES for n in shard_lines]
+
+
+def _probed_by_shard(docs: DataFrame, folder: str, shard_lines: list[int], min_docs: int) -> DataFrame:
     """Append _c: the hashes of lines go to the shards."""
+    n = len(shard_lines)
+    parts = F.get(F.from_json(F.lit(json.dumps(_parts(shard_lines))), "array<int>"), F.col("shard").cast("int"))
     text = F.coalesce("text", F.lit(""))
     named = docs.withColumns({"_t": F.xxhash64(text), "_u": F.xxhash64(F.lit("line"), text)})
     lines = named.select(F.col("_t").alias("t"), F.col("_u").alias("u"), "text").mapInArrow(_lines_of, "t long, u long, i int, h long, p long")
     # a hot line is in one shard, so each shard's probes are dealt by their texts as well
-    lines = lines.withColumns({"shard": _shard(n), "part": F.pmod("t", F.lit(PARTS))})
+    lines = lines.withColumn("shard", _shard(n)).withColumn("part", F.pmod(F.xxhash64("t", "i"), parts))
     lines = lines.repartition(shuffle_partitions(docs.sparkSession), "shard", "part").sortWithinPartitions("shard", "part")
     found = lines.select("t", "u", "i", "h", "p").mapInArrow(_probe(folder, n, min_docs), "t long, u long, i int")
     # a text has its lines once, however many documents have it
@@ -319,9 +342,9 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, h
     Keys of fewer than min_chars code points always stay. An index over held_bytes is probed shard by shard.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    folder, n, keys = line_index(docs, min_docs, min_chars, shard_keys)
+    folder, shard_lines, keys = line_index(docs, min_docs, min_chars, shard_keys)
     probed = _probed_in_place if keys * KEY_BYTES <= held_bytes else _probed_by_shard
-    out = probed(docs.select(*[F.col(f"`{c}`") for c in columns]), folder, n, min_docs)
+    out = probed(docs.select(*[F.col(f"`{c}`") for c in columns]), folder, shard_lines, min_docs)
     return out.withColumns({c: F.col(f"_c.{c}") for c in ("text", "n_lines", "n_dropped")}).drop("_c")
 
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -487,6 +488,31 @@ def test_common_lines(spark, rows, least, chars):
     assert collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in split.collect()) == collections.Counter(brute_lines(rows, least, chars))
 
 
+def test_a_line_of_every_document_is_probed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PART_LINES", 50)
+    rows = [(k, f"of all\nown {k}\n" if k % 3 else "copy\nof all", "en", "s", 1) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    _, shard_lines, keys = linededup.line_index(docs, 10, 1, 1)
+    # "of all" is in 900 documents, "copy" in 300; the empty key has no code points
+    assert keys == 2 and sum(shard_lines) == 1200
+    assert max(linededup._parts(shard_lines)) >= linededup.LEAST_PARTS + 900 // 50
+    got = linededup.drop_common_lines(docs, 10, 1, held_bytes=0, shard_keys=1).collect()
+    assert collections.Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got) == collections.Counter(brute_lines(rows, 10, 1))
+
+
+def test_lines_of_copies_are_given_once_while_they_are_remembered(monkeypatch):
+    def given(texts):
+        t = np.array([hash(x) for x in texts])
+        batches = [pa.RecordBatch.from_arrays([pa.array(t[k : k + 3]), pa.array(t[k : k + 3]), pa.array(texts[k : k + 3])], names=["t", "u", "text"]) for k in range(0, len(texts), 3)]
+        return sum(len(b) for b in linededup._lines_of(iter(batches)))
+
+    assert given(["a\nb"] * 50 + ["c"]) == 3
+    monkeypatch.setattr(linededup, "MET_TEXTS", 2)
+    # a text that keeps coming stays; others come again once they are forgotten
+    assert given(["hot", "a", "hot", "b", "hot", "a", "hot"]) == 4
+    assert given([]) == 0
+
+
 def test_perfect_hash_in_small_shards(tmp_path):
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
@@ -648,14 +674,29 @@ def test_hits(spark, docs, rows, window, block, short):
 def test_automata_are_loaded_for_texts_that_may_match_only(spark, monkeypatch):
     monkeypatch.setattr(decontam, "HELD_BLOCKS", 2)
     items = [(k, " ".join(f"i{k}x{j}" for j in range(30))) for k in range(40)] + [(99, " ".join(f"long{j}" for j in range(500)))]
-    folder, blocks = decontam.build_blocks(spark.createDataFrame(items, "item_id long, text string"), 5, 100)
-    assert len(blocks) > 12
-    held = decontam.Held(folder, blocks)
+    folder, gates = decontam.build_blocks(spark.createDataFrame(items, "item_id long, text string"), 5, 100)
+    assert len(gates) == 1 and len(gates[0]) > 12
+    held = decontam.Held(folder, gates)
     clean = [b"nothing of the kind is here at all today", b"", b"i3x1 i3x2 i3x3 i3x4"]
     assert [r[2] for r in held.match(clean * 50)] == [0] * 150 and held.loads <= 1
     dirty = [b"a i7x1 i7x2 i7x3 i7x4 i7x5 b", b"long%d " * 6 % tuple(range(198, 204))]
     got = list(held.match(clean + dirty))
     assert [r[1:] for r in got[3:]] == [(7, 5, ["7"]), (6, 6, ["99"])] and held.loads <= 5
+    # a text without a window is streamed through no automaton at all
+    none = decontam.Held(folder, gates)
+    list(none.match(clean))
+    assert none.loads == 0
+
+
+def test_gates_beyond_those_held(spark):
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(30))) for k in range(40)] + [(50, "two words")] + [(k, " ".join(f"both{j}" for j in range(8))) for k in (60, 61)]
+    folder, gates = decontam.build_blocks(spark.createDataFrame(items, "item_id long, text string"), 5, 100, gate_windows=120)
+    assert len(gates) > decontam.HELD_GATES + 3
+    held = decontam.Held(folder, gates)
+    texts = [b"i%dx3 i%dx4 i%dx5 i%dx6 i%dx7 end" % ((k,) * 5) for k in range(40)] + [b"in two words", b"both1 both2 both3 both4 both5", b""]
+    got = [r[1:] for r in held.match(texts)]
+    assert got == [(6, 5, [str(k)]) for k in range(40)] + [(3, 2, ["50"]), (5, 5, ["60", "61"]), (0, 0, [])]
+    assert len(held.gates) == decontam.HELD_GATES and len(held.automata) == decontam.HELD_BLOCKS
 
 
 def test_no_items(spark, docs, rows):
