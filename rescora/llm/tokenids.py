@@ -8,7 +8,8 @@ A frame is a zstandard frame of the document's ids as little-endian unsigned int
 Arrow stream with doc_id, start (ids before the document in this file), n_tokens, offset and length of its frame, so
 one short document costs two small reads. The dictionary lies beside the files, and manifest.json lists them.
 
-The dictionary is trained on SAMPLE_DOCS documents at most, the first by md5 of doc_id, SAMPLE_TOKENS ids of each; what
+The dictionary is trained on SAMPLE_DOCS documents at most, the first by md5 of doc_id, SAMPLE_TOKENS ids of each, from
+a place in the text that depends on doc_id; what
 is written never depends on it but in size. The vocabulary file is a parameter.
 
 A null text counts as empty: it has the end id only. Documents with one doc_id are in order of their ids' checksum;
@@ -183,7 +184,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
     # ids first: each task orders ids, not texts, and at most SAMPLE_DOCS of them are broadcast
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"))
     own = own.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(SAMPLE_DOCS).distinct()
-    few = docs.join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", F.substring("text", 1, 16 * SAMPLE_TOKENS).alias("text"))
+    # a stretch from anywhere in the text
+    start = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.greatest(F.char_length("text") - SAMPLE_TOKENS, F.lit(0)) + 1)
+    stretch = F.substring("text", (start + 1).cast("int"), F.lit(16 * SAMPLE_TOKENS))
+    few = docs.join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", stretch.alias("text"))
     # repeated rows of one id may be many: again no more than SAMPLE_DOCS, of what is small by now
     ids = few.mapInArrow(sample, "x binary").orderBy(F.md5("x")).limit(SAMPLE_DOCS)
     rows = [bytes(r["x"]) for r in ids.collect()]
