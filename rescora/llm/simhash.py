@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.names import own_names
-from ..session import bounded_batches, materialise, shuffle_partitions
+from ..session import bounded_batches, discard, materialise, shuffle_partitions
 from .common import texts
 
 SEED = 42
@@ -504,7 +504,9 @@ def _verified(groups: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     some = materialise(groups.select("sig").distinct(), "group-texts")
     sets = rows.select("sig", "set").join(some, "sig", "left_semi").dropDuplicates(["sig"])
     out = groups.join(sets, "sig").repartition(shuffle_partitions(groups.sparkSession), "g").sortWithinPartitions("g", "sig")
-    return materialise(out.select("g", "sig", "part", "set").mapInArrow(_verify(least), "a long, b long").distinct(), "links")
+    found = materialise(out.select("g", "sig", "part", "set").mapInArrow(_verify(least), "a long, b long").distinct(), "links")
+    discard(groups, some)
+    return found
 
 
 def similar(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -534,13 +536,16 @@ def similar(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     dealt = pairs.join(sizes, "first").select("first", "sig", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("k"))
     both = dealt.unionByName(dealt.select("first", F.col("first").alias("sig"), "k").distinct())
     near = _verified(both.select(F.xxhash64("first", "k").alias("g"), "sig", F.col("sig").alias("part")), rows, least)
+    discard(pairs)
 
     found = connected_components(near, one_task=ONE_TASK).select(F.col("node").alias("sig"), "component")
     rest = members.join(found, "sig", "left").join(cells, "sig")
     rest = rest.select("list", "n", "sig", F.coalesce("component", "sig").alias("part"), "cells")
     rest = rest.repartition(n, "list").sortWithinPartitions("list", "n", "sig")
     rest = rest.mapInArrow(_batched(_groups(least), ["g", "sig", "part"]), "g long, sig long, part long").distinct()
-    return near.unionByName(_verified(rest, rows, least))
+    rest = _verified(rest, rows, least)
+    discard(lists, cells)
+    return near.unionByName(rest)
 
 
 @own_names
@@ -558,7 +563,10 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = materialise(rows.groupBy("sig", "check").agg(F.min("who").alias("who")), "nodes")
     clash = nodes.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("named")).where("n > 1").select(F.col("sig").alias("twice"), "named")
     nodes = nodes.join(clash, F.col("sig") == F.col("twice"), "left")
-    found = connected_components(materialise(similar(rows, least), "links"), one_task=ONE_TASK)
+    links_found = similar(rows, least)
+    # nothing beyond reads the shingle sets, the largest of the written tables
+    discard(rows)
+    found = connected_components(links_found, one_task=ONE_TASK)
     own = nodes.join(found, F.col("sig") == F.col("node"), "left")
     group = F.when(F.col("named").isNull() | (F.col("check") == F.col("named")), F.struct(F.coalesce("component", "sig").alias("g"), F.lit(0).cast("long").alias("c")))
     group = group.otherwise(F.struct(F.col("sig").alias("g"), F.col("check").alias("c")))

@@ -9,8 +9,8 @@ Arrow stream with doc_id, start (ids before the document in this file), n_tokens
 one short document costs two small reads. The dictionary lies beside the files, and manifest.json lists them.
 
 The dictionary is trained on SAMPLE_DOCS documents at most, the first by md5 of doc_id, SAMPLE_TOKENS ids of each, from
-a place in the text that depends on doc_id; what
-is written never depends on it but in size. The vocabulary file is a parameter.
+a place in the text that depends on doc_id; what is written never depends on it but in size. The vocabulary file is a
+parameter.
 
 A null text counts as empty: it has the end id only. Documents with one doc_id are in order of their ids' checksum;
 those without doc_id come first. Extra columns are not read.
