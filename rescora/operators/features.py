@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import linear_score
+from .blocks import Block, Blocks, accepting
 from .names import own_names
 from .targetdecoy import ONE_TASK, TEST_FDR, pi0_of, yields_of
 
@@ -55,12 +57,41 @@ def label_correlation(df: DataFrame) -> DataFrame:
     return agg.select("feature", (F.col("c") / F.greatest(sx * sy, F.lit(LEAST_SD))).alias("correlation"))
 
 
-def single_feature_yield(df: DataFrame, fdr: float = TEST_FDR) -> DataFrame:
-    """feature, sign and how many targets that feature alone accepts; all features side by side."""
+def single_feature_yield(df: DataFrame, fdr: float = TEST_FDR, one_task: int = ONE_TASK) -> DataFrame:
+    """feature, sign and how many targets that feature alone accepts; all features side by side.
+
+    Tables whose rows, features and signs come to more than one_task are counted over blocks, where a row is written once
+    whatever its features. Null and non-finite features have a place in Spark's order only, so such tables are ranked as
+    rows of each feature and sign.
+    """
+    x = F.col("features")
+    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    n = width(df)
+    row = df.agg(pi0_of(F.col("label")).alias("pi0"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.bool_or(F.coalesce(odd | (F.size(x) != n), F.lit(True))), F.lit(False)).alias("odd")).first()
+    if row["rows"] * 2 * n > one_task and not row["odd"]:
+        return _yields_by_counts(df, n, fdr)
     signs = F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign")
     long = unpivoted(df).select("*", signs).withColumn("score", F.col("x") * F.col("sign"))
     # each feature and sign has as many rows as the table
-    return yields_of(long, ["feature", "sign"], df.agg(pi0_of(F.col("label"))).first()[0], fdr, one_task=ONE_TASK * 2 * width(df))
+    return yields_of(long, ["feature", "sign"], row["pi0"], fdr, one_task=ONE_TASK * 2 * n)
+
+
+def _yields_by_counts(df: DataFrame, n: int, fdr: float) -> DataFrame:
+    blocks = Blocks(df.select("row_id", "label", F.lit(0).alias("fold"), F.col("features").cast("array<double>").alias("features")), 1)
+
+    def ranked(feature: int, sign: int):
+        def scorer(block: Block) -> tuple[np.ndarray, np.ndarray]:
+            return -sign * block.x[:, feature], np.where(block.label > 0, 1, np.where(block.label < 0, 0, -1))
+
+        return scorer
+
+    both = [(k, s) for k in range(n) for s in (1, -1)]
+    try:
+        found = accepting(blocks, [ranked(*b) for b in both], fdr)
+    finally:
+        blocks.close()
+    rows = [(k, s, cut.accepted) for (k, s), (cut, _) in zip(both, found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "feature int, sign int, n long")
 
 
 def rank_features(yields: DataFrame) -> DataFrame:
