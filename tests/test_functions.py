@@ -55,3 +55,30 @@ def test_stream_with_a_fixed_model(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["row_id"], r["score"]) for r in spark.sql("SELECT * FROM scored").collect()] == [(1, 1.5)]
+
+
+def test_each_step_of_a_softmax_is_worked_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from rescora.functions import scalars as S
+
+    shown = spark.range(1).select(S.binomial_prior(F.lit(3.0) + F.col("id"), 0.3).alias("p"))._jdf.queryExecution().analyzed().toString()
+    # the sum of logarithms, and that of the shares
+    assert shown.count("aggregate(") == 2
+    rows = spark.createDataFrame([(150.0,)], "n double").select(S.binomial_prior(F.col("n"), 0.3).alias("p")).first()["p"]
+    assert len(rows) == 151 and abs(sum(rows) - 1) < 1e-12 and rows.index(max(rows)) == 45
+    odd = spark.createDataFrame([([0.0, 0.0],), ([float("nan"), 1.0],), ([1.0, 3.0],), (None,)], "v array<double>").select(S.normalise(F.col("v")).alias("v")).collect()
+    assert [r["v"] for r in odd] == [[0.5, 0.5], [0.5, 0.5], [0.25, 0.75], None]
+
+
+def test_ranks_in_a_group_come_with_its_size_in_one_join(spark):
+    from rescora.operators import folds
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else i % 2) for i in range(100)], "row_id long, fold int")
+    got = folds._ranked(rows, ["fold"], 1, "x")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    sizes = {}
+    for r in got.collect():
+        assert r["_n"] == {None: 15, 0: 42, 1: 43}[r["fold"]]
+        sizes.setdefault(r["fold"], []).append(r["_k"])
+    assert all(sorted(v) == list(range(len(v))) for v in sizes.values())
