@@ -25,15 +25,15 @@ def drawn(seed: int, purpose: str, *key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(purpose), *[k.cast("string") for k in key]))
 
 
-def draw_rank(df: DataFrame, draw: Column, keys: Sequence[str] = (), tie: Sequence[str] = ("row_id",), out: str = "rank") -> DataFrame:
-    """Append the rank of each row's draw within keys (without nulls), from 1, then by `tie`.
+def draw_rank(df: DataFrame, draw: Column, keys: Sequence[str] = (), tie: Sequence[str] = ("row_id",), out: str = "rank", size: str | None = None) -> DataFrame:
+    """Append the rank of each row's draw within keys (without nulls), from 1, then by `tie`; and the keys' rows as `size`.
 
     Draws are cut into cells by their first digits, so no task has all rows: ranks in a cell, plus what is before it.
     """
     cell = F.conv(F.substring("_draw", 1, CELL_DIGITS), 16, 10).cast("int")
     df = df.withColumn("_draw", draw).withColumn("_cell", cell)
     order = [F.col("_draw"), *[F.col(t) for t in tie]]
-    return running_sum(df, {out: F.lit(1).cast("long")}, keys, "_cell", order).drop("_draw", "_cell")
+    return running_sum(df, {out: F.lit(1).cast("long")}, keys, "_cell", order, {size: out} if size else {}).drop("_draw", "_cell")
 
 
 @own_names
@@ -93,9 +93,8 @@ def _partner(rank: pa.Array, n: pa.Array, key: pa.Array) -> pa.Array:
 
 def _ranked(df: DataFrame, within: Sequence[str], seed: int, purpose: str) -> DataFrame:
     """Append _key, _k, the row's rank in its group from 0, and _n, the group's rows."""
-    rows = draw_rank(df.withColumn("_key", key_of(within)), drawn(seed, purpose, F.col("row_id")), ["_key"], out="_k")
-    rows = rows.withColumn("_k", F.col("_k") - 1)
-    return rows.join(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key")
+    rows = draw_rank(df.withColumn("_key", key_of(within)), drawn(seed, purpose, F.col("row_id")), ["_key"], out="_k", size="_n")
+    return rows.withColumn("_k", F.col("_k") - 1)
 
 
 @own_names

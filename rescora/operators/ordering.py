@@ -44,8 +44,9 @@ def running_sum(
     keys: Sequence[str],
     bucket: str,
     order: Sequence[Column],
+    wholes: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Append inclusive running sums over (keys, bucket, order), in two passes.
+    """Append inclusive running sums over (keys, bucket, order), in two passes; `wholes` names columns for sums over all of a key.
 
     `bucket` must not decrease along `order` within the keys, and keys have no nulls. One task holds the rows of one
     (keys, bucket); the second pass adds what lies in earlier buckets, from a table with a row for each (keys, bucket),
@@ -57,11 +58,13 @@ def running_sum(
     base = total.select(
         *[F.col(c).alias(f"_k_{c}") for c in cells],
         *[F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_b_{k}") for k in sums],
+        *[F.sum(f"_t_{k}").over(Window.partitionBy(*keys)).alias(f"_w_{k}") for k in (wholes or {}).values()],
     )
     inside = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({k: F.sum(v).over(inside) for k, v in sums.items()})
     on = [F.col(c) == F.col(f"_k_{c}") for c in cells]
     out = out.join(base, on, "left")
+    out = out.withColumns({k: F.col(f"_w_{v}") for k, v in (wholes or {}).items()})
     return out.withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in sums}).drop(*[c for c in base.columns])
 
 
