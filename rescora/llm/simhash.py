@@ -14,8 +14,10 @@ and pairs of split lists are tallied like all others.
 Similarity grouping, `keep_one()`: documents are linked at an exact Jaccard similarity of 0.8 of their distinct five-word
 shingles (48 bits of each hash). All shingles have one order; if two texts have that similarity, they share one of the
 first fifth of theirs, so posting lists under these have every pair: none is lost, whatever the edit. Shingles that are
-common in a sample come last in the order, which only keeps lists short. Texts of a list are compared with its smallest
-first, then all those that no link connects yet; long lists are compared in pairs of blocks. The rows written are sets,
+common in a sample come last in the order, which only keeps lists short. The index on the bytes of fingerprints proposes
+first: texts whose fingerprints are linked as in `components()` are compared with the smallest of their group. Texts of a
+list are compared with its smallest beside that, then all those that no link connects yet; long lists are compared in
+pairs of blocks. The rows written are sets,
 lists and spanning links; a list of many texts that are not alike costs its square.
 
 Null and empty texts have no words: fingerprint 0, linked like any other. Rows of equal fingerprints are one group
@@ -509,10 +511,20 @@ def _verified(groups: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return found
 
 
+def proposals(rows: DataFrame) -> DataFrame:
+    """(first, sig): each text (sig, fp) beside the smallest sig of those that links of fingerprints connect it to."""
+    nodes = materialise(rows.select("sig", "fp").distinct(), "fingerprints")
+    found = connected_components(links(nodes.select("fp").distinct()), one_task=ONE_TASK)
+    own = nodes.join(found, F.col("fp") == F.col("node"), "left").select("sig", F.coalesce("component", "fp").alias("g"))
+    own = materialise(own.distinct(), "fingerprint-groups")
+    first = own.groupBy("g").agg(F.min("sig").alias("first"))
+    return own.join(first, "g").where("sig <> first").select("first", "sig")
+
+
 def similar(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between sets (sig, set, cells) of exact Jaccard similarity `least` or more; enough to connect all such.
+    """Links (a, b) between sets (sig, set, cells, fp) of exact Jaccard similarity `least` or more; enough to connect all such.
 
-    First each text is compared with the smallest of its lists, then the lists whose texts aren't all connected by that
+    First each text is compared with the smallest that its fingerprint proposes and with that of its lists, then the lists whose texts aren't all connected by that
     are compared in full, but for pairs that are. Pairs that the counts in cells rule out aren't compared.
     """
     n = shuffle_partitions(rows.sparkSession)
@@ -528,9 +540,10 @@ def similar(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     def may(a: pa.Array, b: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         return pa.array([may_be_alike(*x, least) for x in zip(*(c.to_pylist() for c in (a, b, na, nb)), strict=True)], pa.bool_())
 
-    pairs = lists.mapInArrow(_batched(_to_first(least), ["first", "sig", "n"]), "first long, sig long, n int").distinct()
+    pairs = lists.mapInArrow(_batched(_to_first(least), ["first", "sig", "n"]), "first long, sig long, n int").select("first", "sig")
+    pairs = pairs.unionByName(proposals(rows)).distinct()
     first = cells.select(F.col("sig").alias("first"), F.col("size").alias("m"), F.col("cells").alias("others"))
-    pairs = pairs.join(cells, "sig").join(first, "first").where(may("cells", "others", "n", "m")).select("first", "sig", "n")
+    pairs = pairs.join(cells, "sig").join(first, "first").where(may("cells", "others", "size", "m")).select("first", "sig", F.col("size").alias("n"))
     pairs = materialise(pairs, "pairs")
     sizes = pairs.groupBy("first").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"))
     dealt = pairs.join(sizes, "first").select("first", "sig", F.pmod(F.xxhash64("sig"), F.col("parts")).alias("k"))
@@ -559,7 +572,8 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sets = F.arrow_udf(shingle_sets, "struct<set binary, sig long, check long, cells binary>")
     last = (1 << 63) - 1
     who = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = materialise(docs.select(who.alias("who"), sets(F.col("text")).alias("s")).select("who", "s.*"), "shingle-sets")
+    rows = with_fingerprint(docs.select("doc_id", "text")).select(who.alias("who"), "fp", sets(F.col("text")).alias("s"))
+    rows = materialise(rows.select("who", "fp", "s.*"), "shingle-sets")
     nodes = materialise(rows.groupBy("sig", "check").agg(F.min("who").alias("who")), "nodes")
     clash = nodes.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("check").alias("named")).where("n > 1").select(F.col("sig").alias("twice"), "named")
     nodes = nodes.join(clash, F.col("sig") == F.col("twice"), "left")

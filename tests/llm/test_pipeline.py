@@ -61,3 +61,16 @@ def test_rows_of_one_id_and_text_keep_the_same_one(spark):
     made = [(7, "one text of several words here", "en", f"s{k}", k) for k in range(12)] + [(8, "another text", "de", None, None)]
     kept = {rows_of(simhash.keep_one(spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(k)))[0] for k in (1, 3, 7)}
     assert len(kept) == 1
+
+
+def test_near_dedup_takes_proposals_of_the_fingerprints_and_checks_them(spark, monkeypatch):
+    words = [f"w{k}" for k in range(400)]
+    # one copy with a word changed; a text of the same repeated line whose other shingles differ has a near fingerprint only
+    line = " ".join(f"x{k}" for k in range(9))
+    made = [" ".join(words), " ".join([*words[:200], "other", *words[201:]]), (line + " ") * 300 + " ".join(words[:12]), (line + " ") * 300 + " ".join(words[50:62])]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long")
+    found, proposed = [], simhash.proposals
+    monkeypatch.setattr(simhash, "proposals", lambda rows: (found.extend(map(tuple, proposed(rows).collect())), proposed(rows))[1])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
+    assert len(found) >= 1  # the two texts of one repeated line, which the exact check keeps apart
