@@ -23,7 +23,7 @@ def protein_components(entries: DataFrame) -> DataFrame:
     """protein and component: the first name among all that share peptides, directly or in turn."""
     names = F.array_distinct(split_proteins(F.col("proteins")))
     rows = entries.select(names.alias("p")).where(F.size("p") > 1)
-    links = rows.select(F.get("p", F.lit(0)).alias("a"), F.explode(F.slice("p", 2, 1 << 30)).alias("b")).distinct()
+    links = rows.select(F.get("p", F.lit(0)).alias("a"), F.explode(F.slice("p", 2, 1 << 30)).alias("b"))
     found = connected_components(links, one_task=ONE_TASK)
     every = protein_edges(entries).select("protein").distinct()
     return every.join(found, every.protein == found.node, "left").select("protein", F.coalesce("component", "protein").alias("component"))
@@ -70,5 +70,10 @@ def classic_count(groups: DataFrame, fdr: float = TEST_FDR) -> DataFrame:
 
 def infer_picked(entries: DataFrame) -> DataFrame:
     """Groups of the entries with their q-values; written once, since every step reads them."""
+    return picked_qvalues(groups(entries))
+
+
+def groups(entries: DataFrame) -> DataFrame:
+    """group_evidence() as a written table, over a written one of components, which it reads twice."""
     components = materialise(protein_components(entries), "components")
-    return picked_qvalues(materialise(group_evidence(entries, components), "groups"))
+    return materialise(group_evidence(entries, components), "groups")

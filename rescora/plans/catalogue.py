@@ -318,8 +318,7 @@ def picked_qvalues(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def classic_count(spark: SparkSession, sf: str) -> DataFrame:
-    entries = V.graph_lines(spark, sf)
-    return proteins.classic_count(proteins.group_evidence(entries, proteins.protein_components(entries)))
+    return proteins.classic_count(proteins.groups(V.graph_lines(spark, sf)))
 
 
 @query
@@ -335,7 +334,8 @@ def graph_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def bayes_tree_posterior(spark: SparkSession, sf: str) -> DataFrame:
     entries = V.graph_lines(spark, sf)
-    edges = bayes.cluster_edges(entries, bayes.clusters(entries))
+    cut = materialise(bayes.named_edges(entries), "edges")
+    edges = materialise(bayes.cluster_edges(cut, bayes.clusters(cut), with_pep=True), "cluster-edges")
     only = edges.join(edges.where("parents > 1").select("cluster").distinct(), "cluster", "left_anti")
     return bayes.closed_posterior(only, entries, bayes.BayesParams()).select("cluster", r6("pep").alias("pep"))
 
