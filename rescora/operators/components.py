@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _parted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v), u > v, of parts that are stars around their smallest node, and all others; one written table.
+
+    A node is settled if it has one edge to a smaller one and none to larger ones, or only edges to larger ones; a star
+    whose nodes are all settled has no further edges.
+    """
+    ends = [edges.select(F.col(a).alias("node"), F.lit(int(a == "u")).alias("down"), F.lit(int(a == "v")).alias("up")) for a in ("u", "v")]
+    nodes = ends[0].unionByName(ends[1]).groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    bad = materialise(nodes.where("down > 1 OR down > 0 AND up > 0").select("node"), "unsettled")
+    hubs = edges.join(bad, edges.u == bad.node, "left_semi").unionByName(edges.join(bad, edges.v == bad.node, "left_semi"))
+    hubs = hubs.select(F.col("v").alias("hub")).distinct().withColumn("open", F.lit(True))
+    marked = materialise(edges.join(hubs, edges.v == hubs.hub, "left").select("u", "v", F.col("open").isNotNull().alias("open")), "parted")
+    discard(bad)
+    return marked.where("NOT open").select("u", "v"), marked.where("open").select("u", "v")
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
 
@@ -69,7 +86,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", one_task:
 
     Null ends and self links are ignored; nodes without links to others don't appear. Rounds grow with the logarithm
     of the graph's size; each is a table in the shared folder. Only a count and a checksum reach the driver. Up to
-    one_task distinct links are joined up by union-find in a single task instead.
+    one_task distinct links are joined up by union-find in a single task instead. Parts that are stars already take no
+    part in further rounds.
     """
     edges = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
@@ -79,13 +97,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", one_task:
     if before[0] <= one_task:
         kind = edges.schema["u"].dataType.simpleString()
         return edges.coalesce(1).mapInArrow(_in_one_task, f"node {kind}, component {kind}")
+    done: list[DataFrame] = []
     while before[0]:
-        last = edges
-        edges = materialise(_star(_star(edges, True), False), "edges")
-        discard(last)
-        now = _digest(edges)
-        if now == before:
+        stars, rest = _parted(edges)
+        discard(edges)
+        done.append(stars)
+        if rest.isEmpty():
             break
-        before = now
+        edges = materialise(_star(_star(rest, True), False), "edges")
+        before = _digest(edges)
+    edges = reduce(DataFrame.unionByName, done, edges.limit(0) if not done else done[0].limit(0))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

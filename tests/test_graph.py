@@ -224,3 +224,41 @@ def test_clusters_with_clashing_hashes_are_taken_apart(spark):
 def test_no_entries(spark):
     none = spark.createDataFrame([], "row_id long, score double, pep double, proteins string")
     assert bayes.infer_bayes(none).collect() == [] and bayes.clusters(none).collect() == []
+
+
+def test_stars_take_no_part_in_further_rounds(spark, monkeypatch):
+    import random
+
+    from rescora.operators import components as C
+
+    rng = random.Random(4)
+    chains = [(1000 + 10 * k + i, 1000 + 10 * k + i + 1) for k in range(20) for i in range(rng.randrange(1, 9))]
+    pairs, hub = [(9000 + 2 * k, 9001 + 2 * k) for k in range(200)], [(20000, 20000 + k) for k in range(1, 50)]
+    links = [*chains, *pairs, *hub, (3, 2), (2, 3), (5, 5)]
+    seen, star = [], C._star
+    monkeypatch.setattr(C, "_star", lambda edges, large: (seen.append({r["v"] for r in edges.collect()}), star(edges, large))[1])
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    top = {x: x for x in {n for a, b in links if a != b for n in (a, b)}}
+    for _ in range(12):
+        for a, b in links:
+            if a != b:
+                top[a] = top[b] = min(top[a], top[b])
+    assert got == top
+    assert all(2 not in v and not any(x >= 9000 for x in v) for v in seen)
+
+
+def test_classic_count_reads_written_groups(spark):
+    from rescora.operators import proteins
+
+    rows = spark.createDataFrame([(str(k), float(k % 9), 0.1, f"P{k % 5};P{k % 7}") for k in range(40)], "row_id string, score double, pep double, proteins string")
+    plan = proteins.groups(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_diagnostics_aggregate_clusters_not_peptides(spark, monkeypatch):
+    from rescora.operators import bayes
+
+    rows = spark.createDataFrame([("1", "A;B"), ("2", "A;B"), ("3", "A"), ("4", "B"), ("5", "C;D"), ("6", "C"), ("7", "E")], "row_id string, proteins string")
+    out = bayes.graph_diagnostics(rows)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(out.first()) == (3, 2, 1)
