@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import core_peptide, one_hot
 from .names import own_names
-from .ordering import in_order, running_sum
+from .ordering import CELL_ROWS, MOST_CELLS, in_order, running_sum
 from .targetdecoy import yield_at
 
-#: Engines of one word of a bitmap.
-WORD_BITS = 64
+#: What tells candidates apart.
+CANDIDATE = ["scan", "label", "peptide"]
+#: Rows beyond which one task doesn't count engines.
+HOT_ROWS = 1_000_000
+
 
 @own_names
 def best_of(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,27 +39,35 @@ def best_report_of_candidate(df: DataFrame) -> DataFrame:
 def engine_support(df: DataFrame) -> DataFrame:
     """Append how many engines report the spectrum, and the candidate. A null source is no engine; null keys are groups.
 
-    Engines are bits of words of 64. One aggregate over the rows gives each candidate's words; a spectrum's are those of
-    its candidates together.
+    Rows are dealt out by spectrum once, about CELL_ROWS to a task, and counted in windows. Spectra of tasks that would
+    get more than HOT_ROWS are counted by aggregates and joined instead, so that no hot one is a task's.
     """
-    engines = df.where(F.col("source").isNotNull()).select(F.col("source").alias("_engine")).distinct()
-    number = F.row_number().over(Window.orderBy("_engine")) - 1
-    engines = engines.select("_engine", F.floor(number / WORD_BITS).alias("_word"), (number % WORD_BITS).alias("_bit"))
-    rows = df.join(engines, F.col("source") == F.col("_engine"), "left")
-    keys = ["scan", "label", "peptide"]
-    words = rows.groupBy(*keys, "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_bits"))
-    candidates = words.groupBy(*keys).agg(_engines("_bits").alias("candidate_engines"))
-    spectra = words.groupBy("scan", "_word").agg(F.bit_or("_bits").alias("_bits")).groupBy("scan").agg(_engines("_bits").alias("scan_engines"))
-    for found, own in ((spectra, ["scan"]), (candidates, keys)):
+    n = max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_CELLS, -(-df.count() // CELL_ROWS)))
+    part = F.pmod(F.hash("scan"), F.lit(n))  # as repartition() deals
+    hot = [r["_part"] for r in df.groupBy(part.alias("_part")).count().where(F.col("count") > HOT_ROWS).collect()]
+    if not hot:
+        return _counted_in_windows(df, n)
+    return _counted_in_windows(df.where(~part.isin(hot)), n).unionByName(_counted_by_joins(df.where(part.isin(hot))))
+
+
+def _counted_in_windows(df: DataFrame, n: int) -> DataFrame:
+    own = {"candidate_engines": CANDIDATE, "scan_engines": ["scan"]}  # in this order one sort does for both
+    rows = df.repartition(n, "scan")
+    for name, keys in own.items():
+        rows = rows.withColumn(name, F.size(F.collect_set("source").over(Window.partitionBy(*keys))).cast("long"))
+    return rows.select(*df.columns, *reversed(own))
+
+
+def _counted_by_joins(df: DataFrame) -> DataFrame:
+    reports = df.select(*CANDIDATE, "source").distinct()
+    candidates = reports.groupBy(*CANDIDATE).agg(F.count("source").alias("candidate_engines"))
+    spectra = reports.select("scan", "source").distinct().groupBy("scan").agg(F.count("source").alias("scan_engines"))
+    for found, own in ((spectra, ["scan"]), (candidates, CANDIDATE)):
         found = found.withColumnsRenamed({k: f"_k_{k}" for k in own})
         df = df.join(found, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in own]).drop(*[f"_k_{k}" for k in own])
     return df
 
 
-def _engines(bits: str) -> Column:
-    return F.coalesce(F.sum(F.bit_count(bits)), F.lit(0)).cast("long")
-
-
 def join_runs(runs: Sequence[DataFrame]) -> DataFrame:
     """All runs together; columns are matched by name and must agree."""
     out = runs[0]

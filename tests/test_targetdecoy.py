@@ -161,6 +161,25 @@ def test_engines_of_several_words(spark):
         assert r["scan_engines"] == len(spectra[r["scan"]]) and r["candidate_engines"] == len(candidates[r["scan"], r["label"], r["peptide"]]) and r["_bit"] == "mine"
 
 
+@pytest.mark.parametrize("hot_rows", [10**6, 150])
+def test_engines_are_counted_by_tasks_of_so_many_rows(spark, monkeypatch, hot_rows):
+    from rescora.operators import rollup
+
+    monkeypatch.setattr(rollup, "CELL_ROWS", 50, raising=False)
+    monkeypatch.setattr(rollup, "HOT_ROWS", hot_rows, raising=False)
+    rows = [(i, f"e{i % 3}" if i % 7 else None, i // 4 if i % 6 else None, 1 if i % 2 else -1, f"P{i % 8}" if i % 9 else None) for i in range(2400)]
+    out = rollup.engine_support(spark.createDataFrame(rows, "row_id long, source string, scan int, label int, peptide string"))
+    spectra, candidates = {}, {}
+    for _, e, *keys in rows:
+        spectra.setdefault(keys[0], set()).update({e} - {None})
+        candidates.setdefault(tuple(keys), set()).update({e} - {None})
+    got = {r["row_id"]: (r["scan_engines"], r["candidate_engines"]) for r in out.collect()}
+    assert got == {i: (len(spectra[keys[0]]), len(candidates[tuple(keys)])) for i, _, *keys in rows}
+    # 2000 rows of spectra of four, and 400 without a spectrum
+    parts = [r["n"] for r in out.where("scan IS NOT NULL").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(parts) >= 40 and max(parts) < 150
+
+
 @given(st.integers(1, 3000), st.integers(0, 2**60 - 1))
 def test_ranks_are_shuffled_one_to_one(n, key):
     from rescora.operators.folds import shuffled_rank
