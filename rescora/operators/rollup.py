@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import core_peptide, one_hot
 from .names import own_names
-from .ordering import CELL_ROWS, MOST_CELLS, in_order, running_sum
+from .ordering import in_order, running_sum, tasks_of
 from .targetdecoy import yield_at
 
 #: What tells candidates apart.
@@ -42,7 +42,7 @@ def engine_support(df: DataFrame) -> DataFrame:
     Rows are dealt out by spectrum once, about CELL_ROWS to a task, and counted in windows. Spectra of tasks that would
     get more than HOT_ROWS are counted by aggregates and joined instead, so that no hot one is a task's.
     """
-    n = max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_CELLS, -(-df.count() // CELL_ROWS)))
+    n = tasks_of(df, df.count())
     part = F.pmod(F.hash("scan"), F.lit(n))  # as repartition() deals
     hot = [r["_part"] for r in df.groupBy(part.alias("_part")).count().where(F.col("count") > HOT_ROWS).collect()]
     if not hot:

@@ -6,16 +6,21 @@ ranks them; beyond that, score ranges are ranked side by side and put together t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.errors import PySparkTypeError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..session import materialise
+from ..session import bounded_batches, ipc_bytes, materialise
 from .names import key_of, own_names
-from .ordering import in_order, running_sum
+from .ordering import in_order, running_sum, tasks_of
 
 ONE_TASK = 1_000_000
 #: Hulls of neighbouring score ranges that are merged at once.
@@ -48,15 +53,17 @@ def _in_ranges(df: DataFrame, keys: Sequence[str], score: str, rows: int) -> Dat
     return in_order(df, [F.col("_g"), F.col(score).desc(), F.col("row_id")], rows)
 
 
-def _counted(df: DataFrame, keys: Sequence[str], score: str, pi0: Column | float | None, one_task: int) -> tuple[DataFrame, bool]:
+def _counted(df: DataFrame, keys: Sequence[str], score: str, pi0: Column | float | None, one_task: int, rows: int | None = None) -> tuple[DataFrame, bool]:
     """Append _pi0, and _t and _d, targets and decoys down to each rank; whether by score ranges.
 
-    One aggregation over the rows gives their number and pi0.
+    One aggregation over the rows gives their number, where it isn't known with pi0, and pi0.
     """
     known = pi0 is not None
     if known:
         df = df.withColumn("_pi0", F.lit(float(pi0)) if isinstance(pi0, (int, float)) else pi0)
-    if not keys:
+    if known and rows is not None:
+        pass
+    elif not keys:
         row = df.agg(F.count(F.lit(1)).alias("n"), pi0_of(F.col("label")).alias("p")).first()
         rows = row["n"]
         df = df if known else df.withColumn("_pi0", F.lit(float(row["p"])))
@@ -89,7 +96,13 @@ def qvalues(
     Over falling score, the false discovery rate at a rank is pi0 * decoys / targets so far (1 before any target, at
     most 1); q is its minimum from the worst rank up. pi0: a number, a column equal within keys, or None to estimate.
     """
-    df, ranges = _counted(df, keys, score, pi0, one_task)
+    rows = None
+    if not keys and not isinstance(pi0, Column) and _portable(df):
+        row = df.agg(F.count(F.lit(1)).alias("n"), pi0_of(F.col("label")).alias("p")).first()
+        rows, pi0 = row["n"], float(row["p"] if pi0 is None else pi0)
+        if rows > one_task:
+            return _qvalues_of_pieces(df, rows, pi0, score, out)
+    df, ranges = _counted(df, keys, score, pi0, one_task, rows)
     df = df.withColumn("_f", _fdr(F.col("_t"), F.col("_d"), F.col("_pi0")))
     cells = ["_g", "_b"] if ranges else list(keys)
     up = Window.partitionBy(*cells).orderBy(F.col(score).asc(), F.col("row_id").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -103,6 +116,68 @@ def qvalues(
     return df.withColumn(out, F.least(low, F.col("_later"))).drop("_f", "_t", "_d", "_pi0", "_g", "_b", "_kg", "_kb", "_later")
 
 
+def _portable(df: DataFrame) -> bool:
+    """Whether all columns travel as Arrow."""
+    try:
+        return bool(to_arrow_schema(df.schema))
+    except PySparkTypeError:
+        return False
+
+
+def _rates(labels: bytes, targets: int, decoys: int, pi0: float) -> np.ndarray:
+    """The false discovery rate at each rank of a piece, after so many targets and decoys."""
+    label = np.frombuffer(labels, np.int8)
+    t, d = targets + np.cumsum(label > 0), decoys + np.cumsum(label < 0)
+    return np.where(t > 0, np.minimum(pi0 * d / np.maximum(t, 1), 1.0), 1.0)
+
+
+def _qvalues_of_pieces(df: DataFrame, rows: int, pi0: float, score: str, out: str) -> DataFrame:
+    """qvalues() without keys: rows are shuffled once, to score ranges, and written as pieces of an Arrow batch each.
+
+    What lies before and after a piece comes from a table with a row for each piece, so no row is shuffled again.
+    """
+    bounded_batches(df.sparkSession)
+    best = [F.col(score).desc(), F.col("row_id").asc()]
+    at = df.columns.index("label")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = TaskContext.get().partitionId()
+        for k, own in enumerate(x for x in batches if x.num_rows):
+            label = np.sign(own.column(at).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int8)
+            cells = [b, k, int((label > 0).sum()), int((label < 0).sum()), label.tobytes(), ipc_bytes(own)]
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["_b", "_k", "_t", "_d", "_labels", "_rows"])
+
+    dealt = df.repartitionByRange(tasks_of(df, rows), *best).sortWithinPartitions(*best)
+    pieces = materialise(dealt.mapInArrow(packed, "_b long, _k long, _t long, _d long, _labels binary, _rows binary"), "pieces", "zstd")
+    counts = {"_ut": F.col("_t"), "_ud": F.col("_d")}
+    places = running_sum(pieces.select("_b", "_k", "_t", "_d"), counts, [], "_b", [F.col("_k")])
+    places = places.select("_b", "_k", (F.col("_ut") - F.col("_t")).alias("_ut"), (F.col("_ud") - F.col("_d")).alias("_ud"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = [_rates(r["_labels"], r["_ut"], r["_ud"], pi0).min() for r in b.select(["_labels", "_ut", "_ud"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("_b", "_k", "_ut", "_ud")], pa.array(low, pa.float64())], names=["_b", "_k", "_ut", "_ud", "_m"])
+
+    lows = pieces.select("_b", "_k", "_labels").join(F.broadcast(places), ["_b", "_k"])
+    lows = materialise(lows.mapInArrow(least, "_b long, _k long, _ut long, _ud long, _m double"), "piece-lows")
+    behind = Window.partitionBy("_b").orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lows.groupBy("_b").agg(F.min("_m").alias("_m")).select("_b", F.min("_m").over(later).alias("_rest"))
+    after = F.least(F.min("_m").over(behind), F.col("_rest"), F.lit(1.0))  # no rate is above 1
+    places = lows.join(ranges, "_b").select("_b", "_k", "_ut", "_ud", after.alias("_after"))
+    schema = StructType([f for f in df.schema.fields if f.name != out]).add(out, "double")
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                low = np.minimum.accumulate(_rates(r["_labels"], r["_ut"], r["_ud"], pi0)[::-1])[::-1]
+                own = pa.ipc.open_stream(r["_rows"]).read_all()
+                own = own.select([c for c in own.column_names if c != out])
+                yield from own.append_column(out, pa.array(np.minimum(low, r["_after"]))).to_batches()
+
+    return pieces.join(F.broadcast(places), ["_b", "_k"]).select("_labels", "_ut", "_ud", "_after", "_rows").mapInArrow(unpacked, schema)
+
+
 def accepted(df: DataFrame, fdr: float = TEST_FDR, q: str = "q") -> DataFrame:
     """Targets with q strictly under the limit."""
     return df.where((F.col("label") > 0) & (F.col(q) < fdr))

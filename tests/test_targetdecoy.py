@@ -163,9 +163,9 @@ def test_engines_of_several_words(spark):
 
 @pytest.mark.parametrize("hot_rows", [10**6, 150])
 def test_engines_are_counted_by_tasks_of_so_many_rows(spark, monkeypatch, hot_rows):
-    from rescora.operators import rollup
+    from rescora.operators import ordering, rollup
 
-    monkeypatch.setattr(rollup, "CELL_ROWS", 50, raising=False)
+    monkeypatch.setattr(ordering, "CELL_ROWS", 50)
     monkeypatch.setattr(rollup, "HOT_ROWS", hot_rows, raising=False)
     rows = [(i, f"e{i % 3}" if i % 7 else None, i // 4 if i % 6 else None, 1 if i % 2 else -1, f"P{i % 8}" if i % 9 else None) for i in range(2400)]
     out = rollup.engine_support(spark.createDataFrame(rows, "row_id long, source string, scan int, label int, peptide string"))
@@ -180,6 +180,36 @@ def test_engines_are_counted_by_tasks_of_so_many_rows(spark, monkeypatch, hot_ro
     assert len(parts) >= 40 and max(parts) < 150
 
 
+@pytest.mark.parametrize("pi0", [None, 0.6])
+def test_qvalues_of_ranges_shuffle_rows_once(spark, monkeypatch, pi0):
+    from rescora import session
+    from rescora.operators import ordering
+
+    monkeypatch.setattr(ordering, "CELL_ROWS", 200)
+    monkeypatch.setattr(session, "ARROW_ROWS", 64)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    # one score has half of the rows, some none; labels and other columns have nulls
+    rows = [(f"r{i * 7919 % 2000:04d}", [1, -1, 1, None][i % 4] if i % 3 else 1, None if i % 97 == 0 else 5.0 if i % 2 else float(i % 61), [i] if i % 5 else None, {"k": i}) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id string, label int, score double, _b array<int>, other map<string,int>").repartition(3)
+    try:
+        got = td.qvalues(df, pi0=pi0, one_task=0)
+        assert "hashpartitioning(_g" not in got._jdf.queryExecution().toString()
+        want = td.qvalues(df, pi0=pi0)
+        assert got.schema == want.schema
+        named = lambda d: {r["row_id"]: (r["q"], r["label"], r["score"], r["_b"], r["other"]) for r in d.collect()}
+        assert named(got) == named(want) and got.count() == 2000
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_folds_are_ranked_without_shuffling_draws(spark):
+    from rescora.operators import folds
+
+    plan = folds.assign_folds(spark.range(100).withColumnRenamed("id", "row_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS _draw") < plan.index("RepartitionByExpression [_cell")
+
+
 @given(st.integers(1, 3000), st.integers(0, 2**60 - 1))
 def test_ranks_are_shuffled_one_to_one(n, key):
     from rescora.operators.folds import shuffled_rank
