@@ -180,6 +180,29 @@ def test_engines_are_counted_by_tasks_of_so_many_rows(spark, monkeypatch, hot_ro
     assert len(parts) >= 40 and max(parts) < 150
 
 
+def test_joined_engines_are_worked_out_by_tasks_of_so_many_rows(spark, monkeypatch):
+    from rescora.operators import ordering, rollup
+
+    monkeypatch.setattr(ordering, "CELL_ROWS", 50)
+    engines = ["a", "b", "c"]
+    rows = [(i, engines[i % 3], i // 4, 1 if i % 2 else -1, f"P{i % 8}", [float(i)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id long, source string, scan int, label int, peptide string, features array<double>")
+    out = rollup.join_engines(df, engines, dict.fromkeys(engines, 1))
+    spectra, candidates = {}, {}
+    for _, e, *keys, _ in rows:
+        spectra.setdefault(keys[0], set()).add(e)
+        candidates.setdefault(tuple(keys), set()).add(e)
+    got = {r["row_id"]: r["features"] for r in out.collect()}
+    for i, e, *keys, x in rows:
+        marks = [float(e == k) for k in engines]
+        assert got[i] == [*marks, *[m * x[0] for m in marks], len(spectra[keys[0]]), len(candidates[tuple(keys)])]
+    parts = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(parts) >= 38 and max(parts) < 150
+    # rows with their features are shuffled once, and not joined
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 @pytest.mark.parametrize("pi0", [None, 0.6])
 def test_qvalues_of_ranges_shuffle_rows_once(spark, monkeypatch, pi0):
     from rescora import session
