@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..session import bounded_batches, ipc_bytes, materialise
 from .names import key_of, own_names
-from .ordering import in_order, running_sum, tasks_of
+from .ordering import by_short_ids, in_order, running_sum, tasks_of
 
 ONE_TASK = 1_000_000
 #: Hulls of neighbouring score ranges that are merged at once.
@@ -90,16 +90,18 @@ def qvalues(
     score: str = "score",
     out: str = "q",
     one_task: int = ONE_TASK,
+    rows: int | None = None,
 ) -> DataFrame:
     """Append the q-value of every row, targets and decoys, within `keys`.
 
     Over falling score, the false discovery rate at a rank is pi0 * decoys / targets so far (1 before any target, at
     most 1); q is its minimum from the worst rank up. pi0: a number, a column equal within keys, or None to estimate.
+    `rows` is the number of rows where it is known.
     """
-    rows = None
     if not keys and not isinstance(pi0, Column) and _portable(df):
-        row = df.agg(F.count(F.lit(1)).alias("n"), pi0_of(F.col("label")).alias("p")).first()
-        rows, pi0 = row["n"], float(row["p"] if pi0 is None else pi0)
+        if rows is None or pi0 is None:
+            row = df.agg(F.count(F.lit(1)).alias("n"), pi0_of(F.col("label")).alias("p")).first()
+            rows, pi0 = row["n"], float(row["p"] if pi0 is None else pi0)
         if rows > one_task:
             return _qvalues_of_pieces(df, rows, pi0, score, out)
     df, ranges = _counted(df, keys, score, pi0, one_task, rows)
@@ -147,7 +149,8 @@ def _qvalues_of_pieces(df: DataFrame, rows: int, pi0: float, score: str, out: st
             cells = [b, k, int((label > 0).sum()), int((label < 0).sum()), label.tobytes(), ipc_bytes(own)]
             yield pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["_b", "_k", "_t", "_d", "_labels", "_rows"])
 
-    dealt = df.repartitionByRange(tasks_of(df, rows), *best).sortWithinPartitions(*best)
+    dealt = by_short_ids(df, lambda own, row_id: own.repartitionByRange(tasks_of(df, rows), F.col(score).desc(), row_id.asc()))
+    dealt = dealt.sortWithinPartitions(*best)
     pieces = materialise(dealt.mapInArrow(packed, "_b long, _k long, _t long, _d long, _labels binary, _rows binary"), "pieces", "zstd")
     counts = {"_ut": F.col("_t"), "_ud": F.col("_d")}
     places = running_sum(pieces.select("_b", "_k", "_t", "_d"), counts, [], "_b", [F.col("_k")])

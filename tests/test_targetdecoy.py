@@ -233,6 +233,24 @@ def test_folds_are_ranked_without_shuffling_draws(spark):
     assert plan.index("AS _draw") < plan.index("RepartitionByExpression [_cell")
 
 
+def test_text_ids_are_shuffled_as_bytes_and_ordered_as_text(spark, monkeypatch):
+    from rescora.functions.scalars import as_bytes, as_text
+    from rescora.operators import folds
+
+    odd = ["", "0", "0a", "0A", "abc", "\x00", "\x01", "zz", "é", "0a ", "ff" * 16, "00" * 16, None]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select("t", as_text(as_bytes(F.col("t"))).alias("u"), F.octet_length(as_bytes(F.col("t"))).alias("n")).collect()
+    assert [r["u"] for r in got] == odd and got[odd.index("ff" * 16)]["n"] == 17
+    monkeypatch.setattr(ordering, "CELL_ROWS", 100)
+    # ids of both kinds with equal scores: ranks go by their text
+    rows = [(f"{i * 7919 % 1000:04x}" if i % 3 else f"{i * 7919 % 1000:04d}_", 1 if i % 2 else -1, float(i % 5)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "row_id string, label int, score double").repartition(3)
+    q = td.qvalues(df, pi0=1.0, rows=1000, one_task=0)
+    assert {r["row_id"]: r["q"] for r in q.collect()} == pytest.approx(brute(rows, 1.0), abs=0)
+    plan = folds.assign_folds(df)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.index("RepartitionByExpression [_cell")
+    assert "unhex(" in plan[dealt:] and "unhex(" not in plan[:dealt]
+
+
 @given(st.integers(1, 3000), st.integers(0, 2**60 - 1))
 def test_ranks_are_shuffled_one_to_one(n, key):
     from rescora.operators.folds import shuffled_rank
