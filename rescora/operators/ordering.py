@@ -15,6 +15,8 @@ from ..session import materialise
 CELL_ROWS, MOST_CELLS = 250_000, 1 << 16
 #: More buckets than this are never asked for; the bounds go to the driver.
 MOST_BUCKETS = 4096
+#: Up to so many partitions a task writes rows as they come; beyond, Spark holds and sorts them (spark.shuffle.sort.bypassMergeThreshold).
+MOST_UNSORTED = 200
 
 
 def range_bounds(df: DataFrame, column: str, buckets: int) -> list:
@@ -85,6 +87,18 @@ def tasks_of(df: DataFrame, rows: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_CELLS, -(-rows // CELL_ROWS)))
 
 
+def dealt_out(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The rows in `n` partitions by their keys, as repartition() deals them.
+
+    A task that writes to more than MOST_UNSORTED partitions holds what it reads, which for a split of a well compressed file
+    is many million rows. So rows go to MOST_UNSORTED tasks first, and those deal out an equal share each.
+    """
+    if n > MOST_UNSORTED:
+        # repartition() of repartition() is one, but not with a column dropped between; small numbers take few bytes
+        df = df.withColumn("_deal", F.pmod(F.xxhash64(*keys), F.lit(1 << 16))).repartition(MOST_UNSORTED, "_deal").drop("_deal")
+    return df.repartition(n, *keys)
+
+
 def in_order(df: DataFrame, order: Sequence[Column], rows: int, cell: str = "_b") -> DataFrame:
     """A written table with `cell`, rising along `order` over all rows; cells have about CELL_ROWS of the `rows` rows.
 

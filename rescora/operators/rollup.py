@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import core_peptide, one_hot
 from .names import own_names
-from .ordering import in_order, running_sum, tasks_of
+from .ordering import by_short_ids, dealt_out, in_order, running_sum, tasks_of
 from .targetdecoy import yield_at
 
 #: What tells candidates apart.
@@ -52,10 +52,14 @@ def engine_support(df: DataFrame) -> DataFrame:
 
 def _counted_in_windows(df: DataFrame, n: int) -> DataFrame:
     own = {"candidate_engines": CANDIDATE, "scan_engines": ["scan"]}  # in this order one sort does for both
-    rows = df.repartition(n, "scan")
-    for name, keys in own.items():
-        rows = rows.withColumn(name, F.size(F.collect_set("source").over(Window.partitionBy(*keys))).cast("long"))
-    return rows.select(*df.columns, *reversed(own))
+
+    def counted(rows: DataFrame, _) -> DataFrame:
+        rows = dealt_out(rows, n, "scan")
+        for name, keys in own.items():
+            rows = rows.withColumn(name, F.size(F.collect_set("source").over(Window.partitionBy(*keys))).cast("long"))
+        return rows
+
+    return by_short_ids(df, counted).select(*df.columns, *reversed(own))
 
 
 def _counted_by_joins(df: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -203,6 +204,34 @@ def test_joined_engines_are_worked_out_by_tasks_of_so_many_rows(spark, monkeypat
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def test_rows_for_many_tasks_are_dealt_out_by_tasks_of_an_equal_share(spark, monkeypatch):
+    from rescora.operators import ordering, rollup
+
+    monkeypatch.setattr(ordering, "CELL_ROWS", 50)
+    monkeypatch.setattr(ordering, "MOST_UNSORTED", 8, raising=False)
+    engines = ["a", "b", "c"]
+    ids = ["%032x" % (i * 7919) if i % 5 else f"Line {i}" for i in range(2000)]
+    rows = [(ids[i], engines[i % 3], i // 4 if i % 6 else None, 1 if i % 2 else -1, f"P{i % 8}", [float(i)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id string, source string, scan int, label int, peptide string, features array<double>")
+    out = rollup.join_engines(df.coalesce(1), engines, dict.fromkeys(engines, 1))
+    assert out.columns == df.columns
+    spectra, candidates = {}, {}
+    for _, e, *keys, _ in rows:
+        spectra.setdefault(keys[0], set()).add(e)
+        candidates.setdefault(tuple(keys), set()).add(e)
+    got = {r["row_id"]: r["features"] for r in out.collect()}
+    assert len(got) == 2000
+    for i, e, *keys, x in rows:
+        marks = [float(e == k) for k in engines]
+        assert got[i] == [*marks, *[m * x[0] for m in marks], len(spectra[keys[0]]), len(candidates[tuple(keys)])]
+    # the one task that reads writes to 8 partitions, and their tasks to the 40 that are counted
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", plan) == ["40", "8"] and "Join" not in plan
+    keys = df.select(F.coalesce("scan", F.lit(-1)).alias("key"))
+    parts = ordering.dealt_out(keys, 40, "key").withColumn("p", F.spark_partition_id()).distinct().collect()
+    assert len(parts) == keys.distinct().count() and len({r["p"] for r in parts}) >= 38
+
+
 @pytest.mark.parametrize("pi0", [None, 0.6])
 def test_qvalues_of_ranges_shuffle_rows_once(spark, monkeypatch, pi0):
     from rescora import session
