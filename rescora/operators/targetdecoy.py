@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import bounded_batches, ipc_bytes, materialise
+from ..session import bounded_batches, discard, ipc_bytes, materialise
 from .names import key_of, own_names
 from .ordering import by_short_ids, in_order, running_sum, tasks_of
 
@@ -299,8 +299,9 @@ def bayes_qvalues(df: DataFrame, keys: Sequence[str] = ("is_decoy",), pep: str =
     """
     per = df.groupBy(*keys, pep).agg(F.sum(pep).alias("_s"), F.count(F.lit(1)).alias("_n"))
     per = per.withColumn("_g", F.xxhash64(*keys) if keys else F.lit(0).cast("long"))
-    per = materialise(per, "probabilities")
-    per = in_order(per, [F.col("_g"), F.col(pep)], per.count())
+    unsorted = materialise(per, "probabilities")
+    per = in_order(unsorted, [F.col("_g"), F.col(pep)], unsorted.count())
+    discard(unsorted)
     upto = running_sum(per, {"_us": F.col("_s"), "_un": F.col("_n")}, ["_g"], "_b", [F.col(pep)])
     upto = upto.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, pep)], (F.col("_us") / F.col("_un")).alias("_q"))
     rows = df.join(upto, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, pep)])

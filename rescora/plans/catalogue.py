@@ -333,11 +333,8 @@ def graph_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bayes_tree_posterior(spark: SparkSession, sf: str) -> DataFrame:
-    entries = V.graph_lines(spark, sf)
-    cut = materialise(bayes.named_edges(entries), "edges")
-    edges = materialise(bayes.cluster_edges(cut, bayes.clusters(cut), with_pep=True), "cluster-edges")
-    only = edges.join(edges.where("parents > 1").select("cluster").distinct(), "cluster", "left_anti")
-    return bayes.closed_posterior(only, entries, bayes.BayesParams()).select("cluster", r6("pep").alias("pep"))
+    found = bayes.evidence(V.graph_lines(spark, sf), bayes.BayesParams())
+    return found.easy.select("cluster", "pep").unionByName(found.untangled()).select("cluster", r6("pep").alias("pep"))
 
 
 @query

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Arrow batches handed to Python hold at most so many bytes and rows, so that a run of very long texts stays small.
 ARROW_BYTES, ARROW_ROWS = 4 << 20, 4096
 
+#: Whether Spark deletes the shuffle files of a plan once it has run, and not only when the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
 _swept: set[str] = set()
 
@@ -75,10 +78,20 @@ def materialise(df: DataFrame, name: str, compression: str = "uncompressed") ->
     """Write a table to the shared folder and read it back: the lineage ends there and survives lost executors.
 
     Tables of ids and hashes hardly compress, and each compressed column of each file takes memory outside the heap.
+    What was shuffled for the table goes once it is written: nothing else reads the plan of a write.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 

@@ -262,3 +262,36 @@ def test_diagnostics_aggregate_clusters_not_peptides(spark, monkeypatch):
     out = bayes.graph_diagnostics(rows)
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert tuple(out.first()) == (3, 2, 1)
+
+
+def test_only_entries_with_several_names_are_followed_as_edges(spark, monkeypatch):
+    """Proteins with entries of their own are summed, and what is not read again is deleted."""
+    rows = [(1.0, 0.1 + k / 99, f"P{k % 20}") for k in range(60)] + [(1.0, 0.3, "P1;P2"), (1.0, 0.2, "A;B"), (1.0, 0.4, "A;B;P3")]
+    gone = []
+    monkeypatch.setattr(bayes, "discard", lambda *t, delete=bayes.discard: (gone.extend(x._scratch_path.split("/")[-1].rsplit("-", 1)[0] for x in t), delete(*t))[1])
+    found = bayes.evidence(entries(spark, rows), bayes.BayesParams())
+    assert gone == ["edges"]
+    assert found.edges.count() == 5 and {r["protein"] for r in found.named.collect()} == {"A", "B", "P1", "P2", "P3"}
+    assert {r["cluster"]: r["n_peptides"] for r in found.easy.collect()} == {f"P{k}": 3 for k in range(20) if k not in (1, 2, 3)}
+    gone.clear()
+    assert bayes.infer_bayes(entries(spark, rows)).count() == 21
+    assert gone == ["edges", "counted", "clusters", "cluster-edges", "own-evidence"]
+
+
+def test_what_was_shuffled_for_a_written_table_is_deleted(spark):
+    import os
+    import time
+
+    from rescora.session import SHUFFLE_CLEANUP, materialise
+
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in dirs for _, _, own in os.walk(d.getPath()) for f in own if f.startswith("shuffle_")}
+    old = files()
+    written = materialise(spark.range(5000).repartition(3, "id"), "shuffled")
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) == before
+    for _ in range(100):
+        if not files() - old:
+            break
+        time.sleep(0.1)
+    assert not files() - old and written.count() == 5000
