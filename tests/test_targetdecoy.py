@@ -306,3 +306,23 @@ def test_features_are_shuffled_apart(spark):
     assert all(r["x"] == 1000 * r["feature"] + r["row_id"] and r["_k"] == 7 for r in got)
     again = {(r["row_id"], r["feature"]): r["permuted"] for r in folds.permute_each(df.repartition(5)).collect()}
     assert all(again[r["row_id"], r["feature"]] == r["permuted"] for r in got)
+
+
+def test_features_are_dealt_to_blocks_of_ranks(spark, monkeypatch):
+    """Small blocks and few rows at a time give what large ones do, for texts, nulls and lists of several lengths; no value is shuffled as a row."""
+    from rescora.operators import folds
+
+    rows = [(i, [f"{f}:{i}" if (i + f) % 5 else None for f in range(i % 4)], "ab"[i % 3 == 0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, features array<string>, fold string")
+    want = sorted((tuple(r) for r in folds.permute_each(df).collect()), key=str)
+    monkeypatch.setattr(folds, "PLACE_BITS", 4)
+    monkeypatch.setattr(folds, "DEALT_ROWS", 30)
+    out = folds.permute_each(df)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == want and len(want) == sum(i % 4 for i in range(300))
+    own = {r[0]: r for r in rows}
+    for row_id, fold, feature, permuted, x in want:
+        _, features, group = own[row_id]
+        assert fold == group and x == (features[feature] if feature < len(features) else None)
+        assert permuted is None or permuted.startswith(f"{feature}:") and own[int(permuted[2:])][2] == group
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
